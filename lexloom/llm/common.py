@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,3 +33,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def bucket_rows(n: Column) -> Column:
     """Rows per bucket of a group of n rows: grows as the root of n, so neither buckets nor their number get large."""
     return F.greatest(F.lit(512.0), F.sqrt(n.cast("double")))
+
+
+def stash(df: DataFrame) -> DataFrame:
+    """``df`` written as a table in the shared folder and read again: like ``settle``, in a compressed form for wide or long tables."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/stash-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def unstash(*frames: DataFrame) -> None:
+    """Deletes the tables of ``stash``; nothing may read them any more."""
+    for df in frames:
+        spark = df.sparkSession
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, grid_join, html_text, langid, minhash, mixing, packing, secrets, url_filter
+from . import ann, grid_join, html_text, langid, minhash, mixing, packing, repeats, secrets, url_filter
 from .common import table
 
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -28,6 +28,10 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -54,7 +58,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_language_id, op2_packing, op3_url_filters, op5_mixing, op6_html_extraction, op7_minhash_dedup, op8_grid_join, op9_nearest, op10_secret_scan)
+    found = (op1_language_id, op2_packing, op3_url_filters, op4_suffix_dedup, op5_mixing, op6_html_extraction, op7_minhash_dedup, op8_grid_join, op9_nearest, op10_secret_scan)
     return {f.__name__: f for f in found}
 
 
