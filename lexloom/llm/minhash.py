@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import utf8_column
-from .common import settle
+from .common import settle, stash, unstash
 from .components import components
 
 #: Registers of a signature, and registers of a band: two texts of similarity 0.8 miss each other in all bands once in 20 million.
@@ -179,8 +179,8 @@ def overlap(a: pa.Array, b: pa.Array, width: int = 5) -> np.ndarray:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, least: float, width: int) -> DataFrame:
-    """Of ``pairs`` (u, v) those whose texts (``texts`` has one row per key) have at least that similarity."""
-    side = lambda c: texts.select(F.col("key").alias(c), F.col("text").alias(f"{c}_text"))
+    """Of ``pairs`` (u, v) those whose texts (``texts`` has one row per node) have at least that similarity."""
+    side = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"{c}_text"))
     both = pairs.join(side("u"), "u").join(side("v"), "v")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,10 +190,127 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float, width: int) -> D
                 ok = overlap(part.column("u_text"), part.column("v_text"), width) >= least - 1e-12
                 yield pa.RecordBatch.from_arrays([part.column("u"), part.column("v")], names=["u", "v"]).filter(pa.array(ok))
 
-    return both.select("u", "v", "u_text", "v_text").mapInArrow(check, "u string, v string")
+    return both.select("u", "v", "u_text", "v_text").mapInArrow(check, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, least: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def overlap_matrix(a: list[tuple[np.ndarray, np.ndarray]], b: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The multiset Jaccard similarities of each of ``a`` with each of ``b``; a text is its shingles' sorted hashes and counts.
+
+    A shingle that occurs c times is c features, its first to its c-th copy, so that the sum of minima is a count of features in common.
+    """
+
+    def features(side: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        count = np.concatenate([c for _, c in side])
+        key = np.repeat(np.concatenate([k for k, _ in side]), count)
+        nth = np.arange(len(key)) - np.repeat(np.cumsum(count) - count, count)
+        size = np.array([int(c.sum()) for _, c in side])
+        return np.repeat(np.arange(len(side)), size), np.where(nth, mix(key ^ mix(nth.astype(np.uint64))), key), size
+
+    row_a, key_a, size_a = features(a)
+    row_b, key_b, size_b = features(b)
+    both = np.intersect1d(key_a, key_b)
+    common = np.zeros((len(a), len(b)), np.float32)
+    for at in range(0, len(both), 16384):
+        some = both[at : at + 16384]
+        sides = []
+        for row, key, n in ((row_a, key_a, len(a)), (row_b, key_b, len(b))):
+            place = np.searchsorted(some, key)
+            place[place == len(some)] = 0
+            hit = some[place] == key
+            m = np.zeros((n, len(some)), np.float32)
+            m[row[hit], place[hit]] = 1
+            sides.append(m)
+        common += sides[0] @ sides[1].T
+    whole = size_a[:, None] + size_b[None, :] - common.astype(np.float64)
+    return np.divide(common, whole, out=np.zeros(common.shape), where=whole > 0)
+
+
+def _chunks(family: DataFrame, extra: list[str], rows: int) -> DataFrame:
+    """The members of each family in blocks of about ``rows``, those of the head's own component apart from the others."""
+    away = F.col("own") != F.col("head")
+    sizes = stash(family.groupBy("head", away.alias("away")).count().select(F.col("head").alias("h"), F.col("away").alias("w"), F.ceil(F.col("count") / rows).alias("parts")))
+    cut = family.withColumn("away", away).join(sizes, (F.col("head") == F.col("h")) & (F.col("away") == F.col("w")))
+    packed = cut.groupBy("head", "away", F.pmod(F.xxhash64("node"), F.col("parts")).alias("chunk")).agg(F.collect_list(F.struct("node", "own", *extra)).alias("members"))
+    packed = stash(packed)
+    unstash(sizes)
+    return packed
+
+
+def _against(blocks: DataFrame) -> DataFrame:
+    """Each block of members that are apart with each block of its family that may hold partners, once."""
+    b = blocks.select(F.col("head").alias("b_head"), F.col("away").alias("b_away"), F.col("chunk").alias("b_chunk"), F.col("members").alias("b"))
+    a = blocks.where("away").select("head", "chunk", F.col("members").alias("a"))
+    return a.join(b, (F.col("head") == F.col("b_head")) & (~F.col("b_away") | (F.col("b_chunk") >= F.col("chunk"))))
+
+
+def _left_apart(family: DataFrame, signatures: DataFrame, texts: DataFrame, least: float, width: int) -> DataFrame:
+    """Links (u, v) that join all members of a family, of different components, whose texts are similar.
+
+    Members outside the head's component meet all others in blocks. First by short signatures, one byte a register: members without any
+    partner whose estimate is within five standard deviations of ``least`` drop out. Then by their shingles, exactly. A pair of
+    blocks gives at most a link for each member, as only the components matter.
+    """
+    floor = least - 5 * np.sqrt(least * (1 - least) / REGISTERS)
+    split = family.where("own != head").select(F.col("head").alias("h")).distinct()
+    family = stash(family.join(split, F.col("head") == F.col("h")).select("head", "node", "own"))
+    blocks = _chunks(family.join(signatures, "node"), ["short"], 512)
+
+    def guess(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                sides = []
+                for c in "ab":
+                    values = batch.column(c)[r].values
+                    x = np.frombuffer(b"".join(values.field("short").to_pylist()), np.uint8).reshape(len(values), -1)
+                    sides.append((values.field("node").to_numpy(), values.field("own").to_numpy(), x))
+                (node_a, own_a, x), (node_b, own_b, y) = sides
+                same = np.zeros((len(x), len(y)), np.int16)
+                for k in range(x.shape[1]):
+                    same += x[:, k, None] == y[None, :, k]
+                maybe = (same >= floor * REGISTERS) & (own_a[:, None] != own_b[None, :])
+                seen = np.concatenate([node_a[maybe.any(axis=1)], node_b[maybe.any(axis=0)]])
+                own = np.concatenate([own_a[maybe.any(axis=1)], own_b[maybe.any(axis=0)]])
+                if len(seen):
+                    yield pa.RecordBatch.from_arrays([pa.array([batch.column("head")[r].as_py()] * len(seen)), pa.array(seen), pa.array(own)], names=["head", "node", "own"])
+
+    pairs = _against(blocks).select("head", "a", "b")
+    near = stash(pairs.mapInArrow(guess, "head long, node long, own long").distinct())
+    full = _chunks(near.join(texts, "node"), ["text"], 128)
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                sides = []
+                for c in "ab":
+                    values = batch.column(c)[r].values
+                    raw, starts, ends = utf8_column(values.field("text"))
+                    row, key, count = shingles(raw, starts, ends, width)
+                    cuts = np.searchsorted(row, np.arange(len(values) + 1))
+                    sides.append((values.field("node").to_numpy(), values.field("own").to_numpy(), [(key[x:y], count[x:y]) for x, y in zip(cuts[:-1], cuts[1:])]))
+                (node_a, own_a, a), (node_b, own_b, b) = sides
+                hit = (overlap_matrix(a, b) >= least - 1e-9) & (own_a[:, None] != own_b[None, :])
+                i, j = np.nonzero(hit)
+                if len(i):
+                    # the least component that each reaches within these blocks
+                    uid, back = np.unique(np.concatenate([own_a[i], own_b[j]]), return_inverse=True)
+                    u, v = back[: len(i)], back[len(i) :]
+                    root = np.arange(len(uid))
+                    while True:
+                        low = np.minimum(root[u], root[v])
+                        new = root.copy()
+                        np.minimum.at(new, u, low)
+                        np.minimum.at(new, v, low)
+                        if (new == root).all():
+                            break
+                        root = new
+                    yield pa.RecordBatch.from_arrays([pa.array(uid), pa.array(uid[root])], names=["u", "v"])
+
+    found = settle(_against(full).select("a", "b").mapInArrow(decide, "u long, v long").where("u != v").distinct())
+    unstash(family, blocks, near, full)
+    return found
+
+
+def near_duplicates(docs: DataFrame, least: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text", with_key: bool = False) -> DataFrame:
     """``id_col``, ``class_id`` (the least id of the row's class) and ``kept`` (whether the row's id is that) for every row.
 
     Two texts are linked if the multisets of their shingles of ``width`` words have a Jaccard similarity of at least ``least``; classes
@@ -201,13 +318,14 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, width: int = 5, id_col:
 
     Each node has 32 band hashes. Every bucket (nodes with a hash in common) has a leader, the member that has the most company in
     all its buckets, which is the original in a family of edited copies; members are verified against their leaders. Members whose
-    component then differs from their leader's are compared with every member of their bucket that is in another component and
-    whose signature doesn't rule it out. Thus a link between texts that share a bucket is never lost, and pairs inside a
-    component that is already joined are never made. All that grows with a bucket is summed before the shuffle or split by Spark's
-    skewed joins.
+    component then differs from their leader's are compared with all other members of the buckets that the leader's component
+    leads, in blocks, and what leaves a pair of blocks is at most a link for each member. Thus a link between texts that share a
+    bucket is never lost, and no list of a group's pairs is ever made. All that grows with a bucket is summed before the shuffle, cut
+    into blocks, or split by Spark's skewed joins.
 
     Rows whose text is null or has no word, each are a class of their own. Rows of one id are judged by their own texts. A class whose ids
-    are all null has a null id and is kept. An empty table gives an empty result; other columns are not read.
+    are all null has a null id and is kept. An empty table gives an empty result; other columns are not read. ``with_key`` adds
+    ``text_key``, the MD5 of the text (null without a word).
     """
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
@@ -227,41 +345,54 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, width: int = 5, id_col:
                     hashes = mix(hashes ^ mix(signature[:, k::ROWS] + np.uint64(k)))
                 bits = np.packbits((mix(signature) & np.uint64(1)).astype(bool), axis=1).view(">i8").astype(np.int64)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, n * bands + 1, bands, dtype=np.int32)), pa.array(hashes.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("key"), flat, *(pa.array(bits[:, i]) for i in range(2))], names=["id", "key", "bands", "b0", "b1"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("id"), part.column("key"), flat, *(pa.array(bits[:, i]) for i in range(2)), pa.array([r.tobytes() for r in mix(signature).astype(np.uint8)], pa.binary())],
+                    names=["id", "key", "bands", "b0", "b1", "short"],
+                )
 
-    every = settle(keyed.mapInArrow(sketch, f"id {id_type}, key string, bands array<long>, b0 long, b1 long"))
+    every = settle(keyed.mapInArrow(sketch, f"id {id_type}, key string, bands array<long>, b0 long, b1 long, short binary"))
     rows = every.where("key IS NOT NULL")
-    # equal texts have equal signatures
-    nodes = settle(rows.groupBy("key").agg(F.min("id").alias("least_id")))
-    entries = rows.dropDuplicates(["key"]).select("key", "b0", "b1", F.explode("bands").alias("band"))
-    crowds = settle(entries.groupBy("band").count().where("count > 1"))
-    shared = settle(entries.join(crowds, "band"))
-    found = shared.select("key").distinct().join(nodes, "key").select(F.col("key").alias("k"), "least_id")
-    texts = keyed.join(found, (F.col("key") == F.col("k")) & F.col("id").eqNullSafe(F.col("least_id"))).select("key", "text")
-    texts = settle(texts.dropDuplicates(["key"]))
-
-    company = shared.groupBy("key").agg(F.sum("count").alias("company"))
-    lead = F.max_by(F.struct(F.col("key").alias("leader"), F.col("b0").alias("l0"), F.col("b1").alias("l1")), F.struct("company", "key"))
-    leaders = settle(shared.join(company, "key").groupBy("band").agg(lead.alias("lead")).select("band", "lead.*"))
-    differ = lambda a, b: F.bit_count(F.col(a[0]).bitwiseXOR(F.col(b[0]))) + F.bit_count(F.col(a[1]).bitwiseXOR(F.col(b[1])))
-    close = differ(("b0", "b1"), ("l0", "l1")) <= MOST_BITS
-    led = shared.join(leaders, "band")
-    pairs = settle(led.where((F.col("key") != F.col("leader")) & close).select(F.greatest("key", "leader").alias("u"), F.least("key", "leader").alias("v")).distinct())
-    links = settle(_verified(pairs, texts, least, width))
+    # equal texts have equal signatures; once kept in the shared folder, a node's number stays what it is
+    nodes = rows.groupBy("key").agg(F.min("id").alias("least_id"), *(F.first(c).alias(c) for c in ("bands", "b0", "b1", "short")))
+    nodes = stash(nodes.withColumn("node", F.monotonically_increasing_id()))
+    entries = nodes.select("node", "b0", "b1", F.explode("bands").alias("band"))
+    crowds = stash(entries.groupBy("band").count().where("count > 1"))
+    shared = stash(entries.join(crowds, "band"))
+    found = shared.select("node").distinct().join(nodes, "node").select("node", F.col("key").alias("k"), "least_id")
+    texts = keyed.join(found, (F.col("key") == F.col("k")) & F.col("id").eqNullSafe(F.col("least_id"))).select("node", "text")
+    texts = stash(texts.dropDuplicates(["node"]))
+
+    company = shared.groupBy("node").agg(F.sum("count").alias("company"))
+    lead = F.max_by(F.struct(F.col("node").alias("leader"), F.col("b0").alias("l0"), F.col("b1").alias("l1")), F.struct("company", "node"))
+    leaders = stash(shared.join(company, "node").groupBy("band").agg(lead.alias("lead")).select("band", "lead.*"))
+    differ = F.bit_count(F.col("b0").bitwiseXOR(F.col("l0"))) + F.bit_count(F.col("b1").bitwiseXOR(F.col("l1")))
+    led = stash(shared.join(leaders, "band").where("node != leader").select("node", "leader", (differ <= MOST_BITS).alias("close")).distinct())
+    links = settle(_verified(led.where("close").select(F.col("node").alias("u"), F.col("leader").alias("v")), texts, least, width))
     first = settle(components(links))
 
-    # what the leaders left apart
+    # what the leaders left apart: a family is all nodes of the buckets that a component's members lead
     name = first.select(F.col("node").alias("n"), "component")
     part = lambda df, c, out: df.join(name, F.col(c) == F.col("n"), "left").withColumn(out, F.coalesce("component", F.col(c))).drop("n", "component")
-    led = settle(part(part(led, "key", "own"), "leader", "leading").select("band", "key", "b0", "b1", "own", "leading"))
-    apart = led.where("own != leading").select("band", F.col("key").alias("x"), F.col("b0").alias("l0"), F.col("b1").alias("l1"), F.col("own").alias("x_own"))
-    again = led.select("band", "key", "b0", "b1", "own").join(apart, "band").where((F.col("own") != F.col("x_own")) & close)
-    again = again.select(F.greatest("key", "x").alias("u"), F.least("key", "x").alias("v")).distinct().join(pairs, ["u", "v"], "left_anti")
-    more = settle(_verified(again, texts, least, width))
+    family = part(part(led, "node", "own"), "leader", "head").select("head", "node", "own").distinct()
+    family = stash(family.unionByName(part(led.select(F.col("leader").alias("node")).distinct(), "node", "own").select(F.col("own").alias("head"), "node", "own")).distinct())
+    more = _left_apart(family, nodes.select("node", "short"), texts, least, width)
     joined = components(links.unionByName(more))
 
-    named = nodes.join(joined, F.col("key") == F.col("node"), "left").select("key", "least_id", F.coalesce("component", "key").alias("component"))
+    named = nodes.select(F.col("node").alias("n"), "key", "least_id").join(joined, F.col("n") == F.col("node"), "left").select("key", "least_id", F.coalesce("component", "n").alias("component"))
     least_ids = named.groupBy("component").agg(F.min("least_id").alias("class_id"))
-    classes = named.join(least_ids, "component").select("key", "class_id")
-    answer = rows.select("id", "key").join(classes, "key").select(F.col("id").alias(id_col), "class_id", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
-    return answer.unionByName(every.where("key IS NULL").select(F.col("id").alias(id_col), F.col("id").alias("class_id"), F.lit(True).alias("kept")))
+    classes = settle(named.join(least_ids, "component").select("key", "class_id"))
+    unstash(crowds, shared, texts, leaders, led, family, nodes)
+    extra = [F.col("key").alias("text_key")] if with_key else []
+    answer = rows.select("id", "key").join(classes, "key").select(F.col("id").alias(id_col), "class_id", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"), *extra)
+    return answer.unionByName(every.where("key IS NULL").select(F.col("id").alias(id_col), F.col("id").alias("class_id"), F.lit(True).alias("kept"), *extra))
+
+
+def keep_one(docs: DataFrame, least: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each class of ``near_duplicates``: that of the least id, and of rows with that id and equal text one."""
+    found = near_duplicates(docs, least, width, id_col, text_col, with_key=True)
+    kept = settle(found.where("kept").select(F.col(id_col).alias("k_id"), F.col("text_key").alias("k_key")).distinct())
+    worded = F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    keyed = docs.withColumn("_key", F.when(worded, F.md5(text_col)))
+    same = keyed.join(kept, F.col(id_col).eqNullSafe(F.col("k_id")) & F.col("_key").eqNullSafe(F.col("k_key"))).select(*docs.columns, "_key")
+    wordless = same.where("_key IS NULL")
+    return same.where("_key IS NOT NULL").dropDuplicates([id_col, "_key"]).unionByName(wordless).select(*docs.columns)
