@@ -57,9 +57,15 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest_spans(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (op1_language_id, op2_packing, op3_url_filters, op4_suffix_dedup, op5_mixing, op6_html_extraction, op7_minhash_dedup, op8_grid_join, op9_nearest, op10_secret_scan)
-    return {f.__name__: f for f in found}
+    return {f.__name__: f for f in (*found, pipeline)}
 
 
 OP3_SQL = """
