@@ -17,8 +17,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Drops documents without a language (null text, or no letter); ``lang`` becomes what the text is judged to be."""
     net = langid.train(docs)
     others = tuple(c for c in docs.columns if c not in ("doc_id", "lang"))
-    judged = langid.predict(docs.withColumn("_text", F.col("text")), net, text_col="_text", keep=others)
-    return judged.where("lang_pred != 'und'").withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    judged = langid.predict(docs.withColumn("_judged_text", F.col("text")), net, text_col="_judged_text", keep=others, out=("_judged", "_judged_score"))
+    return judged.where("_judged != 'und'").withColumn("lang", F.col("_judged")).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -152,7 +152,8 @@ def search(vectors: DataFrame, is_query, k: int = 5, surety: float = 3.0, id_col
                 q = scale(np.frombuffer(get("q_packed"), dtype).astype(np.float64).reshape(-1, d))
                 words, scalars = np.frombuffer(get("words"), "<u8").reshape(len(x), -1), np.frombuffer(get("scalars")).reshape(len(x), 3)
                 ids, q_ids = get("ids"), get("q_ids")
-                number = np.array(ids)
+                place = np.empty(len(ids), np.int64)  # in the order of ids, null last
+                place[sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] if ids[i] is not None else 0))] = np.arange(len(ids))  # noqa: B023
                 guess, wide = estimate(q, centre, rot, words, scalars, surety)
                 if get("q_block") == get("block"):
                     at = np.frombuffer(get("q_at"), np.int32)
@@ -165,7 +166,7 @@ def search(vectors: DataFrame, is_query, k: int = 5, surety: float = 3.0, id_col
                 for i in range(len(q)):
                     near = np.flatnonzero(maybe[i])
                     score = x[near] @ q[i]
-                    best = np.lexsort((number[near], -score))[:k]
+                    best = np.lexsort((place[near], -score))[:k]
                     out += [(q_ids[i], get("q_block"), i_at(get("q_at"), i), ids[near[j]], float(score[j])) for j in best]
                 if out:
                     a, b, c, e, s = zip(*out)
@@ -175,5 +176,5 @@ def search(vectors: DataFrame, is_query, k: int = 5, surety: float = 3.0, id_col
         return int.from_bytes(data[4 * i : 4 * i + 4], "little")
 
     near = work.mapInArrow(compare, f"query_id {id_type}, q_block long, q_row int, vec_id {id_type}, score double")
-    order = Window.partitionBy("q_block", "q_row").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("q_block", "q_row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

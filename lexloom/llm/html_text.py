@@ -226,8 +226,9 @@ class Page:
             if total[i] and own[i] > 0:
                 total[i] += own[i]
         best = max(blocks, key=lambda i: total[i])
-        if not total[best]:
-            return [0]
+        named = max((i for i in blocks if self.tag[i] in ("article", "main")), key=lambda i: self.chars[i], default=0)
+        if best == 0 and self.chars[named] * 2 > self.chars[0] or not total[best]:  # the sum of a few words says little
+            return [named if self.chars[named] else 0]
         path = [best]
         while path[-1] > 0:
             path.append(self.parent[path[-1]])
@@ -273,7 +274,7 @@ def extract_text(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...]
 
     Null and empty pages have an empty text. Broken markup is read as browsers do: missing end tags are implied, stray ones
     ignored. The whole page is read at any length, without recursion. Repeated rows are each extracted; an empty table gives an empty
-    result; columns outside ``keep`` are not read, and may be named like the results.
+    result; columns outside ``keep`` are not read, so their names can't clash.
     """
     taken = pages.select(*(F.col(c).alias(f"_keep_{c}") for c in keep), F.col(html_col).alias("_html"))
     rest = taken.schema.fields[:-1]

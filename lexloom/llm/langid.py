@@ -153,8 +153,8 @@ def train(docs: DataFrame, per_label: int = 800, windows_each: int = 3, length:
     return ByteConvNet(labels, length).fit(np.array(rows), np.array(y)) if rows else None
 
 
-def predict(docs: DataFrame, net: ByteConvNet | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), unknown: str = "und") -> DataFrame:
-    """``lang_pred`` and ``score`` (the mean probability over all windows of the whole text) for each row.
+def predict(docs: DataFrame, net: ByteConvNet | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), unknown: str = "und", out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``lang_pred`` and ``score`` (or the names ``out``) (the mean probability over all windows of the whole text) for each row.
 
     ``unknown`` with score 0 for texts that are null, empty or have no letter, and for all if there was nothing to learn
     from. Repeated rows are each judged; an empty table gives an empty result. Columns outside ``id_col``, ``text_col`` and
@@ -188,4 +188,4 @@ def predict(docs: DataFrame, net: ByteConvNet | None, id_col: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(pred, pa.string()), pa.array(score)], names=names + ["lang_pred", "score"])
 
     found = taken.mapInArrow(run, schema)
-    return found.select(F.col("_id").alias(id_col), *(F.col(f"_keep_{c}").alias(c) for c in keep), "lang_pred", "score")
+    return found.select(F.col("_id").alias(id_col), *(F.col(f"_keep_{c}").alias(c) for c in keep), *(F.col(a).alias(b) for a, b in zip(("lang_pred", "score"), out)))

@@ -390,9 +390,9 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, width: int = 5, id_col:
 def keep_one(docs: DataFrame, least: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each class of ``near_duplicates``: that of the least id, and of rows with that id and equal text one."""
     found = near_duplicates(docs, least, width, id_col, text_col, with_key=True)
-    kept = settle(found.where("kept").select(F.col(id_col).alias("k_id"), F.col("text_key").alias("k_key")).distinct())
+    kept = settle(found.where("kept").select(F.col(id_col).alias("_dup_id"), F.col("text_key").alias("_dup_key")).distinct())
     worded = F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    keyed = docs.withColumn("_key", F.when(worded, F.md5(text_col)))
-    same = keyed.join(kept, F.col(id_col).eqNullSafe(F.col("k_id")) & F.col("_key").eqNullSafe(F.col("k_key"))).select(*docs.columns, "_key")
-    wordless = same.where("_key IS NULL")
-    return same.where("_key IS NOT NULL").dropDuplicates([id_col, "_key"]).unionByName(wordless).select(*docs.columns)
+    keyed = docs.withColumn("_dup_row_key", F.when(worded, F.md5(text_col)))
+    same = keyed.join(kept, F.col(id_col).eqNullSafe(F.col("_dup_id")) & F.col("_dup_row_key").eqNullSafe(F.col("_dup_key"))).select(*docs.columns, "_dup_row_key")
+    wordless = same.where("_dup_row_key IS NULL")
+    return same.where("_dup_row_key IS NOT NULL").dropDuplicates([id_col, "_dup_row_key"]).unionByName(wordless).select(*docs.columns)

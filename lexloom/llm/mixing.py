@@ -88,21 +88,21 @@ def apply_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int =
     Rows with equal id, source and text share evenly in what ``mix_sources`` takes of them, the words of the remainder going to each
     one's cut (so such a group may differ from its budget by less than its number of rows). The row at a source's cut has its first words, joined by single spaces; all others have their texts unchanged.
     """
-    keys = ["m_id", "m_source", "m_key"]
+    keys = ["_mix_id", "_mix_source", "_mix_key"]
     mixed = (
         mix_sources(docs, weights, cap, seed, id_col, text_col, source_col)
-        .select(F.col(id_col).alias("m_id"), F.col(source_col).alias("m_source"), F.col("text_key").alias("m_key"), "size", "taken")
-        .groupBy(*keys).agg(F.first("size").alias("m_size"), F.floor(F.avg("taken")).cast("long").alias("m_taken")).where("m_taken > 0")
+        .select(F.col(id_col).alias("_mix_id"), F.col(source_col).alias("_mix_source"), F.col("text_key").alias("_mix_key"), "size", "taken")
+        .groupBy(*keys).agg(F.first("size").alias("_mix_size"), F.floor(F.avg("taken")).cast("long").alias("_mix_taken")).where("_mix_taken > 0")
     )
     mixed = settle(mixed)
     names = [F.col(c) for c in docs.columns]
-    rows = docs.withColumn("_key", F.xxhash64(text_col)).join(
-        mixed, F.col(id_col).eqNullSafe(F.col("m_id")) & F.col(source_col).eqNullSafe(F.col("m_source")) & (F.col("_key") == F.col("m_key"))
+    rows = docs.withColumn("_mix_row_key", F.xxhash64(text_col)).join(
+        mixed, F.col(id_col).eqNullSafe(F.col("_mix_id")) & F.col(source_col).eqNullSafe(F.col("_mix_source")) & (F.col("_mix_row_key") == F.col("_mix_key"))
     )
-    times = F.sequence(F.lit(0), (F.ceil(F.col("m_taken") / F.col("m_size")) - 1).cast("int"))
-    words = F.slice(F.regexp_extract_all(F.col(text_col), F.lit(f"({WORD})"), F.lit(1)), F.lit(1), F.col("m_left").cast("int"))
+    times = F.sequence(F.lit(0), (F.ceil(F.col("_mix_taken") / F.col("_mix_size")) - 1).cast("int"))
+    words = F.slice(F.regexp_extract_all(F.col(text_col), F.lit(f"({WORD})"), F.lit(1)), F.lit(1), F.col("_mix_left").cast("int"))
     return (
-        rows.withColumn("m_nth", F.explode(times)).withColumn("m_left", F.col("m_taken") - F.col("m_nth") * F.col("m_size"))
-        .withColumn(text_col, F.when(F.col("m_left") >= F.col("m_size"), F.col(text_col)).otherwise(F.array_join(words, " ")))
+        rows.withColumn("_mix_nth", F.explode(times)).withColumn("_mix_left", F.col("_mix_taken") - F.col("_mix_nth") * F.col("_mix_size"))
+        .withColumn(text_col, F.when(F.col("_mix_left") >= F.col("_mix_size"), F.col(text_col)).otherwise(F.array_join(words, " ")))
         .select(*names)
     )

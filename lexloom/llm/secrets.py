@@ -181,8 +181,8 @@ def scan(batch_text: pa.Array, rules: tuple[Rule, ...]) -> list[list[tuple[int,
     return out
 
 
-def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per text with ``spans``: an array of (kind, start, end) in code points, end exclusive, by start, then the rules' order.
+def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), out: str = "spans") -> DataFrame:
+    """One row per text with ``spans`` (or the name ``out``): an array of (kind, start, end) in code points, end exclusive, by start, then the rules' order.
 
     Each Arrow batch is a segment of the index: its postings for the trigrams of the rules' queries are intersected, and the
     regex itself decides on the candidates, over the whole text. A rule without a mandatory trigram scans every text.
@@ -207,7 +207,7 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, id_col:
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in rest] + [spans], names=rest + ["spans"])
 
     found = taken.mapInArrow(run, schema)
-    return found.select(F.col("_id").alias(id_col), *(F.col(f"_keep_{c}").alias(c) for c in keep), "spans")
+    return found.select(F.col("_id").alias(id_col), *(F.col(f"_keep_{c}").alias(c) for c in keep), F.col("spans").alias(out))
 
 
 def digest_spans(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -223,17 +223,17 @@ def digest_spans(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def redact(docs: DataFrame, mark: str = "[secret]", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with every span that ``find_secrets`` reports replaced by ``mark``; overlapping spans get one mark. Other texts stay as they are."""
     others = tuple(c for c in docs.columns if c not in (id_col,))
-    found = find_secrets(docs, id_col=id_col, text_col=text_col, keep=others)
+    found = find_secrets(docs, id_col=id_col, text_col=text_col, keep=others, out="_secret_spans")
     # runs of overlapping spans, then the text between them
     step = lambda acc, s: F.when(
         (F.size(acc) > 0) & (F.element_at(acc, -1)["end"] > s["start"]),
         F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end")))),
     ).otherwise(F.concat(acc, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end")))))
-    runs = F.aggregate("spans", F.array().cast("array<struct<start:int,end:int>>"), step)
+    runs = F.aggregate("_secret_spans", F.array().cast("array<struct<start:int,end:int>>"), step)
     text = F.col(text_col)
     clean = F.aggregate(
-        "_runs", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
+        "_secret_runs", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
         lambda acc, r: F.struct(F.concat(acc["out"], F.substring(text, acc["at"] + 1, r["start"] - acc["at"]), F.lit(mark)).alias("out"), r["end"].alias("at")),
         lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
     )
-    return found.withColumn("_runs", runs).withColumn(text_col, F.when(F.size("_runs") > 0, clean).otherwise(text)).select(*docs.columns)
+    return found.withColumn("_secret_runs", runs).withColumn(text_col, F.when(F.size("_secret_runs") > 0, clean).otherwise(text)).select(*docs.columns)
