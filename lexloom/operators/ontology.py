@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import first_filled, local_name
 from ..plans.names import OWL, RDF, RDFS
+from ..session import ensure_checkpoint_dir
 
 
 def simple_signatures(graph: DataFrame) -> DataFrame:
@@ -16,28 +17,34 @@ def simple_signatures(graph: DataFrame) -> DataFrame:
     return properties.join(of(RDFS + "domain", "domain"), "property", "left").join(of(RDFS + "range", "range"), "property", "left").select("domain", "property", "range").distinct()
 
 
-def list_members(graph: DataFrame, depth: int = 64) -> DataFrame:
-    """``list``, ``member`` of every RDF list, by doubling the steps along rdf:rest; ``depth`` is the longest list expected."""
+def _grown(start: DataFrame, step, most: int = 64) -> DataFrame:
+    """``start`` united with ``step`` of it until nothing is new. Each round is kept by a checkpoint, so that plans stay short."""
+    ensure_checkpoint_dir(start.sparkSession)
+    found = start.distinct().checkpoint()
+    n = found.count()
+    for _ in range(most):
+        found = found.unionByName(step(found)).distinct().checkpoint()
+        if (now := found.count()) == n:
+            break
+        n = now
+    return found
+
+
+def list_members(graph: DataFrame) -> DataFrame:
+    """``list``, ``member`` of every RDF list: steps along rdf:rest are doubled until all are reached."""
     first = graph.where(F.col("p") == RDF + "first").select(F.col("s").alias("cell"), F.col("o").alias("member"))
-    reach = graph.where((F.col("p") == RDF + "rest") & (F.col("o") != RDF + "nil")).select(F.col("s").alias("a"), F.col("o").alias("b"))
-    step = 1
-    while step < depth:
-        hop = reach.select(F.col("a").alias("b"), F.col("b").alias("c"))
-        reach = reach.unionByName(reach.join(hop, "b").select("a", F.col("c").alias("b"))).distinct()
-        step *= 2
-    cells = first.select("cell").select(F.col("cell").alias("a"), F.col("cell").alias("b")).unionByName(reach)
+    rest = graph.where((F.col("p") == RDF + "rest") & (F.col("o") != RDF + "nil")).select(F.col("s").alias("a"), F.col("o").alias("b"))
+    reach = _grown(rest, lambda r: r.join(r.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b")))
+    cells = first.select(F.col("cell").alias("a"), F.col("cell").alias("b")).unionByName(reach)
     return cells.join(first, F.col("b") == F.col("cell")).select(F.col("a").alias("list"), "member").distinct()
 
 
-def class_sets(graph: DataFrame, nested: int = 4) -> DataFrame:
-    """``node``, ``cls``: named classes stand for themselves, unions for their members', ``nested`` deep."""
+def class_sets(graph: DataFrame) -> DataFrame:
+    """``node``, ``cls``: the named classes of each union, at any depth."""
     unions = graph.where(F.col("p") == OWL + "unionOf").select(F.col("s").alias("node"), F.col("o").alias("list"))
     member = unions.join(list_members(graph), "list").select("node", F.col("member").alias("cls"))
-    anonymous = unions.select(F.col("node").alias("u")).distinct()
-    for _ in range(nested):
-        inner = member.select(F.col("node").alias("cls"), F.col("cls").alias("c"))
-        member = member.unionByName(member.join(inner, "cls").select("node", F.col("c").alias("cls"))).distinct()
-    return member.join(anonymous, F.col("cls") == F.col("u"), "left_anti")
+    member = _grown(member, lambda m: m.join(m.select(F.col("node").alias("cls"), F.col("cls").alias("c")), "cls").select("node", F.col("c").alias("cls")))
+    return member.join(unions.select(F.col("node").alias("u")).distinct(), F.col("cls") == F.col("u"), "left_anti")
 
 
 def full_signatures(graph: DataFrame) -> DataFrame:

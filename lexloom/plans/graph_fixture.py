@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..schema import GRAPH
+from ..session import ensure_checkpoint_dir
 from . import fixture
 from .names import NAMES
 from .rml import construct, standard_maps
@@ -48,8 +52,19 @@ def triples(spark: SparkSession, sf_dir: str, *parts: str) -> DataFrame:
     return construct(sources(spark, sf_dir, parts), standard_maps(NAMES))
 
 
+_STORED: dict[tuple, str] = {}
+
+
 def graph(spark: SparkSession, sf_dir: str, *parts: str) -> Graph:
-    return Graph(triples(spark, sf_dir, *(parts or ("triplets",))), NAMES)
+    """The graph of the parts as a stored table by predicate, as queries would find it: it is built once for a session, in its shared folder."""
+    parts = parts or ("triplets",)
+    key = (spark.sparkContext.applicationId, sf_dir, parts)
+    if key not in _STORED:
+        ensure_checkpoint_dir(spark)
+        folder = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/graph-{uuid.uuid4().hex}"
+        triples(spark, sf_dir, *parts).write.partitionBy("p").parquet(folder)
+        _STORED[key] = folder
+    return Graph(spark.read.schema(GRAPH).parquet(_STORED[key]), NAMES)
 
 
 def slug_sql(x: str) -> str:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections import defaultdict
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
@@ -48,12 +50,22 @@ def literal(column: str, datatype: str | None = None) -> Term:
 
 @dataclass(frozen=True)
 class TriplesMap:
-    """For each row of ``source``: a subject, its classes, and the product of predicates and objects of each pair in ``pairs``."""
+    """For each row of ``source``: a subject, its classes, and the product of predicates and objects of each pair in ``pairs``.
+
+    ``keyed``: rows that differ have different subjects, which no other map has; then equal triples can only come from equal rows.
+    """
 
     source: str
     subject: Term
     classes: tuple[str, ...] = ()
     pairs: tuple[tuple[tuple[Term | str, ...], tuple[Term, ...]], ...] = field(default_factory=tuple)
+    keyed: bool = False
+
+    def references(self, columns: list[str]) -> list[str]:
+        """The columns that the map reads."""
+        terms = [self.subject, *(t for ps, os in self.pairs for t in (*ps, *os) if isinstance(t, Term))]
+        named = {t.reference for t in terms} | {n for t in terms for n in re.findall(r"\{([^{}]+)\}", t.template or "")}
+        return [c for c in columns if c in named]
 
     def triples(self, columns: list[str]) -> Column:
         """An array of triples (nulls where a term is empty) as a column."""
@@ -74,16 +86,26 @@ class TriplesMap:
 
 
 def construct(sources: dict[str, DataFrame], maps: list[TriplesMap]) -> DataFrame:
-    """The graph of all maps: each source is read once, all its maps' triples are made from a row at a time, and the set is kept."""
-    parts = []
-    for name, rows in sources.items():
-        own = [m.triples(rows.columns) for m in maps if m.source == name]
-        if own:
-            made = rows.select(F.explode(F.array_compact(F.concat(*own))).alias("t"))
-            parts.append(made.select("t.*"))
-    if not parts:
+    """The graph of all maps, a set of triples.
+
+    Maps that read the same columns of a source go over its distinct rows of those columns together, so an entity that is
+    named in many rows is expanded once; duplicates are looked for again only among the triples of maps that aren't keyed.
+    """
+    groups: dict[tuple, list[TriplesMap]] = defaultdict(list)
+    for m in maps:
+        if m.source in sources:
+            groups[m.source, tuple(m.references(sources[m.source].columns)), m.keyed].append(m)
+    parts: dict[bool, list[DataFrame]] = {True: [], False: []}
+    for (name, columns, keyed), own in groups.items():
+        rows = sources[name].select(*columns).distinct() if columns else sources[name].limit(1)
+        made = rows.select(F.explode(F.array_compact(F.concat(*(m.triples(list(columns)) for m in own)))).alias("t"))
+        parts[keyed].append(made.select("t.*"))
+    if not groups:
         raise ValueError("no map has a source")
-    return reduce(DataFrame.unionByName, parts).dropDuplicates().select(*GRAPH_COLUMNS)
+    united = [reduce(DataFrame.unionByName, parts[True])] if parts[True] else []
+    if parts[False]:
+        united.append(reduce(DataFrame.unionByName, parts[False]).dropDuplicates())
+    return reduce(DataFrame.unionByName, united).select(*GRAPH_COLUMNS)
 
 
 def pair(predicate: str, *objects: Term) -> tuple[tuple[str, ...], tuple[Term, ...]]:
@@ -106,16 +128,16 @@ def standard_maps(names: Names, article: str = "{article_uri}", run: str = "") -
         TriplesMap("documents", iri(article), (ELI + "LegalResourceSubdivision",), (pair(ELI + "is_part_of", iri("{document_uri}")), pair(ELI + "number", literal("number")), pair(ELI + "id_local", literal("id_local")))),
         TriplesMap("documents", iri(article), (), (pair(core + "hasContent", iri("{content_uri}")),)),
         TriplesMap("documents", iri("{content_uri}"), (CNT + "ContentAsText",), (pair(CNT + "chars", literal("content")),)),
-        TriplesMap("triplets", iri("{statement_uri}"), (core + "ExtractedRelation", RDF + "Statement"), statement),
+        TriplesMap("triplets", iri("{statement_uri}"), (core + "ExtractedRelation", RDF + "Statement"), statement, keyed=True),
     ]
     for role in ("head", "tail"):
         maps += [
             TriplesMap("triplets", iri(f"{{{role}_uri}}"), (SKOS + "Concept", PROV + "Entity"), (pair(RDF + "type", iri(f"{{{role}_type_uri}}")), pair(SKOS + "prefLabel", literal(f"{role}_label")), pair(SKOS + "altLabel", literal(f"{role}_alt")))),
         ]
     maps += [
-        TriplesMap("mentions", iri("{mention_uri}"), (OA + "Annotation",), (pair(OA + "hasBody", iri("{entity_uri}")), pair(OA + "hasTarget", Term(template="{target_id}", kind="bnode")))),
-        TriplesMap("mentions", Term(template="{target_id}", kind="bnode"), (OA + "SpecificResource",), (pair(OA + "hasSource", iri(article)), pair(OA + "hasSelector", Term(template="{selector_id}", kind="bnode")))),
-        TriplesMap("mentions", Term(template="{selector_id}", kind="bnode"), (OA + "TextPositionSelector",), (pair(OA + "start", literal("start", XSD + "integer")), pair(OA + "end", literal("end", XSD + "integer")))),
+        TriplesMap("mentions", iri("{mention_uri}"), (OA + "Annotation",), (pair(OA + "hasBody", iri("{entity_uri}")), pair(OA + "hasTarget", Term(template="{target_id}", kind="bnode"))), keyed=True),
+        TriplesMap("mentions", Term(template="{target_id}", kind="bnode"), (OA + "SpecificResource",), (pair(OA + "hasSource", iri(article)), pair(OA + "hasSelector", Term(template="{selector_id}", kind="bnode"))), keyed=True),
+        TriplesMap("mentions", Term(template="{selector_id}", kind="bnode"), (OA + "TextPositionSelector",), (pair(OA + "start", literal("start", XSD + "integer")), pair(OA + "end", literal("end", XSD + "integer"))), keyed=True),
         TriplesMap("topics", iri(article), (), (pair(DCTERMS + "subject", iri("{topic_uri}")),)),
         TriplesMap("topics", iri("{topic_uri}"), (SKOS + "Concept",), (pair(SKOS + "prefLabel", literal("topic_label")),)),
         TriplesMap("curation", iri("{decision_uri}"), (OA + "Annotation",), (pair(OA + "hasTarget", iri("{target_uri}")), pair(OA + "hasBody", iri("{status_uri}")), pair(PROV + "wasGeneratedBy", iri("{activity_uri}")))),

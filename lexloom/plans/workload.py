@@ -26,24 +26,19 @@ class Graph:
         return found.where(F.col(cls).isin(among)) if among is not None else found
 
     def statements(self, subject: str, predicate: str, obj: str, article: str | None = None, derived: bool = False) -> DataFrame:
-        """The reified statements; a row for each match of the pattern, in one grouping by statement.
+        """The reified statements; a row for each match of the pattern, so several values of a property multiply rows.
 
         With ``article``, a row for each primary source, and with ``derived`` for each source of either kind (a bag).
         """
-        wanted = {RDF + "subject": subject, RDF + "predicate": predicate, RDF + "object": obj}
-        sources = [PROV + "hadPrimarySource", *([PROV + "wasDerivedFrom"] if derived else [])] if article else []
-        p, o = F.col("p"), F.col("o")
-        is_statement = (p == RDF + "type") & (o == self.names.core + "ExtractedRelation")
-        rows = self.triples.where(p.isin(*wanted, *sources) | is_statement)
-        grouped = rows.groupBy(F.col("s").alias("statement")).agg(
-            F.max(is_statement).alias("_is"), *(F.collect_set(F.when(p == k, o)).alias(f"_{i}") for i, k in enumerate([*wanted, *sources]))
-        )
-        out = grouped.where("_is")
-        for i, name in enumerate(wanted.values()):
-            out = out.withColumn(name, F.explode(f"_{i}"))
+        rows = self.types("statement", "_k", [self.names.core + "ExtractedRelation"]).select("statement")
+        for name, end in ((subject, "subject"), (predicate, "predicate"), (obj, "object")):
+            rows = rows.join(self.links(RDF + end, "statement", name), "statement")
         if article:
-            out = out.withColumn(article, F.explode(F.concat(*(F.col(f"_{i}") for i in range(3, 3 + len(sources))))))
-        return out.select("statement", *wanted.values(), *([article] if article else []))
+            source = self.links(PROV + "hadPrimarySource", "statement", article)
+            if derived:
+                source = source.unionByName(self.links(PROV + "wasDerivedFrom", "statement", article))
+            rows = rows.join(source, "statement")
+        return rows
 
     def optional(self, rows: DataFrame, on: str, predicate: str, name: str) -> DataFrame:
         """A left join: rows multiply if there are several values."""

@@ -23,15 +23,28 @@ def sniff_delimiter(spark: SparkSession, path: str) -> str:
     return ";" if line.count(";") > line.count(",") else ","
 
 
+#: The characters that windows-1252 has where ISO 8859-1 has control codes.
+_C1 = {chr(b): bytes([b]).decode("cp1252", "ignore") for b in range(0x80, 0xA0)}
+
+
+def _from_c1(c):
+    own = {k: v for k, v in _C1.items() if v}
+    return F.translate(c, "".join(own), "".join(own.values()))
+
+
 def read_csv(spark: SparkSession, path: str | list[str], delimiter: str | None = ",", schema=None, most: int | None = None, encoding: str = "UTF-8") -> DataFrame:
     """A header, quoted line breaks, doubled quotes; all strings without ``schema``. ``delimiter`` None: by the first line. ``most``: row cap.
 
     A byte order mark and quotes around names are removed from the header. Empty cells are null.
     """
     one = path if isinstance(path, str) else path[0]
+    western = encoding.lower() in ("windows-1252", "cp1252")  # which Spark's readers don't know by name
+    encoding = "ISO-8859-1" if western else encoding
     reader = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("encoding", encoding).option("sep", delimiter or sniff_delimiter(spark, one))
     rows = (reader.schema(schema) if schema is not None else reader).csv(path)
     rows = rows.toDF(*(c.lstrip("﻿").strip().strip('"') for c in rows.columns))
+    if western:
+        rows = rows.select(*((_from_c1(F.col(f"`{c}`")) if t == "string" else F.col(f"`{c}`")).alias(c) for c, t in rows.dtypes))
     return rows.limit(most) if most is not None else rows
 
 

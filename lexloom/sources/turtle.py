@@ -164,7 +164,7 @@ def parse_turtle(text: str, scope: str = "") -> list[tuple]:
 
 def read_turtle(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """The union of the files' graphs. A file is parsed in one task, files in parallel; prefixes and blank nodes are a file's own."""
-    files = spark.read.option("wholetext", True).text(paths).select(F.substring(F.md5(F.input_file_name()), 1, 8).alias("scope"), "value")
+    files = spark.read.text(paths, wholetext=True).select(F.substring(F.md5(F.input_file_name()), 1, 8).alias("scope"), "value")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:

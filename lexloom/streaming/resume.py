@@ -23,6 +23,8 @@ def extract_stream(articles: DataFrame, step: Callable[[DataFrame], DataFrame],
 
 def window_counts(events: DataFrame, ts: str, kind: str, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Counts by window and kind; on a stream, windows close once the watermark has passed."""
+    if events.isStreaming:  # watermarks need a time zone
+        events = events.withColumn(ts, F.col(ts).cast("timestamp"))
     return events.withWatermark(ts, late).groupBy(F.window(ts, width).alias("w"), kind).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("window_start"), kind, "n")
 
 
