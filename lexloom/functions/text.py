@@ -63,12 +63,14 @@ def _latin_table() -> tuple[str, str, dict[str, str]]:
 def fold_latin(c: Column) -> Column:
     """``fold_text`` without Python, for texts in Latin letters and general punctuation; other characters vanish likewise."""
     source, target, several = _latin_table()
-    c = F.translate(c, "'’ʼ`´", "     ")
+    words = lambda x: F.trim(F.regexp_replace(F.lower(x), "[^0-9a-z]+", " "))
+    plain_text = F.octet_length(c) == F.length(c)  # ASCII alone needs no table
+    given, c = c, F.translate(c, "'’ʼ`´", "     ")
     for letter, plain in several.items():
         if "ﬀ" <= letter <= "ﬆ" or letter in "Ĳĳ½¼¾…":
             c = F.replace(c, F.lit(letter), F.lit(plain))
     c = F.regexp_replace(F.translate(c, source, target), r"[^\x00-\x7F]", "")
-    return F.trim(F.regexp_replace(F.lower(c), "[^0-9a-z]+", " "))
+    return F.when(plain_text, words(given)).otherwise(words(c))
 
 
 def slug(c: Column, longest: int | None = None, default: str = "unnamed", folded: bool = False) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,16 +56,21 @@ def triples(spark: SparkSession, sf_dir: str, *parts: str) -> DataFrame:
 _STORED: dict[tuple, str] = {}
 
 
-def graph(spark: SparkSession, sf_dir: str, *parts: str) -> Graph:
-    """The graph of the parts as a stored table by predicate, as queries would find it: it is built once for a session, in its shared folder."""
-    parts = parts or ("triplets",)
-    key = (spark.sparkContext.applicationId, sf_dir, parts)
+def _stored(spark: SparkSession, sf_dir: str, part: str) -> DataFrame:
+    key = (spark.sparkContext.applicationId, sf_dir, part)
     if key not in _STORED:
         ensure_checkpoint_dir(spark)
         folder = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/graph-{uuid.uuid4().hex}"
-        triples(spark, sf_dir, *parts).write.partitionBy("p").parquet(folder)
+        triples(spark, sf_dir, part).write.partitionBy("p").parquet(folder)
         _STORED[key] = folder
-    return Graph(spark.read.schema(GRAPH).parquet(_STORED[key]), NAMES)
+    return spark.read.schema(GRAPH).parquet(_STORED[key])
+
+
+def graph(spark: SparkSession, sf_dir: str, *parts: str) -> Graph:
+    """The graph of the parts, which share no triple, as stored tables by predicate, as queries would find it: a part is built
+    once for a session, in its shared folder."""
+    stored = [_stored(spark, sf_dir, p) for p in parts or ("triplets",)]
+    return Graph(reduce(DataFrame.unionByName, stored), NAMES)
 
 
 def slug_sql(x: str) -> str:
