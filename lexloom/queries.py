@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import spans, text, values
@@ -12,7 +12,7 @@ from .operators import analytics, compliance, corpus, curation, filters, fusion,
 from .plans import fixture, graph_fixture, workload
 from .plans.fixture import table, triplets
 from .plans.graph_fixture import CORE, DOMAIN, RES, entity_sql, graph
-from .plans.names import DCTERMS, ELI, NAMES, OA, PROV, RDF, SKOS
+from .plans.names import NAMES, PROV, RDF, SKOS
 from .streaming import resume
 
 Query = Callable[[SparkSession, str], DataFrame]
