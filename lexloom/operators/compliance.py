@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import local_name
 from ..functions.values import ratio
+from .joins import maybe_broadcast
 from .reshape import class_hints
 
 NONE, UNKNOWN, FORBIDDEN, UNTYPED = "none", "component_not_in_ontology", "domain_range_signature_not_allowed", "resource_type_missing_in_kg"
@@ -15,7 +16,7 @@ NONE, UNKNOWN, FORBIDDEN, UNTYPED = "none", "component_not_in_ontology", "domain
 def normalise(df: DataFrame, column: str, terms: DataFrame, prefixes: dict[str, str] | None = None) -> DataFrame:
     """``column`` as an IRI if its local name stands for exactly one term; ``terms``: iri."""
     one = terms.select("iri").distinct().groupBy(local_name(F.col("iri")).alias("_name")).agg(F.collect_set("iri").alias("_iris")).where("size(_iris) = 1")
-    out = df.join(F.broadcast(one), F.col(column) == F.col("_name"), "left")
+    out = df.join(maybe_broadcast(one), F.col(column) == F.col("_name"), "left")
     return out.withColumn(column, F.coalesce(F.col("_iris")[0], F.col(column))).drop("_name", "_iris")
 
 
@@ -27,15 +28,15 @@ def check_triples(triples: DataFrame, signatures: DataFrame) -> DataFrame:
     name = lambda c: local_name(F.coalesce(F.col(c), F.lit("")))
     full = signatures.select("domain", "property", "range").distinct()
     local = full.select(*(local_name(F.col(c)).alias(f"_{c}") for c in full.columns)).distinct()
-    classes = F.broadcast(local.select(F.col("_domain").alias("_c")).union(local.select("_range")).where("_c IS NOT NULL").distinct())
-    properties = F.broadcast(local.select(F.col("_property").alias("_p")).distinct())
+    classes = maybe_broadcast(local.select(F.col("_domain").alias("_c")).union(local.select("_range")).where("_c IS NOT NULL").distinct())
+    properties = maybe_broadcast(local.select(F.col("_property").alias("_p")).distinct())
     out = triples.withColumns({"_h": name("head_type"), "_r": name("relation"), "_t": name("tail_type")})
     for flag, key, table, column in (("head_type_exists", "_h", classes, "_c"), ("relation_exists", "_r", properties, "_p"), ("tail_type_exists", "_t", classes, "_c")):
         own = table.select(F.col(column).alias(f"_{flag}"))
         out = out.join(own, F.col(key) == F.col(f"_{flag}"), "left").withColumn(flag, F.col(f"_{flag}").isNotNull()).drop(f"_{flag}")
-    pairs = F.broadcast(local.withColumn("_hit", F.lit(True)))
+    pairs = maybe_broadcast(local.withColumn("_hit", F.lit(True)))
     out = out.join(pairs, (F.col("_h") == F.col("_domain")) & (F.col("_r") == F.col("_property")) & (F.col("_t") == F.col("_range")), "left").drop("_domain", "_property", "_range")
-    whole = F.broadcast(full.select(F.col("domain").alias("_a"), F.col("property").alias("_b"), F.col("range").alias("_d"), F.lit(True).alias("_full")))
+    whole = maybe_broadcast(full.select(F.col("domain").alias("_a"), F.col("property").alias("_b"), F.col("range").alias("_d"), F.lit(True).alias("_full")))
     out = out.join(whole, (F.col("head_type") == F.col("_a")) & (F.col("relation") == F.col("_b")) & (F.col("tail_type") == F.col("_d")), "left").drop("_a", "_b", "_d")
     match = F.coalesce("_full", "_hit", F.lit(False))
     known = F.col("head_type_exists") & F.col("relation_exists") & F.col("tail_type_exists")
@@ -71,15 +72,15 @@ def check_graph(assertions: DataFrame, types: DataFrame, signatures: DataFrame,
     ontology lacks is a candidate if it is of a known namespace and both ends are typed; other such assertions are left out.
     """
     declared = signatures.select(F.col("domain").alias("c")).union(signatures.select("range")).where("c IS NOT NULL").distinct()
-    known = types.join(F.broadcast(declared), F.col("cls") == F.col("c"), "left_semi")
+    known = types.join(maybe_broadcast(declared), F.col("cls") == F.col("c"), "left_semi")
     properties = signatures.select(F.col("property").alias("_p")).distinct()
     of = lambda side: known.groupBy(F.col("node").alias(f"{side}_node")).agg(F.sort_array(F.collect_set("cls")).alias(f"{side}_types"))
     a, b = of("s"), of("o")
     rows = assertions.join(a, F.col("s") == F.col("s_node"), "left").join(b, F.col("o") == F.col("o_node"), "left").drop("s_node", "o_node")
-    rows = rows.join(F.broadcast(properties), F.col("p") == F.col("_p"), "left").withColumn("known", F.col("_p").isNotNull()).drop("_p")
+    rows = rows.join(maybe_broadcast(properties), F.col("p") == F.col("_p"), "left").withColumn("known", F.col("_p").isNotNull()).drop("_p")
     pairs = rows.select("stmt", "s", "p", "o", F.explode("s_types").alias("h"), "o_types").select("stmt", "s", "p", "o", "h", F.explode("o_types").alias("t"))
-    full = F.broadcast(signatures.select(F.col("domain").alias("_d"), F.col("property").alias("_q"), F.col("range").alias("_r"), F.lit(0).alias("rank")).distinct())
-    local = F.broadcast(signatures.select(*(local_name(F.col(c)).alias(k) for c, k in (("domain", "_d"), ("property", "_q"), ("range", "_r"))), F.lit(1).alias("rank")).distinct())
+    full = maybe_broadcast(signatures.select(F.col("domain").alias("_d"), F.col("property").alias("_q"), F.col("range").alias("_r"), F.lit(0).alias("rank")).distinct())
+    local = maybe_broadcast(signatures.select(*(local_name(F.col(c)).alias(k) for c, k in (("domain", "_d"), ("property", "_q"), ("range", "_r"))), F.lit(1).alias("rank")).distinct())
     hit = pairs.join(full, (F.col("h") == F.col("_d")) & (F.col("p") == F.col("_q")) & (F.col("t") == F.col("_r")))
     soft = pairs.join(local, (local_name(F.col("h")) == F.col("_d")) & (local_name(F.col("p")) == F.col("_q")) & (local_name(F.col("t")) == F.col("_r")))
     keys = ["stmt", "s", "p", "o"]

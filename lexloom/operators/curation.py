@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import first_filled, local_name, squeeze, swap_class_name
+from .joins import maybe_broadcast
 from .reshape import class_hints
 
 VERIFIED, REJECTED = "verified", "not_verified"
@@ -37,7 +38,7 @@ def curate(statements: DataFrame, types: DataFrame, annotations: DataFrame) -> D
     """
     pairs = statements.join(types.select(F.col("node").alias("_s"), F.col("cls").alias("domain")), F.col("s") == F.col("_s")).join(types.select(F.col("node").alias("_o"), F.col("cls").alias("range")), F.col("o") == F.col("_o"))
     small = annotations.select(F.col("predicate").alias("_p"), F.col("domain").alias("_d"), F.col("range").alias("_r"), "annotation", "curated")
-    hit = pairs.join(F.broadcast(small), (F.col("p") == F.col("_p")) & (F.col("domain") == F.col("_d")) & (F.col("range") == F.col("_r")))
+    hit = pairs.join(maybe_broadcast(small), (F.col("p") == F.col("_p")) & (F.col("domain") == F.col("_d")) & (F.col("range") == F.col("_r")))
     first = hit.withColumn("_n", F.row_number().over(Window.partitionBy("stmt").orderBy("domain", "range", "annotation"))).where("_n = 1")
     return first.select(
         "stmt", "domain", "range", F.col("p").alias("predicate"), "annotation", F.when(F.col("annotation") >= 0, VERIFIED).otherwise(REJECTED).alias("status"),

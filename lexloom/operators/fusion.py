@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import fold_latin, local_name
 from .filters import clusterable
-from .joins import apply_map
+from .joins import apply_map, maybe_broadcast
 
 
 def preference(count: Column, label: Column, *before: Column) -> Column:
@@ -97,7 +97,7 @@ def ontology_rank(df: DataFrame, signatures: DataFrame, properties: DataFrame, h
     name = lambda c: local_name(F.col(c))
     s = signatures.select(F.col("domain").alias("_d"), F.col("property").alias("_p"), F.col("range").alias("_r")).distinct()
     p = properties.select(F.col("property").alias("_q")).distinct()
-    out = df.join(F.broadcast(s), (name(head_type) == F.col("_d")) & (name(label) == F.col("_p")) & (name(tail_type) == F.col("_r")), "left").join(F.broadcast(p), name(label) == F.col("_q"), "left")
+    out = df.join(maybe_broadcast(s), (name(head_type) == F.col("_d")) & (name(label) == F.col("_p")) & (name(tail_type) == F.col("_r")), "left").join(maybe_broadcast(p), name(label) == F.col("_q"), "left")
     return out.withColumn("rank", F.when(F.col("_d").isNotNull(), 2).when(F.col("_q").isNotNull(), 1).otherwise(0)).drop("_d", "_p", "_r", "_q")
 
 

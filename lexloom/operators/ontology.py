@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import first_filled, local_name
 from ..plans.names import OWL, RDF, RDFS
 from ..session import ensure_checkpoint_dir
+from .joins import maybe_broadcast
 
 
 def simple_signatures(graph: DataFrame) -> DataFrame:
@@ -86,7 +87,7 @@ def repeated_expressions(graph: DataFrame) -> DataFrame:
 def reuse_terms(names: DataFrame, column: str, terms: DataFrame, namespace: str) -> DataFrame:
     """``iri`` of an existing term of that local name, else one in ``namespace``."""
     known = terms.groupBy(local_name(F.col("iri")).alias("_n")).agg(F.min("iri").alias("_iri"))
-    out = names.join(F.broadcast(known), local_name(F.col(column)) == F.col("_n"), "left")
+    out = names.join(maybe_broadcast(known), local_name(F.col(column)) == F.col("_n"), "left")
     return out.withColumn("iri", F.coalesce("_iri", F.concat(F.lit(namespace), local_name(F.col(column))))).drop("_n", "_iri")
 
 
