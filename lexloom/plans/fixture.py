@@ -24,11 +24,11 @@ def _mapped(column, cases: dict[str, str], default: str):
 
 
 def triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A triple for each line item: stmt, article, head, head_type, relation, tail, tail_type, topic, provider."""
+    """A triple for each line item (with its quantity its key is unique at every size): stmt, article, head, head_type, relation, tail, tail_type, topic, provider."""
     line, orders, customer, part = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer", "part"))
     joined = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customer, F.col("o_custkey") == F.col("c_custkey")).join(part, F.col("l_partkey") == F.col("p_partkey"))
     return joined.select(
-        F.concat_ws("-", F.lit("l"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("stmt"),
+        F.concat_ws("-", F.lit("l"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("long")).alias("stmt"),
         F.concat(F.lit("o-"), F.col("o_orderkey").cast("string")).alias("article"),
         F.col("c_name").alias("head"),
         _mapped(F.col("c_mktsegment"), HEAD_TYPES, "Condition").alias("head_type"),
@@ -46,7 +46,7 @@ def _case(column: str, cases: dict[str, str], default: str) -> str:
 
 #: The view as a common table expression named t.
 SQL = f"""t AS (
-  SELECT 'l-' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS stmt, 'o-' || o_orderkey AS article, c_name AS head,
+  SELECT 'l-' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || l_quantity::BIGINT AS stmt, 'o-' || o_orderkey AS article, c_name AS head,
     {_case("c_mktsegment", HEAD_TYPES, "Condition")} AS head_type, {_case("l_returnflag || l_linestatus", RELATIONS, "hasTime")} AS relation,
     p_name || ' ' || p_brand AS tail, {_case("split_part(p_type, ' ', 1)", TAIL_TYPES, "Actor")} AS tail_type,
     {_case("o_orderpriority", TOPICS, "anotherLegalActivity")} AS topic, l_suppkey % 2 AS provider
