@@ -22,7 +22,3 @@ def utf8_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if column.null_count:
         ends = np.where(column.is_valid().to_numpy(zero_copy_only=False), ends, starts)
     return raw, starts, ends
-
-
-def batch_of(schema: pa.Schema, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type, from_pandas=False) for f in schema], schema=schema)
