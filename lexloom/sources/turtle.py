@@ -206,6 +206,50 @@ def turtle(graph: DataFrame) -> DataFrame:
     return lines.groupBy("s").agg(F.array_join(F.sort_array(F.collect_list("po")), " ;\n    ").alias("po")).select(F.concat("s", F.lit(" "), "po", F.lit(" .")).alias("value"))
 
 
+def jsonld(graph: DataFrame) -> DataFrame:
+    """One column ``value``: an expanded JSON-LD object for each subject, a line each."""
+    node = lambda c, kind: F.when(kind == "bnode", F.concat(F.lit("_:"), c)).otherwise(c)
+    literal = F.to_json(F.struct(F.col("o").alias("@value"), F.col("o_datatype").alias("@type"), F.col("o_lang").alias("@language")))  # nulls are left out
+    value = F.when(F.col("o_kind") == "literal", literal).otherwise(F.to_json(F.struct(node(F.col("o"), F.col("o_kind")).alias("@id"))))
+    quoted = lambda c: F.regexp_extract(F.to_json(F.struct(c.alias("k"))), r'(?s)^\{"k":(.*)\}$', 1)
+    by_property = graph.groupBy(node(F.col("s"), F.col("s_kind")).alias("s"), "p").agg(F.array_join(F.sort_array(F.collect_list(value)), ",").alias("v"))
+    part = F.concat(quoted(F.col("p")), F.lit(":["), "v", F.lit("]"))
+    parts = by_property.groupBy("s").agg(F.array_join(F.sort_array(F.collect_list(part)), ",").alias("v"))
+    return parts.select(F.concat(F.lit('{"@id":'), quoted(F.col("s")), F.lit(","), "v", F.lit("}")).alias("value"))
+
+
+def rdf_xml(graph: DataFrame) -> DataFrame:
+    """One column ``value``: an RDF/XML document in each partition that has rows, an element for each subject."""
+
+    def escaped(c):
+        for plain, code in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+            c = F.replace(c, F.lit(plain), F.lit(code))
+        return c
+
+    space, name = F.regexp_extract("p", r"^(.*?)([A-Za-z_][\w.-]*)$", 1), F.regexp_extract("p", r"^(.*?)([A-Za-z_][\w.-]*)$", 2)
+    start = F.concat(F.lit("<x:"), name, F.lit(' xmlns:x="'), escaped(space), F.lit('"'))
+    about = F.when(F.col("o_lang").isNotNull(), F.concat(F.lit(' xml:lang="'), "o_lang", F.lit('"'))).when(F.col("o_datatype").isNotNull(), F.concat(F.lit(' rdf:datatype="'), escaped(F.col("o_datatype")), F.lit('"'))).otherwise("")
+    literal = F.concat(start, about, F.lit(">"), escaped(F.col("o")), F.lit("</x:"), name, F.lit(">"))
+    link = F.concat(start, F.when(F.col("o_kind") == "bnode", F.lit(' rdf:nodeID="')).otherwise(F.lit(' rdf:resource="')), escaped(F.col("o")), F.lit('"/>'))
+    element = F.when(F.col("o_kind") == "literal", literal).otherwise(link)
+    grouped = graph.groupBy("s", "s_kind").agg(F.array_join(F.sort_array(F.collect_list(element)), "").alias("e"))
+    key = F.when(F.col("s_kind") == "bnode", F.lit("rdf:nodeID")).otherwise(F.lit("rdf:about"))
+    rows = grouped.select(F.concat(F.lit("<rdf:Description "), key, F.lit('="'), escaped(F.col("s")), F.lit('">'), "e", F.lit("</rdf:Description>")).alias("value"))
+    head = f'<?xml version="1.0" encoding="UTF-8"?><rdf:RDF xmlns:rdf="{RDF}">'
+
+    def wrap(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        begun = False
+        for part in parts:
+            if len(part) and not begun:
+                begun = True
+                yield pd.DataFrame({"value": [head]})
+            yield part
+        if begun:
+            yield pd.DataFrame({"value": ["</rdf:RDF>"]})
+
+    return rows.mapInPandas(wrap, "value string")
+
+
 def write_graph(graph: DataFrame, path: str, form: str = "nt", mode: str = "errorifexists") -> None:
-    """``nt`` or ``turtle``, in as many files as the graph has partitions; ``append`` adds a layer to a graph."""
-    {"nt": ntriples, "turtle": turtle}[form](graph).write.mode(mode).text(path)
+    """``nt``, ``turtle``, ``json-ld`` (an object a line) or ``xml`` (a document a file), in as many files as the graph has partitions; ``append`` adds a layer to a graph."""
+    {"nt": ntriples, "turtle": turtle, "json-ld": jsonld, "xml": rdf_xml}[form](graph).write.mode(mode).text(path)

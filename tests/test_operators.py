@@ -1,5 +1,6 @@
 import json
 import sys
+from xml.etree import ElementTree
 
 import numpy as np
 import pytest
@@ -107,6 +108,14 @@ def test_turtle_round_trips(spark, tmp_path):
         assert ground(again) == ground(g) and again.count() == g.count()
     turtle.write_graph(g.limit(2), str(tmp_path / "nt"), mode="append")
     assert turtle.read_ntriples(spark, str(tmp_path / "nt")).count() == g.count()
+    for form in ("json-ld", "xml"):
+        turtle.write_graph(g, str(tmp_path / form), form)
+    objects = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "json-ld")).collect()]
+    assert sum(len(v) for o in objects for k, v in o.items() if k != "@id") == g.count()
+    q = next(o for o in objects if o["@id"] == "http://e/q")
+    assert {"@value": 'qé "x"', "@language": "fr"} in q["http://www.w3.org/2000/01/rdf-schema#label"]
+    trees = [ElementTree.fromstring(x.read_text()) for x in (tmp_path / "xml").glob("part-*") if x.stat().st_size]
+    assert sum(len(d) for t in trees for d in t) == g.count()
     writers.write_partitioned(g, str(tmp_path / "parts"))
     assert spark.read.parquet(str(tmp_path / "parts")).where("predicate = 'label'").count() == 7
     with pytest.raises(ValueError):
