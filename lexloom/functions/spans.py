@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import math
 import re
 import unicodedata
 
@@ -46,11 +47,51 @@ def _folded(text: str) -> tuple[str, list[int]]:
     return "".join(out), places
 
 
+class _Kept:
+    """A function's last results by argument, all dropped at ``most``; unlike lru_cache's it can be pickled by value."""
+
+    def __init__(self, function, most: int):
+        self.function, self.most, self.results = function, most, {}
+
+    def __getstate__(self):
+        return {"function": self.function, "most": self.most, "results": {}}
+
+    def __call__(self, *key):
+        if key not in self.results:
+            if len(self.results) >= self.most:
+                self.results.clear()
+            self.results[key] = self.function(*key)
+        return self.results[key]
+
+
+# many mentions are sought in one text, and one mention in many texts; one text at a time is kept, for it can be long
+_folded_text, _folded_mention = _Kept(_folded, 1), _Kept(_folded, 1024)
+_NEAR_ASCII = str.maketrans("\u0130\u0131\u017f\u212a", "iisk")  # what matches an ASCII letter in any case
+
+
+def _lowered_of(text: str) -> str:
+    return text.translate(_NEAR_ASCII).lower()
+
+
+_lowered = _Kept(_lowered_of, 1)
+
+
+def _runs_of(mention: str) -> list[str]:
+    """The mention's ASCII letters and digits in runs, longest first: a text has them all, or no pattern of ``tolerant`` matches."""
+    return sorted(set(re.findall("[a-z0-9]+", _lowered_of(mention))), key=len, reverse=True)
+
+
+_runs = _Kept(_runs_of, 1024)
+
+
 def tolerant(mention: str, text: str) -> list[tuple[int, int]]:
     """Exact, then in any case, then between word boundaries without the mention's outer punctuation and with any white space."""
     at = text.find(mention)
     if at >= 0:
         return [(at, at + len(mention))]
+    low = _lowered(text)
+    if not all(run in low for run in _runs(mention)):
+        return []
     m = re.search(re.escape(mention), text, re.I)
     if not m:
         core = [re.escape(w) for w in re.sub(r"^\W+|\W+$", "", mention).split()]
@@ -60,12 +101,15 @@ def tolerant(mention: str, text: str) -> list[tuple[int, int]]:
 
 def approximate(mention: str, text: str) -> list[tuple[int, int]]:
     """The folded mention in the folded text, else the longest block that both share, if it has FUZZY_SHARE of the mention."""
-    (short, _), (long_, places) = _folded(mention), _folded(text)
+    (short, _), (long_, places) = _folded_mention(mention), _folded_text(text)
     short = short.strip()
     if not short:
         return []
     at, size = long_.find(short), len(short)
     if at < 0:
+        least = math.ceil(FUZZY_SHARE * size)
+        if short[size - least : least] not in long_:  # FUZZY_SHARE is over a half, so each block of that share has the mention's middle
+            return []
         block = difflib.SequenceMatcher(None, short, long_, autojunk=False).find_longest_match(0, len(short), 0, len(long_))
         at, size = block.b, block.size
         while size and long_[at] == " ":
@@ -77,20 +121,50 @@ def approximate(mention: str, text: str) -> list[tuple[int, int]]:
     return [(places[at], places[at + size - 1] + 1)]
 
 
+def _text_words_of(text: str) -> tuple[list[tuple[str, tuple[int, int]]], frozenset[str]]:
+    """The folded words with their places, and the set of them."""
+    words = [(_folded(m[0])[0].strip(), m.span()) for m in re.finditer(r"\w+", text)]
+    return words, frozenset(w for w, _ in words)
+
+
+_text_words = _Kept(_text_words_of, 1)
+
+
+def _wanted_of(mention: str) -> list[str]:
+    return [w for w in (_folded(m[0])[0].strip() for m in re.finditer(r"\w+", mention)) if w]
+
+
+_wanted = _Kept(_wanted_of, 1024)
+
+
+def _ratio_of(word: str, near: str) -> float:
+    return difflib.SequenceMatcher(None, word, near).ratio()
+
+
+_ratio = _Kept(_ratio_of, 1 << 16)
+
+
+def _alike(word: str, near: str) -> bool:
+    """Equal, or long and of WORD_RATIO; no ratio exceeds what the two lengths allow."""
+    if near == word:
+        return True
+    a, b = len(word), len(near)
+    return a >= LONG_WORD and b >= LONG_WORD and 2.0 * min(a, b) / (a + b) >= WORD_RATIO and _ratio(word, near) >= WORD_RATIO
+
+
 def discontinuous(mention: str, text: str) -> list[tuple[int, int]]:
     """The mention's words in order, each at its next place in the text; neighbouring words are one span."""
-    words = [(_folded(m[0])[0].strip(), m.span()) for m in re.finditer(r"\w+", text)]
-    wanted = [w for w in (_folded(m[0])[0].strip() for m in re.finditer(r"\w+", mention)) if w]
+    (words, known), wanted = _text_words(text), _wanted(mention)
+    if any(len(w) < LONG_WORD and w not in known for w in wanted):
+        return []
     hits, at = [], 0
     for word in wanted:
-        for k in range(at, len(words)):
-            near = words[k][0]
-            alike = near == word or len(word) >= LONG_WORD and len(near) >= LONG_WORD and difflib.SequenceMatcher(None, word, near).ratio() >= WORD_RATIO
-            if alike:
-                hits.append(k)
-                at = k + 1
-                break
-    if not hits or len(hits) < max(1, len(wanted)):
+        k = next((k for k in range(at, len(words)) if _alike(word, words[k][0])), None)
+        if k is None:
+            return []
+        hits.append(k)
+        at = k + 1
+    if not hits:
         return []
     spans: list[list[int]] = []
     for k, last in zip(hits, [None, *hits[:-1]]):
