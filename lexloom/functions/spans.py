@@ -211,13 +211,23 @@ def _rows(found) -> list[dict]:
     return [{"start": a, "end": b} for a, b in found]
 
 
-@F.pandas_udf(T.StructType([T.StructField("mode", T.StringType()), T.StructField("spans", SPANS)]))
+GROUNDED = T.StructType([T.StructField("mode", T.StringType()), T.StructField("spans", SPANS)])
+
+
+@F.pandas_udf(GROUNDED)
 def ground(mentions: pd.Series, texts: pd.Series) -> pd.DataFrame:
     """``ground_text`` in Arrow batches."""
     found = [ground_text(m, t) for m, t in zip(mentions, texts)]
     return pd.DataFrame({"mode": [m for m, _ in found], "spans": [_rows(s) for _, s in found]})
 
 
+@F.pandas_udf(T.ArrayType(GROUNDED))
+def ground_all(mentions: pd.Series, texts: pd.Series) -> pd.Series:
+    """``ground_text`` of each of several mentions in a text, in their order."""
+    found = lambda ms, t: [{"mode": m, "spans": _rows(s)} for m, s in (ground_text(x, t) for x in ms)]
+    return pd.Series([found(ms, t) for ms, t in zip(mentions, texts)])
+
+
 @F.pandas_udf(SPANS)
 def ground_loose(mentions: pd.Series, texts: pd.Series) -> pd.Series:
     return pd.Series([_rows(ground_with_determiners(m, t)) for m, t in zip(mentions, texts)])

@@ -77,3 +77,17 @@ def test_tiers_equal_brute_force():
         for text in TEXTS:
             if mention != "?!":
                 assert ground_text(mention, text) == brute(mention, text), (mention, text)
+
+
+def test_cascade_of_every_item(spark, tables):
+    d, items = tables
+    got = sorted((r.doc_id, r.item_id, r.mode, r.n) for r in queries.queries()["span_cascade"](spark, d).collect())
+    want = ((i, k, *brute(m, t)) for i, t in enumerate(TEXTS) for k, m in items.items())
+    assert got == sorted((i, k, mode, len(s)) for i, k, mode, s in want)
+
+
+def test_exact_of_every_whole_item(spark, tables):
+    d, items = tables
+    got = {(r.doc_id, r.item_id, r.start, r.end) for r in queries.queries()["span_exact"](spark, d).collect()}
+    want = {(i, k, t.find(m), t.find(m) + len(m)) for i, t in enumerate(TEXTS) if t for k, m in items.items() if m in t}
+    assert want and {x for x in got if (t := TEXTS[x[0]]) and items[x[1]] in t} == want
