@@ -22,9 +22,9 @@ FUZZY_SHARE, WORD_RATIO, LONG_WORD = 0.55, 0.88, 5
 DETERMINERS = ("le", "la", "les", "un", "une", "des", "du", "de", "de la", "de l'", "l'", "d'", "ce", "cet", "cette", "ces", "au", "aux", "son", "sa", "ses", "leur", "leurs")
 
 
-def exact_span(mention: Column, text: Column) -> Column:
-    """The first occurrence as an array of one span, else the first in any case, else an empty array."""
-    exact, loose = F.position(mention, text), F.position(F.lower(mention), F.lower(text))
+def exact_span(mention: Column, text: Column, lowered: tuple[Column, Column] | None = None) -> Column:
+    """The first occurrence as an array of one span, else the first in any case, else an empty array. ``lowered``: both in lower case, if they are at hand."""
+    exact, loose = F.position(mention, text), F.position(*(lowered or (F.lower(mention), F.lower(text))))
     found = F.when(exact > 0, exact).otherwise(loose)
     span = F.array(F.struct((found - 1).cast("int").alias("start"), (found - 1 + F.length(mention)).cast("int").alias("end")))
     return F.when((F.length(mention) > 0) & (found > 0), span).otherwise(F.array().cast(SPANS))

@@ -2,7 +2,9 @@
 
 import difflib
 import re
+from pathlib import Path
 
+import duckdb
 import pytest
 
 from lexloom import queries
@@ -91,3 +93,24 @@ def test_exact_of_every_whole_item(spark, tables):
     got = {(r.doc_id, r.item_id, r.start, r.end) for r in queries.queries()["span_exact"](spark, d).collect()}
     want = {(i, k, t.find(m), t.find(m) + len(m)) for i, t in enumerate(TEXTS) if t for k, m in items.items() if m in t}
     assert want and {x for x in got if (t := TEXTS[x[0]]) and items[x[1]] in t} == want
+
+
+WHOLE_SQL = """WITH p AS (SELECT doc_id, item_id, b.text AS mention, CASE WHEN instr(d.text, b.text) > 0 THEN instr(d.text, b.text) ELSE instr(lower(d.text), lower(b.text)) END AS i FROM documents d CROSS JOIN benchmark b)
+SELECT doc_id, item_id, (i - 1)::INTEGER AS start, (i - 1 + length(mention))::INTEGER AS "end" FROM p WHERE i > 0 AND mention <> ''"""
+
+
+def in_duckdb(d, sql):
+    c = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        path = Path(d, f"{name}.parquet")
+        c.execute(f"CREATE VIEW {name} AS SELECT * FROM '{path / '*.parquet' if path.is_dir() else path}'")
+    return sorted(c.execute(sql).fetchall())
+
+
+@pytest.mark.parametrize("place", ["fixture", "/root/testdata/sf0.001", "/root/testdata/sf0.01"])
+def test_exact_in_both_tiers(spark, tables, place):
+    d = tables[0] if place == "fixture" else place
+    got = sorted(tuple(r) for r in queries.queries()["span_exact"](spark, d).select("doc_id", "item_id", "start", "end").collect())
+    assert got == in_duckdb(d, WHOLE_SQL)
+    if place == "fixture":
+        assert (1, 1, len(PAD), len(PAD) + len(ITEMS[1])) in got  # in another case
