@@ -36,26 +36,46 @@ NOISE_WORDS = words(
 )
 SHELL_WORDS = words("sidebar side nav navbar navigation menu menus footer header masthead banner topbar toolbar widget widgets aside rail search alert")
 CONTENT_WORDS = words("article content main post entry story body text page wrapper container layout")
+HEADINGS = words("h1 h2 h3 h4 h5 h6")
 HEADS = words("h1 h2 h3 h4 h5 h6 p blockquote pre ul ol dl table figure")
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+#: One attribute after another: a name, and its value if it has one.
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=][^\s>/=]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?|["'=]""")
 _WORD = re.compile(r"[a-z0-9]+")
+_COMMENT_ID = re.compile(r"comments?(?:[-_]\d+)?")
 
 
-def _is_noise(tag: str, attributes: str, in_article: bool) -> bool:
+def _attributes(source: str) -> dict[str, str]:
+    """Names and values in lower case; of a name's repeats the first counts, as in browsers."""
+    found: dict[str, str] = {}
+    for name, value in _ATTRIBUTE.findall(source):
+        if name:
+            found.setdefault(name.lower(), (value[1:-1] if value[:1] in ("'", '"') and value[-1:] == value[:1] and len(value) > 1 else value).lower())
+    return found
+
+
+def _noise(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
+    """Whether an element is dropped with all that is in it (by its tag, as hidden, by its role, or by words of its class and id), and whether it is suspect.
+
+    Inside an article or main, and on paragraphs, words only make suspect: the density decides, adjusted by links. On headings they don't count.
+    """
     if tag in NOISE or tag == "header" and not in_article:
-        return True
-    if not attributes or tag in ("html", "body", "article", "main"):
-        if not (tag == "article" and attributes and "comment" in attributes.lower()):
-            return False
-    found = {k.lower(): v.strip("\"'").lower() for k, v in _ATTRIBUTE.findall(attributes)}
+        return True, False
+    if not attributes or tag in ("html", "body", "main"):
+        return False, False
+    found = _attributes(attributes)
+    if tag == "article":
+        return bool({"comment", "comments"} & set(found.get("class", "").split()) or _COMMENT_ID.fullmatch(found.get("id", ""))), False
     if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")):
-        return True
+        return True, False
     if found.get("role") in NOISE_ROLES:
-        return True
+        return True, False
+    if tag in HEADINGS:
+        return False, False
     names = set(_WORD.findall(f"{found.get('class', '')} {found.get('id', '')}"))
-    return bool(names & NOISE_WORDS) or bool(names & SHELL_WORDS) and not names & CONTENT_WORDS and not (in_article and names & {"header", "banner"})
+    marked = bool(names & NOISE_WORDS) or bool(names & SHELL_WORDS) and not names & CONTENT_WORDS
+    return (False, marked) if in_article or tag == "p" else (marked, False)
 
 
 class Page:
@@ -65,6 +85,7 @@ class Page:
         self.tag, self.parent, self.end = ["body"], [-1], [0]
         self.chars, self.tags, self.link_chars, self.link_tags = [0], [0], [0], [0]
         self.chunks: list[tuple[int, int, str]] = []
+        self.suspects: set[int] = set()
         self._read(source)
 
     def _text(self, owner: int, block: int, linked: bool, text: str) -> None:
@@ -140,7 +161,8 @@ class Page:
                 if tag not in VOID and not selfclosed:
                     skip.append(tag)
                 continue
-            if _is_noise(tag, attributes, articles > 0):
+            noise, suspect = _noise(tag, attributes, articles > 0)
+            if noise:
                 block += 1
                 if tag not in VOID and not selfclosed:
                     if tag in ENDS_P:
@@ -159,6 +181,8 @@ class Page:
             if tag in BLOCK:
                 block += 1
             node = len(self.tag)
+            if suspect:
+                self.suspects.add(node)
             self.tag.append(tag)
             self.parent.append(stack[-1])
             self.end.append(node)
@@ -247,15 +271,28 @@ class Page:
                 chosen.append(i)
         return sorted(chosen)
 
+    def linked_noise(self) -> list[bool]:
+        """For each node whether it is in a suspect that is mostly links, and less dense than all blocks around it."""
+        ratio = self.link_chars[0] / max(1, self.chars[0])
+        gone, least = [False], [self.density(0, ratio)]
+        for i in range(1, len(self.tag)):
+            up = self.parent[i]
+            block, suspect = self.tag[i] in BLOCK, i in self.suspects and self.link_chars[i] * 2 > self.chars[i]
+            own = self.density(i, ratio) if block or suspect else math.inf
+            gone.append(gone[up] or suspect and own < least[up])
+            least.append(min(least[up], own) if block else least[up])
+        return gone
+
     def text(self) -> str:
         chosen = self.content()
+        gone = self.linked_noise() if self.suspects else None
         out: list[str] = []
         last, parts = None, []
         k = 0
         for owner, block, text in self.chunks:
             while k < len(chosen) and self.end[chosen[k]] < owner and (k + 1 < len(chosen) and owner >= chosen[k + 1]):
                 k += 1
-            if k >= len(chosen) or not chosen[k] <= owner <= self.end[chosen[k]]:
+            if k >= len(chosen) or not chosen[k] <= owner <= self.end[chosen[k]] or gone and gone[owner]:
                 continue
             if block != last:
                 out.append(" ".join("".join(parts).split()))

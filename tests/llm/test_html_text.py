@@ -50,3 +50,37 @@ def test_rows(spark):
     got = extract_text(spark.createDataFrame(rows, schema)).collect()
     assert sorted(((r.page_id, r.url, r.text, r.n_chars) for r in got), key=str) == sorted([(1, None, WANT, len(WANT))] * 2 + [(None, "u", "", 0)], key=str)
     assert extract_text(spark.createDataFrame([], schema)).count() == 0
+
+
+TALK = "Matter that belongs to the article, and is long enough to be text in its own right."
+
+
+@pytest.mark.parametrize(
+    "inner, want",
+    [
+        (f'<h2 id="recommended-settings">Recommended settings</h2><p>{TALK}</p>', f"Recommended settings\n\n{TALK}"),
+        (f'<section id="related-work"><h2>Related work</h2><p>{TALK}</p></section>', f"Related work\n\n{TALK}"),
+        (f'<h2 id="reactions">Reactions</h2><p class="notice">{TALK}</p>', f"Reactions\n\n{TALK}"),
+        (f'<div class="widget banner"><p>{TALK}</p></div>', TALK),
+        ('<p>See <a href="/hidden-gems">the gems</a> and <a href="?id=ad">more</a> of it.</p>', "See the gems and more of it."),
+        ('<p title="a hidden valley">A valley.</p><p data-hidden="false">Shown.</p><p data-id="ad-3">Kept.</p>', "A valley.\n\nShown.\n\nKept."),
+        ("<p title='class=ad'>One.</p><p data-style=\"display:none\">Two.</p><p title=\"it's hidden\">Three.</p>", "One.\n\nTwo.\n\nThree."),
+        ('<div class="share"><a href=a>Post it</a> <a href=b>Mail it</a></div><ul class="related"><li><a href=c>Another title</a><li><a href=d>And another</a></ul><p>In.</p>', "In."),
+        (f'<h2 id="related"><a href="#related">Related</a></h2><div class="related"><p>{TALK} <a href=c>Its source</a></p></div>', f"Related\n\n{TALK} Its source"),
+        ('<article class="comment"><p>I disagree.</p></article><p>In.</p>', "In."),
+        ('<p hidden>Out.</p><p HIDDEN="">Out.</p><p aria-hidden=true>Out.</p><p style="display: none">Out.</p><div role="alert">Out.</div><p>In.</p>', "In."),
+    ],
+)
+def test_words_do_not_drop_what_an_article_holds(inner, want):
+    assert main_text(f"<body><article>{ARTICLE}{inner}</article><footer>all</footer></body>") == f"{WANT}\n\n{want}"
+    assert main_text(f"<body><main>{ARTICLE}{inner}</main></body>") == f"{WANT}\n\n{want}"
+
+
+def test_headings_and_paragraphs_outside_an_article():
+    page = f'<body><div><h1>A title of it</h1><h2 id="related-matters">Related matters</h2><p class="share">{TALK}</p><p data-id="ad-3">{TALK}</p></div><div class=ad><p>{TALK}</p></div></body>'
+    assert main_text(page) == f"A title of it\n\nRelated matters\n\n{TALK}\n\n{TALK}"
+
+
+def test_an_article_is_not_dropped_for_a_word():
+    for attributes in ('data-comments="3" class="post sponsored related"', 'id="comment-on-the-law"', 'class="comments-open"'):
+        assert main_text(f"<body><article {attributes}>{ARTICLE}</article>") == WANT
