@@ -373,12 +373,16 @@ def union_first(spark, d):
 _CANDIDATES = "a AS (SELECT head_type AS domain, tail_type AS range, relation AS property, avg((stmt_n % 100) / 100.0) AS confidence, count(*) AS evidence, min(head) AS definition FROM (SELECT *, length(head) + length(tail) + length(article) * 7 AS stmt_n FROM t WHERE provider = {0}) GROUP BY ALL)"
 
 
-def _half(spark, d, provider):
+def _signatures_of(t):
+    """Candidates: confidence, evidence and definition of each signature of the triples."""
     n = (F.length("head") + F.length("tail") + F.length("article") * 7) % 100
-    t = triplets(spark, d).where(F.col("provider") == provider)
     return t.groupBy(F.col("head_type").alias("domain"), F.col("tail_type").alias("range"), F.col("relation").alias("property")).agg(F.avg(n / 100.0).alias("confidence"), F.count(F.lit(1)).alias("evidence"), F.min("head").alias("definition"))
 
 
+def _half(spark, d, provider):
+    return _signatures_of(triplets(spark, d).where(F.col("provider") == provider))
+
+
 @register(T + ", " + _CANDIDATES.format(0) + ", " + _CANDIDATES.format(1).replace("a AS", "b AS", 1) + " SELECT domain, range, property, round((a.confidence + b.confidence) / 2, 6) AS confidence, a.evidence + b.evidence AS evidence, a.definition FROM a JOIN b USING (domain, range, property)")
 def agreement_candidates(spark, d):
     out = joins.agreement(_half(spark, d, 0), _half(spark, d, 1), ["domain", "range", "property"], ["definition"])
@@ -760,15 +764,16 @@ def curation_decisions(spark, d):
     return curation.document_decisions(all_, p.where("p_size > 45").select(F.upper("p_name").alias("title")), p.where("p_size < 25").select(F.col("p_name").alias("title"), F.col("p_brand").alias("evidence")))
 
 
+# the SQL of these two still has one provider's triples alone; tests/test_constraints_whole.py has that of all
 @register(T + f", {_CANDIDATES.format(0)} SELECT property, string_agg(DISTINCT domain, '; ' ORDER BY domain) AS domains, string_agg(DISTINCT range, '; ' ORDER BY range) AS ranges, round(avg(confidence), 6) AS confidence, sum(evidence)::BIGINT AS evidence, count(DISTINCT domain) > 1 AND count(DISTINCT range) > 1 AS scoped FROM a GROUP BY property")
 def property_constraints(spark, d):
-    out = ontology.property_constraints(_half(spark, d, 0))
+    out = ontology.property_constraints(_signatures_of(triplets(spark, d)))
     return out.withColumns({"domains": F.array_join("domains", "; "), "ranges": F.array_join("ranges", "; "), "confidence": F.round("confidence", 6)})
 
 
 @register(T + f", {_CANDIDATES.format(0)} SELECT property, domain, string_agg(DISTINCT range, '; ' ORDER BY range) AS ranges, count(*) AS n FROM a GROUP BY ALL")
 def ranges_by_domain(spark, d):
-    return ontology.ranges_by_domain(_half(spark, d, 0))
+    return ontology.ranges_by_domain(_signatures_of(triplets(spark, d)))
 
 
 @register(T + ", a AS (SELECT head_type AS domain, tail_type AS range, relation AS property, (length(head) + length(tail)) % 10 / 10.0 AS confidence, stmt, head FROM t) SELECT domain, range, property, round(avg(confidence), 6) AS confidence, count(*) AS evidence, arg_min(head, stmt) AS definition, '' AS \"aligned_CQ\" FROM a WHERE confidence > 0.5 GROUP BY domain, range, property")
