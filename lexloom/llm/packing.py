@@ -82,35 +82,44 @@ def _dominated(chosen: list[int], skipped: list[int], spare: int) -> bool:
 def completions(sizes: dict[int, int], order: list[int], largest: int, capacity: int, slack: int, most: int = 64, steps: int = 400) -> list[Pattern]:
     """Undominated fillings around one item of size ``largest`` that waste at most ``slack``, least waste first.
 
-    ``order``: the sizes at hand, ascending. A single item that fills the room exactly dominates every other filling. ``most``
-    fillings and ``steps`` steps are the documented search limits; the first filling found is the greedy one.
+    ``order``: the sizes at hand, ascending. A size's number of items is chosen in one step, the greatest first, so a filling takes as
+    many steps as it has sizes. A single item that fills the room exactly dominates every other filling. ``most`` fillings and
+    ``steps`` steps are the documented search limits; the first filling found is the greedy one.
     """
     room = capacity - largest
     have = dict(sizes)
     have[largest] -= 1
+    below = [0]  # what the sizes before each place hold in all
+    for s in order:
+        below.append(below[-1] + s * have[s])
     found: dict[Pattern, int] = {}
-    # a state: room left, the index below which sizes may be chosen, the chosen and the skipped sizes
-    stack: list[tuple[int, int, tuple[int, ...], tuple[int, ...]]] = [(room, bisect_right(order, room), (), ())]
+    # a state: room left, the index below which sizes may be chosen (or, with a number of items to try, that size's), chosen and skipped sizes
+    stack: list[tuple[int, int, int | None, Pattern, tuple[int, ...]]] = [(room, bisect_right(order, room), None, (), ())]
     while stack and len(found) < most and steps > 0:
         steps -= 1
-        left, upto, chosen, skipped = stack.pop()
-        at = min(upto, bisect_right(order, left)) - 1
-        while at >= 0 and have[order[at]] <= chosen.count(order[at]):
-            at -= 1
+        left, at, times, chosen, skipped = stack.pop()
+        if times is None:
+            at = min(at, bisect_right(order, left)) - 1
+            while at >= 0 and not have[order[at]]:
+                at -= 1
         if at < 0:
-            if left <= slack and not (len(chosen) <= 12 and _dominated(list(chosen), [s for s in skipped if s <= room], left)):
-                items = sorted((largest, *chosen), reverse=True)
-                found.setdefault(tuple((s, items.count(s)) for s in dict.fromkeys(items)), left)
+            items = [s for s, k in chosen for _ in range(k)] if sum(k for _, k in chosen) <= 12 else []
+            if left <= slack and not (len(items) == sum(k for _, k in chosen) and _dominated(items, [s for s in skipped if s <= room], left)):
+                counts = dict(chosen)
+                counts[largest] = counts.get(largest, 0) + 1
+                found.setdefault(tuple(sorted(counts.items(), reverse=True)), left)
             continue
         size = order[at]
-        if size < left or chosen:
-            # without this size no filling can waste less than what the smaller ones leave
-            if size != left:
-                stack.append((left, at, chosen, (*skipped, size)))
-        if size == left and not chosen:
+        top = min(have[size], left // size)
+        if times is None:
+            times = top
+        fewer = times - 1 - (times * size == left)  # one item that fills the room left exactly is as good as any others there
+        if fewer >= 0 and left - fewer * size - below[at] <= slack:
+            stack.append((left, at, fewer, chosen, skipped))
+        if size == left and not chosen and times:
             found = {}
             stack.clear()
-        stack.append((left - size, at + 1, (*chosen, size), skipped))
+        stack.append((left - times * size, at, None, (*chosen, (size, times)) if times else chosen, (*skipped, size) if times < top else skipped))
     return sorted(found, key=lambda p: (found[p], [-s for s, _ in p]))
 
 

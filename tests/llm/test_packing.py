@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from lexloom.llm.packing import best_fit, bin_completion, lower_bound, pack
+from lexloom.llm.packing import best_fit, bin_completion, completions, lower_bound, pack
 
 
 def optimum(items, capacity):
@@ -106,3 +106,9 @@ def test_round_trip(spark):
 
 def test_empty(spark):
     assert pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_filling_of_many_short_pieces_is_found():
+    assert completions({1: 5000}, [1], 1, 2048, 0) == [((1, 2048),)]
+    assert completions({2000: 1, 3: 9000}, [3, 2000], 2000, 2048, 0) == [((2000, 1), (3, 16))]
+    assert completions({7: 900, 5: 900}, [5, 7], 7, 2048, 0)
