@@ -14,8 +14,14 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language (null text, or no letter); ``lang`` becomes what the text is judged to be."""
+    """Drops documents without a language (null text, or no letter); ``lang`` becomes what the text is judged to be.
+
+    If no row can be learned from (none with a text and a label that isn't held out), the same documents are dropped, and
+    the others keep their ``lang`` as it is.
+    """
     net = langid.train(docs)
+    if net is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     others = tuple(c for c in docs.columns if c not in ("doc_id", "lang"))
     judged = langid.predict(docs.withColumn("_judged_text", F.col("text")), net, text_col="_judged_text", keep=others, out=("_judged", "_judged_score"))
     return judged.where("_judged != 'und'").withColumn("lang", F.col("_judged")).select(*docs.columns)

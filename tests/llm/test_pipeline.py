@@ -1,5 +1,6 @@
 import subprocess
 import sys
+import zlib
 from pathlib import Path
 
 from pyspark.sql import functions as F
@@ -64,3 +65,14 @@ def test_a_learned_network_is_the_same_on_a_rerun(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     a, b = (langid.train(docs, per_label=30) for _ in range(2))
     assert (a.conv == b.conv).all() and minhash.REGISTERS % minhash.ROWS == 0
+
+
+def test_without_labels_documents_keep_their_language(spark):
+    rows = [(1, "some text", None), (2, "é", None), (3, None, None), (4, " 12 !", None), (5, "", None), (1, "some text", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = corpus_pipeline.identify_language(spark, docs, SF)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id, r.text, r.lang) for r in got.collect()) == [(1, "some text", None), (1, "some text", None), (2, "é", None)]
+    held = [i for i in range(40) if zlib.crc32(str(i).encode()) % 4 == 2]
+    docs = spark.createDataFrame([(i, "some text", "en") for i in held], "doc_id long, text string, lang string")
+    assert [r.lang for r in corpus_pipeline.identify_language(spark, docs, SF).collect()] == ["en"] * len(held)
