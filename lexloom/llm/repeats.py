@@ -1,9 +1,10 @@
-"""Suffix-array dedup: bytes covered by long strings that start anywhere else, by merging the sparse suffix orders of all shards."""
+"""Suffix-array dedup: bytes covered by long strings that start anywhere else, by merging the Burrows-Wheeler transforms of shards."""
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +15,9 @@ from .arrow import utf8_column
 from .common import settle, stash, unstash
 from .minhash import _powers, mix
 
-#: Bytes of the k-gram at an anchor, bytes read at once, and blocks of a key up to which one task interleaves them.
-GRAM, CHUNK, CROWD = 24, 1 << 20, 2048
+#: Bytes of the k-gram at an anchor, bytes read at once, and distinct blocks of a key that are merged in one task; a key with more is made narrower.
+GRAM, CHUNK, CROWD = 24, 1 << 20, 4096
+PAD = 255
 _PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -88,36 +90,62 @@ def anchors(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, least: int, g
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def interleave(group: np.ndarray, before: np.ndarray, data: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which strings of ``least`` bytes occur in two blocks of a group at least: the block and the string's place in it.
+class Transform:
+    """The Burrows-Wheeler transform of aligned blocks: for each place, counted from the left of the longest, the rows' symbols in the order of what stands before.
 
-    ``group``: ascending; ``before``: bytes of each block left of its anchor. The blocks of a group come from any shards, in any order,
-    aligned at their anchors. Their interleave is refined byte by byte, left to right: each pass deals the rows, which stand in the
-    order of what was read so far (last byte first), stably by group and next byte, as one step of the Burrows-Wheeler
-    last-to-first map does. Beside it goes the place from which each row agrees with the one above it; in a pass that is
-    the maximum over the rows between two that stay together. Rows that agree on ``least`` bytes form a repeated interval. No
-    suffixes are compared or sorted.
+    ``columns[c]`` holds the symbol at place c of every row, the rows in the order of their prefixes read from place c - 1 backwards,
+    equal ones as they were given. Dealing a column's rows stably by symbol is the last-to-first step to the next column. PAD, a byte that UTF-8 never
+    has, stands beyond a block's ends. ``left``: bytes before the anchor.
     """
-    n = len(group)
-    sizes = np.fromiter(map(len, data), np.int64, n)
-    left = int(before.max())
-    width = left + int((sizes - before).max())
-    cells = np.full((n, width), 256, np.uint16)  # 256: beyond the block
-    flat = np.frombuffer(b"".join(data), np.uint8)
-    row = np.repeat(np.arange(n), sizes)
-    at = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    cells[row, at + np.repeat(left - before, sizes)] = flat
-    columns = np.ascontiguousarray(cells.T)
-    rank = np.cumsum(np.diff(group, prepend=group[:1]) != 0).astype(np.uint16)  # at most 65,536 groups
+
+    def __init__(self, columns: np.ndarray, left: int):
+        self.columns, self.left = columns, left
+
+    @classmethod
+    def of(cls, data: list[bytes], before: np.ndarray) -> Transform:
+        sizes = np.fromiter(map(len, data), np.int64, len(data))
+        left = int(before.max())
+        columns = np.full((left + int((sizes - before).max()), len(data)), PAD, np.uint8)
+        row = np.repeat(np.arange(len(data)), sizes)
+        at = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        columns[at + np.repeat(left - before, sizes), row] = np.frombuffer(b"".join(data), np.uint8)
+        if len(data) > 1:
+            order = np.arange(len(data))
+            for c in range(len(columns)):
+                columns[c] = columns[c][order]
+                order = order[np.argsort(columns[c], kind="stable")]
+        return cls(columns, left)
+
+
+def merge_transforms(group: np.ndarray, shards: list[Transform], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which strings of ``least`` bytes occur in two rows of a group at least: the row and the string's place from the anchor (negative: left of it).
+
+    ``group``: that of each shard's transform, ascending; rows count through the shards in turn. The transforms of a group's shards are merged by
+    refining their interleave, which says whose row comes next: it starts as one shard after the other, and each pass takes every
+    shard's next column, reads the symbols in the order of the interleave, and deals its places stably by symbol. A shard's own rows are never
+    sorted again. Beside the interleave goes the place from which each row agrees with the one above it: after a pass that is
+    the greatest among the rows between two that stay together. Rows that agree on ``least`` bytes are a repeated interval.
+    """
+    count = np.array([t.columns.shape[1] for t in shards])
+    left = max(t.left for t in shards)
+    width = left + max(len(t.columns) - t.left for t in shards)
+    n = int(count.sum())
+    columns = np.full((width, n), PAD, np.uint8)
+    for t, at in zip(shards, np.cumsum(count) - count):
+        columns[left - t.left : left - t.left + len(t.columns), at : at + t.columns.shape[1]] = t.columns
+    narrow = np.uint16 if len(shards) < 1 << 16 else np.uint32
+    rank = np.repeat(np.cumsum(np.diff(group, prepend=group[:1]) != 0), count).astype(narrow)  # a group keeps its places throughout
+    whose = np.repeat(np.arange(len(shards)), count).astype(narrow)
     order, since = np.arange(n), np.zeros(n, np.int64)
+    symbol = np.empty(n, np.uint8)
     found_row, found_at = [], []
     for c in range(width):
-        symbol = columns[c][order]
+        symbol[np.argsort(whose, kind="stable")] = columns[c]
         deal = np.argsort(symbol, kind="stable")
-        deal = deal[np.argsort(rank[order][deal], kind="stable")]
-        new_order, new_symbol = order[deal], symbol[deal]
+        deal = deal[np.argsort(rank[deal], kind="stable")]
+        whose, order, dealt = whose[deal], order[deal], symbol[deal]
         same = np.zeros(n, bool)
-        same[1:] = (rank[new_order][1:] == rank[new_order][:-1]) & (new_symbol[1:] == new_symbol[:-1]) & (new_symbol[1:] != 256)
+        same[1:] = (rank[1:] == rank[:-1]) & (dealt[1:] == dealt[:-1]) & (dealt[1:] != PAD)
         new_since = np.full(n, c + 1, np.int64)
         pick = np.flatnonzero(same)
         if len(pick):
@@ -125,20 +153,120 @@ def interleave(group: np.ndarray, before: np.ndarray, data: list[bytes], least:
             near = hi - lo == 1
             new_since[pick[near]] = since[lo[near]]
             if not near.all():
-                ends = np.stack([lo[~near], np.minimum(hi[~near], n)], axis=1).ravel()
-                tail = np.append(since, 0)
-                new_since[pick[~near]] = np.maximum.reduceat(tail, ends)[::2]
-        order, since = new_order, new_since
+                ends = np.stack([lo[~near], hi[~near]], axis=1).ravel()
+                new_since[pick[~near]] = np.maximum.reduceat(np.append(since, 0), ends)[::2]
+        since = new_since
         hit = np.flatnonzero(c + 1 - since >= least)
         if len(hit):
             rows = np.unique(np.concatenate([order[hit], order[hit - 1]]))
             found_row.append(rows)
-            found_at.append(c + 1 - least - left + before[rows])
+            found_at.append(np.full(len(rows), c + 1 - least - left))
     if not found_row:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     return np.concatenate(found_row), np.concatenate(found_at)
 
 
+def _runs_of(row: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Neighbouring places of a row as runs: row, first and last place."""
+    order = np.lexsort((at, row))
+    row, at = row[order], at[order]
+    new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (at[1:] > at[:-1] + 1)]))
+    return row[new], at[new], at[np.append(new[1:], len(row)) - 1]
+
+
+_SHARD = "key long, n int, left int, roots binary, before binary, columns binary"
+
+
+def _shard_row(key: int, roots: np.ndarray, before: np.ndarray, data: list[bytes]) -> tuple:
+    """A shard's blocks of one key: their transform, and for each block its root (key, block, place in it) and the bytes before its anchor."""
+    t = Transform.of(data, before)
+    return key, len(data), t.left, roots.astype("<i8").tobytes(), before.astype("<i4").tobytes(), t.columns.tobytes()
+
+
+def _shard_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=["key", "n", "left", "roots", "before", "columns"])
+
+
+def _repeated_runs(shards: DataFrame, least: int) -> DataFrame:
+    """Repeated strings of all keys in ``shards``, as runs of places x to y in the root blocks."""
+
+    def solve(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, n, left = (table.column(c).to_numpy() for c in ("key", "n", "left"))
+        parts = [Transform(np.frombuffer(x, np.uint8).reshape(-1, k), a) for x, k, a in zip(table.column("columns").to_pylist(), n.tolist(), left.tolist())]
+        row, at = merge_transforms(key, parts, least)
+        if len(row):
+            roots = np.frombuffer(b"".join(table.column("roots").to_pylist()), "<i8").reshape(-1, 3)
+            before = np.frombuffer(b"".join(table.column("before").to_pylist()), "<i4")
+            row, x, y = _runs_of(row, at)
+            shift = before[row] + roots[row, 2]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(roots[row, 0]), pa.array(roots[row, 1]), pa.array((x + shift).astype(np.int32)), pa.array((y + shift).astype(np.int32))], names=["key", "block", "x", "y"]
+            )
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+        for batch in batches:
+            for part in (batch.slice(k, 1000) for k in range(0, batch.num_rows, 1000)):
+                held.append(pa.Table.from_batches([part]))
+                count += int(part.column("n").to_numpy().sum())
+                if count >= 16_384:
+                    table = pa.concat_tables(held)
+                    key = table.column("key").to_numpy()
+                    edge = int(np.searchsorted(key, key[-1]))
+                    if edge:
+                        yield from solve(table.slice(0, edge))
+                    held, count = [table.slice(edge)], int(table.column("n").to_numpy()[edge:].sum())
+        if count:
+            yield from solve(pa.concat_tables(held))
+
+    return shards.repartition("key").sortWithinPartitions("key").mapInArrow(merge, "key long, block long, x int, y int")
+
+
+def _as_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks as shards of one block."""
+    for batch in batches:
+        rows = [
+            _shard_row(key, np.array([[r_key, r_block, shift]]), np.array([a]), [data])
+            for key, r_key, r_block, shift, a, data in zip(*(batch.column(c).to_pylist() for c in ("key", "r_key", "r_block", "shift", "a_off", "data")))
+        ]
+        if rows:
+            yield _shard_batch(rows)
+
+
+def _narrower(blocks: DataFrame, least: int, level: int, widest: int) -> DataFrame:
+    """Blocks of crowded keys, cut by the place of the anchor in a string, and under narrower keys.
+
+    At level l a string's place of the anchor is known up to ``widest`` >> l, and all bytes that the strings of such a part have in common are the key. Which part
+    and key a string gets depends on the string alone, so equal strings stay together, and rows of unequal cores are parted. When the place is known
+    exactly, the core is the whole string, and equal keys mean equal strings.
+    """
+    step = max(1, widest >> level)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r_key, r_block, shift, a, data in zip(*(batch.column(c).to_pylist() for c in ("r_key", "r_block", "shift", "a_off", "data"))):
+                for part in range((a - len(data) + least) // step, a // step + 1):
+                    low, high = part * step, min(part * step + step - 1, least - min(GRAM, least))  # the anchor's places in the strings of this part
+                    x, y = max(0, a - high), min(len(data) - least, a - low)
+                    core = data[a - low : a - high + least]
+                    piece = data[x : y + least]
+                    out.append((_hash(core, part), _hash(piece, a - x), r_key, r_block, shift + x, a - x, piece))
+            if out:
+                kinds = (pa.int64(),) * 4 + (pa.int32(),) * 2 + (pa.binary(),)
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names=["key", "block", "r_key", "r_block", "shift", "a_off", "data"])
+
+    return blocks.mapInArrow(cut, _PIECE)
+
+
+_PIECE = "key long, block long, r_key long, r_block long, shift int, a_off int, data binary"
+
+
+def _hash(data: bytes, salt: int) -> int:
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8, salt=salt.to_bytes(8, "little")).digest(), "little", signed=True)
+
+
 def _digest(text: bytes, spans: list[tuple[int, int]], least: int) -> tuple[int, int, str]:
     """Removed bytes and runs, and the hash of what stays; spans: first and last starts of repeated strings."""
     removed = runs = 0
@@ -168,16 +296,18 @@ def remove_repeats(docs: DataFrame, least: int = 200, crowd: int = CROWD, id_col
     1. Every task reads its shard and keeps a sparse order of its suffixes: only those at anchors (``anchors``), by key and block.
     2. Keys that occur once, and they are most, have no repeated string. If all blocks of a key are equal, all their strings are
        repeated. Both are told by counts that are summed before the shuffle.
-    3. For a key with different blocks, the distinct blocks of all shards are merged by refining their interleave
-       (``interleave``), which gives the strings in common. A key with more than ``crowd`` distinct blocks isn't brought to one task:
-       the hashes of its blocks' strings are counted instead, by string.
-    4. A text's repeated strings come back to it, and are taken out together.
+    3. For a key with different blocks, each shard makes the Burrows-Wheeler transform of its own ones (``Transform``), and the shards' transforms
+       are merged by refining their interleave (``merge_transforms``), which gives common prefixes and repeated intervals, as runs.
+    4. A key with more than ``crowd`` distinct blocks is first made narrower (``_narrower``): its blocks are cut in two by the anchor's place in
+       a string, and more of what those strings have in common becomes the key, until its keys fit a task. Then they are merged like all others.
+    5. A text's repeated strings come back to it, and are taken out together.
 
     Null texts count as empty. Texts shorter than ``least`` bytes are kept whole. Repeated rows are copies of each other, and so lose
     all that is in such strings. Empty tables give empty results; other columns are not read.
     """
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("name", F.unhex(F.md5("text")))
     id_type = source.schema["id"].dataType.simpleString()
+    long_ones = source.where(F.octet_length("text") >= least)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,7 +320,7 @@ def remove_repeats(docs: DataFrame, least: int = 200, crowd: int = CROWD, id_col
                     names=["name", "a", "lo", "hi", "key", "block"],
                 )
 
-    marked = source.where(F.octet_length("text") >= least).select("name", "text").mapInArrow(mark, "name binary, a int, lo int, hi int, key long, block long")
+    marked = long_ones.select("name", "text").mapInArrow(mark, "name binary, a int, lo int, hi int, key long, block long")
     keys = stash(
         marked.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("block").alias("x"), F.max("block").alias("y"))
         .where("n > 1").select("key", (F.col("x") != F.col("y")).alias("mixed"))
@@ -198,80 +328,81 @@ def remove_repeats(docs: DataFrame, least: int = 200, crowd: int = CROWD, id_col
     some = stash(marked.join(keys, "key").select("name", "a", "lo", "hi", "key", "block", "mixed"))
     mixed = some.where("mixed")
     blocks = stash(mixed.groupBy("key", "block").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("name", "a", "lo", "hi")).alias("at")).select("key", "block", "n", "at.*"))
-    crowds = stash(blocks.groupBy("key").count().select("key", (F.col("count") > crowd).alias("crowded")))
+    crowds = stash(blocks.groupBy("key").count().where(F.col("count") > crowd).select("key", F.lit(True).alias("crowded")))
 
-    # the bytes of one instance of each distinct block
-    holders = source.where(F.octet_length("text") >= least).groupBy("name").agg(F.min("id").alias("holder"))
-    wanted = (
-        blocks.join(crowds, "key").groupBy("name").agg(F.collect_list(F.struct("key", "block", "a", "lo", "hi", "crowded")).alias("parts"))
-        .join(holders, "name").select(F.col("name").alias("w_name"), "holder", "parts")
+    # the text that gives the bytes of a block is one row's: of those with that text the one whose id has the least hash
+    who = F.unhex(F.md5(F.concat(F.hex("name"), F.coalesce(F.col("id").cast("string"), F.lit("")))))
+    wanted = stash(
+        blocks.join(crowds, "key", "left").groupBy("name").agg(F.collect_list(F.struct("key", "block", "a", "lo", "hi", F.coalesce("crowded", F.lit(False)).alias("crowded"))).alias("parts"))
+        .join(long_ones.groupBy("name").agg(F.min(who).alias("who")), "name").select("who", "parts")
     )
-    wanted = stash(wanted)
+    held = long_ones.select(who.alias("who"), "text").join(wanted, "who").dropDuplicates(["who"]).select("text", "parts")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "block", "a_off", "crowded", "data"]
         for batch in batches:
-            for r in range(batch.num_rows):
-                text = batch.column("text")[r].as_py().encode()
-                parts = batch.column("parts")[r].values
-                get = lambda c: parts.field(c)  # noqa: B023, E731
-                lo, hi = get("lo").to_numpy(), get("hi").to_numpy()
-                data = [text[x : y + least] for x, y in zip(lo.tolist(), hi.tolist())]
-                yield pa.RecordBatch.from_arrays([get("key"), get("block"), pa.array(get("a").to_numpy() - lo), get("crowded"), pa.array(data, pa.binary())], names=names)
-
-    pieces = (
-        source.join(wanted, (F.col("name") == F.col("w_name")) & F.col("id").eqNullSafe(F.col("holder"))).select("text", F.col("parts"))
-        .mapInArrow(cut, "key long, block long, a_off int, crowded boolean, data binary").dropDuplicates(["key", "block"])
-    )
-    pieces = stash(pieces)
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-
-        def solve(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            key, block = table.column("key").to_numpy(), table.column("block").to_numpy()
-            row, at = interleave(key, table.column("a_off").to_numpy().astype(np.int64), table.column("data").to_pylist(), least)
-            if len(row):
-                order = np.lexsort((at, row))
-                row, at = row[order], at[order]
-                new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (at[1:] > at[:-1] + 1)]))
-                last = np.append(new[1:], len(row)) - 1
+            for k in range(0, batch.num_rows, 1000):
+                texts, parts = batch.column("text").slice(k, 1000), batch.column("parts").slice(k, 1000)
+                sizes = parts.value_lengths().to_numpy()
+                flat = parts.flatten()
+                key, block, a, lo, hi, crowded = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("key", "block", "a", "lo", "hi", "crowded"))
+                data: list[bytes] = []
+                for text, size in zip(texts.to_pylist(), sizes.tolist()):
+                    text, at = text.encode(), len(data)
+                    data += [text[x : y + least] for x, y in zip(lo[at : at + size].tolist(), hi[at : at + size].tolist())]
+                order = np.lexsort((block, key))
+                single = crowded[order]
+                new = np.ones(len(order), bool)
+                new[1:] = (key[order][1:] != key[order][:-1]) | single[1:]
+                starts = np.flatnonzero(new)
+                rows, big = [], []
+                for x, y in zip(starts.tolist(), np.append(starts[1:], len(order)).tolist()):
+                    pick = order[x:y]
+                    row = _shard_row(int(key[pick[0]]), np.stack([key[pick], block[pick], np.zeros(len(pick), np.int64)], axis=1), a[pick] - lo[pick], [data[i] for i in pick])
+                    rows.append(row)
+                    big.append(bool(crowded[pick[0]]))
+                if rows:
+                    out = _shard_batch(rows)
+                    yield pa.RecordBatch.from_arrays([*out.columns, pa.array(big)], names=[*out.schema.names, "crowded"])
+
+    pieces = stash(held.mapInArrow(cut, _SHARD + ", crowded boolean"))
+    found = [blocks.where("n > 1").select("key", "block", F.lit(0).alias("x"), (F.col("hi") - F.col("lo")).alias("y"))]
+    found.append(_repeated_runs(pieces.where("NOT crowded").drop("crowded"), least))
+    used = [keys, some, blocks, crowds, wanted, pieces]
+
+    if not crowds.isEmpty():
+        widest = 1 << max(0, least - min(GRAM, least)).bit_length()
+
+        def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                roots = np.frombuffer(b"".join(batch.column("roots").to_pylist()), "<i8").reshape(-1, 3)
+                before = np.frombuffer(b"".join(batch.column("before").to_pylist()), "<i4")
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[row[new]]), pa.array(block[row[new]]), pa.array(at[new].astype(np.int32)), pa.array(at[last].astype(np.int32))], names=["key", "block", "x", "y"]
+                    [batch.column("key"), *(pa.array(roots[:, i]) for i in (1, 0, 1)), pa.array(roots[:, 2].astype(np.int32)), pa.array(before), batch.column("columns")],
+                    names=["key", "block", "r_key", "r_block", "shift", "a_off", "data"],
                 )
 
-        count = 0
-        for batch in batches:
-            held.append(pa.Table.from_batches([batch]))
-            count += batch.num_rows
-            if count >= 20_000:
-                table = pa.concat_tables(held)
-                key = table.column("key").to_numpy()
-                edge = int(np.searchsorted(key, key[-1]))
-                if edge:
-                    yield from solve(table.slice(0, edge))
-                held, count = [table.slice(edge)], table.num_rows - edge
-        if count:
-            yield from solve(pa.concat_tables(held))
-
-    merged = pieces.where("NOT crowded").repartition("key").sortWithinPartitions("key").select("key", "block", "a_off", "data").mapInArrow(merge, "key long, block long, x int, y int")
-
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                data = batch.column("data")[r].as_py()
-                strings = [hashlib.blake2b(data[i : i + least], digest_size=16).digest() for i in range(len(data) - least + 1)]
-                n = len(strings)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(strings, pa.binary()), *(pa.array([batch.column(c)[r].as_py()] * n, pa.int64()) for c in ("key", "block")), pa.array(range(n), pa.int32())], names=["string", "key", "block", "x"]
-                )
-
-    spelled = pieces.where("crowded").select("key", "block", "data").mapInArrow(spell, "string binary, key long, block long, x int")
-    common = stash(spelled.groupBy("string").count().where("count > 1").select("string"))
-    crowded = spelled.join(common, "string").select("key", "block", "x", F.col("x").alias("y"))
-
-    whole = blocks.where("n > 1").select("key", "block", F.lit(0).alias("x"), (F.col("hi") - F.col("lo")).alias("y"))
-    spans = stash(whole.unionByName(merged).unionByName(crowded).groupBy("key", "block").agg(F.collect_set(F.struct("x", "y")).alias("parts")))
+        rest = pieces.where("crowded").drop("crowded").mapInArrow(single, _PIECE)
+        level = 0
+        while True:
+            level += 1
+            parts = stash(_narrower(rest, least, level, widest))
+            each = stash(parts.groupBy("key", "block").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("r_key", "r_block", "shift", "a_off", "data")).alias("at")).select("key", "block", "n", "at.*"))
+            many = stash(each.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
+            copies = each.where("n > 1").select(F.col("key").alias("k"), F.col("block").alias("b"))
+            found.append(
+                parts.join(copies, (F.col("key") == F.col("k")) & (F.col("block") == F.col("b")))
+                .select(F.col("r_key").alias("key"), F.col("r_block").alias("block"), F.col("shift").alias("x"), (F.col("shift") + F.octet_length("data") - least).alias("y"))
+            )
+            used += [parts, each, many]
+            last = level >= widest.bit_length()
+            near = each.join(many if last else many.where(F.col("m") <= crowd), "key")
+            found.append(_repeated_runs(near.mapInArrow(_as_shards, _SHARD), least))
+            if last or many.where(F.col("m") > crowd).isEmpty():
+                break
+            rest = each.join(many.where(F.col("m") > crowd), "key").select("key", "block", "r_key", "r_block", "shift", "a_off", "data")
+
+    every = reduce(DataFrame.unionByName, found)
+    spans = stash(every.groupBy("key", "block").agg(F.collect_set(F.struct("x", "y")).alias("parts")))
     back = mixed.select("name", "lo", F.col("key").alias("k"), F.col("block").alias("b")).join(spans, (F.col("k") == F.col("key")) & (F.col("b") == F.col("block")))
     back = back.select("name", "lo", F.explode("parts").alias("p")).select("name", (F.col("lo") + F.col("p.x")).alias("x"), (F.col("lo") + F.col("p.y")).alias("y"))
     each = stash(some.where("NOT mixed").select("name", F.col("lo").alias("x"), F.col("hi").alias("y")).unionByName(back).groupBy("name").agg(F.collect_set(F.struct("x", "y")).alias("parts")))
@@ -296,7 +427,7 @@ def remove_repeats(docs: DataFrame, least: int = 200, crowd: int = CROWD, id_col
 
     answer = source.join(each.withColumnRenamed("name", "e_name"), F.col("name") == F.col("e_name"), "left").select("id", "text", "parts")
     answer = settle(answer.mapInArrow(take_out, f"id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>"))
-    unstash(keys, some, blocks, crowds, wanted, pieces, common, spans, each)
+    unstash(*used, spans, each)
     return answer.withColumnRenamed("id", id_col)
 
 

@@ -58,27 +58,50 @@ def test_no_repeats_and_empty(spark):
     assert repeats.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-@pytest.mark.parametrize("seed", range(5))
-def test_interleave(seed):
+@pytest.mark.parametrize("seed", range(8))
+def test_merged_transforms(seed):
     r = random.Random(seed)
-    least, rows = 8, []
+    least, rows = 8, []  # group, shard, bytes left of the anchor, block
     for g in range(6):
         core = bytes(r.choice(b"ab") for _ in range(4))
-        for _ in range(r.randint(1, 7)):
+        for _ in range(r.randint(1, 9)):
             left, right = (bytes(r.choice(b"ab") for _ in range(r.randint(4, 9))) for _ in "xy")
-            rows.append((g, len(left), left + core + right))
-    group, before, data = np.array([x[0] for x in rows]), np.array([x[1] for x in rows]), [x[2] for x in rows]
-    got = set(zip(*(x.tolist() for x in repeats.interleave(group, before, data, least))))
+            rows.append((g, r.randint(0, 2), len(left), left + core + right))
+    rows.sort(key=lambda x: x[:2])
+    shards = sorted({x[:2] for x in rows})
+    parts = [[x for x in rows if x[:2] == s] for s in shards]
+    transforms = [repeats.Transform.of([x[3] for x in p], np.array([x[2] for x in p])) for p in parts]
+    row, at = repeats.merge_transforms(np.array([g for g, _ in shards]), transforms, least)
+    got = set(zip(row.tolist(), (at + np.array([x[2] for x in rows])[row]).tolist()))
     want = set()
-    for i, (g, b, x) in enumerate(rows):
+    for i, (g, _, b, x) in enumerate(rows):
         for p in range(len(x) - least + 1):
-            for j, (h, c, y) in enumerate(rows):
+            for j, (h, _, c, y) in enumerate(rows):
                 q = p - b + c
                 if i != j and g == h and 0 <= q <= len(y) - least and x[p : p + least] == y[q : q + least]:
                     want.add((i, p))
     assert got == want
 
 
+def test_a_transform_holds_the_symbols_by_what_stands_before_them():
+    r = random.Random(1)
+    data = [bytes(r.choice(b"abc") for _ in range(12)) for _ in range(40)]
+    t = repeats.Transform.of(data, np.full(40, 3))
+    for c in range(12):
+        order = sorted(range(40), key=lambda i: (data[i][:c][::-1], i))
+        assert t.columns[c].tobytes() == bytes(data[i][c] for i in order)
+
+
+def test_a_passage_in_very_many_surroundings(spark):
+    """One passage with others around it everywhere: its keys are crowded, and are made narrower until they fit."""
+    r = random.Random(5)
+    word = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    passage = word(130)
+    rows = [(i, word(r.randint(0, 60)) + r.choice(["", "x" * 30]) + passage + word(r.randint(0, 60))) for i in range(150)]
+    assert run(spark, rows, 60, 8) == brute(rows, 60)
+    assert run(spark, rows, 60, 0) == brute(rows, 60)
+
+
 def test_anchors_take_every_string_once():
     rng = np.random.default_rng(2)
     raw = rng.integers(97, 100, 6000).astype(np.uint8)
