@@ -2,23 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def dimension(df: DataFrame, vector_col: str = "embedding") -> int:
-    """The most frequent length of the vectors, the greater of equals; 0 without any. Vectors of another length take no part."""
-    sizes = df.where(F.col(vector_col).isNotNull()).groupBy(F.size(vector_col).alias("d")).count()
-    top = sizes.orderBy(F.desc("count"), F.desc("d")).first()
-    return top["d"] if top else 0
+def is_usable(vector: Column) -> Column:
+    """Not null or empty, without null or non-finite components, and not zero; of any length."""
+    fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.coalesce(fine & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def is_usable(vector: Column, d: int) -> Column:
-    """Of length d, without null or non-finite components, and not zero."""
-    fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return F.coalesce((F.size(vector) == d) & fine & F.exists(vector, lambda x: x != 0), F.lit(False))
+def by_length(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each length among the rows: the length, the rows that have it, and these as a matrix in double precision."""
+    sizes = column.value_lengths().to_numpy()
+    for d in np.unique(sizes).tolist():
+        rows = np.flatnonzero(sizes == d)
+        yield d, rows, matrix(column if len(rows) == len(column) else column.take(pa.array(rows)), d)
 
 
 def matrix(column: pa.Array, d: int) -> np.ndarray:

@@ -16,11 +16,13 @@ def some_vectors(seed=0, n=260, d=20, groups=3):
     label = [None if r < 0.05 else int(r * groups) for r in rng.random(n)]
     rows = [(i, x[i].astype(np.float32).tolist(), label[i], 0, "c") for i in range(n)]
     bad = [(900, None, 0, 0, "c"), (901, [0.0] * d, 0, 0, "c"), (902, [None] * d, 0, 0, "c"), (903, [float("nan")] * d, 0, 0, "c"), (904, [float("inf")] * d, 0, 0, "c"), (905, [1.0], 0, 0, "c"), (906, [], 0, 0, "c")]
-    return rows + bad + [(3, rows[2][1], label[2], 0, "c"), (None, rows[4][1], label[4], 0, "c")]
+    few = [rng.standard_normal(3) for _ in range(4)]
+    other = [(950 + i, (few[i % 4] * (1 + i % 3)).tolist(), i % 2, 0, "c") for i in range(16)] + [(970, x[0][:19].astype(np.float32).tolist(), label[0], 0, "c"), (971, [0.0] * 19 + [-0.0], 0, 0, "c")]
+    return rows + bad + other + [(3, rows[2][1], label[2], 0, "c"), (None, rows[4][1], label[4], 0, "c")]
 
 
-def usable(v, d=20):
-    return v is not None and len(v) == d and all(x is not None and np.isfinite(x) for x in v) and any(v)
+def usable(v):
+    return v is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)
 
 
 def brute_links(rows, least=0.93):
@@ -29,7 +31,7 @@ def brute_links(rows, least=0.93):
     hit = np.zeros((n, n), bool)
     for i in range(n):
         for j in range(n):
-            if i != j and unit[i] is not None and unit[j] is not None and rows[i][2] is not None and rows[i][2] == rows[j][2]:
+            if i != j and unit[i] is not None and unit[j] is not None and len(unit[i]) == len(unit[j]) and rows[i][2] is not None and rows[i][2] == rows[j][2]:
                 hit[i, j] = unit[i] @ unit[j] >= least
     comp = np.arange(n)
     while True:
@@ -42,7 +44,7 @@ def brute_links(rows, least=0.93):
     return sorted(((rows[i][0], int(hit[i].sum()), least_id[comp[i]]) for i in range(n)), key=str)
 
 
-@pytest.mark.parametrize("seed, block, fan", [(0, 1024, 8), (1, 16, 2), (2, 7, 3)])
+@pytest.mark.parametrize("seed, block, fan", [(0, 1024, 8), (1, 16, 2), (2, 7, 3), (3, 1, 2)])
 def test_grid_join_against_brute_force(spark, monkeypatch, seed, block, fan):
     monkeypatch.setattr(grid_join, "BLOCK", block)
     monkeypatch.setattr(grid_join, "FAN", fan)
@@ -57,7 +59,7 @@ def test_blocks_that_are_far_apart_are_skipped(spark):
     rng = np.random.default_rng(3)
     a, b = np.eye(8)[0] * 5, np.eye(8)[1] * 5
     x = np.concatenate([a + rng.standard_normal((40, 8)) * 0.1, b + rng.standard_normal((40, 8)) * 0.1])
-    boxes = spark.createDataFrame([(0, k, [float(c)] * 1, [float(c) + 0.1]) for k, c in enumerate([-0.7, -0.65, 0.6, 0.7])], "label int, nth long, lo array<double>, hi array<double>")
+    boxes = spark.createDataFrame([("0", k, [float(c)] * 1, [float(c) + 0.1]) for k, c in enumerate([-0.7, -0.65, 0.6, 0.7])], "grp string, nth long, lo array<double>, hi array<double>")
     pairs = {(r.a, r.b) for r in grid_join._near_pairs(boxes, 1, 0.37).collect()}
     assert pairs == {(0, 0), (0, 1), (1, 1), (2, 2), (2, 3), (3, 3)}
     assert len(x) == 80
@@ -69,20 +71,21 @@ def test_nearest_against_brute_force(spark, monkeypatch):
     rows = some_vectors(4)
     got = ann.search(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 5 == 0).collect()
     keep = [r for r in rows if usable(r[1])]
-    unit = np.array([np.array(r[1], float) / np.linalg.norm(np.array(r[1], float)) for r in keep])
+    unit = [np.array(r[1], float) / np.linalg.norm(np.array(r[1], float)) for r in keep]
     found, total, by = 0, 0, {}
     for r in got:
         by.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
     asked = [i for i, r in enumerate(keep) if r[0] is not None and r[0] % 5 == 0]
-    assert set(by) == {keep[i][0] for i in asked}
+    lengths = [len(r[1]) for r in keep]
+    assert set(by) == {keep[i][0] for i in asked if lengths.count(lengths[i]) > 1}
     for i in asked:
-        score = unit @ unit[i]
-        order = sorted((j for j in range(len(keep)) if j != i), key=lambda j: (-score[j], keep[j][0] is None, keep[j][0] or 0))[:5]
-        mine = sorted(by[keep[i][0]])
-        assert [m[0] for m in mine] == [1, 2, 3, 4, 5]
+        score = [u @ unit[i] if len(u) == len(unit[i]) else -2 for u in unit]
+        order = sorted((j for j in range(len(keep)) if j != i and score[j] > -2), key=lambda j: (-score[j], keep[j][0] is None, keep[j][0] or 0))[:5]
+        mine = sorted(by.get(keep[i][0], []))
+        assert [m[0] for m in mine] == list(range(1, len(order) + 1))
         assert all(a[2] >= b[2] - 1e-12 for a, b in zip(mine, mine[1:]))
         found += sum(np.isclose(a[2], score[j]) for a, j in zip(mine, order))
-        total += 5
+        total += len(order)
     assert found / total >= 0.95
 
 
@@ -90,12 +93,30 @@ def test_estimates_hold_their_bounds():
     rng = np.random.default_rng(5)
     x = ann.scale(rng.standard_normal((500, 64)))
     q = ann.scale(rng.standard_normal((40, 64)))
-    centre, rot = x.mean(axis=0), ann.rotation(64)
-    words, scalars = ann.encode(x, centre, rot)
-    guess, wide = ann.estimate(q, centre, rot, words, scalars, 3.0)
+    centre = x.mean(axis=0)
+    words, scalars = ann.encode(x, centre)
+    guess, wide = ann.estimate(q, centre, words, scalars, 3.0)
     off = np.abs(guess - q @ x.T)
     assert (off <= wide).mean() > 0.995 and abs((guess - q @ x.T).mean()) < 0.01
-    assert words.shape == (500, 1) and ann.rotation(70).shape == (70, 128)
+    turned = ann.rotate(rng.standard_normal((5, 70)))
+    assert words.shape == (500, 1) and turned.shape == (5, 128)
+    eye = ann.rotate(np.eye(70))
+    assert np.allclose(eye @ eye.T, np.eye(70))
+
+
+def test_rings_that_hold_nothing_near_are_not_asked(spark, monkeypatch):
+    """Tight clusters: a query goes to few blocks, and still finds all that brute force finds."""
+    monkeypatch.setattr(ann, "BLOCK", 50)
+    rng = np.random.default_rng(8)
+    x = np.repeat(rng.standard_normal((20, 16)), 60, axis=0) + rng.standard_normal((1200, 16)) * 0.05
+    rows = [(i, x[i].tolist(), 0, 0, "c") for i in range(1200)]
+    got = ann.search(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 50 == 0).collect()
+    unit = ann.scale(x.astype(np.float32).astype(float))
+    for q in range(0, 1200, 50):
+        score = unit @ unit[q]
+        score[q] = -2
+        want = np.sort(score)[::-1][:5]
+        assert np.allclose([r.score for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])], want)
 
 
 def test_few_and_none(spark):
