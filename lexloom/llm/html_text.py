@@ -23,13 +23,11 @@ ENDS_P = BLOCK - words("body html caption legend tbody td tfoot th thead tr")
 SIBLINGS = {"li": words("li"), "dt": words("dt dd"), "dd": words("dt dd"), "tr": words("tr td th"), "td": words("td th"), "th": words("td th"), "option": words("option"), "tbody": words("tbody thead tfoot tr td th")}
 FENCES = words("table ul ol dl div article section body td th button")
 RAW = words("script style title textarea xmp iframe noembed noframes noscript")
-#: Elements that are never the article's text.
-NOISE = words(
-    "head script style title noscript template nav footer aside form button select option datalist textarea iframe noembed noframes xmp"
-    " object applet embed svg math canvas audio video dialog menu search map"
-)
+#: Elements that are never text to be read, and those around an article. The latter stay in the tree, as a page's text may be in one, but never in what is chosen.
+NOISE = words("head script style title noscript template button select option datalist textarea iframe noembed noframes xmp object applet embed svg canvas audio video map")
+SHELL = words("nav footer aside form dialog menu search")
 NOISE_ROLES = words("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form")
-#: Words in class or id that mark noise; those of the second line do not count beside words for content.
+#: Words in class or id that make an element suspect; those of the second line do not count beside words for content.
 NOISE_WORDS = words(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion cookie cookies consent gdpr notice notices popup modal overlay"
     " newsletter subscribe subscription comment comments disqus respond replies reactions related recommended share sharing social login signup breadcrumb breadcrumbs pagination pager"
@@ -43,7 +41,11 @@ _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)
 #: One attribute after another: a name, and its value if it has one.
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=][^\s>/=]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?|["'=]""")
 _WORD = re.compile(r"[a-z0-9]+")
-_COMMENT_ID = re.compile(r"comments?(?:[-_]\d+)?")
+#: Classes and ids, as a whole, of reader comments.
+COMMENTS = words("comment comments comment-list commentlist comment-section comments-area comment-thread reader-comments respond disqus_thread")
+_COMMENT_ID = re.compile(r"comments?[-_]\d+")
+#: What a suspect's density counts for: a weak prior, as it can still be the densest part of a page.
+SUSPECT = 0.1
 
 
 def _attributes(source: str) -> dict[str, str]:
@@ -55,27 +57,26 @@ def _attributes(source: str) -> dict[str, str]:
     return found
 
 
-def _noise(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
-    """Whether an element is dropped with all that is in it (by its tag, as hidden, by its role, or by words of its class and id), and whether it is suspect.
+def _noise(tag: str, attributes: str) -> str:
+    """``never`` for an element that isn't text to be read (by its tag, hidden, or reader comments), ``shell`` for one around an article (by its tag or role), ``suspect`` for one
+    that words of its class or id make suspect, else nothing.
 
-    Inside an article or main, and on paragraphs, words only make suspect: the density decides, adjusted by links. On headings they don't count.
+    A suspect isn't dropped for its words: they weigh on its density, and the density decides. On headings and paragraphs they don't count.
     """
-    if tag in NOISE or tag == "header" and not in_article:
-        return True, False
-    if not attributes or tag in ("html", "body", "main"):
-        return False, False
-    found = _attributes(attributes)
-    if tag == "article":
-        return bool({"comment", "comments"} & set(found.get("class", "").split()) or _COMMENT_ID.fullmatch(found.get("id", ""))), False
+    if tag in NOISE:
+        return "never"
+    found = _attributes(attributes) if attributes and tag not in ("html", "body") else {}
     if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")):
-        return True, False
-    if found.get("role") in NOISE_ROLES:
-        return True, False
-    if tag in HEADINGS:
-        return False, False
+        return "never"
+    plain = tag in HEADINGS or tag == "p"
+    if not plain and (COMMENTS & {found.get("id", ""), *found.get("class", "").split()} or _COMMENT_ID.fullmatch(found.get("id", ""))):
+        return "never"
+    if tag in SHELL or found.get("role") in NOISE_ROLES:
+        return "shell"
+    if not found or plain or tag in ("article", "main"):
+        return ""
     names = set(_WORD.findall(f"{found.get('class', '')} {found.get('id', '')}"))
-    marked = bool(names & NOISE_WORDS) or bool(names & SHELL_WORDS) and not names & CONTENT_WORDS
-    return (False, marked) if in_article or tag == "p" else (marked, False)
+    return "suspect" if names & NOISE_WORDS or names & SHELL_WORDS and not names & CONTENT_WORDS else ""
 
 
 class Page:
@@ -86,6 +87,7 @@ class Page:
         self.chars, self.tags, self.link_chars, self.link_tags = [0], [0], [0], [0]
         self.chunks: list[tuple[int, int, str]] = []
         self.suspects: set[int] = set()
+        self.shells: set[int] = set()
         self._read(source)
 
     def _text(self, owner: int, block: int, linked: bool, text: str) -> None:
@@ -161,8 +163,8 @@ class Page:
                 if tag not in VOID and not selfclosed:
                     skip.append(tag)
                 continue
-            noise, suspect = _noise(tag, attributes, articles > 0)
-            if noise:
+            noise = "shell" if tag == "header" and not articles else _noise(tag, attributes)
+            if noise == "never":
                 block += 1
                 if tag not in VOID and not selfclosed:
                     if tag in ENDS_P:
@@ -181,8 +183,8 @@ class Page:
             if tag in BLOCK:
                 block += 1
             node = len(self.tag)
-            if suspect:
-                self.suspects.add(node)
+            if noise:
+                (self.shells if noise == "shell" else self.suspects).add(node)
             self.tag.append(tag)
             self.parent.append(stack[-1])
             self.end.append(node)
@@ -229,63 +231,85 @@ class Page:
         base = math.log(c / plain * lc + body_links * c + math.e)
         return c / t * math.log(c / lc * t / lt) / math.log(base)
 
-    def content(self) -> list[int]:
-        """The nodes whose subtrees are the main text: that of the greatest density sum, and others above the body path's threshold."""
+    def densities(self) -> tuple[list[float], list[float]]:
+        """The density of each block, and the sum of those of its child blocks (and of the text beside them); those of suspects and all in them count for less."""
         n = len(self.tag)
-        if not self.chars[0]:
-            return []
-        ratio = self.link_chars[0] / self.chars[0]
-        density, total = [0.0] * n, [0.0] * n
-        blocks = [i for i in range(n) if self.tag[i] in BLOCK]
-        own = list(self.chars)
-        for i in blocks:
-            density[i] = self.density(i, ratio)
-            up = self.parent[i]
-            while up > 0 and self.tag[up] not in BLOCK:
-                up = self.parent[up]
-            if up >= 0:
+        ratio = self.link_chars[0] / max(1, self.chars[0])
+        density, total, own = [0.0] * n, [0.0] * n, list(self.chars)
+        prior = [1.0] * n
+        for i in range(n):
+            if i:
+                prior[i] = 1.0 if self.tag[i] in ("article", "main") else SUSPECT if i in self.suspects or i in self.shells else prior[self.parent[i]]
+            if self.tag[i] not in BLOCK:
+                continue
+            density[i] = self.density(i, ratio) * prior[i]
+            if i and (up := self._block_above(i)) >= 0:
                 total[up] += density[i]
                 own[up] -= self.chars[i]
-        for i in blocks:  # text that stands beside child blocks counts as one more child
+        for i in range(n):  # text that stands beside child blocks counts as one more child
             if total[i] and own[i] > 0:
-                total[i] += own[i]
+                total[i] += own[i] * prior[i]
+        return density, total
+
+    def _block_above(self, node: int) -> int:
+        up = self.parent[node]
+        while up > 0 and self.tag[up] not in BLOCK:
+            up = self.parent[up]
+        return up
+
+    def content(self) -> list[int]:
+        """The nodes whose subtrees are the main text: that of the greatest density sum (the first of equals), and what belongs to it by the body path's threshold.
+
+        The threshold is the least density on the path from that node up to the body. Blocks beside the path belong to the text if they are as dense; within the
+        elements that lie between it is enough not to be links for the most part, unless their class or id makes them suspect.
+        """
+        if not self.chars[0]:
+            return []
+        n = len(self.tag)
+        density, total = self.densities()
+        blocks = [i for i in range(n) if self.tag[i] in BLOCK]
         best = max(blocks, key=lambda i: total[i])
-        named = max((i for i in blocks if self.tag[i] in ("article", "main")), key=lambda i: self.chars[i], default=0)
-        if best == 0 and self.chars[named] * 2 > self.chars[0] or not total[best]:  # the sum of a few words says little
-            return [named if self.chars[named] else 0]
+        if best == 0 or not total[best]:  # of a page of a few words the sums say little
+            named = max((i for i in blocks if self.tag[i] in ("article", "main")), key=lambda i: self.chars[i], default=0)
+            return [named if self.chars[named] * 2 > self.chars[0] else 0]
         path = [best]
         while path[-1] > 0:
-            path.append(self.parent[path[-1]])
-        for name in ("article", "main"):
-            if around := [i for i in path if self.tag[i] == name]:
-                return [around[-1]]
-        threshold = min(density[i] for i in path if self.tag[i] in BLOCK)
-        above = set(path[1:])
+            path.append(self._block_above(path[-1]))
+        threshold = min(density[i] for i in path)
         chosen = [best]
         for i in blocks:
-            inside = any(j <= i <= self.end[j] for j in chosen) or i <= best <= self.end[i]
-            if inside or not self.chars[i]:
+            if not self.chars[i] or i in path or i in self.shells and self._block_above(i) or (up := self._block_above(i)) not in path[1:]:
                 continue
-            head = self.tag[i] in HEADS and self.parent[i] in above and self.link_chars[i] * 2 <= self.chars[i]
-            if head and (self.parent[i] > 0 or self.tag[i] in ("h1", "h2")) or density[i] >= threshold > 0 and (total[i] > 0 or head):
+            plain = self.link_chars[i] * 2 <= self.chars[i]
+            if up:
+                belongs = plain if i not in self.suspects else density[i] >= threshold
+            else:
+                belongs = plain and self.tag[i] in ("h1", "h2") or density[i] >= threshold and total[i] > 0
+            if belongs:
                 chosen.append(i)
         return sorted(chosen)
 
-    def linked_noise(self) -> list[bool]:
-        """For each node whether it is in a suspect that is mostly links, and less dense than all blocks around it."""
+    def dropped(self, chosen: list[int]) -> list[bool]:
+        """For each node whether it is in a shell within what is chosen, or in a suspect that is less dense than all blocks around it; within an article or main, only if it is mostly links."""
         ratio = self.link_chars[0] / max(1, self.chars[0])
-        gone, least = [False], [self.density(0, ratio)]
+        gone, least, inside = [False], [self.density(0, ratio)], [False]
         for i in range(1, len(self.tag)):
             up = self.parent[i]
-            block, suspect = self.tag[i] in BLOCK, i in self.suspects and self.link_chars[i] * 2 > self.chars[i]
+            block, suspect = self.tag[i] in BLOCK, i in self.suspects
             own = self.density(i, ratio) if block or suspect else math.inf
-            gone.append(gone[up] or suspect and own < least[up])
-            least.append(min(least[up], own) if block else least[up])
+            if i in chosen:
+                gone.append(False)
+            elif suspect:
+                gone.append(gone[up] or (own < least[up] and self.link_chars[i] * 2 > self.chars[i] if inside[up] else own * SUSPECT < least[up]))
+            else:
+                gone.append(gone[up] or i in self.shells)
+            least.append(min(least[up], own) if block and not suspect else least[up])
+            inside.append(inside[up] or self.tag[i] in ("article", "main"))
         return gone
 
     def text(self) -> str:
         chosen = self.content()
-        gone = self.linked_noise() if self.suspects else None
+        gone = self.dropped(chosen) if self.suspects or self.shells else None
         out: list[str] = []
         last, parts = None, []
         k = 0

@@ -1,6 +1,11 @@
+import random
+import re
+from html import unescape
+
 import pytest
 
-from lexloom.llm.html_text import extract_text, main_text
+from lexloom.llm import html_text
+from lexloom.llm.html_text import Page, extract_text, main_text
 
 ARTICLE = "<h1>A title of it</h1><p>First paragraph of some length, with words.</p><p>Second paragraph, also of some length.</p>"
 WANT = "A title of it\n\nFirst paragraph of some length, with words.\n\nSecond paragraph, also of some length."
@@ -84,3 +89,86 @@ def test_headings_and_paragraphs_outside_an_article():
 def test_an_article_is_not_dropped_for_a_word():
     for attributes in ('data-comments="3" class="post sponsored related"', 'id="comment-on-the-law"', 'class="comments-open"'):
         assert main_text(f"<body><article {attributes}>{ARTICLE}</article>") == WANT
+
+
+def pages():
+    import pyarrow.parquet as pq
+
+    return pq.read_table("/root/testdata/sf0.001/pages.parquet").column("html").to_pylist()
+
+
+def article_text(page):
+    """What stands in the only article of a page that has just headings, paragraphs, b and br."""
+    inner = re.search("<article>(.*)</article>", page, re.S)[1]
+    blocks = re.split("</?(?:h1|p)>", inner)
+    return "\n\n".join(x for x in (" ".join(unescape(re.sub("<[^>]*>", lambda m: " " if m[0] == "<br>" else "", b)).split()) for b in blocks) if x)
+
+
+def test_pages_as_they_are_and_without_their_telling_tags():
+    plain = [re.sub("</?article>", lambda m: m[0].replace("article", "div"), p) for p in pages()]
+    for p, q in zip(pages(), plain):
+        assert main_text(p) == article_text(p)
+        assert main_text(q) == article_text(p)
+
+
+def test_the_density_decides(monkeypatch):
+    """Neither tags nor words find the text by themselves: another measure finds other text."""
+    found = [main_text(p) for p in pages()]
+    r = random.Random(0)
+    monkeypatch.setattr(html_text.Page, "density", lambda self, node, links: r.random())
+    assert any(main_text(p) != x for p, x in zip(pages(), found))
+    monkeypatch.setattr(html_text.Page, "density", lambda self, node, links: self.link_chars[node] / max(1, self.chars[node]))
+    assert all(main_text(p) != x for p, x in zip(pages(), found))
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_density_sums_against_a_plain_tree(seed):
+    """Sums over children, by recursion; the subtree of the greatest sum is chosen."""
+    r = random.Random(seed)
+
+    def tree(depth):
+        if depth == 0 or r.random() < 0.3:
+            return ("p", "w" * r.randint(1, 60), [])
+        return ("div", "", [tree(depth - 1) for _ in range(r.randint(1, 4))])
+
+    def html(t):
+        return f"<{t[0]}>{t[1]}{''.join(map(html, t[2]))}</{t[0]}>"
+
+    def chars(t):
+        return len(t[1]) + sum(map(chars, t[2]))
+
+    def tags(t):
+        return sum(1 + tags(c) for c in t[2])
+
+    def density(t):
+        import math
+
+        c, n = chars(t), max(1, tags(t))
+        return c / n * math.log(c * n) / math.log(math.log(1 + math.e))
+
+    def walk(t):
+        yield t
+        for c in t[2]:
+            yield from walk(c)
+
+    body = ("body", "", [tree(4) for _ in range(3)])
+    page = Page("".join(map(html, body[2])))
+    nodes = list(walk(body))
+    density_, total = page.densities()
+    assert total == pytest.approx([sum(map(density, t[2])) for t in nodes])
+    best = max(range(len(nodes)), key=lambda i: total[i])
+    assert not total[best] or best in page.content()
+
+
+def test_reader_comments_go_and_notices_of_an_article_stay():
+    comments = '<section class="comments"><p>I read this with great interest, and I disagree.</p></section>'
+    for box in ("article", "div"):
+        assert main_text(f"<body><{box}>{ARTICLE}{comments}</{box}></body>") == WANT
+    assert main_text(f'<body><article>{ARTICLE}<div class="notice promotion"><p>{TALK}</p></div><p class="share related">{TALK}</p><math>x</math></article>').startswith(f"{WANT}\n\n{TALK}\n\n{TALK}")
+
+
+def test_sections_belong_together():
+    one = f"<section><h2>One</h2>{'<p>' + TALK + '</p>'}{'<p>' + TALK + '</p>'}</section>"
+    two = "<section><h2>Two</h2><ul><li>a</li><li>b</li></ul></section>"
+    got = main_text(f"<body><nav>menu</nav><div class=ad>Buy.</div><div><h1>T</h1>{one}{two}<div>A line of text without a paragraph, in a box.</div></div></body>")
+    assert got == f"T\n\nOne\n\n{TALK}\n\n{TALK}\n\nTwo\n\na\n\nb\n\nA line of text without a paragraph, in a box."
