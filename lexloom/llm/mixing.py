@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,23 +24,28 @@ def source_targets(totals: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap:
     Sources in order of code points, null last, weigh ``weights`` in turn, and share the sum of all sizes. A target stops at
     ``cap`` times the source's size; the excess is shared again by weight. The level L at which sum(min(cap * size, weight * L))
     meets the total is found in one pass over the sources by rising cap * size / weight: L is where the first k of them stop.
-    The windows here run over the table of sources alone.
+    Ranks and sums over the sources are made by ranges, so a table of millions of sources is no single task's.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
     table = F.array(*map(F.lit, weights))
-    weighed = totals.withColumn("weight", F.element_at(table, ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int")).cast("long"))
-    rising = Window.orderBy((F.col("source_size") / F.col("weight")), F.col("source").asc_nulls_last())
-    every = Window.partitionBy(F.lit(0))
-    level = (
-        weighed.withColumn("before", F.sum("source_size").over(rising.rowsBetween(Window.unboundedPreceding, -1)))
-        .withColumn("lighter", F.sum("weight").over(rising.rowsBetween(Window.unboundedPreceding, -1)))
-        .withColumns({"total": F.sum("source_size").over(every), "heaviest": F.sum("weight").over(every)})
-        .withColumn("rest", F.col("total") - F.lit(cap) * F.coalesce("before", F.lit(0)))
-        .withColumn("level", F.col("rest") / (F.col("heaviest") - F.coalesce("lighter", F.lit(0))))
-        .withColumn("fits", F.col("source_size") * F.lit(cap) >= F.col("weight") * F.col("level"))
-        .withColumn("L", F.min(F.when(F.col("fits"), F.struct(F.row_number().over(rising).alias("k"), "level"))).over(every)["level"])
-    )
-    return level.select(*totals.columns, F.least((F.col("source_size") * F.lit(cap)).cast("double"), F.coalesce(F.col("weight") * F.col("L"), F.lit(0.0))).alias("target"))
+    ranked = _running(totals, [F.col("source").asc_nulls_last()], {"rank": F.lit(1)})
+    weighed = ranked.withColumn("weight", F.element_at(table, (F.col("rank") % len(weights) + 1).cast("int")).cast("long")).drop("rank")
+    rising = _running(weighed, [F.col("source_size") / F.col("weight"), F.col("source").asc_nulls_last()], {"k": F.lit(1), "before": F.col("source_size"), "lighter": F.col("weight")})
+    total, heaviest = rising.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    level = (F.lit(total) - F.lit(cap) * F.col("before")) / (F.lit(heaviest) - F.col("lighter"))
+    fits = rising.withColumn("level", level).where(F.col("source_size") * F.lit(cap) >= F.col("weight") * F.col("level"))
+    found = fits.agg(F.min(F.struct("k", "level"))["level"]).first()[0]
+    return rising.select(*totals.columns, F.least((F.col("source_size") * F.lit(cap)).cast("double"), F.col("weight") * F.lit(0.0 if found is None else found)).alias("target"))
+
+
+def _running(rows: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """Adds the sums over all rows before, in ``order``: sorted within ranges, plus the sums of the ranges before. The last window runs over the ranges alone."""
+    ranged = settle(rows.repartitionByRange(*order).withColumns({"_range": F.spark_partition_id()} | {f"_{k}": v.cast("long") for k, v in sums.items()}))
+    whole = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranged.groupBy(F.col("_range").alias("_r")).agg(*(F.sum(f"_{k}").alias(k) for k in sums))
+    starts = ranges.select("_r", *(F.coalesce(F.sum(k).over(whole), F.lit(0)).alias(f"_start_{k}") for k in sums))
+    within = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.join(starts, F.col("_range") == F.col("_r"))
+    return placed.select(*rows.columns, *((F.col(f"_start_{k}") + F.coalesce(F.sum(f"_{k}").over(within), F.lit(0))).alias(k) for k in sums))
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, seed: str = "", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -85,24 +92,40 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int
 def apply_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, seed: str = "", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``docs`` as the mix takes them: a row for each whole copy, then one with the words that are left over, if there are any.
 
-    Rows with equal id, source and text share evenly in what ``mix_sources`` takes of them, the words of the remainder going to each
-    one's cut (so such a group may differ from its budget by less than its number of rows). The row at a source's cut has its first words, joined by single spaces; all others have their texts unchanged.
+    Rows with equal id, source and text are interchangeable. What ``mix_sources`` takes of them is summed, and dealt to them in turn, by whole texts as
+    far as it goes, so the words of a source add up to its budget exactly. The row at a source's cut has its first words, joined by single spaces; all
+    others have their texts unchanged.
     """
     keys = ["_mix_id", "_mix_source", "_mix_key"]
     mixed = (
         mix_sources(docs, weights, cap, seed, id_col, text_col, source_col)
         .select(F.col(id_col).alias("_mix_id"), F.col(source_col).alias("_mix_source"), F.col("text_key").alias("_mix_key"), "size", "taken")
-        .groupBy(*keys).agg(F.first("size").alias("_mix_size"), F.floor(F.avg("taken")).cast("long").alias("_mix_taken")).where("_mix_taken > 0")
+        .groupBy(*keys).agg(F.first("size").alias("_mix_size"), F.sum("taken").alias("_mix_sum"), F.count(F.lit(1)).alias("_mix_rows")).where("_mix_sum > 0")
     )
     mixed = settle(mixed)
     names = [F.col(c) for c in docs.columns]
-    rows = docs.withColumn("_mix_row_key", F.xxhash64(text_col)).join(
+    rows = docs.withColumns({"_mix_row_key": F.xxhash64(text_col), "_mix_task": F.spark_partition_id()}).join(
         mixed, F.col(id_col).eqNullSafe(F.col("_mix_id")) & F.col(source_col).eqNullSafe(F.col("_mix_source")) & (F.col("_mix_row_key") == F.col("_mix_key"))
     )
+    one = rows.where("_mix_rows = 1").withColumn("_mix_nth", F.lit(0).cast("long"))
+    if not mixed.where("_mix_rows > 1").isEmpty():
+        # numbers among equal rows: within each task's share of them, plus the shares before; kept, so that both counts see the same shares
+        equal = settle(rows.where("_mix_rows > 1"))
+        share = Window.partitionBy(*keys, "_mix_task").orderBy(F.lit(0))
+        earlier = Window.partitionBy(*keys).orderBy("_mix_task").rowsBetween(Window.unboundedPreceding, -1)
+        starts = equal.groupBy(*keys, "_mix_task").count().withColumn("_mix_start", F.coalesce(F.sum("count").over(earlier), F.lit(0)))
+        starts = starts.select(*(F.col(c).alias(f"{c}_s") for c in (*keys, "_mix_task")), "_mix_start")
+        same = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"{c}_s")) for c in (*keys, "_mix_task")))
+        several = equal.withColumn("_mix_at", F.row_number().over(share) - 1).join(starts, same).withColumn("_mix_nth", F.col("_mix_start") + F.col("_mix_at"))
+        one = one.unionByName(several.select(*one.columns))
+    size, total, n = F.col("_mix_size"), F.col("_mix_sum"), F.col("_mix_rows")
+    each = F.floor(total / (n * size)) * size
+    over = total - each * n - F.col("_mix_nth") * size
+    taken = one.withColumn("_mix_taken", each + F.greatest(F.lit(0), F.least(size, over))).where("_mix_taken > 0")
     times = F.sequence(F.lit(0), (F.ceil(F.col("_mix_taken") / F.col("_mix_size")) - 1).cast("int"))
     words = F.slice(F.regexp_extract_all(F.col(text_col), F.lit(f"({WORD})"), F.lit(1)), F.lit(1), F.col("_mix_left").cast("int"))
     return (
-        rows.withColumn("_mix_nth", F.explode(times)).withColumn("_mix_left", F.col("_mix_taken") - F.col("_mix_nth") * F.col("_mix_size"))
+        taken.withColumn("_mix_copy", F.explode(times)).withColumn("_mix_left", F.col("_mix_taken") - F.col("_mix_copy") * F.col("_mix_size"))
         .withColumn(text_col, F.when(F.col("_mix_left") >= F.col("_mix_size"), F.col(text_col)).otherwise(F.array_join(words, " ")))
         .select(*names)
     )

@@ -82,6 +82,48 @@ def test_apply(spark):
     assert apply_mix(docs.limit(0)).count() == 0
 
 
+def test_apply_is_exact_on_repeated_rows(spark):
+    """Equal rows at a source's cut, in differing company; words are neither lost nor added."""
+    same = [(7, " ".join(f"w{k}" for k in range(14)), "a", f"x{i}", "", "") for i in range(7)]
+    rows = [*same, *((i, "one two three four five", "b", "", "", "") for i in range(40)), *((3, None, "a", "", "", ""),) * 2, (None, "null id here", None, "", "", ""), (None, "null id here", None, "", "", "")]
+    for n in (1, 3):
+        docs = table(spark, rows).repartition(n)
+        got = mix_sources(docs).collect()
+        want = {}
+        for r in got:
+            want[r.source] = want.get(r.source, 0) + r.taken
+        out = {}
+        for r in apply_mix(docs).collect():
+            out[r.source] = out.get(r.source, 0) + size(r.text)
+        assert out == {s: n for s, n in want.items() if n}
+    # a budget that ends within the equal rows: 7 * 14 words of "a" are 98, the other source is far smaller
+    few = [*same, *((i, "one two three", "b", "", "", "") for i in range(3))]
+    taken = [r.taken for r in mix_sources(table(spark, few), weights=(1, 1)).collect() if r.source == "a"]
+    assert sum(size(r.text) for r in apply_mix(table(spark, few), weights=(1, 1)).collect() if r.source == "a") == sum(taken)
+    assert 0 < sum(taken) < 98
+
+
+def test_many_sources(spark):
+    """Targets over several ranges of sources agree with brute force."""
+    r = random.Random(3)
+    rows = [(i, " ".join("w" for _ in range(r.randint(1, 9))), f"s{r.randint(0, 400)}", "", "", "") for i in range(1500)]
+    sizes = {}
+    for _, text, source, *_ in rows:
+        sizes[source] = sizes.get(source, 0) + size(text)
+    want = targets(sizes)
+    for x in mix_sources(table(spark, rows)).collect():
+        assert abs(x.target - want[x.source]) < 1e-6
+
+
+def test_a_very_long_text(spark):
+    docs = table(spark, [(1, "word " * 400_000, "a", "", "", ""), (2, "w " * 10, "b", "", "", "")])
+    taken = {r.doc_id: r.taken for r in mix_sources(docs).collect()}
+    out = {}
+    for x in apply_mix(docs).collect():
+        out[x.doc_id] = out.get(x.doc_id, 0) + size(x.text)
+    assert out == {k: v for k, v in taken.items() if v}
+
+
 def test_main_path_is_native(spark):
     plan = mix_sources(table(spark, [(1, "a", "s", "", "", "")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
