@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 #: Hexadecimal digits of the SHA-256 digest that the equi-join sees; the full digest confirms a hit.
 PREFIX_DIGITS = 8
-#: A rule list of at most so many rows is broadcast; a longer one is joined by shuffle.
-BROADCAST_RULES = 100_000
+#: A rule list of at most so many bytes is broadcast; a longer one is joined by shuffle.
+BROADCAST_BYTES = 32 << 20
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -33,11 +33,12 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", keep: t
     if the path starts with the rule's. The longest rule (host and path together, then host) wins; of rules with the same host
     and path, ``block`` wins. Returns the columns ``keep``, then ``host``, ``path``, ``rule`` (null if none fits) and ``verdict``.
 
-    Only expressions of the shapes that occur among the rules (labels of the host, length of the path) are made, which
-    loses no match. Equal (host, path) pairs are collapsed before they are expanded, so a hot URL costs one row.
+    A host is expanded into its suffixes (of as many labels as a rule has at most), which are joined with the rules' hosts; each that is one is
+    expanded into the path's prefixes of the lengths that the host's rules have. That loses no match, and makes no expression that can't be one. Both joins
+    are equi-joins on a short hash prefix, confirmed by the whole digest. Equal (host, path) pairs are collapsed before they are expanded, so a hot URL costs one row.
 
-    Null URLs, and those without ``://``, have an empty host and path and get ``default``; so does every row if there is no
-    rule. Repeated rows are each judged. Columns of ``pages`` outside ``keep`` are not read.
+    Null URLs, and those without ``://``, have an empty host and path, join with nothing and get ``default``; so does every row if there is no
+    rule. Repeated rows are each judged; of rules that tie, ``block`` wins. URLs and rules of any length are read whole. Columns of ``pages`` outside ``keep`` are not read.
     """
     host, path = host_and_path(F.col(url_col))
     rows = pages.select(*keep, host.alias("host"), path.alias("path"))
@@ -47,32 +48,31 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", keep: t
         .agg(F.max("action").alias("action"))
         .withColumn("rule", F.concat("host", "path"))
     )
-    shapes = sorted(tuple(r) for r in named.select(label_count(F.col("host")), F.length("path")).distinct().collect())
-    if not shapes:
-        return rows.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
+    most, size = named.agg(F.max(label_count(F.col("host"))), F.sum(F.octet_length("rule") * 2 + 200)).first()
+    unjudged = lambda df: df.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
+    if not most:
+        return unjudged(rows)
+    small = (lambda df: F.broadcast(df)) if size <= BROADCAST_BYTES else (lambda df: df)
     digest = lambda c: F.sha2(c, 256)
     short = lambda c: F.substring(c, 1, PREFIX_DIGITS)
-    listed = named.select(digest(F.col("rule")).alias("r_digest"), "rule", "action", F.length("host").alias("host_length")).withColumn("short", short(F.col("r_digest")))
-    if listed.count() <= BROADCAST_RULES:
-        listed = F.broadcast(listed)
-    labels = label_count(F.col("host"))
-    expressions = F.array(
-        *(
-            F.when((labels >= k) & (F.length("path") >= n), F.concat(F.substring_index("host", ".", -k), F.substring("path", 1, n)))
-            for k, n in shapes
-        )
-    )
+    known = named.groupBy("host").agg(F.collect_set(F.length("path")).alias("lengths")).select(digest(F.col("host")).alias("k_digest"), "lengths").withColumn("k_short", short(F.col("k_digest")))
+    listed = named.select(digest(F.col("rule")).alias("r_digest"), "rule", "action", F.length("host").alias("host_length")).withColumn("r_short", short(F.col("r_digest")))
+    labels = F.sequence(F.lit(1), F.least(label_count(F.col("host")), F.lit(most)))
+    suffixes = F.transform(labels, lambda k: F.call_function("substring_index", F.col("host"), F.lit("."), -k))
+    fitting = F.filter("lengths", lambda n: n <= F.length("path"))
     hits = (
         rows.select("host", "path").where("host != ''").distinct()
-        .select("host", "path", F.explode(F.array_compact(expressions)).alias("expression"))
-        .select("host", "path", digest(F.col("expression")).alias("digest"))
-        .withColumn("short", short(F.col("digest")))
-        .join(listed, "short")
-        .where("digest = r_digest")
+        .select("host", "path", F.explode(suffixes).alias("suffix"))
+        .withColumn("digest", digest(F.col("suffix"))).withColumn("short", short(F.col("digest")))
+        .join(small(known), (F.col("short") == F.col("k_short")) & (F.col("digest") == F.col("k_digest")))
+        .select("host", "path", F.explode(F.transform(fitting, lambda n: F.concat("suffix", F.substring(F.col("path"), F.lit(1), n)))).alias("expression"))
+        .withColumn("digest", digest(F.col("expression"))).withColumn("short", short(F.col("digest")))
+        .join(small(listed), (F.col("short") == F.col("r_short")) & (F.col("digest") == F.col("r_digest")))
     )
     best = hits.groupBy("host", "path").agg(
         F.max_by(F.struct("rule", "action"), F.struct(F.length("rule"), "host_length", "action")).alias("best")
     )
-    return rows.join(best, ["host", "path"], "left").select(
+    judged = rows.where("host != ''").join(best, ["host", "path"], "left").select(
         *keep, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict")
     )
+    return judged.unionByName(unjudged(rows.where("host = ''")))

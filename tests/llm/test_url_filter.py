@@ -33,7 +33,7 @@ def test_against_brute_force(spark, rules):
 
 
 def test_same_without_broadcast(spark, rules, monkeypatch):
-    monkeypatch.setattr("lexloom.llm.url_filter.BROADCAST_RULES", 0)
+    monkeypatch.setattr("lexloom.llm.url_filter.BROADCAST_BYTES", 0)
     rows = spark.createDataFrame([(1, URLS[0])], "page_id long, url string")
     assert judge_urls(rows, rules).first().rule == "example.org/es/"
 
@@ -45,3 +45,12 @@ def test_empty_tables_and_ties(spark, rules):
     assert [r.verdict for r in judge_urls(pages, rules.limit(0)).collect()] == ["allow", "allow"]
     twice = rules.limit(0).union(spark.createDataFrame([("a.org", "/", "allow"), ("a.org", "/", "block"), (None, "/", "block"), ("", "/", "block")], rules.schema))
     assert {r.verdict for r in judge_urls(pages, twice).where(F.col("host") == "a.org").collect()} == {"block"}
+
+
+def test_very_long_urls_and_many_rule_lengths(spark):
+    dots = "http://" + "a." * 20_000 + "example.org/en/1" + "x" * 100_000
+    many = [("b.net", "/" + "p" * n, "block" if n % 2 else "allow") for n in range(300)]
+    listed = spark.createDataFrame([*RULES, *many], "host string, path string, action string")
+    pages = spark.createDataFrame([(1, dots), (2, "http://c.b.net/" + "p" * 150), (3, "http://b.net/" + "p" * 1000)], "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in judge_urls(pages, listed).collect()}
+    assert got == {1: ("example.org/en/1", "block"), 2: ("b.net/" + "p" * 150, "allow"), 3: ("b.net/" + "p" * 299, "block")}
