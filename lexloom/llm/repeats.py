@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import reduce
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -177,10 +178,14 @@ def _runs_of(row: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 _SHARD = "key long, n int, left int, roots binary, before binary, columns binary"
 
 
-def _shard_row(key: int, roots: np.ndarray, before: np.ndarray, data: list[bytes]) -> tuple:
-    """A shard's blocks of one key: their transform, and for each block its root (key, block, place in it) and the bytes before its anchor."""
+def _cells(values: np.ndarray, kind: str) -> list[bytes]:
+    return [x.tobytes() for x in values.astype(kind)]
+
+
+def _packed(roots: np.ndarray, before: np.ndarray, data: list[bytes]) -> tuple:
+    """A shard's blocks of one key: their number, the transform, and for each block its root (key, block, place in it) and the bytes before its anchor."""
     t = Transform.of(data, before)
-    return key, len(data), t.left, roots.astype("<i8").tobytes(), before.astype("<i4").tobytes(), t.columns.tobytes()
+    return len(data), t.left, roots.astype("<i8").tobytes(), before.astype("<i4").tobytes(), t.columns.tobytes()
 
 
 def _shard_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -226,12 +231,10 @@ def _repeated_runs(shards: DataFrame, least: int) -> DataFrame:
 def _as_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks as shards of one block."""
     for batch in batches:
-        rows = [
-            _shard_row(key, np.array([[r_key, r_block, shift]]), np.array([a]), [data])
-            for key, r_key, r_block, shift, a, data in zip(*(batch.column(c).to_pylist() for c in ("key", "r_key", "r_block", "shift", "a_off", "data")))
-        ]
-        if rows:
-            yield _shard_batch(rows)
+        if batch.num_rows:
+            r_key, r_block, shift, before = (batch.column(c).to_numpy() for c in ("r_key", "r_block", "shift", "a_off"))
+            roots = np.stack([r_key, r_block, shift], axis=1)
+            yield _shard_batch([*zip(batch.column("key").to_pylist(), repeat(1), before.tolist(), _cells(roots, "<i8"), _cells(before, "<i4"), batch.column("data").to_pylist())])
 
 
 def _narrower(blocks: DataFrame, least: int, level: int, widest: int) -> DataFrame:
@@ -350,18 +353,19 @@ def remove_repeats(docs: DataFrame, least: int = 200, crowd: int = CROWD, id_col
                     text, at = text.encode(), len(data)
                     data += [text[x : y + least] for x, y in zip(lo[at : at + size].tolist(), hi[at : at + size].tolist())]
                 order = np.lexsort((block, key))
-                single = crowded[order]
+                roots = np.stack([key, block, np.zeros(len(key), np.int64)], axis=1)
+                before = a - lo
                 new = np.ones(len(order), bool)
-                new[1:] = (key[order][1:] != key[order][:-1]) | single[1:]
+                new[1:] = (key[order][1:] != key[order][:-1]) | crowded[order][1:]
                 starts = np.flatnonzero(new)
-                rows, big = [], []
-                for x, y in zip(starts.tolist(), np.append(starts[1:], len(order)).tolist()):
-                    pick = order[x:y]
-                    row = _shard_row(int(key[pick[0]]), np.stack([key[pick], block[pick], np.zeros(len(pick), np.int64)], axis=1), a[pick] - lo[pick], [data[i] for i in pick])
-                    rows.append(row)
-                    big.append(bool(crowded[pick[0]]))
+                ends = np.append(starts[1:], len(order))
+                lone = order[starts[ends - starts == 1]]  # a transform of one block is the block
+                several = [order[x:y] for x, y in zip(starts.tolist(), ends.tolist()) if y - x > 1]
+                rows = [(int(key[p[0]]), *_packed(roots[p], before[p], [data[i] for i in p])) for p in several]
+                rows += zip(key[lone].tolist(), repeat(1), before[lone].tolist(), _cells(roots[lone], "<i8"), _cells(before[lone], "<i4"), [data[i] for i in lone])
                 if rows:
                     out = _shard_batch(rows)
+                    big = np.append(np.zeros(len(several), bool), crowded[lone])
                     yield pa.RecordBatch.from_arrays([*out.columns, pa.array(big)], names=[*out.schema.names, "crowded"])
 
     pieces = stash(held.mapInArrow(cut, _SHARD + ", crowded boolean"))
