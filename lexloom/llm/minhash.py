@@ -6,7 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import utf8_column
@@ -15,8 +16,10 @@ from .components import components
 
 #: Registers of a signature, and registers of a band: two texts of similarity 0.8 miss each other in all bands once in 20 million.
 REGISTERS, ROWS = 128, 4
-#: Of 128 one-bit registers a pair of similarity s differs in 64 (1 - s); pairs of 0.8 in 12.8, and in more than 36 once in 10**10.
+#: Of 128 one-bit registers a pair of similarity s differs in 64 (1 - s). Members that differ from their leader in more are not verified with it at first; they are compared later.
 MOST_BITS = 36
+#: The most members and features of a block of a family.
+BLOCK_ROWS, BLOCK_FEATURES = 256, 1 << 16
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x100000001B3 | 1
 
@@ -157,55 +160,70 @@ def _sketch(column: pa.Array, width: int) -> np.ndarray:
     return bag_minhash(text, key, count.astype(np.float64), len(starts))
 
 
-def overlap(a: pa.Array, b: pa.Array, width: int = 5) -> np.ndarray:
-    """The multiset Jaccard similarity of the shingles of two columns of texts, row by row."""
-    parts = []
-    for column in (a, b):
-        raw, starts, ends = utf8_column(column)
-        parts.append(shingles(raw, starts, ends, width))
-    n = len(a)
-    size = sum(np.bincount(t, weights=c, minlength=n) for t, _, c in parts)
-    out = np.zeros(n)
-    step = 1 << 16
-    for lo in range(0, n, step):
-        keys, counts = [], []
-        for text, key, count in parts:
-            x, y = np.searchsorted(text, [lo, lo + step])
-            keys.append((text[x:y] - lo).astype(np.uint64) << np.uint64(48) | key[x:y])
-            counts.append(count[x:y])
-        both, i, j = np.intersect1d(keys[0], keys[1], assume_unique=True, return_indices=True)
-        out[lo : lo + step] = np.bincount((both >> np.uint64(48)).astype(np.int64), weights=np.minimum(counts[0][i], counts[1][j]), minlength=min(step, n - lo))
-    return np.divide(out, size - out, out=np.zeros(n), where=size > out)
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, least: float, width: int) -> DataFrame:
-    """Of ``pairs`` (u, v) those whose texts (``texts`` has one row per node) have at least that similarity."""
-    side = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"{c}_text"))
-    both = pairs.join(side("u"), "u").join(side("v"), "v")
+def bags(column: pa.Array, width: int = 5) -> pa.Array:
+    """The shingles of each text as a set of features, sorted, in six bytes each: a shingle that occurs c times is c features, its first to its c-th copy.
+
+    The sizes of the intersection and the union of two such sets are the sums of the minima and the maxima of the counts.
+    """
+    raw, starts, ends = utf8_column(column)
+    text, key, count = shingles(raw, starts, ends, width)
+    row = np.repeat(text, count)
+    nth = (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)).astype(np.uint64)
+    key = np.repeat(key, count)
+    again = nth > 0
+    key[again] = mix(key[again] ^ mix(nth[again])) >> np.uint64(16)
+    for a in range(0, len(starts), 1 << 16):  # 16 bits of text and 48 of feature in one word
+        x, y = np.searchsorted(row, [a, a + (1 << 16)])
+        key[x:y] = np.sort((row[x:y] - a).astype(np.uint64) << np.uint64(48) | key[x:y]) & np.uint64((1 << 48) - 1)
+    packed = np.ascontiguousarray(key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+    cuts = np.searchsorted(row, np.arange(len(starts) + 1)) * 6
+    return pa.array([packed[x:y] for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist())], pa.binary())
+
+
+def features(column: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of ``bags``: the row of each feature, the feature, and the number of features of each row."""
+    size = np.fromiter(map(len, column), np.int64, len(column)) // 6
+    wide = np.zeros((int(size.sum()), 8), np.uint8)
+    wide[:, :6] = np.frombuffer(b"".join(column), np.uint8).reshape(-1, 6)
+    return np.repeat(np.arange(len(column)), size), wide.view("<u8").ravel(), size
+
+
+def overlap(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """The multiset Jaccard similarity of the shingles of two columns of ``bags``, row by row."""
+    out = np.zeros(len(a))
+    for lo in range(0, len(a), 1 << 16):
+        sides = [features(x[lo : lo + (1 << 16)]) for x in (a, b)]
+        tagged = [row.astype(np.uint64) << np.uint64(48) | key for row, key, _ in sides]
+        both = np.intersect1d(*tagged, assume_unique=True) >> np.uint64(48)
+        n = len(sides[0][2])
+        common = np.bincount(both.astype(np.int64), minlength=n)
+        whole = sides[0][2] + sides[1][2] - common
+        out[lo : lo + n] = np.divide(common, whole, out=np.zeros(n), where=whole > 0)
+    return out
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Of ``pairs`` (u, v) those whose texts (``texts`` has the bag of each node) have at least that similarity."""
+    side = lambda c: texts.select(F.col("node").alias(c), F.col("bag").alias(f"{c}_bag"), F.col("size").alias(f"{c}_size"))
+    both = pairs.join(side("u"), "u").join(side("v"), "v").where(_may_match(F.col("u_size"), F.col("v_size"), least))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                ok = overlap(part.column("u_text"), part.column("v_text"), width) >= least - 1e-12
+                ok = overlap(part.column("u_bag").to_pylist(), part.column("v_bag").to_pylist()) >= least - 1e-12
                 yield pa.RecordBatch.from_arrays([part.column("u"), part.column("v")], names=["u", "v"]).filter(pa.array(ok))
 
-    return both.select("u", "v", "u_text", "v_text").mapInArrow(check, "u long, v long")
+    return both.select("u", "v", "u_bag", "v_bag").mapInArrow(check, "u long, v long")
 
 
-def overlap_matrix(a: list[tuple[np.ndarray, np.ndarray]], b: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """The multiset Jaccard similarities of each of ``a`` with each of ``b``; a text is its shingles' sorted hashes and counts.
+def _may_match(a: Column, b: Column, least: float) -> Column:
+    """Sets of similarity ``least`` have sizes of at least that ratio."""
+    return F.least(a, b) >= F.greatest(a, b) * F.lit(least - 1e-9)
 
-    A shingle that occurs c times is c features, its first to its c-th copy, so that the sum of minima is a count of features in common.
-    """
-
-    def features(side: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        count = np.concatenate([c for _, c in side])
-        key = np.repeat(np.concatenate([k for k, _ in side]), count)
-        nth = np.arange(len(key)) - np.repeat(np.cumsum(count) - count, count)
-        size = np.array([int(c.sum()) for _, c in side])
-        return np.repeat(np.arange(len(side)), size), np.where(nth, mix(key ^ mix(nth.astype(np.uint64))), key), size
 
+def overlap_matrix(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """The multiset Jaccard similarities of each of ``a`` with each of ``b``, columns of ``bags``."""
     row_a, key_a, size_a = features(a)
     row_b, key_b, size_b = features(b)
     both = np.intersect1d(key_a, key_b)
@@ -225,71 +243,34 @@ def overlap_matrix(a: list[tuple[np.ndarray, np.ndarray]], b: list[tuple[np.ndar
     return np.divide(common, whole, out=np.zeros(common.shape), where=whole > 0)
 
 
-def _chunks(family: DataFrame, extra: list[str], rows: int) -> DataFrame:
-    """The members of each family in blocks of about ``rows``, those of the head's own component apart from the others."""
-    away = F.col("own") != F.col("head")
-    sizes = stash(family.groupBy("head", away.alias("away")).count().select(F.col("head").alias("h"), F.col("away").alias("w"), F.ceil(F.col("count") / rows).alias("parts")))
-    cut = family.withColumn("away", away).join(sizes, (F.col("head") == F.col("h")) & (F.col("away") == F.col("w")))
-    packed = cut.groupBy("head", "away", F.pmod(F.xxhash64("node"), F.col("parts")).alias("chunk")).agg(F.collect_list(F.struct("node", "own", *extra)).alias("members"))
-    packed = stash(packed)
-    unstash(sizes)
-    return packed
-
-
-def _against(blocks: DataFrame) -> DataFrame:
-    """Each block of members that are apart with each block of its family that may hold partners, once."""
-    b = blocks.select(F.col("head").alias("b_head"), F.col("away").alias("b_away"), F.col("chunk").alias("b_chunk"), F.col("members").alias("b"))
-    a = blocks.where("away").select("head", "chunk", F.col("members").alias("a"))
-    return a.join(b, (F.col("head") == F.col("b_head")) & (~F.col("b_away") | (F.col("b_chunk") >= F.col("chunk"))))
-
-
-def _left_apart(family: DataFrame, signatures: DataFrame, texts: DataFrame, least: float, width: int) -> DataFrame:
+def _left_apart(family: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """Links (u, v) that join all members of a family, of different components, whose texts are similar.
 
-    Members outside the head's component meet all others in blocks. First by short signatures, one byte a register: members without any
-    partner whose estimate is within five standard deviations of ``least`` drop out. Then by their shingles, exactly. A pair of
-    blocks gives at most a link for each member, as only the components matter.
+    Members outside the head's component meet all others whose size allows the similarity: members are cut into blocks by the logarithm of their size, in steps of
+    ``least``, so only blocks of equal or neighbouring steps meet. All pairs of two blocks are decided exactly, by their features; what leaves
+    them is at most a link for each component, as only the components matter. A block has a bounded number of members and features, or is one text.
     """
-    floor = least - 5 * np.sqrt(least * (1 - least) / REGISTERS)
     split = family.where("own != head").select(F.col("head").alias("h")).distinct()
-    family = stash(family.join(split, F.col("head") == F.col("h")).select("head", "node", "own"))
-    blocks = _chunks(family.join(signatures, "node"), ["short"], 512)
-
-    def guess(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                sides = []
-                for c in "ab":
-                    values = batch.column(c)[r].values
-                    x = np.frombuffer(b"".join(values.field("short").to_pylist()), np.uint8).reshape(len(values), -1)
-                    sides.append((values.field("node").to_numpy(), values.field("own").to_numpy(), x))
-                (node_a, own_a, x), (node_b, own_b, y) = sides
-                same = np.zeros((len(x), len(y)), np.int16)
-                for k in range(x.shape[1]):
-                    same += x[:, k, None] == y[None, :, k]
-                maybe = (same >= floor * REGISTERS) & (own_a[:, None] != own_b[None, :])
-                seen = np.concatenate([node_a[maybe.any(axis=1)], node_b[maybe.any(axis=0)]])
-                own = np.concatenate([own_a[maybe.any(axis=1)], own_b[maybe.any(axis=0)]])
-                if len(seen):
-                    yield pa.RecordBatch.from_arrays([pa.array([batch.column("head")[r].as_py()] * len(seen)), pa.array(seen), pa.array(own)], names=["head", "node", "own"])
-
-    pairs = _against(blocks).select("head", "a", "b")
-    near = stash(pairs.mapInArrow(guess, "head long, node long, own long").distinct())
-    full = _chunks(near.join(texts, "node"), ["text"], 128)
+    family = family.join(split, F.col("head") == F.col("h")).select("head", "node", "own")
+    step = F.floor(F.log(F.greatest("size", F.lit(1)).cast("double")) / F.lit(-np.log(least) + 1e-12))
+    sized = stash(family.join(texts.select("node", "size"), "node").select("head", "node", "own", "size", step.alias("step"), (F.col("own") != F.col("head")).alias("away")))
+    parts = sized.groupBy("head", "step", "away").agg(F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(BLOCK_ROWS), F.sum("size") / F.lit(BLOCK_FEATURES))).alias("parts"))
+    parts = stash(parts.select(F.col("head").alias("h"), F.col("step").alias("s"), F.col("away").alias("w"), "parts"))
+    cut = sized.join(parts, (F.col("head") == F.col("h")) & (F.col("step") == F.col("s")) & (F.col("away") == F.col("w")))
+    cut = cut.select("head", "step", "away", F.pmod(F.xxhash64("node"), F.col("parts")).alias("chunk"), "node", "own").join(texts.select("node", "bag"), "node")
+    blocks = stash(cut.groupBy("head", "step", "away", "chunk").agg(F.collect_list("own").alias("own"), F.collect_list("bag").alias("bag")))
+    b = blocks.select(F.col("head").alias("b_head"), F.col("step").alias("b_step"), F.col("away").alias("b_away"), F.col("chunk").alias("b_chunk"), F.col("own").alias("b_own"), F.col("bag").alias("b_bag"))
+    near = F.explode(F.array(*(F.col("step") + k for k in (-1, 0, 1))))
+    a = blocks.where("away").select("head", "step", near.alias("other"), "chunk", F.col("own").alias("a_own"), F.col("bag").alias("a_bag"))
+    once = ~F.col("b_away") | (F.col("other") > F.col("step")) | (F.col("other") == F.col("step")) & (F.col("b_chunk") >= F.col("chunk"))
+    work = a.join(b, (F.col("head") == F.col("b_head")) & (F.col("other") == F.col("b_step")) & once).select("a_own", "a_bag", "b_own", "b_bag")
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                sides = []
-                for c in "ab":
-                    values = batch.column(c)[r].values
-                    raw, starts, ends = utf8_column(values.field("text"))
-                    row, key, count = shingles(raw, starts, ends, width)
-                    cuts = np.searchsorted(row, np.arange(len(values) + 1))
-                    sides.append((values.field("node").to_numpy(), values.field("own").to_numpy(), [(key[x:y], count[x:y]) for x, y in zip(cuts[:-1], cuts[1:])]))
-                (node_a, own_a, a), (node_b, own_b, b) = sides
-                hit = (overlap_matrix(a, b) >= least - 1e-9) & (own_a[:, None] != own_b[None, :])
-                i, j = np.nonzero(hit)
+                own_a, own_b = (batch.column(c)[r].values.to_numpy() for c in ("a_own", "b_own"))
+                a, b = (batch.column(c)[r].values.to_pylist() for c in ("a_bag", "b_bag"))
+                i, j = np.nonzero((overlap_matrix(a, b) >= least - 1e-9) & (own_a[:, None] != own_b[None, :]))
                 if len(i):
                     # the least component that each reaches within these blocks
                     uid, back = np.unique(np.concatenate([own_a[i], own_b[j]]), return_inverse=True)
@@ -305,8 +286,8 @@ def _left_apart(family: DataFrame, signatures: DataFrame, texts: DataFrame, leas
                         root = new
                     yield pa.RecordBatch.from_arrays([pa.array(uid), pa.array(uid[root])], names=["u", "v"])
 
-    found = settle(_against(full).select("a", "b").mapInArrow(decide, "u long, v long").where("u != v").distinct())
-    unstash(family, blocks, near, full)
+    found = settle(work.mapInArrow(decide, "u long, v long").where("u != v").distinct())
+    unstash(sized, parts, blocks)
     return found
 
 
@@ -319,9 +300,9 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, width: int = 5, id_col:
     Each node has 32 band hashes. Every bucket (nodes with a hash in common) has a leader, the member that has the most company in
     all its buckets, which is the original in a family of edited copies; members are verified against their leaders. Members whose
     component then differs from their leader's are compared with all other members of the buckets that the leader's component
-    leads, in blocks, and what leaves a pair of blocks is at most a link for each member. Thus a link between texts that share a
-    bucket is never lost, and no list of a group's pairs is ever made. All that grows with a bucket is summed before the shuffle, cut
-    into blocks, or split by Spark's skewed joins.
+    leads, in blocks, and what leaves a pair of blocks is at most a link for each component. Every comparison is exact, on hashed shingles of 48 bits; short
+    signatures only say which members are verified against their leaders first. Thus a link between texts that share a bucket is never lost, and no list of
+    a group's pairs is ever made. All that grows with a bucket is summed before the shuffle, cut into blocks, or split by Spark's skewed joins.
 
     Rows whose text is null or has no word, each are a class of their own. Rows of one id are judged by their own texts. A class whose ids
     are all null has a null id and is kept. An empty table gives an empty result; other columns are not read. ``with_key`` adds
@@ -346,28 +327,35 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, width: int = 5, id_col:
                 bits = np.packbits((mix(signature) & np.uint64(1)).astype(bool), axis=1).view(">i8").astype(np.int64)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, n * bands + 1, bands, dtype=np.int32)), pa.array(hashes.ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), part.column("key"), flat, *(pa.array(bits[:, i]) for i in range(2)), pa.array([r.tobytes() for r in mix(signature).astype(np.uint8)], pa.binary())],
-                    names=["id", "key", "bands", "b0", "b1", "short"],
-                )
+                    [part.column("id"), part.column("key"), flat, *(pa.array(bits[:, i]) for i in range(2))], names=["id", "key", "bands", "b0", "b1"]
+                )
 
-    every = settle(keyed.mapInArrow(sketch, f"id {id_type}, key string, bands array<long>, b0 long, b1 long, short binary"))
+    every = settle(keyed.mapInArrow(sketch, f"id {id_type}, key string, bands array<long>, b0 long, b1 long"))
     rows = every.where("key IS NOT NULL")
     # equal texts have equal signatures; once kept in the shared folder, a node's number stays what it is
-    nodes = rows.groupBy("key").agg(F.min("id").alias("least_id"), *(F.first(c).alias(c) for c in ("bands", "b0", "b1", "short")))
+    nodes = rows.groupBy("key").agg(F.min("id").alias("least_id"), *(F.first(c).alias(c) for c in ("bands", "b0", "b1")))
     nodes = stash(nodes.withColumn("node", F.monotonically_increasing_id()))
     entries = nodes.select("node", "b0", "b1", F.explode("bands").alias("band"))
     crowds = stash(entries.groupBy("band").count().where("count > 1"))
     shared = stash(entries.join(crowds, "band"))
     found = shared.select("node").distinct().join(nodes, "node").select("node", F.col("key").alias("k"), "least_id")
     texts = keyed.join(found, (F.col("key") == F.col("k")) & F.col("id").eqNullSafe(F.col("least_id"))).select("node", "text")
-    texts = stash(texts.dropDuplicates(["node"]))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                bag = bags(part.column("text"), width)
+                yield pa.RecordBatch.from_arrays([part.column("node"), pc.divide(pc.binary_length(bag), 6).cast(pa.int64()), bag], names=["node", "size", "bag"])
+
+    texts = stash(texts.dropDuplicates(["node"]).mapInArrow(pack, "node long, size long, bag binary"))
 
     company = shared.groupBy("node").agg(F.sum("count").alias("company"))
     lead = F.max_by(F.struct(F.col("node").alias("leader"), F.col("b0").alias("l0"), F.col("b1").alias("l1")), F.struct("company", "node"))
     leaders = stash(shared.join(company, "node").groupBy("band").agg(lead.alias("lead")).select("band", "lead.*"))
     differ = F.bit_count(F.col("b0").bitwiseXOR(F.col("l0"))) + F.bit_count(F.col("b1").bitwiseXOR(F.col("l1")))
     led = stash(shared.join(leaders, "band").where("node != leader").select("node", "leader", (differ <= MOST_BITS).alias("close")).distinct())
-    links = settle(_verified(led.where("close").select(F.col("node").alias("u"), F.col("leader").alias("v")), texts, least, width))
+    links = settle(_verified(led.where("close").select(F.col("node").alias("u"), F.col("leader").alias("v")), texts, least))
     first = settle(components(links))
 
     # what the leaders left apart: a family is all nodes of the buckets that a component's members lead
@@ -375,7 +363,7 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, width: int = 5, id_col:
     part = lambda df, c, out: df.join(name, F.col(c) == F.col("n"), "left").withColumn(out, F.coalesce("component", F.col(c))).drop("n", "component")
     family = part(part(led, "node", "own"), "leader", "head").select("head", "node", "own").distinct()
     family = stash(family.unionByName(part(led.select(F.col("leader").alias("node")).distinct(), "node", "own").select(F.col("own").alias("head"), "node", "own")).distinct())
-    more = _left_apart(family, nodes.select("node", "short"), texts, least, width)
+    more = _left_apart(family, texts, least)
     joined = components(links.unionByName(more))
 
     named = nodes.select(F.col("node").alias("n"), "key", "least_id").join(joined, F.col("n") == F.col("node"), "left").select("key", "least_id", F.coalesce("component", "n").alias("component"))

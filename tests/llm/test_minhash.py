@@ -74,6 +74,23 @@ def test_classes_against_brute_force(spark, seed):
     assert all(r.kept == (r.doc_id == r.class_id) for r in got)
 
 
+@pytest.mark.parametrize("rows, feats", [(3, 1 << 16), (256, 40)])
+def test_small_blocks_lose_nothing(spark, monkeypatch, rows, feats):
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", rows)
+    monkeypatch.setattr(minhash, "BLOCK_FEATURES", feats)
+    table = some_rows(11)
+    got = minhash.near_duplicates(spark.createDataFrame(table, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.class_id) for r in got) == brute(table)
+
+
+def test_very_long_texts(spark):
+    r = random.Random(2)
+    words = [f"w{r.randrange(50_000)}" for _ in range(120_000)]
+    rows = [(1, " ".join(words)), (2, edited(r, words, 2000)), (3, " ".join(words[:60_000])), (4, "a " * 200_000), (5, "a " * 190_000), (6, "a " * 100_000)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4, 6: 6}
+
+
 def test_what_leaders_leave_apart(spark):
     """A chain: each text is near the next, but the ends are far from the middle."""
     words = [f"w{i}" for i in range(100)]
@@ -90,10 +107,9 @@ def test_left_apart_finds_all_links(spark):
     rows = [(i, t) for i, t in some_rows(7, 6) if t and t.strip()]
     rows = list({t: (i, t) for i, t in rows}.values())
     family = spark.createDataFrame([(-1, i, i) for i, _ in rows], "head long, node long, own long")
-    texts = spark.createDataFrame(rows, "node long, text string")
-    sign = lambda t: minhash.mix(minhash._sketch(pa.array([t]), 5)[0]).astype(np.uint8).tobytes()
-    short = spark.createDataFrame([(i, bytearray(sign(t))) for i, t in rows], "node long, short binary")
-    found = components(minhash._left_apart(family, short, texts, 0.8, 5)).collect()
+    packed = minhash.bags(pa.array([t for _, t in rows])).to_pylist()
+    texts = spark.createDataFrame([(i, len(b) // 6, bytearray(b)) for (i, _), b in zip(rows, packed)], "node long, size long, bag binary")
+    found = components(minhash._left_apart(family, texts, 0.8)).collect()
     got = {r.node: r.component for r in found}
     want = dict(brute(rows))
     assert sorted((i, got.get(i, i)) for i, _ in rows) == sorted(want.items())
@@ -142,7 +158,7 @@ def test_shingles_and_overlap():
     for i, t in enumerate(texts):
         assert sorted(count[row == i]) == sorted(bag(t).values())
     other = texts[1:] + texts[:1]
-    got = minhash.overlap(pa.array(texts), pa.array(other))
+    got = minhash.overlap(*(minhash.bags(pa.array(t)).to_pylist() for t in (texts, other)))
     assert np.allclose(got, [similarity(bag(a), bag(b)) for a, b in zip(texts, other)])
 
 
