@@ -6,6 +6,7 @@ import difflib
 import math
 import re
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -18,32 +19,44 @@ from .values import clip_spans
 #: Least share of a mention in the longest common block; least similarity of two long words, and what counts as long.
 FUZZY_SHARE, WORD_RATIO, LONG_WORD = 0.55, 0.88, 5
 
-# fixed values: French determiners that a mention may exchange
-DETERMINERS = ("le", "la", "les", "un", "une", "des", "du", "de", "de la", "de l'", "l'", "d'", "ce", "cet", "cette", "ces", "au", "aux", "son", "sa", "ses", "leur", "leurs")
+# fixed values: French determiners that a text may have, those that a mention may open with, and the marks around a mention that don't count
+DETERMINERS = ("le", "la", "les", "l'", "un", "une", "des", "du", "de la", "de l'", "de", "au", "aux", "à la", "à l'", "ce", "cet", "cette", "ces")
+OPENING = ("le", "la", "les", "l'", "un", "une", "des", "du", "de", "au", "aux", "ce", "cet", "cette", "ces")
+OUTER_MARKS = ".,;:!?\"'()[]{}"
+ENDING_MARKS = " \t\r\n.,;:!?"
 
 
-def exact_span(mention: Column, text: Column, lowered: tuple[Column, Column] | None = None) -> Column:
-    """The first occurrence as an array of one span, else the first in any case, else an empty array. ``lowered``: both in lower case, if they are at hand."""
-    exact, loose = F.position(mention, text), F.position(*(lowered or (F.lower(mention), F.lower(text))))
+def lowered(c: Column) -> Column:
+    """In lower case, of the same length: of all letters only İ would become two. The forms of sigma are one."""
+    return F.lower(F.translate(c, "İΣς", "iσσ"))
+
+
+def exact_span(mention: Column, text: Column, both_lowered: tuple[Column, Column] | None = None) -> Column:
+    """The first occurrence as an array of one span, else the first in any case, else an empty array. ``both_lowered``: ``lowered`` of both, if they are at hand."""
+    exact, loose = F.position(mention, text), F.position(*(both_lowered or (lowered(mention), lowered(text))))
     found = F.when(exact > 0, exact).otherwise(loose)
     span = F.array(F.struct((found - 1).cast("int").alias("start"), (found - 1 + F.length(mention)).cast("int").alias("end")))
     return F.when((F.length(mention) > 0) & (found > 0), span).otherwise(F.array().cast(SPANS))
 
 
+@lru_cache(maxsize=4096)
+def _plain(c: str) -> str:
+    """A character without its marks, in lower case; a space if that isn't letters and digits, nothing for a mark alone."""
+    base = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)).lower()
+    return base if not base or base.isalnum() else " "
+
+
 def _folded(text: str) -> tuple[str, list[int]]:
-    """Folded characters, and for each the place it comes from; runs of others are one space."""
+    """Folded characters, and for each the place it comes from; runs of others are one space, and there are none at the ends."""
     out, places = [], []
     for i, c in enumerate(text):
-        plain = unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode().lower()
-        for x in plain or " ":
-            x = x if x.isalnum() else " "
-            if x == " " and (not out or out[-1] == " "):
-                continue
-            out.append(x)
-            places.append(i)
-        if not plain and unicodedata.combining(c) and out and out[-1] == " ":
-            out.pop()
-            places.pop()
+        for x in _plain(c):
+            if x != " " or out and out[-1] != " ":
+                out.append(x)
+                places.append(i)
+    if out and out[-1] == " ":
+        out.pop()
+        places.pop()
     return "".join(out), places
 
 
@@ -85,7 +98,7 @@ _runs = _Kept(_runs_of, 1024)
 
 
 def tolerant(mention: str, text: str) -> list[tuple[int, int]]:
-    """Exact, then in any case, then between word boundaries without the mention's outer punctuation and with any white space."""
+    """Exact, then in any case, then without the mention's outer marks, from the start of a word up to a mark, white space or the end."""
     at = text.find(mention)
     if at >= 0:
         return [(at, at + len(mention))]
@@ -93,17 +106,19 @@ def tolerant(mention: str, text: str) -> list[tuple[int, int]]:
     if not all(run in low for run in _runs(mention)):
         return []
     m = re.search(re.escape(mention), text, re.I)
+    if m:
+        return [m.span()]
+    core = mention.strip().strip(OUTER_MARKS)
+    m = re.search(rf"(?<!\w){re.escape(core)}(?=[\s.,;:!?]|$)", text, re.I) if core else None
     if not m:
-        core = [re.escape(w) for w in re.sub(r"^\W+|\W+$", "", mention).split()]
-        m = re.search(r"(?<!\w)" + r"[\s\W]+".join(core) + r"(?!\w)", text, re.I) if core else None
-    return [m.span()] if m else []
+        return []
+    return [(m.start(), m.start() + len(m[0].rstrip(ENDING_MARKS)))]
 
 
 def approximate(mention: str, text: str) -> list[tuple[int, int]]:
     """The folded mention in the folded text, else the longest block that both share, if it has FUZZY_SHARE of the mention."""
     (short, _), (long_, places) = _folded_mention(mention), _folded_text(text)
-    short = short.strip()
-    if not short:
+    if not short or not long_:
         return []
     at, size = long_.find(short), len(short)
     if at < 0:
@@ -112,18 +127,18 @@ def approximate(mention: str, text: str) -> list[tuple[int, int]]:
             return []
         block = difflib.SequenceMatcher(None, short, long_, autojunk=False).find_longest_match(0, len(short), 0, len(long_))
         at, size = block.b, block.size
-        while size and long_[at] == " ":
-            at, size = at + 1, size - 1
-        while size and long_[at + size - 1] == " ":
-            size -= 1
         if size < FUZZY_SHARE * len(short):
             return []
     return [(places[at], places[at + size - 1] + 1)]
 
 
+def _token(word: str) -> str:
+    return "".join(x for c in word for x in unicodedata.normalize("NFKD", c).lower() if x.isalnum())
+
+
 def _text_words_of(text: str) -> tuple[list[tuple[str, tuple[int, int]]], frozenset[str]]:
-    """The folded words with their places, and the set of them."""
-    words = [(_folded(m[0])[0].strip(), m.span()) for m in re.finditer(r"\w+", text)]
+    """The folded words with their places, and the set of them; those of which nothing is left don't count."""
+    words = [(w, m.span()) for m in re.finditer(r"\w+", text) if (w := _token(m[0]))]
     return words, frozenset(w for w, _ in words)
 
 
@@ -131,14 +146,14 @@ _text_words = _Kept(_text_words_of, 1)
 
 
 def _wanted_of(mention: str) -> list[str]:
-    return [w for w in (_folded(m[0])[0].strip() for m in re.finditer(r"\w+", mention)) if w]
+    return [w for w in map(_token, re.findall(r"\w+", mention)) if w]
 
 
 _wanted = _Kept(_wanted_of, 1024)
 
 
 def _ratio_of(word: str, near: str) -> float:
-    return difflib.SequenceMatcher(None, word, near).ratio()
+    return difflib.SequenceMatcher(None, word, near, autojunk=False).ratio()
 
 
 _ratio = _Kept(_ratio_of, 1 << 16)
@@ -178,9 +193,8 @@ def discontinuous(mention: str, text: str) -> list[tuple[int, int]]:
 
 def ground_text(mention: str | None, text: str | None) -> tuple[str, list[tuple[int, int]]]:
     """The mode (exact, approx, discontinuous or none) and the spans."""
-    if not mention or not text or not mention.strip():
+    if not mention or not text:
         return "none", []
-    mention = mention.strip()
     for mode, find in (("exact", tolerant), ("approx", approximate), ("discontinuous", discontinuous)):
         if spans := find(mention, text):
             return mode, spans
@@ -188,7 +202,7 @@ def ground_text(mention: str | None, text: str | None) -> tuple[str, list[tuple[
 
 
 def ground_with_determiners(mention: str | None, text: str | None) -> list[tuple[int, int]]:
-    """Exact, then in any case, then with any French determiner in place of the mention's and an optional plural s on each word."""
+    """Exact, then in any case, then with any French determiner in place of the one that the mention opens with, and an optional plural s on each word."""
     if not mention or not text:
         return []
     at = text.find(mention)
@@ -196,14 +210,12 @@ def ground_with_determiners(mention: str | None, text: str | None) -> list[tuple
         return [(at, at + len(mention))]
     if m := re.search(re.escape(mention), text, re.I):
         return [m.span()]
-    starts = sorted(DETERMINERS, key=len, reverse=True)
-    any_start = "(?:" + "|".join(re.escape(d) + ("" if d.endswith("'") else r"\s+") for d in starts) + ")"
-    m = re.match(any_start, mention, re.I)
-    if not m:
+    opening = re.match(rf"(?:{'|'.join(map(re.escape, OPENING))})\s+", mention, re.I)
+    rest = mention[opening.end() :].split() if opening else []
+    if not opening:
         return []
-    rest = mention[m.end() :].split()
-    body = r"\s+".join(re.escape(w) + ("" if w.endswith("s") else "s?") for w in rest)
-    m = re.search(rf"(?<!\w){any_start}{body}(?!\w)", text, re.I) if rest else None
+    words = r"\s+".join(re.escape(w) + ("" if w.endswith("s") else "s?") for w in rest)
+    m = re.search(rf"\b(?:{'|'.join(map(re.escape, DETERMINERS))})\s+{words}", text, re.I)
     return [m.span()] if m else []
 
 

@@ -118,9 +118,13 @@ def clean_markup(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"(?:\.\.)+", ""))
 
 
+# fixed value: what opens an article, in any case, with its number
+ARTICLE_NUMBER = r"^\s*(?:Art\.|Article)\s+(.{1,32}?)(?:\s*\.\s*-|\s*[.):-]|\s*$)"
+
+
 def article_number(c: Column) -> Column:
-    """The number that opens an article: 1 to 32 characters after ``Art.`` or ``Article``; empty if there is none."""
-    return F.trim(F.regexp_extract(c, r"(?is)^\s*(?:Art\.|Article)\s+(.{1,32}?)\s*(?:\.\s*-|[.):-]|$)", 1))
+    """The number that opens an article: 1 to 32 characters of a line after ``Art.`` or ``Article``; empty if there is none."""
+    return F.trim(F.regexp_extract(c, "(?iudU)" + ARTICLE_NUMBER, 1))
 
 
 def entity_class(iri: Column) -> Column:
@@ -140,9 +144,8 @@ def group_id(*columns: Column) -> Column:
 
 
 def alternative_label(own: Column, preferred: Column) -> Column:
-    """``own`` if it differs from ``preferred`` in more than case and isn't a continuation of it; else empty."""
-    same = (F.lower(own) == F.lower(preferred)) | F.startswith(F.lower(own), F.lower(preferred))
-    return F.when(F.coalesce(own, F.lit("")) == "", "").when(F.coalesce(same, F.lit(False)), "").otherwise(own)
+    """``own`` if it differs from ``preferred`` in more than case and isn't a continuation of it; else empty. Without a preferred label, all are its continuation."""
+    return F.when(F.coalesce(own, F.lit("")) == "", "").when(F.startswith(F.lower(own), F.lower(F.coalesce(preferred, F.lit("")))), "").otherwise(own)
 
 
 def expand_template(template: str, columns: list[str]) -> Column:

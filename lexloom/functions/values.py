@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schema import SPANS, TRIPLES
+from .text import BLANKS
 
 #: Epoch values above this are milliseconds.
 MILLISECONDS_FROM = 10_000_000_000
@@ -63,50 +64,49 @@ def cosine(a: Column, b: Column) -> Column:
 
 # --- cells that hold triples -----------------------------------------------------------------------------------
 
-# fixed values: keys under which a payload may hold its triples, in order
+# fixed values: keys under which a payload may hold its triples, in order, and the names of outcomes
 PAYLOAD_KEYS = ("legal_triplets", "triples", "triplets")
+NO_ERROR, BLANK, NOT_TRIPLES, NOT_JSON = "none", "blank", "json_payload_not_triplets", "json_decode_error:"
 
 
 def parse_literal(text):
     """JSON, else a Python literal (the bare word nan, in any case, as None); None if it is neither."""
     if not isinstance(text, str):
         return text
+    value, error = _decoded(json.loads, text)
+    return value if not error else _decoded(ast.literal_eval, re.sub(r"\bnan\b", "None", text, flags=re.I))[0]
+
+
+def _decoded(decode, text: str) -> tuple[object, str | None]:
+    """A decoder's value, and what it says if there is none."""
     try:
-        return json.loads(text)
-    except ValueError:
-        pass
-    try:
-        return ast.literal_eval(re.sub(r"\bnan\b", "None", text, flags=re.I))
-    except (ValueError, SyntaxError, MemoryError, RecursionError, TypeError):
-        return None
+        return decode(text), None
+    except (ValueError, SyntaxError, MemoryError, RecursionError, TypeError) as e:
+        return None, getattr(e, "msg", None) or type(e).__name__
 
 
-def _triples_of(value) -> list | None:
-    if isinstance(value, list):
-        return [x for x in value if isinstance(x, dict)]
-    if isinstance(value, dict):
-        for key in PAYLOAD_KEYS:
-            if isinstance(value.get(key), list):
-                return [x for x in value[key] if isinstance(x, dict)]
-    return None
+def _payload(value) -> str | None:
+    """The objects of a list, or of the first list under a known key, as JSON."""
+    lists = [value, *(value.get(k) for k in PAYLOAD_KEYS)] if isinstance(value, dict) else [value]
+    found = next((x for x in lists if isinstance(x, list)), None)
+    return None if found is None else json.dumps([x for x in found if isinstance(x, dict)])
 
 
 def read_cell(text) -> dict:
-    """How a cell parses, and its triples."""
-    out = {"syntax_valid": False, "json_valid": False, "error": None, "parseable": False, "parser": "none", "triples": None}
-    if text is None or str(text).strip().lower() in ("", "nan", "none", "null", "na"):
-        return out | {"error": "blank"}
-    try:
-        value = json.loads(text)
-    except ValueError as e:
-        found = _triples_of(parse_literal(text))
-        if found is None:
-            return out | {"error": type(e).__name__}
-        return out | {"json_valid": True, "error": type(e).__name__, "parseable": True, "parser": "python_literal", "triples": json.dumps(found)}
-    found = _triples_of(value)
-    if found is None:
-        return out | {"syntax_valid": True, "error": "json_payload_not_triplets"}
-    return out | {"syntax_valid": True, "json_valid": True, "parseable": True, "parser": "json", "triples": json.dumps(found)}
+    """How a cell parses: whether it is JSON, whether it holds triples, what is wrong, whether and by what it can be read, and its triples. Python literals are read as they stand."""
+    text = "" if text is None else str(text).strip()
+    if text.lower() in BLANKS:
+        return _cell(False, None, BLANK, "none")
+    value, error = _decoded(json.loads, text)
+    triples = _payload(value if error is None else _decoded(ast.literal_eval, text)[0])
+    reader = "json" if error is None else "python_literal"
+    error = NOT_JSON + error if error else NOT_TRIPLES if triples is None else NO_ERROR
+    return _cell(reader == "json", triples, error, "none" if triples is None else reader)
+
+
+def _cell(syntax_valid: bool, triples: str | None, error: str, parser: str) -> dict:
+    held = triples is not None
+    return {"syntax_valid": syntax_valid, "json_valid": held, "error": error, "parseable": held, "parser": parser, "triples": triples}
 
 
 CELL = T.StructType(
@@ -128,9 +128,14 @@ def json_triples(c: Column) -> Column:
     return F.when(F.startswith(F.ltrim(c), F.lit("[")), array).otherwise(F.coalesce(*keyed))
 
 
+@F.pandas_udf(T.StringType())
+def _literal_triples(cells: pd.Series) -> pd.Series:
+    return cells.map(lambda x: _payload(parse_literal(x)), na_action="ignore")
+
+
 def any_triples(c: Column) -> Column:
-    """The triples of a JSON or Python-literal cell."""
-    return F.from_json(parse_cell(c)["triples"], TRIPLES)
+    """The triples of a JSON or Python-literal cell, nan read as None."""
+    return F.from_json(_literal_triples(c), TRIPLES)
 
 
 def json_in_text(c: Column) -> Column:

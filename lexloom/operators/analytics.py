@@ -58,7 +58,8 @@ def dot_text(rows: list) -> str:
 
 def token_totals(df: DataFrame, columns: list[str]) -> DataFrame:
     """Sums of columns as numbers; what isn't one counts 0."""
-    return df.agg(*(F.sum(F.coalesce(F.col(c).try_cast("long"), F.lit(0))).alias(c) for c in columns))
+    number = lambda c: F.col(c).try_cast("double")
+    return df.agg(*(F.coalesce(F.sum(F.when(~F.isnan(number(c)), number(c)).otherwise(0.0)), F.lit(0.0)).cast("long").alias(c) for c in columns))
 
 
 def focused(subjects: DataFrame, statements: DataFrame, pattern: str) -> tuple[DataFrame, DataFrame]:

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from .reshape import class_hints
 
 # fixed values: texts of the boilerplate filter
-HEADERS = ("arrête :", "décrète :")
-PUBLISHED = r"(?i)publi[ée]e?s? au journal officiel"
-IN_FORCE = r"(?i)le pr[ée]sent (?:arr[êe]t[ée]|d[ée]cret) entre en vigueur le \d{1,2}(?:er)? \p{L}+ \d{4}"
+HEADERS = ("arrête:", "arrêtent:")
+PUBLISHED = r"(?iusdU)\barrêté\b.*?\b(?:publié|publication)\s+au\s+Journal officiel de la République française\b"
+IN_FORCE = r"(?iudU)présent arrêté (entr.+)? en vigueur le\s+(\d{1,2}(?:er)?\s+\w+\s+\d{4})"
 SHORT = 60
 
 
@@ -44,8 +44,8 @@ def tail_mismatch(relation: Column, tail_type: Column, classes: list[str]) -> Co
 
 
 def boilerplate(c: Column) -> Column:
-    """Whether a text is a bare header, or says where it is published, or (in under SHORT characters) when it enters into force. Null isn't."""
-    text = F.lower(F.trim(c))
+    """Whether a text is a bare header, or says where a decree is published, or (in under SHORT characters) when it enters into force. Null isn't."""
+    text = F.lower(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""))
     return F.coalesce(text.isin(*HEADERS) | c.rlike(PUBLISHED) | (c.rlike(IN_FORCE) & (F.length(c) < SHORT)), F.lit(False))
 
 

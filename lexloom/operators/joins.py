@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import blank, squeeze
-from ..functions.values import dot
+from ..functions.values import cosine
 
 #: A lookup table of at most so many rows is broadcast.
 BROADCAST_ROWS = 100_000
@@ -42,7 +42,7 @@ def fill_metadata(df: DataFrame, lookup: DataFrame, key: str, columns: list[str]
     """Fills blanks only, with each key's first lookup row in ``order``; ``conflicts`` counts its distinct later values."""
     first = Window.partitionBy(key).orderBy(order)
     best = lookup.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(F.col(key).alias("_k"), *(F.col(c).alias(f"_{c}") for c in columns))
-    clash = lookup.groupBy(F.col(key).alias("_q")).agg((F.count_distinct(*columns) - 1).alias("conflicts"))
+    clash = lookup.groupBy(F.col(key).alias("_q")).agg((F.count_distinct(F.struct(*columns)) - 1).alias("conflicts"))
     out = df.join(best, F.col(key) == F.col("_k"), "left").join(clash, F.col(key) == F.col("_q"), "left")
     for c in columns:
         out = out.withColumn(c, F.when(blank(F.col(c)), F.col(f"_{c}")).otherwise(F.col(c)))
@@ -113,8 +113,6 @@ def resolve_iri(df: DataFrame, value: str, terms: DataFrame, namespace: str) ->
 
 def similar_pairs(df: DataFrame, group: str, key: str, vector: str, least: float) -> DataFrame:
     """Pairs of a group with cosine of at least ``least``: the exact join, for groups of bounded size."""
-    unit = df.select(group, F.col(key), F.col(vector).alias("v"), F.sqrt(dot(F.col(vector), F.col(vector))).alias("n"))
-    a, b = unit.alias("a"), unit.alias("b")
-    cos = dot(F.col("a.v"), F.col("b.v")) / (F.col("a.n") * F.col("b.n"))
+    a, b = df.select(group, key, F.col(vector).alias("v")).alias("a"), df.select(group, key, F.col(vector).alias("v")).alias("b")
     joined = a.join(b, (F.col(f"a.{group}") == F.col(f"b.{group}")) & (F.col(f"a.{key}") < F.col(f"b.{key}")))
-    return joined.select(F.col(f"a.{group}").alias(group), F.col(f"a.{key}").alias("left_id"), F.col(f"b.{key}").alias("right_id"), cos.alias("similarity")).where(F.col("similarity") >= least)
+    return joined.select(F.col(f"a.{group}").alias(group), F.col(f"a.{key}").alias("left_id"), F.col(f"b.{key}").alias("right_id"), cosine(F.col("a.v"), F.col("b.v")).alias("similarity")).where(F.col("similarity") >= least)

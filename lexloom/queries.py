@@ -112,18 +112,26 @@ def cq2_with_content(spark, d):
     return workload.constraints(graph(spark, d, "triplets", "documents"), content=True)
 
 
-@register(f"SELECT '' AS action, '' AS action_label, '' AS source_property, '' AS source, '' AS source_label WHERE false")
+_SOURCES = f"""SELECT DISTINCT s AS action, head AS action_label, p AS source_property, o AS source, tail AS source_label FROM k
+WHERE s_class = '{CORE}Action' AND o_class = '{CORE}Source' AND p IN ('{DOMAIN}hasSource', '{DOMAIN}justifiedBy', '{DOMAIN}associatedWithModality')"""
+
+
+def _materialised(g, predicates=None):
+    """The graph with the relations of its statements as direct triples too."""
+    rows = g.statements("s", "p", "o").select("s", F.lit("iri").alias("s_kind"), "p", "o", F.lit("iri").alias("o_kind"), F.lit(None).cast("string").alias("o_datatype"), F.lit(None).cast("string").alias("o_lang"))
+    return workload.Graph(g.triples.unionByName(rows if predicates is None else rows.where(F.col("p").isin(predicates))).distinct(), NAMES)
+
+
+@register(K + f"{_SOURCES} AND p = '{DOMAIN}justifiedBy'")
 def cq3_sources_direct(spark, d):
-    return workload.action_sources(graph(spark, d))
+    """On a graph in which only one relation's triples are direct: the others' statements don't count."""
+    return workload.action_sources(_materialised(graph(spark, d), [f"{DOMAIN}justifiedBy"]))
 
 
-@register(K + f"""SELECT DISTINCT s AS action, head AS action_label, p AS source_property, o AS source, tail AS source_label FROM k
-WHERE s_class = '{CORE}Action' AND o_class = '{CORE}Source' AND p IN ('{DOMAIN}hasSource', '{DOMAIN}justifiedBy', '{DOMAIN}associatedWithModality')""")
+@register(K + _SOURCES)
 def cq3_sources_materialised(spark, d):
-    """The same query on a graph in which relations are direct triples too."""
-    g = graph(spark, d)
-    rows = g.statements("s", "p", "o").select("s", F.lit("iri").alias("s_kind"), "p", "o", F.lit("iri").alias("o_kind"), F.lit(None).cast("string").alias("o_datatype"), F.lit(None).cast("string").alias("o_lang"))
-    return workload.action_sources(workload.Graph(g.triples.unionByName(rows).distinct(), NAMES))
+    """The same query on a graph in which all relations are direct triples too."""
+    return workload.action_sources(_materialised(graph(spark, d)))
 
 
 @register(K + f"""SELECT a AS article, s AS action, head AS action_label, '0' AS action_start, length(head)::VARCHAR AS action_end, p AS source_property, tail AS source_label, '0' AS source_start, length(tail)::VARCHAR AS source_end, statement
@@ -334,13 +342,19 @@ def tail_mismatch(spark, d):
     return t.where(filters.tail_mismatch(F.col("relation"), F.col("tail_type"), CLASSES)).groupBy("relation", "tail_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("""WITH x AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'Arrête :' WHEN 1 THEN 'Publié au Journal officiel ' || lang WHEN 2 THEN 'Le présent arrêté entre en vigueur le 1er janvier 2020' WHEN 3 THEN 'Le présent arrêté entre en vigueur le 1er janvier 2020 ' || text ELSE text END AS c FROM documents)
-SELECT doc_id, length(c)::INTEGER AS n FROM x WHERE NOT (doc_id % 5 IN (0, 1, 2) OR (doc_id % 5 = 3 AND length(c) < 60))""")
+# rows of each kind that the rules tell apart: headers with and without white space, a header that isn't one, a publication with its lines broken, short and long entries into force
+_BOILERPLATE = {
+    0: "'  ARRÊTE: '", 1: "'Arrêtent:'", 2: "'Arrête :'", 3: "'Le présent arrêté sera' || chr(10) || 'publié  au Journal officiel de la République française. ' || text", 4: "'Arrêtés et publication au Journal officiel de la République française'",
+    5: "'Le présent arrêté entre en vigueur le 1er juillet 2015.'", 6: "'Le présent arrêté entrera en vigueur le 12 mai 2015 ' || text", 7: "'Le présent décret entre en vigueur le 1er juillet 2015.'", 8: "'Publié au Journal officiel ' || lang", 9: "text",
+}
+
+
+@register("WITH x AS (SELECT doc_id, CASE doc_id % 10 " + " ".join(f"WHEN {k} THEN {v}" for k, v in _BOILERPLATE.items()) + r""" END AS c FROM documents)
+SELECT doc_id, length(c)::INTEGER AS n FROM x WHERE trim(c) <> '' AND lower(trim(c)) NOT IN ('arrête:', 'arrêtent:')
+AND NOT regexp_matches(c, '(^|[^\p{L}\p{N}_])arrêté([^\p{L}\p{N}_].*?[^\p{L}\p{N}_]|[^\p{L}\p{N}_])(publié|publication)\s+au\s+Journal officiel de la République française([^\p{L}\p{N}_]|$)', 'is')
+AND NOT (regexp_matches(c, 'présent arrêté (entr.+)? en vigueur le\s+(\d{1,2}(?:er)?\s+[\p{L}\p{N}_]+\s+\d{4})', 'i') AND length(c) < 60)""")
 def boilerplate_filter(spark, d):
-    k = F.col("doc_id") % 5
-    force = "Le présent arrêté entre en vigueur le 1er janvier 2020"
-    c = F.when(k == 0, "Arrête :").when(k == 1, F.concat(F.lit("Publié au Journal officiel "), "lang")).when(k == 2, force).when(k == 3, F.concat(F.lit(force + " "), "text")).otherwise(F.col("text"))
-    docs = table(spark, d, "documents").select("doc_id", c.alias("c"))
+    docs = table(spark, d, "documents").select("doc_id", F.expr("CASE doc_id % 10 " + " ".join(f"WHEN {k} THEN {v}" for k, v in _BOILERPLATE.items()) + " END").alias("c"))
     return docs.where(~filters.boilerplate(F.col("c")) & filters.has_content(F.col("c"))).select("doc_id", F.length("c").alias("n"))
 
 
@@ -636,9 +650,9 @@ def edge_list(spark, d):
     return analytics.edges(triplets(spark, d))
 
 
-@register("SELECT sum(coalesce(try_cast(CASE WHEN event_id % 5 = 0 THEN 'x' ELSE event_id::VARCHAR END AS BIGINT), 0))::BIGINT AS a, sum(length(props))::BIGINT AS b FROM events")
+@register("SELECT sum(coalesce(try_cast(CASE event_id % 5 WHEN 0 THEN 'x' WHEN 1 THEN event_id || '.0' ELSE event_id::VARCHAR END AS DOUBLE), 0))::BIGINT AS a, sum(length(props))::BIGINT AS b FROM events")
 def token_totals(spark, d):
-    e = table(spark, d, "events").select(F.when(F.col("event_id") % 5 == 0, "x").otherwise(F.col("event_id").cast("string")).alias("a"), F.length("props").cast("string").alias("b"))
+    e = table(spark, d, "events").select(F.when(F.col("event_id") % 5 == 0, "x").when(F.col("event_id") % 5 == 1, F.concat("event_id", F.lit(".0"))).otherwise(F.col("event_id").cast("string")).alias("a"), F.length("props").cast("string").alias("b"))
     return analytics.token_totals(e, ["a", "b"])
 
 
@@ -796,39 +810,47 @@ def date_normalise(spark, d):
     return table(spark, d, "orders").select("o_orderkey", values.iso_date(v).alias("iso"))
 
 
-@register("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'json' WHEN event_id % 3 = 1 THEN 'python_literal' ELSE 'none' END AS parser, event_id % 3 = 0 AS syntax_valid, event_id % 3 <> 2 AS parseable FROM events")
-def parse_cells(spark, d):
-    k = F.col("event_id") % 3
-    cell = F.when(k == 0, F.lit('{"triples": [{"head": "a"}]}')).when(k == 1, F.lit("[{'head': nan}]")).otherwise(F.concat(F.lit("no "), "props"))
-    e = table(spark, d, "events").select("event_id", values.parse_cell(cell).alias("c"))
-    return e.select("event_id", "c.parser", "c.syntax_valid", "c.parseable")
+#: Cells, and by hand what is to be read in them: JSON or not, triples or not, error, parser, number of triples.
+_CELLS = [
+    ('{"triples": [{"head": "a"}, 3]}', True, True, "none", "json", 1), ("[{'head': None}, {'head': 'b'}]", False, True, "json_decode_error:Expecting property name enclosed in double quotes", "python_literal", 2),
+    ("[{'head': nan}]", False, False, "json_decode_error:Expecting property name enclosed in double quotes", "none", 0), ('{"other": []}', True, False, "json_payload_not_triplets", "none", 0),
+    (" NaN ", False, False, "blank", "none", 0), ("no props", False, False, "json_decode_error:Expecting value", "none", 0), ('{"triplets": [], "legal_triplets": [{}]}', True, True, "none", "json", 1),
+    ('[{"head": NaN}]', True, True, "none", "json", 1), ('{"triples": []} x', False, False, "json_decode_error:Extra data", "none", 0), ("{'legal_triplets': ({},), 'triplets': [{}]}", False, True, "json_decode_error:Expecting property name enclosed in double quotes", "python_literal", 1),
+]
 
 
-_PASSAGES = "p AS (SELECT d.doc_id, b.item_id, instr(d.text, substr(b.text, 1, 40)) AS i FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40)"
+@register("WITH v AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {s}, {v}, '{e}', {v}, '{p}', {n})" for i, (_, s, v, e, p, n) in enumerate(_CELLS)) + ") v(k, syntax_valid, json_valid, error, parseable, parser, n)) SELECT event_id, syntax_valid, json_valid, error, parseable, parser, n FROM events JOIN v ON k = event_id % " + str(len(_CELLS)))
+def parse_cells(spark, d):
+    cell = F.element_at(F.array(*(F.lit(c) for c, *_ in _CELLS)), (F.col("event_id") % len(_CELLS) + 1).cast("int"))
+    e = table(spark, d, "events").select("event_id", values.parse_cell(cell).alias("c"))
+    return e.select("event_id", "c.syntax_valid", "c.json_valid", "c.error", "c.parseable", "c.parser", F.coalesce(F.size(F.from_json("c.triples", "array<string>")), F.lit(0)).alias("n"))
 
 
-def _passages(spark, d):
-    """Every document with every benchmark item, which is the mention as a whole; each is lowered once, not for each pair."""
-    docs, items = table(spark, d, "documents").select("doc_id", "text", F.lower("text").alias("low")), table(spark, d, "benchmark").select("item_id", F.col("text").alias("mention"), F.lower("text").alias("low_mention"))
-    return docs.crossJoin(joins.maybe_broadcast(items))
+def _item_blocks(items, *columns):
+    """A stated set of items in blocks of at most about 64, as arrays, which every row meets; what it doesn't hold never becomes a row."""
+    n_blocks = max(1, -(-items.count() // 64))
+    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks))
+    return items.groupBy(block.alias("block")).agg(F.collect_list(F.struct("item_id", F.col("text").alias("mention"), *columns)).alias("items")).select("items")
 
 
-# the SQL still pairs by modulo and by prefix, and has no second tier; tests/test_spans_whole.py has that of the whole search
-@register(f"WITH {_PASSAGES} SELECT doc_id, item_id, (i - 1)::INTEGER AS start, (i + 39)::INTEGER AS \"end\" FROM p WHERE i > 0")
+@register("""WITH p AS (SELECT doc_id, item_id, b.text AS mention, CASE WHEN instr(d.text, b.text) > 0 THEN instr(d.text, b.text) ELSE instr(lower(d.text), lower(b.text)) END AS i FROM documents d CROSS JOIN benchmark b)
+SELECT doc_id, item_id, (i - 1)::INTEGER AS start, (i - 1 + length(mention))::INTEGER AS "end" FROM p WHERE i > 0 AND mention <> ''""")
 def span_exact(spark, d):
-    rows = _passages(spark, d).withColumn("spans", spans.exact_span(F.col("mention"), F.col("text"), (F.col("low_mention"), F.col("low"))))
+    """Every item, as a whole, in every whole document; each text is lowered once."""
+    docs = table(spark, d, "documents").select("doc_id", "text", spans.lowered(F.col("text")).alias("low"))
+    blocks = _item_blocks(table(spark, d, "benchmark"), spans.lowered(F.col("text")).alias("low"))
+    found = lambda x: F.struct(x["item_id"].alias("item_id"), spans.exact_span(x["mention"], F.col("text"), (x["low"], F.col("low"))).alias("spans"))
+    hits = F.filter(F.transform("items", found), lambda x: F.size(x["spans"]) > 0)
+    rows = docs.crossJoin(joins.maybe_broadcast(blocks)).select("doc_id", F.explode(hits).alias("h")).select("doc_id", "h.*")
     start, end = values.span_bounds(F.col("spans"))
-    return rows.where(F.size("spans") > 0).select("doc_id", "item_id", start.alias("start"), end.alias("end"))
+    return rows.select("doc_id", "item_id", start.alias("start"), end.alias("end"))
 
 
 @register()
 def span_cascade(spark, d):
     """All tiers on whole texts for every item; a text is sent to Python once a block of items. Tested against brute force."""
     docs, items = table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark").select("item_id", "text")
-    n_blocks = max(1, -(-items.count() // 64))
-    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks))
-    blocks = items.groupBy(block.alias("block")).agg(F.collect_list(F.struct("item_id", F.col("text").alias("mention"))).alias("items")).select("items")
-    found = docs.crossJoin(joins.maybe_broadcast(blocks)).select("doc_id", "items", spans.ground_all("items.mention", "text").alias("g"))
+    found = docs.crossJoin(joins.maybe_broadcast(_item_blocks(items))).select("doc_id", "items", spans.ground_all("items.mention", "text").alias("g"))
     rows = found.select("doc_id", F.explode(F.arrays_zip(F.col("items.item_id").alias("item_id"), "g")).alias("r"))
     return rows.select("doc_id", "r.item_id", "r.g.mode", F.size("r.g.spans").alias("n"))
 

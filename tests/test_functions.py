@@ -81,13 +81,14 @@ def test_keys(spark):
 
 def test_cells(spark):
     cells = [
-        ('[{"head": "a"}]', "json", 1), ('{"triplets": [{"head": "a"}, {"head": "b"}]}', "json", 2), ("[{'head': nan}]", "python_literal", 1), ('{"x": 1}', "none", None), ("{bad", "none", None),
+        ('[{"head": "a"}]', "json", 1), ('{"triplets": [{"head": "a"}, {"head": "b"}]}', "json", 2), ("[{'head': nan}]", "none", 1), ("[{'head': None}]", "python_literal", 1), ('{"x": 1}', "none", None), ("{bad", "none", None),
         ("", "none", None), (None, "none", None), ('{"legal_triplets": []}', "json", 0), ("(1, 2)", "none", None),
     ]
     rows = spark.createDataFrame([(i, c) for i, (c, *_) in enumerate(cells)], "i int, c string")
     got = rows.select("i", values.parse_cell("c").alias("p"), values.any_triples(F.col("c")).alias("t")).orderBy("i").collect()
     assert [(r.p.parser, None if r.t is None else len(r.t)) for r in got] == [(p, n) for _, p, n in cells]
-    assert got[5].p.error == "blank" and got[3].p.error == "json_payload_not_triplets" and got[2].p.json_valid and not got[2].p.syntax_valid
+    assert got[6].p.error == "blank" and got[4].p.error == "json_payload_not_triplets" and got[3].p.json_valid and not got[3].p.syntax_valid
+    assert got[0].p.error == "none" and got[2].p.error == got[3].p.error == got[5].p.error == "json_decode_error:Expecting property name enclosed in double quotes" and not got[2].p.json_valid
     fenced = "Sure:\n```json\n{\"a\": 1}\n```\nbye"
     each(spark, [(fenced, '{"a": 1}'), ('{"a": 2}', '{"a": 2}'), ("x {\"a\": 3} y", '{"a": 3}'), ("none", None)], values.json_in_text)
 
@@ -99,7 +100,7 @@ def test_span_columns(spark):
 
 
 GROUNDED = [
-    ("the pump", "Check the pump now.", "exact", [(6, 14)]), ("The Pump", "check the pump now", "exact", [(6, 14)]), ("«pump» ", "a pump, b", "exact", [(2, 6)]), ("l’eau chaude", "dans l'eau chaude", "approx", [(5, 17)]),
+    ("the pump", "Check the pump now.", "exact", [(6, 14)]), ("The Pump", "check the pump now", "exact", [(6, 14)]), ("«pump» ", "a pump, b", "approx", [(2, 6)]), ("(pump). ", "a Pump, b", "exact", [(2, 6)]), ("foo bar", "a foo-bar", "approx", [(2, 9)]), ("l’eau chaude", "dans l'eau chaude", "approx", [(5, 17)]),
     ("ete froid", "un été froid", "approx", [(3, 12)]), ("red valve cold pipe", "red big valve near cold old pipe", "discontinuous", [(0, 3), (8, 13), (19, 23), (28, 32)]), ("absent", "nothing here", "none", []), ("", "x", "none", []), (None, "x", "none", []),
 ]
 
@@ -111,6 +112,8 @@ def test_grounding(mention, where, mode, found):
 
 def test_determiners():
     assert spans.ground_with_determiners("le contrôle", "après les contrôles") == [(6, 19)]
+    assert spans.ground_with_determiners("la porte", "à la porte des portes") == [(2, 10)] and spans.ground_with_determiners("son poste", "des postes") == []
+    assert spans.ground_with_determiners("le poste de travail", "à la  postes de travails") == [(0, 24)]
     assert spans.ground_with_determiners("l'eau", "de l'eau") == [(3, 8)] and spans.ground_with_determiners("zzz", "abc") == []
 
 

@@ -211,7 +211,13 @@ def test_graph_compliance_of_several_types(spark):
 
 
 def test_boilerplate(spark):
-    rows = [("Arrête : ", True), ("Publié au Journal officiel", True), ("Le présent décret entre en vigueur le 1er mars 2020", True), ("Le présent décret entre en vigueur le 1er mars 2020 " + "x" * 60, False), (None, False), ("arrête : x", False)]
+    jo = "au Journal officiel de la République française"
+    rows = [
+        (" Arrête:\n", True), ("ARRÊTENT:", True), ("Arrête :", False), ("arrête: x", False), (None, False), ("Décrète:", False),
+        (f"Le présent arrêté sera publié {jo}.", True), (f"L'ARRÊTÉ du 3 mai,\ndont la Publication  {jo} suit, " + "x" * 90, True), (f"Publié {jo}", False), (f"Les arrêtés publié {jo}", False), (f"Le présent arrêté sera publié {jo}e", False),
+        ("Le présent arrêté entre en vigueur le 1er juillet 2015.", True), ("Le présent arrêté entrera en vigueur le 12 août 2015", True), ("Le présent arrêté entre en vigueur le 1er juillet 2015 " + "x" * 60, False),
+        ("Le présent décret entre en vigueur le 1er mars 2020", False), ("Le présent arrêté entre en vigueur demain", False),
+    ]
     got = spark.createDataFrame(rows, "x string, want boolean").select("want", filters.boilerplate(F.col("x")).alias("y")).collect()
     assert all(r.want == r.y for r in got)
 
