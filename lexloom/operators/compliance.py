@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import local_name
@@ -21,7 +23,8 @@ def normalise(df: DataFrame, column: str, terms: DataFrame, prefixes: dict[str,
 
 
 def check_triples(triples: DataFrame, signatures: DataFrame) -> DataFrame:
-    """Adds, by local names, the existence of head type, relation and tail type, whether the signature is allowed, ``match`` and ``reason``.
+    """Adds, by local names, the existence of head type, relation and tail type (and ``error_label`` of those that lack), whether the signature is allowed, ``full_match``, ``local_match``,
+    ``match`` and ``reason``.
 
     ``signatures``: domain, property, range. Full IRIs or local names may match.
     """
@@ -38,31 +41,145 @@ def check_triples(triples: DataFrame, signatures: DataFrame) -> DataFrame:
     out = out.join(pairs, (F.col("_h") == F.col("_domain")) & (F.col("_r") == F.col("_property")) & (F.col("_t") == F.col("_range")), "left").drop("_domain", "_property", "_range")
     whole = maybe_broadcast(full.select(F.col("domain").alias("_a"), F.col("property").alias("_b"), F.col("range").alias("_d"), F.lit(True).alias("_full")))
     out = out.join(whole, (F.col("head_type") == F.col("_a")) & (F.col("relation") == F.col("_b")) & (F.col("tail_type") == F.col("_d")), "left").drop("_a", "_b", "_d")
-    match = F.coalesce("_full", "_hit", F.lit(False))
+    out = out.withColumns({"full_match": F.coalesce("_full", F.lit(False)), "local_match": F.coalesce("_hit", F.lit(False)), "error_label": error_label(F.col("head_type_exists"), F.col("relation_exists"), F.col("tail_type_exists"))})
+    match = F.col("full_match") | F.col("local_match")
     known = F.col("head_type_exists") & F.col("relation_exists") & F.col("tail_type_exists")
     return out.withColumn("match", match).withColumn("reason", F.when(F.col("match"), NONE).when(~known, UNKNOWN).otherwise(FORBIDDEN)).drop("_h", "_r", "_t", "_hit", "_full")
 
 
-def by_article(checked: DataFrame, key: str) -> DataFrame:
-    yes = lambda c: F.sum(F.col(c).cast("int")).cast("long")
-    n = F.count(F.lit(1))
-    return checked.groupBy(key).agg(
-        n.alias("triples"), yes("match").alias("conforming"), yes("relation_exists").alias("known_relations"),
-        (yes("head_type_exists") + yes("tail_type_exists")).alias("known_classes"), F.round(ratio(yes("match"), n), 6).alias("conformance"),
-    )
-
-
-def overall(checked: DataFrame) -> DataFrame:
-    """Mention counts (2 classes and 1 property each), unique values (empty classes and properties left out) and ratios, in one row."""
-    yes = lambda c: F.sum(F.col(c).cast("int")).cast("long")
-    n = F.count(F.lit(1))
-    unknown = lambda kind, flag: F.array_join(F.sort_array(F.collect_set(F.when(~F.col(flag), F.nullif(local_name(F.col(kind)), F.lit(""))))), "|")
-    return checked.agg(
-        n.alias("triples"), (n * 2).alias("class_mentions"), n.alias("property_mentions"), (yes("head_type_exists") + yes("tail_type_exists")).alias("known_class_mentions"),
-        yes("relation_exists").alias("known_property_mentions"), yes("match").alias("conforming"), F.count_distinct("relation").alias("unique_properties"),
-        F.count_distinct("head_type", "relation", "tail_type").alias("unique_signatures"), F.round(ratio(yes("match"), n), 6).alias("conformance"),
-        unknown("relation", "relation_exists").alias("unknown_properties"), unknown("tail_type", "tail_type_exists").alias("unknown_tail_types"),
-    )
+def error_label(head: Column, relation: Column, tail: Column) -> Column:
+    """Which parts of a triple the ontology lacks, joined; ``none`` if it has all."""
+    parts = F.concat_ws("|", *(F.when(~c, name) for c, name in ((head, "head_class_not_in_ontology"), (relation, "relation_not_in_ontology"), (tail, "tail_class_not_in_ontology"))))
+    return F.when(parts == "", NONE).otherwise(parts)
+
+
+def _yes(c: Column, weight: Column | None = None) -> Column:
+    return F.coalesce(F.sum(F.when(c, F.lit(1) if weight is None else weight)), F.lit(0)).cast("long")
+
+
+def _tallies(weight: Column | None = None) -> dict[str, Column]:
+    """What all metrics are made of: triples, those that conform or are forbidden, and those without each part in the ontology."""
+    count = F.count(F.lit(1)) if weight is None else F.coalesce(F.sum(weight), F.lit(0)).cast("long")
+    lacks = {k: _yes(~F.col(f"{c}_exists"), weight) for k, c in (("no_head", "head_type"), ("no_relation", "relation"), ("no_tail", "tail_type"))}
+    return {"n": count, "good": _yes(F.col("match"), weight), "forbidden": _yes(F.col("reason") == FORBIDDEN, weight), **lacks}
+
+
+def _metrics(plain: dict[str, str], ratios: dict[str, tuple[str, str]]) -> list[Column]:
+    """Metrics as SQL over the tallies, then safe ratios of two such."""
+    return [*(F.expr(v).alias(k) for k, v in plain.items()), *(ratio(F.expr(a), F.expr(b)).alias(k) for k, (a, b) in ratios.items())]
+
+
+# fixed values: names of the metrics of an article, and which tallies they are
+_CLASSES_KNOWN = "2 * n - no_head - no_tail"
+ROW_COUNTS = {
+    "nb_triplets": "n", "nb_valid_triples_shacl": "good", "nb_invalid_triples_shacl_violations": "n - good", "nb_head_class_not_in_ontology": "no_head", "nb_class_mentions": "2 * n",
+    "nb_class_mentions_defined_in_ontology": _CLASSES_KNOWN, "nb_relation_not_in_ontology": "no_relation", "nb_object_property_mentions": "n", "nb_object_property_mentions_defined_in_ontology": "n - no_relation",
+    "nb_tail_class_not_in_ontology": "no_tail", "nb_domain_range_signature_not_allowed": "forbidden", "nb_relation_type_mentions": "n", "nb_relation_type_mentions_defined_in_ontology": "good",
+}
+ROW_RATIOS = {
+    "invalid_triples_shacl_violation_ratio": ("n - good", "n"), "class_mentions_defined_in_ontology_ratio": (_CLASSES_KNOWN, "2 * n"), "relation_not_in_ontology_ratio": ("no_relation", "n"),
+    "object_property_mentions_defined_in_ontology_ratio": ("n - no_relation", "n"), "domain_range_signature_not_allowed_ratio": ("forbidden", "n"), "relation_type_mentions_defined_in_ontology_ratio": ("good", "n"),
+}
+CELL_NAMES = {
+    "syntax_valid": "legal_triplets_json_syntax_valid", "json_valid": "legal_triplets_json_valid", "error": "legal_triplets_json_error", "parseable": "legal_triplets_parseable", "parser": "legal_triplets_parser",
+}
+
+
+def by_article(checked: DataFrame, key: str, cells: DataFrame | None = None) -> DataFrame:
+    """The metrics of each article. ``cells`` (``key`` and the fields of ``parse_cell``; a row for each article) adds how its cell parses, and articles without any triple."""
+    rows = checked.groupBy(key).agg(*(c.alias(k) for k, c in _tallies().items()))
+    own = []
+    if cells is not None:
+        tallies = [c for c in rows.columns if c != key]
+        rows = cells.join(rows.withColumnRenamed(key, "_key"), F.col(key) == F.col("_key"), "left").withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in tallies})
+        own = [F.col(k).alias(v) for k, v in CELL_NAMES.items()]
+    return rows.select(key, *own, *_metrics(ROW_COUNTS, ROW_RATIOS))
+
+
+def _mentions(prefix: str, known: str, total: str) -> tuple[dict, dict]:
+    return (
+        {f"{prefix}_total_mentions": total, f"{prefix}_mentions_defined_in_ontology": known, f"{prefix}_mentions_not_in_ontology": f"{total} - ({known})"},
+        {f"{prefix}_mentions_defined_in_ontology_ratio": (known, total)},
+    )
+
+
+def _unique(prefix: str, what: str) -> tuple[dict, dict]:
+    return (
+        {f"{prefix}_unique_extracted": f"{what}_all", f"{prefix}_unique_defined_in_ontology": f"{what}_known", f"{prefix}_unique_not_in_ontology": f"{what}_unknown"},
+        {f"{prefix}_unique_defined_in_ontology_ratio": (f"{what}_known", f"{what}_all")},
+    )
+
+
+# fixed values: names of the metrics over all articles, and which tallies they are
+_CELL_COUNTS = {
+    "nb_rows": "cells", "nb_rows_legal_triplets_json_syntax_valid": "syntax", "nb_rows_legal_triplets_json_valid": "json", "nb_rows_legal_triplets_json_invalid": "cells - json",
+    "nb_rows_legal_triplets_parseable": "parseable", "nb_rows_legal_triplets_unparseable": "cells - parseable", "json_total_rows": "cells", "json_valid_rows": "json", "json_invalid_rows": "cells - json",
+    "json_strict_syntax_valid_rows": "syntax", "json_parseable_rows": "parseable", "nb_rows_empty_triplets": "cells - filled", "sum_total_input_tokens": "tokens_in", "sum_total_output_tokens": "tokens_out",
+}
+_CELL_RATIOS = {
+    "json_validity_legal_triplets_ratio": ("json", "cells"), "json_syntax_validity_legal_triplets_ratio": ("syntax", "cells"), "parseable_legal_triplets_ratio": ("parseable", "cells"),
+    "json_valid_ratio": ("json", "cells"), "json_strict_syntax_valid_ratio": ("syntax", "cells"), "json_parseable_ratio": ("parseable", "cells"),
+}
+_ALL_COUNTS = {
+    "nb_total_triplets": "n", "nb_valid_triples_shacl": "good", "nb_invalid_triples_shacl_violations": "n - good", "nb_triples_head_class_not_in_ontology": "no_head", "nb_triples_relation_not_in_ontology": "no_relation",
+    "nb_triples_tail_class_not_in_ontology": "no_tail", "nb_total_class_mentions": "2 * n", "nb_class_mentions_defined_in_ontology": _CLASSES_KNOWN, "nb_class_mentions_not_in_ontology": "no_head + no_tail",
+    "nb_unique_extracted_classes": "class_all", "nb_unique_extracted_classes_defined_in_ontology": "class_known", "nb_unique_extracted_classes_not_in_ontology": "class_unknown",
+    "nb_triples_domain_range_signature_not_allowed": "forbidden", "nb_ontology_signatures": "o_signatures", "nb_ontology_classes": "o_classes", "nb_ontology_relations": "o_relations",
+    "unique_extracted_classes_not_in_ontology": "class_names", "object_property_unique_not_in_ontology_values": "relation_names",
+}
+_ALL_RATIOS = {
+    "invalid_triples_shacl_violation_ratio": ("n - good", "n"), "shacl_conformance_ratio": ("good", "n"), "relation_not_in_ontology_ratio": ("no_relation", "n"), "domain_range_signature_not_allowed_ratio": ("forbidden", "n"),
+    "class_mentions_defined_in_ontology_ratio": (_CLASSES_KNOWN, "2 * n"), "unique_extracted_classes_defined_in_ontology_ratio": ("class_known", "class_all"),
+}
+_FAMILIES = [
+    _mentions("classes", _CLASSES_KNOWN, "2 * n"), _unique("classes", "class"), _mentions("object_property", "n - no_relation", "n"), _unique("object_property", "relation"),
+    _mentions("relation_type", "good", "n"), _unique("relation_type", "type"),
+]
+
+
+def overall(checked: DataFrame, signatures: DataFrame, cells: DataFrame | None = None, key: str = "article", tokens: tuple[str, str] | None = None) -> DataFrame:
+    """All metrics over the articles, in one row. ``cells`` as for ``by_article``, with the columns ``tokens`` of used tokens; without it the metrics of cells are left out.
+
+    Triples are first counted by types and outcome, so that everything unique is told from a table of the types that occur.
+    """
+    local = [local_name(F.coalesce(F.col(c), F.lit(""))) for c in ("head_type", "relation", "tail_type")]
+    flags = ["head_type_exists", "relation_exists", "tail_type_exists", "match", "reason"]
+    kinds = checked.groupBy(*(c.alias(k) for c, k in zip(local, "hrt")), *flags).agg(F.count(F.lit(1)).alias("w"))
+    sides = F.explode(F.array(*(F.struct(F.col(k).alias("name"), F.col(f"{c}_exists").alias("exists")) for k, c in (("h", "head_type"), ("t", "tail_type")))))
+    known = lambda name, exists: [F.count_distinct(F.when(exists, name)), F.count_distinct(F.when(~exists & (name != ""), name)), F.array_join(F.sort_array(F.collect_set(F.when(~exists & (name != ""), name))), "|")]
+    filled = lambda name: F.count_distinct(F.when(name != "", name))
+    named = lambda what, name, exists: [filled(name).alias(f"{what}_all"), *(c.alias(f"{what}_{k}") for c, k in zip(known(name, exists), ("known", "unknown", "names")))]
+    classes = kinds.select(sides.alias("c")).select("c.*").distinct().agg(*named("class", F.col("name"), F.col("exists")))
+    relations = kinds.select("r", "relation_exists").distinct().agg(*named("relation", F.col("r"), F.col("relation_exists")))
+    types = kinds.groupBy("h", "r", "t").agg(F.max("match").alias("good"), F.min("match").alias("all_good"))
+    types = types.agg(F.count(F.lit(1)).alias("type_all"), _yes(F.col("good")).alias("type_known"), _yes(~F.col("all_good")).alias("type_unknown"))
+    found = [kinds.agg(*(c.alias(k) for k, c in _tallies(F.col("w")).items())), classes, relations, types]
+    own = signatures.select(*(local_name(F.col(c)).alias(c) for c in ("domain", "property", "range")))
+    declared = own.select(F.col("domain").alias("c")).union(own.select("range")).agg(F.count_distinct("c").alias("o_classes"))
+    found += [declared, own.agg(F.count_distinct("domain", "property", "range").alias("o_signatures"), F.count_distinct("property").alias("o_relations"))]
+    counts, ratios = dict(_ALL_COUNTS), dict(_ALL_RATIOS)
+    for more, shares in _FAMILIES:
+        counts |= more
+        ratios |= shares
+    if cells is not None:
+        number = lambda c: F.coalesce(F.sum(F.nanvl(F.col(c).try_cast("double"), F.lit(0.0))), F.lit(0.0)).cast("long") if c else F.lit(0).cast("long")
+        spent = [number(c).alias(k) for c, k in zip(tokens or (None, None), ("tokens_in", "tokens_out"))]
+        found.append(cells.agg(F.count(F.lit(1)).alias("cells"), *(_yes(F.col(c)).alias(k) for c, k in (("syntax_valid", "syntax"), ("json_valid", "json"), ("parseable", "parseable"))), *spent))
+        found.append(checked.agg(F.count_distinct(key).alias("filled")))
+        counts |= _CELL_COUNTS
+        ratios |= _CELL_RATIOS
+    return _one_row(found).select(*_metrics(counts, ratios))
+
+
+def _one_row(tables: list[DataFrame]) -> DataFrame:
+    """The columns of tables of one row each in one row."""
+    union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+    return union.agg(*(F.max(c).alias(c) for c in union.columns))
+
+
+def _known_types(types: DataFrame, signatures: DataFrame) -> DataFrame:
+    declared = signatures.select(F.col("domain").alias("c")).union(signatures.select("range")).where("c IS NOT NULL").distinct()
+    return types.join(maybe_broadcast(declared), F.col("cls") == F.col("c"), "left_semi")
 
 
 def check_graph(assertions: DataFrame, types: DataFrame, signatures: DataFrame, namespaces: list[str]) -> DataFrame:
@@ -71,8 +188,7 @@ def check_graph(assertions: DataFrame, types: DataFrame, signatures: DataFrame,
     Of the pairs of types the first allowed one in order counts, full IRIs before local names. A predicate that the
     ontology lacks is a candidate if it is of a known namespace and both ends are typed; other such assertions are left out.
     """
-    declared = signatures.select(F.col("domain").alias("c")).union(signatures.select("range")).where("c IS NOT NULL").distinct()
-    known = types.join(maybe_broadcast(declared), F.col("cls") == F.col("c"), "left_semi")
+    known = _known_types(types, signatures)
     properties = signatures.select(F.col("property").alias("_p")).distinct()
     of = lambda side: known.groupBy(F.col("node").alias(f"{side}_node")).agg(F.sort_array(F.collect_set("cls")).alias(f"{side}_types"))
     a, b = of("s"), of("o")
@@ -93,14 +209,32 @@ def check_graph(assertions: DataFrame, types: DataFrame, signatures: DataFrame,
     return out.withColumn("reason", reason)
 
 
-def graph_metrics(checked: DataFrame) -> DataFrame:
-    yes = lambda c: F.sum(c.cast("int")).cast("long")
-    good = yes(F.col("reason") == NONE)
-    total = yes(F.col("known"))
-    return checked.agg(
-        total.alias("total"), F.count(F.lit(1)).alias("candidate_total"), good.alias("conforming"), yes(F.col("reason") == UNTYPED).alias("untyped"),
-        yes(F.col("reason") == FORBIDDEN).alias("forbidden"), F.round(ratio(good, total), 6).alias("conformance"),
+# fixed values: names of the metrics of a graph, and which tallies they are
+GRAPH_COUNTS = {
+    "nb_kg_relation_assertions_scanned": "scanned", "nb_kg_relation_assertions": "n", "nb_valid_kg_relation_assertions_shacl": "good", "nb_invalid_kg_relation_assertions_shacl": "n - good",
+    "nb_kg_relation_assertions_subject_type_missing": "no_subject", "nb_kg_relation_assertions_object_type_missing": "no_object", "nb_kg_relation_assertions_domain_range_signature_not_allowed": "forbidden",
+    "nb_kg_relation_assertions_predicate_not_in_ontology": "strange", "nb_kg_candidate_relation_assertions": "n + strange", "nb_invalid_kg_candidate_relation_assertions": "n - good + strange", "nb_kg_typed_resources": "typed",
+}
+GRAPH_RATIOS = {
+    "invalid_kg_relation_assertions_shacl_ratio": ("n - good", "n"), "kg_shacl_conformance_ratio": ("good", "n"), "predicate_not_in_ontology_ratio_over_known_relation_assertions": ("strange", "n"),
+    "invalid_kg_candidate_relation_assertions_ratio": ("n - good + strange", "n + strange"), "kg_candidate_relation_conformance_ratio": ("good", "n + strange"),
+}
+
+
+def graph_metrics(checked: DataFrame, scanned: int | Column | None = None, types: DataFrame | None = None, signatures: DataFrame | None = None) -> DataFrame:
+    """The metrics of a checked graph, in one row. ``scanned``: how many assertions were looked at, if more than are in ``checked``; ``types`` and ``signatures`` as for ``check_graph``
+    give the number of resources that the ontology types."""
+    known = F.col("known")
+    table = checked.agg(
+        _yes(known).alias("n"), _yes(known & (F.col("reason") == NONE)).alias("good"), _yes(known & F.col("s_types").isNull()).alias("no_subject"), _yes(known & F.col("o_types").isNull()).alias("no_object"),
+        _yes(F.col("reason") == FORBIDDEN).alias("forbidden"), _yes(~known).alias("strange"), F.count(F.lit(1)).alias("_rows"),
     )
+    table = table.withColumn("scanned", F.col("_rows") if scanned is None else scanned if isinstance(scanned, Column) else F.lit(scanned).cast("long"))
+    if types is None:
+        table = table.withColumn("typed", F.lit(None).cast("long"))
+    else:
+        table = _one_row([table, _known_types(types, signatures).agg(F.count_distinct("node").alias("typed"))])
+    return table.select(*_metrics(GRAPH_COUNTS, GRAPH_RATIOS))
 
 
 def signature_support(triples: DataFrame) -> DataFrame:

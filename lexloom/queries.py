@@ -671,20 +671,77 @@ def _checked(spark, d):
     return compliance.check_triples(triplets(spark, d), signatures(spark))
 
 
-@register(T + f", {_CHECKED} SELECT stmt, h AS head_type_exists, r AS relation_exists, tt AS tail_type_exists, m AS match, CASE WHEN m THEN 'none' WHEN NOT (h AND r AND tt) THEN 'component_not_in_ontology' ELSE 'domain_range_signature_not_allowed' END AS reason FROM c")
+@register(T + f""", {_CHECKED} SELECT stmt, h AS head_type_exists, r AS relation_exists, tt AS tail_type_exists, m AS full_match, m AS match, CASE WHEN m THEN 'none' WHEN NOT (h AND r AND tt) THEN 'component_not_in_ontology' ELSE 'domain_range_signature_not_allowed' END AS reason,
+CASE WHEN h AND r AND tt THEN 'none' ELSE concat_ws('|', CASE WHEN NOT h THEN 'head_class_not_in_ontology' END, CASE WHEN NOT r THEN 'relation_not_in_ontology' END, CASE WHEN NOT tt THEN 'tail_class_not_in_ontology' END) END AS error_label FROM c""")
 def compliance_detail(spark, d):
-    return _checked(spark, d).select("stmt", "head_type_exists", "relation_exists", "tail_type_exists", "match", "reason")
+    return _checked(spark, d).select("stmt", "head_type_exists", "relation_exists", "tail_type_exists", "full_match", "match", "reason", "error_label")
 
 
-@register(T + f", {_CHECKED} SELECT article, count(*) AS triples, sum(m::INT)::BIGINT AS conforming, sum(r::INT)::BIGINT AS known_relations, sum(h::INT + tt::INT)::BIGINT AS known_classes, round(sum(m::INT) / count(*), 6) AS conformance FROM c GROUP BY article")
-def compliance_rows(spark, d):
-    return compliance.by_article(_checked(spark, d), "article")
+#: How the cells of articles parse, by the last digit of the order's key; the triples are those of cells that hold any.
+_STATES = {0: (True, False, "json_payload_not_triplets", False, "none"), 3: (False, True, "json_decode_error:Expecting value", True, "python_literal"), 7: (False, False, "blank", False, "none")}
+_STATE = (True, True, "none", True, "json")
+
+
+def _cells(spark, d):
+    k = F.col("o_orderkey") % 10
+    state = lambda i: F.coalesce(*(F.when(k == key, F.lit(v[i])) for key, v in _STATES.items()), F.lit(_STATE[i]))
+    fields = {c: state(i) for i, c in enumerate(("syntax_valid", "json_valid", "error", "parseable", "parser"))}
+    spent = {"tokens_in": F.when(k == 5, "x").otherwise(F.concat((F.col("o_orderkey") % 1000).cast("string"), F.lit(".0"))), "tokens_out": F.lit("7")}
+    return table(spark, d, "orders").select(F.concat(F.lit("o-"), F.col("o_orderkey").cast("string")).alias("article"), *(c.alias(n) for n, c in {**fields, **spent}.items()))
+
+
+def _read_cells(spark, d):
+    """The checked triples of the cells that can be read."""
+    return _checked(spark, d).where(~F.substring("article", -1, 1).isin("0", "7"))
+
 
+def _state_sql(i):
+    value = lambda x: f"'{x}'" if isinstance(x, str) else str(x)
+    return "CASE o_orderkey % 10 " + " ".join(f"WHEN {k} THEN {value(v[i])}" for k, v in _STATES.items()) + f" ELSE {value(_STATE[i])} END"
 
-@register(T + f""", {_CHECKED} SELECT count(*) AS triples, count(*) * 2 AS class_mentions, count(*) AS property_mentions, sum(h::INT + tt::INT)::BIGINT AS known_class_mentions, sum(r::INT)::BIGINT AS known_property_mentions, sum(m::INT)::BIGINT AS conforming, count(DISTINCT relation) AS unique_properties,
-count(DISTINCT (head_type, relation, tail_type)) AS unique_signatures, round(sum(m::INT) / count(*), 6) AS conformance, coalesce(string_agg(DISTINCT CASE WHEN NOT r THEN relation END, '|' ORDER BY CASE WHEN NOT r THEN relation END), '') AS unknown_properties, coalesce(string_agg(DISTINCT CASE WHEN NOT tt THEN tail_type END, '|' ORDER BY CASE WHEN NOT tt THEN tail_type END), '') AS unknown_tail_types FROM c""")
+
+_CELLS_SQL = f"""cells AS (SELECT 'o-' || o_orderkey AS article, {_state_sql(0)} AS syntax_valid, {_state_sql(1)} AS json_valid, {_state_sql(2)} AS error, {_state_sql(3)} AS parseable, {_state_sql(4)} AS parser,
+CASE WHEN o_orderkey % 10 <> 5 THEN o_orderkey % 1000 ELSE 0 END AS tokens_in FROM orders),
+f AS (SELECT *, CASE WHEN m THEN 'none' WHEN NOT (h AND r AND tt) THEN 'component_not_in_ontology' ELSE 'domain_range_signature_not_allowed' END AS reason FROM c WHERE right(article, 1) NOT IN ('0', '7'))"""
+
+
+@register(T + f""", {_CHECKED}, {_CELLS_SQL}, q AS (SELECT article, count(*) AS n, count(*) FILTER (m) AS good, count(*) FILTER (NOT h) AS nh, count(*) FILTER (NOT r) AS nr, count(*) FILTER (NOT tt) AS nt, count(*) FILTER (reason = 'domain_range_signature_not_allowed') AS bad FROM f GROUP BY article),
+w AS (SELECT cells.*, coalesce(n, 0) AS n, coalesce(good, 0) AS good, coalesce(nh, 0) AS nh, coalesce(nr, 0) AS nr, coalesce(nt, 0) AS nt, coalesce(bad, 0) AS bad FROM cells LEFT JOIN q ON cells.article = q.article)
+SELECT article, syntax_valid AS legal_triplets_json_syntax_valid, json_valid AS legal_triplets_json_valid, error AS legal_triplets_json_error, parseable AS legal_triplets_parseable, parser AS legal_triplets_parser,
+n AS nb_triplets, good AS nb_valid_triples_shacl, n - good AS nb_invalid_triples_shacl_violations, CASE WHEN n = 0 THEN 0.0 ELSE (n - good) / n END AS invalid_triples_shacl_violation_ratio, nh AS nb_head_class_not_in_ontology,
+n * 2 AS nb_class_mentions, n * 2 - nh - nt AS nb_class_mentions_defined_in_ontology, CASE WHEN n = 0 THEN 0.0 ELSE (n * 2 - nh - nt) / (n * 2) END AS class_mentions_defined_in_ontology_ratio,
+nr AS nb_relation_not_in_ontology, CASE WHEN n = 0 THEN 0.0 ELSE nr / n END AS relation_not_in_ontology_ratio, n AS nb_object_property_mentions, n - nr AS nb_object_property_mentions_defined_in_ontology,
+CASE WHEN n = 0 THEN 0.0 ELSE (n - nr) / n END AS object_property_mentions_defined_in_ontology_ratio, nt AS nb_tail_class_not_in_ontology, bad AS nb_domain_range_signature_not_allowed,
+CASE WHEN n = 0 THEN 0.0 ELSE bad / n END AS domain_range_signature_not_allowed_ratio, n AS nb_relation_type_mentions, good AS nb_relation_type_mentions_defined_in_ontology, CASE WHEN n = 0 THEN 0.0 ELSE good / n END AS relation_type_mentions_defined_in_ontology_ratio FROM w""")
+def compliance_rows(spark, d):
+    return compliance.by_article(_read_cells(spark, d), "article", _cells(spark, d))
+
+
+_OVERALL_SQL = """, u AS (SELECT head_type AS c, h AS e FROM f UNION SELECT tail_type, tt FROM f), v AS (SELECT
+  (SELECT count(*) FROM cells) AS cells, (SELECT count(*) FROM cells WHERE syntax_valid) AS sv, (SELECT count(*) FROM cells WHERE json_valid) AS jv, (SELECT count(*) FROM cells WHERE parseable) AS pa,
+  (SELECT count(DISTINCT article) FROM f) AS filled, (SELECT sum(tokens_in) FROM cells)::BIGINT AS tin, (SELECT count(*) FROM f) AS n, (SELECT count(*) FROM f WHERE m) AS good,
+  (SELECT count(*) FROM f WHERE NOT h) AS nh, (SELECT count(*) FROM f WHERE NOT r) AS nr, (SELECT count(*) FROM f WHERE NOT tt) AS nt, (SELECT count(*) FROM f WHERE reason = 'domain_range_signature_not_allowed') AS bad,
+  (SELECT count(DISTINCT c) FROM u) AS ca, (SELECT count(DISTINCT c) FROM u WHERE e) AS ck, (SELECT count(DISTINCT c) FROM u WHERE NOT e) AS cu, (SELECT string_agg(DISTINCT c, '|' ORDER BY c) FROM u WHERE NOT e) AS cn,
+  (SELECT count(DISTINCT relation) FROM f) AS ra, (SELECT count(DISTINCT relation) FROM f WHERE r) AS rk, (SELECT count(DISTINCT relation) FROM f WHERE NOT r) AS ru, (SELECT string_agg(DISTINCT relation, '|' ORDER BY relation) FROM f WHERE NOT r) AS rn,
+  (SELECT count(DISTINCT (head_type, relation, tail_type)) FROM f) AS ta, (SELECT count(DISTINCT (head_type, relation, tail_type)) FROM f WHERE m) AS tk, (SELECT count(DISTINCT (head_type, relation, tail_type)) FROM f WHERE NOT m) AS tu,
+  (SELECT count(DISTINCT (domain, property, range)) FROM g) AS os, (SELECT count(DISTINCT property) FROM g) AS orr, (SELECT count(*) FROM (SELECT domain FROM g UNION SELECT range FROM g)) AS oc)
+SELECT cells AS nb_rows, tin AS sum_total_input_tokens, 7 * cells AS sum_total_output_tokens, sv AS nb_rows_legal_triplets_json_syntax_valid, jv AS nb_rows_legal_triplets_json_valid, cells - jv AS nb_rows_legal_triplets_json_invalid,
+jv / cells AS json_validity_legal_triplets_ratio, sv / cells AS json_syntax_validity_legal_triplets_ratio, pa AS nb_rows_legal_triplets_parseable, cells - pa AS nb_rows_legal_triplets_unparseable, pa / cells AS parseable_legal_triplets_ratio,
+cells AS json_total_rows, jv AS json_valid_rows, cells - jv AS json_invalid_rows, jv / cells AS json_valid_ratio, sv AS json_strict_syntax_valid_rows, sv / cells AS json_strict_syntax_valid_ratio, pa AS json_parseable_rows, pa / cells AS json_parseable_ratio,
+cells - filled AS nb_rows_empty_triplets, n AS nb_total_triplets, good AS nb_valid_triples_shacl, n - good AS nb_invalid_triples_shacl_violations, (n - good) / n AS invalid_triples_shacl_violation_ratio, good / n AS shacl_conformance_ratio,
+nh AS nb_triples_head_class_not_in_ontology, nr AS nb_triples_relation_not_in_ontology, nr / n AS relation_not_in_ontology_ratio, nt AS nb_triples_tail_class_not_in_ontology, 2 * n AS nb_total_class_mentions, 2 * n - nh - nt AS nb_class_mentions_defined_in_ontology,
+nh + nt AS nb_class_mentions_not_in_ontology, (2 * n - nh - nt) / (2 * n) AS class_mentions_defined_in_ontology_ratio, ca AS nb_unique_extracted_classes, ck AS nb_unique_extracted_classes_defined_in_ontology, cu AS nb_unique_extracted_classes_not_in_ontology,
+ck / ca AS unique_extracted_classes_defined_in_ontology_ratio, coalesce(cn, '') AS unique_extracted_classes_not_in_ontology, 2 * n AS classes_total_mentions, 2 * n - nh - nt AS classes_mentions_defined_in_ontology, nh + nt AS classes_mentions_not_in_ontology,
+(2 * n - nh - nt) / (2 * n) AS classes_mentions_defined_in_ontology_ratio, ca AS classes_unique_extracted, ck AS classes_unique_defined_in_ontology, cu AS classes_unique_not_in_ontology, ck / ca AS classes_unique_defined_in_ontology_ratio,
+bad AS nb_triples_domain_range_signature_not_allowed, bad / n AS domain_range_signature_not_allowed_ratio, n AS object_property_total_mentions, n - nr AS object_property_mentions_defined_in_ontology, nr AS object_property_mentions_not_in_ontology,
+(n - nr) / n AS object_property_mentions_defined_in_ontology_ratio, ra AS object_property_unique_extracted, rk AS object_property_unique_defined_in_ontology, ru AS object_property_unique_not_in_ontology, rk / ra AS object_property_unique_defined_in_ontology_ratio,
+coalesce(rn, '') AS object_property_unique_not_in_ontology_values, n AS relation_type_total_mentions, good AS relation_type_mentions_defined_in_ontology, n - good AS relation_type_mentions_not_in_ontology, good / n AS relation_type_mentions_defined_in_ontology_ratio,
+ta AS relation_type_unique_extracted, tk AS relation_type_unique_defined_in_ontology, tu AS relation_type_unique_not_in_ontology, tk / ta AS relation_type_unique_defined_in_ontology_ratio, os AS nb_ontology_signatures, oc AS nb_ontology_classes, orr AS nb_ontology_relations FROM v"""
+
+
+@register(T + f", {_CHECKED}, {_CELLS_SQL}{_OVERALL_SQL}")
 def compliance_overall(spark, d):
-    return compliance.overall(_checked(spark, d))
+    return compliance.overall(_read_cells(spark, d), signatures(spark), _cells(spark, d), "article", ("tokens_in", "tokens_out"))
 
 
 def _iri_signatures(spark):
@@ -707,9 +764,16 @@ def kg_compliance_detail(spark, d):
     return _graph_checked(spark, d).select("stmt", "p", "known", "reason")
 
 
-@register(K + f", {_GRAPH_CHECKED} SELECT sum(known::INT)::BIGINT AS total, count(*) AS candidate_total, sum((reason = 'none')::INT)::BIGINT AS conforming, sum((reason = 'resource_type_missing_in_kg')::INT)::BIGINT AS untyped, sum((reason = 'domain_range_signature_not_allowed')::INT)::BIGINT AS forbidden, round(sum((reason = 'none')::INT) / sum(known::INT), 6) AS conformance FROM z")
+@register(K + f""", {_GRAPH_CHECKED}, v AS (SELECT (SELECT count(*) FROM y) AS scanned, count(*) FILTER (known) AS n, count(*) FILTER (known AND reason = 'none') AS good, count(*) FILTER (known AND h NOT IN (SELECT c FROM d)) AS ns, count(*) FILTER (known AND tt NOT IN (SELECT c FROM d)) AS no,
+count(*) FILTER (reason = 'domain_range_signature_not_allowed') AS bad, count(*) FILTER (NOT known) AS odd FROM z), nodes AS (SELECT count(DISTINCT e) AS typed FROM (SELECT s AS e, replace(s_class, '{CORE}', '') AS k FROM k UNION SELECT o, replace(o_class, '{CORE}', '') FROM k) WHERE k IN (SELECT c FROM d))
+SELECT scanned AS nb_kg_relation_assertions_scanned, n AS nb_kg_relation_assertions, good AS nb_valid_kg_relation_assertions_shacl, n - good AS nb_invalid_kg_relation_assertions_shacl, (n - good) / n AS invalid_kg_relation_assertions_shacl_ratio, good / n AS kg_shacl_conformance_ratio,
+ns AS nb_kg_relation_assertions_subject_type_missing, no AS nb_kg_relation_assertions_object_type_missing, bad AS nb_kg_relation_assertions_domain_range_signature_not_allowed, odd AS nb_kg_relation_assertions_predicate_not_in_ontology, odd / n AS predicate_not_in_ontology_ratio_over_known_relation_assertions,
+n + odd AS nb_kg_candidate_relation_assertions, n - good + odd AS nb_invalid_kg_candidate_relation_assertions, (n - good + odd) / (n + odd) AS invalid_kg_candidate_relation_assertions_ratio, good / (n + odd) AS kg_candidate_relation_conformance_ratio, typed AS nb_kg_typed_resources FROM v, nodes""")
 def kg_compliance(spark, d):
-    return compliance.graph_metrics(_graph_checked(spark, d))
+    g = graph(spark, d)
+    types, own = g.types("node", "cls"), _iri_signatures(spark)
+    rows = g.statements("s", "p", "o").select(F.col("statement").alias("stmt"), "s", "p", "o")
+    return compliance.graph_metrics(compliance.check_graph(rows, types, own, [CORE, DOMAIN]), rows.count(), types, own)
 
 
 _SUPPORT = "s AS (SELECT relation AS predicate, head_type AS domain, tail_type AS range, count(DISTINCT stmt) AS signature_support_count FROM t GROUP BY ALL), w AS (SELECT *, (sum(signature_support_count) OVER (PARTITION BY predicate))::BIGINT AS predicate_support_count FROM s)"
