@@ -127,6 +127,22 @@ def article_number(c: Column) -> Column:
     return F.trim(F.regexp_extract(c, "(?iudU)" + ARTICLE_NUMBER, 1))
 
 
+# fixed values: types whose labels may stand for the act itself, and what such a label folds to
+CURRENT_ACT_TYPES = ("artifact", "source")
+CURRENT_ACT = r"^(?:(?:l|le|la|les|du|de|des|au|aux|a|ce|cet|cette)\s+)*present(?:e|s|es)?\s+(?:arrete|arret|decret|loi|decision|ordonnance|reglement|acte|texte)$"
+
+
+def is_current_act(label: Column, kind: Column) -> Column:
+    """Whether a label stands for the act that it is in (``le présent arrêté``)."""
+    return F.coalesce(fold_latin(kind).isin(*CURRENT_ACT_TYPES) & fold_latin(label).rlike(CURRENT_ACT), F.lit(False))
+
+
+def resolution(label: Column, kind: Column, document_key: Column) -> tuple[Column, Column]:
+    """How a label is resolved and, for the act itself, to which document; everything else is an entity of the whole graph."""
+    own = is_current_act(label, kind)
+    return F.when(own, "current_legal_act").otherwise("global_entity"), F.when(own, document_key).otherwise("")
+
+
 def entity_class(iri: Column) -> Column:
     """The class that an entity's IRI names (``…/entity/{class}/…``), as a title; Unknown if it has none, null for null."""
     part = F.regexp_extract(iri, "/entity/([^/]+)/", 1)

@@ -162,8 +162,13 @@ def span_bounds(spans: Column) -> tuple[Column, Column]:
     return F.when(F.size(spans) > 0, spans[0]["start"]), F.when(F.size(spans) > 0, F.element_at(spans, -1)["end"])
 
 
-def span_text(spans: Column) -> Column:
-    return F.array_join(F.transform(spans, lambda s: F.concat_ws("-", s["start"], s["end"])), ";")
+def span_text(spans: Column, joint: str = ";") -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws("-", s["start"], s["end"])), joint)
+
+
+def ordered_unique(c: Column) -> Column:
+    """An array without repeats, in order of first appearance."""
+    return F.array_distinct(c)
 
 
 def comparable(c: Column) -> Column:

@@ -67,3 +67,20 @@ def focused(subjects: DataFrame, statements: DataFrame, pattern: str) -> tuple[D
     hits = F.size(F.regexp_extract_all("subject", F.lit(f"(?i){pattern}"), F.lit(0)))
     found = subjects.withColumn("hits", hits).where("hits > 0")
     return found, statements.join(found.select("article").distinct(), "article", "left_semi")
+
+
+def first_label(nodes: DataFrame, node: str, graph: DataFrame, predicates: list[str], name: str = "label") -> DataFrame:
+    """Adds the label of each node by the first predicate of the list that it has (of several values the least), else null."""
+    rank = F.coalesce(*(F.when(F.col("p") == p, F.lit(i)) for i, p in enumerate(predicates)))
+    best = graph.where(F.col("p").isin(predicates)).groupBy(F.col("s").alias("_s")).agg(F.min(F.struct(rank.alias("_r"), F.col("o").alias("_o")))["_o"].alias(name))
+    return nodes.join(best, F.col(node) == F.col("_s"), "left").drop("_s")
+
+
+def by_title(df: DataFrame, title: str, *ties: str) -> DataFrame:
+    """Sorted by title, case aside."""
+    return df.orderBy(F.lower(title), *ties)
+
+
+def in_request_order(results: DataFrame, index: str = "index") -> DataFrame:
+    """Results that came in any order, by the number of their request."""
+    return results.orderBy(F.col(index).try_cast("long").asc_nulls_last(), index)

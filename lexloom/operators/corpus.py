@@ -88,3 +88,10 @@ def keyword_sample(df: DataFrame, text: str, lift: str, keywords: str, key: str,
     hits = F.transform(F.regexp_extract_all(F.lower(text), F.lit(keywords), F.lit(0)), lambda w: w)
     scored = df.withColumns({"lift": F.lower(text).rlike(lift).cast("int"), "distinct_keywords": F.size(F.array_distinct(hits)), "hits": F.size(hits)}).where("hits > 0")
     return scored.orderBy(F.desc("lift"), F.desc("distinct_keywords"), F.desc("hits"), key).limit(n)
+
+
+def demo_rows(df: DataFrame, topic: str, text: str, topics: tuple[str, ...], general: str, special: str) -> DataFrame:
+    """Rows whose topic has one of ``topics`` and whose text matches both patterns, in any case; ``hits``: matches of the special one."""
+    named = F.exists(F.array(*map(F.lit, topics)), lambda t: F.contains(F.lower(F.col(topic)), t))
+    hits = F.regexp_count(text, F.lit(f"(?iu){special}"))
+    return df.where(named & F.col(text).rlike(f"(?iu){general}")).withColumn("hits", hits).where("hits > 0")

@@ -48,6 +48,21 @@ def curate(statements: DataFrame, types: DataFrame, annotations: DataFrame) -> D
     )
 
 
+def entity_classes(entities: DataFrame, types: DataFrame, classes: list[str], namespaces: list[str], core: str) -> DataFrame:
+    """``entity``, ``cls``: the known classes that an entity is typed with, in the core namespace; without any, the one that its IRI's path names, if that is known.
+
+    ``entities``: entity; ``types``: node, cls. Types count if their local name is a known class and they are in one of ``namespaces``.
+    """
+    name = local_name(F.col("cls"))
+    ours = F.exists(F.array(*map(F.lit, namespaces)), lambda n: F.startswith(F.col("cls"), n)) & name.isin(classes)
+    typed = types.where(ours).select(F.col("node").alias("entity"), F.concat(F.lit(core), name).alias("cls")).distinct().join(entities.select("entity").distinct(), "entity", "left_semi")
+    path = F.lower(F.replace(F.regexp_extract("entity", "/entity/([^/]+)/", 1), F.lit("-"), F.lit("")))
+    among = F.array(*map(F.lit, classes))
+    found = F.get(F.filter(among, lambda c: F.lower(c) == path), 0)
+    rest = entities.select("entity").distinct().join(typed.select("entity").distinct(), "entity", "left_anti").select("entity", F.concat(F.lit(core), found).alias("cls")).where("cls IS NOT NULL")
+    return typed.unionByName(rest)
+
+
 def curation_triples(curated: DataFrame, base: str) -> DataFrame:
     """The layer that is added to a graph: ``s``, ``p``, ``o`` for each decision."""
     node = F.concat(F.lit(f"{base}/curation/"), F.md5("stmt"))

@@ -113,19 +113,50 @@ def merge_entities(triples: DataFrame, vectors: DataFrame, theta: float, exclude
     ``vectors``: label, vector, for the exact step's canonicals. Within each type: labels that fold alike, then clusters of those by
     cosine in the order of labels, their counts summed. A label of two types takes the map of the type that sorts last.
     """
-    labels = entity_labels(triples, excluded)
+    final = _entity_map(entity_labels(triples, excluded), vectors, theta)
+    return _renamed(triples, final, ["head", "tail"]), final
+
+
+def _entity_map(labels: DataFrame, vectors: DataFrame, theta: float) -> DataFrame:
+    """``type``, ``label``, ``canonical`` of labels (type, label, count): those that fold alike, then clusters of their canonicals."""
     exact = exact_merge(labels, ["type"])
     canon = exact.groupBy("type", F.col("canonical").alias("label")).agg(F.sum("count").alias("count"))
     with_vectors = canon.join(vectors, "label").withColumn("_order", F.col("label"))
     clusters = leader_clusters(with_vectors, "type", "_order", "label", "vector", theta)
     best = canonical_of_clusters(clusters, canon, "type")
     step = best.select("type", F.col("label").alias("canonical"), F.col("canonical").alias("final"))
-    final = exact.select("type", "label", "canonical").join(step, ["type", "canonical"], "left").select("type", "label", F.coalesce("final", "canonical").alias("canonical"))
-    by_label = final.groupBy("label").agg(F.max_by("canonical", "type").alias("canonical"))
-    out = triples
-    for side in ("head", "tail"):
-        out = apply_map(out, by_label.withColumnRenamed("label", side), [side], side, "canonical")
-    return out, final
+    return exact.select("type", "label", "canonical").join(step, ["type", "canonical"], "left").select("type", "label", F.coalesce("final", "canonical").alias("canonical"))
+
+
+def _renamed(rows: DataFrame, mapping: DataFrame, columns: list[str]) -> DataFrame:
+    """Labels of ``columns`` as their canonicals; one of two types takes that of the type that sorts last."""
+    by_label = mapping.groupBy("label").agg(F.max_by("canonical", "type").alias("canonical"))
+    for c in columns:
+        rows = apply_map(rows, by_label.withColumnRenamed("label", c), [c], c, "canonical")
+    return rows
+
+
+def side_labels(rows: DataFrame, column: str, type_column: str, excluded: tuple[str, ...] = ("Reference",)) -> DataFrame:
+    """Distinct labels of one column by type that may be clustered, with counts over all types."""
+    own = rows.select(F.col(column).alias("label"), F.col(type_column).alias("type")).where("label IS NOT NULL")
+    return own.where(clusterable(F.col("label"), F.col("type"), excluded)).distinct().join(own.groupBy("label").agg(F.count(F.lit(1)).alias("count")), "label")
+
+
+def merge_one_side(rows: DataFrame, vectors: DataFrame, theta: float, column: str = "head", type_column: str = "head_type", excluded: tuple[str, ...] = ("Reference",)) -> tuple[DataFrame, DataFrame]:
+    """Like ``merge_entities`` for one column by its type: rows with canonical labels, and the map (type, label, canonical)."""
+    final = _entity_map(side_labels(rows, column, type_column, excluded), vectors, theta)
+    return _renamed(rows, final, [column]), final
+
+
+def merge_column(rows: DataFrame, vectors: DataFrame, theta: float, column: str, order: str, group: str = "all") -> tuple[DataFrame, DataFrame]:
+    """A column's labels without any grouping or folding: clusters of all of them in order of first appearance, and the map (group, label, canonical).
+
+    Clustering is sequential, so the distinct labels are one task's, as a column of relations allows.
+    """
+    own = rows.where(F.coalesce(F.col(column), F.lit("")) != "").groupBy(F.col(column).alias("label")).agg(F.count(F.lit(1)).alias("count"), F.min(order).alias("_first")).withColumn("group", F.lit(group))
+    clusters = leader_clusters(own.join(vectors, "label"), "group", "_first", "label", "vector", theta)
+    mapping = canonical_of_clusters(clusters, own.select("group", "label", "count"), "group").select("group", "label", "canonical")
+    return apply_map(rows, mapping.select(F.col("label").alias(column), "canonical"), [column], column, "canonical"), mapping
 
 
 def merge_relations(triples: DataFrame, vectors: DataFrame, theta: float, order: str = "row_id", signatures: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

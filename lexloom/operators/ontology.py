@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -108,3 +110,24 @@ def preferred_relation(agreement: DataFrame, first: DataFrame, second: DataFrame
     ranks = {"agreement": ("_a", "_f", "_s"), "first": ("_f", "_a", "_s"), "second": ("_s", "_a", "_f")}[order]
     joined = a.join(b, keys, "full").join(c, keys, "full")
     return joined.select(*keys, F.coalesce(*ranks).alias("relation"))
+
+
+# fixed values: columns that candidates of canonical relations may have, and how they are summed up
+OPTIONAL = {"confidence_value_prom": F.avg, "textual_evidence_count_total": F.sum}
+
+
+def canonical_relations(rows: DataFrame, order: str = "place") -> DataFrame:
+    """Candidates by (domain, range, canonical_relation): mean confidence, evidence in all and the first definition that isn't null, as far as there are such columns; else distinct ones."""
+    keys = ["domain", "range", "canonical_relation"]
+    found = [f(c).alias(c) for c, f in OPTIONAL.items() if c in rows.columns]
+    if "definition_text" in rows.columns:
+        found.append(F.min_by("definition_text", F.when(F.col("definition_text").isNotNull(), F.col(order))).alias("definition_text"))
+    known = rows.where(" AND ".join(f"{k} IS NOT NULL" for k in keys))
+    return known.groupBy(*keys).agg(*found) if found else rows.select(*keys).distinct()
+
+
+def combined(graphs: list[DataFrame]) -> DataFrame:
+    """The union of ontologies as a set of triples. Blank nodes of different files are different, so each file's get names of its own."""
+    name = lambda c, kind, i: F.when(F.col(kind) == "bnode", F.concat(F.lit(f"g{i}_"), F.col(c))).otherwise(F.col(c))
+    own = (g.withColumns({"s": name("s", "s_kind", i), "o": name("o", "o_kind", i)}) for i, g in enumerate(graphs))
+    return reduce(DataFrame.unionByName, own).distinct()

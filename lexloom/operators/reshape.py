@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import blank, clean_markup, topic_slug
-from ..functions.values import clip_spans, span_bounds, spans_of
+from ..functions.spans import exact_span
+from ..functions.text import article_number, at_spans, blank, clean_markup, first_filled, resolution, short_hash, slug, squeeze, topic_slug
+from ..functions.values import clip_spans, iso_date, span_bounds, span_text, spans_of
 
 SIDES = ("head", "tail")
 
@@ -46,6 +47,68 @@ def flatten(df: DataFrame, keys: list[str], text: str | None = None) -> tuple[Da
     return df.select(*keys, "head", "head_type", "relation", "tail", "tail_type", "topic"), entities, mentions
 
 
+# fixed values: columns of the flat tables, in order
+CONTEXT = ("document_key", "article_id", "article_key", "article_number", "corpus_id", "date")
+SPAN_FIELDS = ("start", "end", "spans", "span_text", "span_mode")
+SIDE_COLUMNS = ("", "_type", "_resolution_mode", "_resolved_entity_id")
+ENTITY_COLUMNS = ("entity", "entity_type", "entity_resolution_mode", "resolved_entity_id", "has_mention", "entity_start", "entity_end", "entity_spans", "entity_span_text", "entity_span_mode")
+MENTION_COLUMNS = ("mention", "mention_type", "mention_resolution_mode", "resolved_entity_id", "mention_start", "mention_end", "mention_spans", "mention_text", "mention_span_mode")
+
+
+def article_context(rows: DataFrame) -> DataFrame:
+    """The context columns of result rows that are joined with their articles: the first that isn't blank of what article, provenance and text say.
+
+    ``rows`` has of the article ``num``, ``id``, ``title``, ``corpus_id``, ``date``, of the provenance ``number``, ``id_local``, ``prov_title``, ``prov_corpus_id``, and ``article_id``,
+    ``content`` and ``source_row_id``.
+    """
+    title = squeeze(first_filled(F.col("title"), F.col("prov_title"), F.col("corpus_id"), F.col("id"), default="document"))
+    number = first_filled(F.col("num"), F.col("number"), squeeze(article_number(F.col("content"))))
+    own = first_filled(F.col("id"), F.col("id_local"), F.col("article_id"))
+    both = F.concat(own, F.lit("-"), F.col("source_row_id").cast("string"))
+    made = {
+        "document_key": F.concat(slug(title, 80, "document"), F.lit("-"), short_hash(title)), "_own": own, "article_key": first_filled(number, both), "article_number": number,
+        "corpus_id": first_filled(F.col("corpus_id"), F.col("prov_corpus_id")), "date": iso_date(first_filled(F.col("date"))),
+    }
+    return rows.withColumns(made).withColumn("article_id", F.col("_own")).drop("_own")
+
+
+def layouts(rows: DataFrame, triples: str, infer: bool = True, main_topic: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The flat tables of triples, entities and mentions, and a row that counts them and the heads and tails without a span.
+
+    ``rows``: the CONTEXT columns, ``content``, and the array column ``triples``; ``main_topic`` stands in for a triple's topic. Spans are those of a triple,
+    clipped to the text, else, if ``infer``, the first occurrence of the label, as it is or in any case. Offsets and spans are texts, empty where there are none.
+    """
+    flat = rows.select(*CONTEXT, "content", *([main_topic] if main_topic else []), F.posexplode(triples).alias("_pos", "_t"))
+    text = lambda f: first_filled(F.col(f"_t.{f}"))
+    flat = flat.select(
+        "*", F.coalesce(F.col("_t.triplet_index"), F.col("_pos")).cast("string").alias("triplet_index"), text("relation").alias("relation"),
+        first_filled(F.col("_t.topic"), *([F.col(main_topic)] if main_topic else [])).alias("topic"), *(text(f"{r}{x}").alias(f"{r}{x}") for r in SIDES for x in ("", "_type")),
+    )
+    for r in SIDES:
+        own = clip_spans(spans_of(F.col(f"_t.{r}_spans"), F.col(f"_t.{r}_start"), F.col(f"_t.{r}_end")), F.length("content"))
+        found = exact_span(F.col(r), F.col("content")) if infer else own
+        mode, target = resolution(F.col(r), F.col(f"{r}_type"), F.col("document_key"))
+        flat = flat.withColumns({"_own": own, "_found": found}).withColumn("_s", F.when(F.size("_own") > 0, F.col("_own")).otherwise(F.col("_found")))
+        start, end = span_bounds(F.col("_s"))
+        flat = flat.withColumns({
+            f"{r}_resolution_mode": mode, f"{r}_resolved_entity_id": target, f"{r}_start": F.coalesce(start.cast("string"), F.lit("")), f"{r}_end": F.coalesce(end.cast("string"), F.lit("")),
+            f"{r}_spans": span_text(F.col("_s"), "; "), f"{r}_span_text": F.trim(at_spans(F.col("content"), F.col("_s"))),
+            f"{r}_span_mode": F.when(F.size("_own") > 0, "embedded").when(F.size("_s") > 0, "inferred").otherwise(""),
+        }).drop("_own", "_found", "_s")
+    sides_of = lambda r: [*(f"{r}{x}" for x in SIDE_COLUMNS)]
+    spans_cols = lambda r: [f"{r}_{x}" for x in SPAN_FIELDS]
+    triplets = flat.select(*CONTEXT, "triplet_index", *sides_of("head"), "relation", *sides_of("tail"), "topic", *spans_cols("head"), *spans_cols("tail"))
+    has = lambda r: F.when(F.col(f"{r}_span_mode") != "", "true").otherwise("false")
+    entity = lambda r: F.struct(F.lit(r).alias("entity_role"), *(c.alias(n) for c, n in zip([*map(F.col, sides_of(r)), has(r), *map(F.col, spans_cols(r))], ENTITY_COLUMNS)))
+    entities = triplets.select(*CONTEXT, "triplet_index", F.explode(F.array(*map(entity, SIDES))).alias("e")).select(*CONTEXT, "triplet_index", "e.*")
+    kept = [c for c in ENTITY_COLUMNS if c != "has_mention"]
+    mentions = entities.where("has_mention = 'true'").select(*CONTEXT, "triplet_index", F.col("entity_role").alias("mention_role"), *(F.col(a).alias(b) for a, b in zip(kept, MENTION_COLUMNS)))
+    missing = [F.count(F.when(F.col(f"{r}_span_mode") == "", 1)) for r in SIDES]
+    n = F.count(F.lit(1))
+    counts = triplets.agg(n.alias("triplets"), (n * 2).alias("entities"), (n * 2 - missing[0] - missing[1]).alias("mentions"), missing[0].alias("missing_head_spans"), missing[1].alias("missing_tail_spans"))
+    return triplets, entities, mentions, counts
+
+
 def expand_refs(df: DataFrame, default_refs: str = "refs", dated_refs: str | None = None) -> DataFrame:
     """A row for each reference: map<num, struct<id, content>>, or map<date, array<struct<CID, Title, Articles>>> with a row for each of its articles.
 

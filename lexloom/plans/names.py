@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import first_filled, fold_latin, iri_part, short_hash, slug
+from ..functions.text import first_filled, fold_latin, iri_part, is_current_act, short_hash, slug
 
 # fixed values: public vocabularies
 RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
@@ -48,6 +48,10 @@ class Names:
         """By type and label, folded: variants that fold alike are one entity."""
         return F.concat(F.lit(f"{self.resource}/entity/"), slug(kind, 32), F.lit("/"), slug(label), F.lit("-"), short_hash(fold_latin(kind), fold_latin(label)))
 
+    def resolved(self, kind: Column, label: Column, document_key: Column) -> Column:
+        """The document's IRI for a label that stands for the act itself, else the entity's."""
+        return F.when(is_current_act(label, kind), self.document(document_key)).otherwise(self.entity(kind, label))
+
     def statement(self, article_id: Column, article_key: Column, place: Column, provider: Column | None = None) -> Column:
         scope = F.lit("") if provider is None else F.concat(F.lit("/"), iri_part(provider.cast("string")))
         return F.concat(F.lit(f"{self.resource}/extraction"), scope, F.lit("/"), iri_part(article_id.cast("string")), F.lit("/article/"), article_key, F.lit("/triple/"), place.cast("string"))

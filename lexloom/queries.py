@@ -581,9 +581,12 @@ def cluster_report(spark, d):
     return fusion.cluster_report(members, "entity_exact", "type").drop("variants_in_cluster")
 
 
-@register()
+@register("""WITH RECURSIVE e AS (SELECT label::VARCHAR AS type, vec_id, embedding::DOUBLE[] AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings WHERE label IS NOT NULL),
+walk(type, k, vec_id, leader, leaders) AS (SELECT type, k, vec_id, vec_id, [{'id': vec_id, 'v': v}] FROM e WHERE k = 1 UNION ALL SELECT type, k, vec_id, coalesce(near[1].id, vec_id), CASE WHEN len(near) > 0 THEN leaders ELSE list_append(leaders, {'id': vec_id, 'v': v}) END
+FROM (SELECT e.type, e.k, e.vec_id, e.v, w.leaders, list_filter(w.leaders, lambda x: list_cosine_similarity(x.v, e.v) >= 0.3) AS near FROM walk w JOIN e ON w.type = e.type AND e.k = w.k + 1))
+SELECT type, vec_id AS name, leader FROM walk""")
 def leader_clusters(spark, d):
-    """Sequential by nature, so SQL has no like; tested against a plain walk."""
+    """In SQL as a walk over the ranks of each group."""
     e = table(spark, d, "embeddings").where("label IS NOT NULL")
     return fusion.leader_clusters(e.select(F.col("label").cast("string").alias("type"), F.col("vec_id").alias("name"), "embedding", F.col("vec_id").alias("place")), "type", "place", "name", "embedding", 0.3)
 
@@ -931,3 +934,6 @@ def windows_ext(spark, d):
 SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n FROM s GROUP BY user_id, k""")
 def sessions_ext(spark, d):
     return resume.sessions(table(spark, d, "events"), "user_id", "ts")
+
+
+from . import more_queries as _more  # noqa: E402,F401  # registers its queries here

@@ -46,7 +46,7 @@ def test_matches_sql(spark, duck, name):
 
 
 def test_every_query_has_an_oracle_or_a_reason():
-    assert set(queries.queries()) - set(queries.oracle_sql()) == {"leader_clusters", "merge_entities", "span_cascade"}
+    assert set(queries.queries()) - set(queries.oracle_sql()) == {"merge_entities", "span_cascade"}
 
 
 def test_entry(spark):
