@@ -117,15 +117,15 @@ def is_held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(F.coalesce(id_col.cast("string"), F.lit(""))) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, per_label: int = 800, windows_each: int = 3, length: int = 256, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> ByteConvNet | None:
+def train(docs: DataFrame, per_label: int = 800, windows_each: int = 3, length: int = 256, most_labels: int = 256, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> ByteConvNet | None:
     """Fits the network on rows of ``docs`` that aren't held out and have a text and a label; None if there are none.
 
     The sample is bounded: about ``per_label`` rows of each label, those of the least hashes of their ids, and of each
-    ``windows_each`` windows of at most ``length`` bytes at hash-random places (``per_label``, ``windows_each`` and ``length``
-    are the documented bounds). Predictions later cover whole texts.
+    ``windows_each`` windows of at most ``length`` bytes at hash-random places. Of more than ``most_labels`` labels the most frequent are learned, of
+    equally frequent ones the first. ``per_label``, ``windows_each``, ``length`` and ``most_labels`` are the documented bounds. Predictions later cover whole texts.
     """
     known = docs.where(F.col(text_col).isNotNull() & F.col(label_col).isNotNull() & ~is_held_out(F.col(id_col)))
-    sizes = {r[0]: r[1] for r in known.groupBy(F.col(label_col).alias("label")).count().collect()}
+    sizes = {r[0]: r[1] for r in known.groupBy(F.col(label_col).alias("label")).count().orderBy(F.desc("count"), "label").limit(most_labels).collect()}
     if not sizes:
         return None
     labels = sorted(sizes)
@@ -136,7 +136,7 @@ def train(docs: DataFrame, per_label: int = 800, windows_each: int = 3, length:
         for i in range(windows_each)
     ]
     sample = (
-        known.where(unit < share[F.col(label_col)])
+        known.where(F.coalesce(unit < share[F.col(label_col)], F.lit(False)))
         .select(F.col(label_col).alias("label"), unit.alias("unit"), *(p.alias(f"w{i}") for i, p in enumerate(parts)))
         .orderBy("unit", *(f"w{i}" for i in range(windows_each)), "label").limit(2 * per_label * len(labels)).toArrow()
     )

@@ -1,3 +1,4 @@
+import random
 import subprocess
 import sys
 import zlib
@@ -54,6 +55,31 @@ def test_odd_tables(spark):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, odd, SF)
         assert out.columns == odd.columns and out.count() <= 3, name
+    packed = corpus_pipeline.pack_sequences(spark, odd, SF).collect()
+    assert sorted((r.doc_id is None, r.piece, r.start) for r in packed) == [(False, 0, 0), (False, 0, 0), (True, 0, 0)]
+    assert len({(r.sequence_id, r.offset) for r in packed}) == 3 and [r.length for r in packed if r.doc_id is None] == [1]
+
+
+def test_very_long_texts_go_through_every_stage(spark):
+    """Two near copies and another, of some hundred thousand words, with many secrets."""
+    r = random.Random(6)
+    words = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 8))) for _ in range(3000)]
+    long_ = [r.choice(words) for _ in range(120_000)]
+    near = [*long_[:60_000], "edited", *long_[60_000:]]
+    other = [r.choice(words) if k % 20 else f"password={'q' * 12}{k:06d}" for k in range(60_000)]
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    rows = [(1, " ".join(long_), "en", "a", 0), (2, " ".join(near), "en", "a", 0), (3, " ".join(other), "de", "b", 0)]
+    docs = spark.createDataFrame([(d, t, lang, s, len(t)) for d, t, lang, s, _ in rows], schema)
+    out = docs
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = corpus_pipeline.stash(stage(spark, out, SF))
+        kept[name] = out
+    assert sorted(x.doc_id for x in kept["near_dedup"].collect()) == [1, 3]
+    hidden = next(x.text for x in kept["secret_scan"].collect() if x.doc_id == 3)
+    assert hidden.count("[secret]") == 3000 and "qqqq" not in hidden and len(hidden.split(" ")) == 60_000
+    pieces = kept["packing"].orderBy("doc_id", "piece").collect()
+    assert {x.doc_id for x in pieces} <= {1, 3} and all(x.length <= 2048 for x in pieces)
 
 
 def test_the_library_stands_without_this_subpackage():
