@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.llm import langid, minhash, mixing, packing, secrets
-from lexloom.llm.common import stash, table
+from lexloom.llm.common import stash, table, unstash
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -43,6 +43,7 @@ def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs the documents' tokens into sequences of 2,048; a row for each piece. Null and empty texts are one token; equal rows are packed one by one."""
     return packing.pack(docs)
 
 
@@ -59,7 +60,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in turn; a stage's table is deleted once the next one's is written, and the last one's stays."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stash(stage(spark, docs, sf_dir))
+    for k, (_, stage) in enumerate(STAGES):
+        made = stash(stage(spark, docs, sf_dir))
+        if k:
+            unstash(docs)
+        docs = made
     return docs

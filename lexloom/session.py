@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -28,7 +29,10 @@ def session(app: str = "lexloom", master: str | None = None, **settings: str) ->
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The shared folder that the session names in spark.checkpoint.dir; a temporary one only where none is set, as in tests."""
+    """The shared folder that the session names in spark.checkpoint.dir; a temporary one only where none is set and everything runs in one process, as in tests."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lexloom-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="lexloom-"))
