@@ -12,17 +12,23 @@ from ..schema import GRAPH_COLUMNS
 from .names import CNT, DCTERMS, ELI, OA, PROV, RDF, RDFS, SKOS, Names
 
 
+#: Kinds of terms that a triple can go on from.
+NODES = ("iri", "bnode")
+
+
 class Graph:
     """Views of a triple table (``s s_kind p o o_kind o_datatype o_lang``, a set)."""
 
     def __init__(self, triples: DataFrame, names: Names):
         self.triples, self.names = triples, names
 
-    def links(self, predicate: str, s: str, o: str) -> DataFrame:
-        return self.triples.where(F.col("p") == predicate).select(F.col("s").alias(s), F.col("o").alias(o))
+    def links(self, predicate: str, s: str, o: str, kinds: tuple[str, ...] | None = None) -> DataFrame:
+        """Subjects and objects of a predicate; with ``kinds`` only objects of those kinds, as a literal isn't the node of its text."""
+        found = self.triples.where(F.col("p") == predicate)
+        return (found.where(F.col("o_kind").isin(*kinds)) if kinds else found).select(F.col("s").alias(s), F.col("o").alias(o))
 
     def types(self, s: str, cls: str, among: list[str] | None = None) -> DataFrame:
-        found = self.links(RDF + "type", s, cls)
+        found = self.links(RDF + "type", s, cls, ("iri",))
         return found.where(F.col(cls).isin(among)) if among is not None else found
 
     def statements(self, subject: str, predicate: str, obj: str, article: str | None = None, derived: bool = False) -> DataFrame:
@@ -32,11 +38,11 @@ class Graph:
         """
         rows = self.types("statement", "_k", [self.names.core + "ExtractedRelation"]).select("statement")
         for name, end in ((subject, "subject"), (predicate, "predicate"), (obj, "object")):
-            rows = rows.join(self.links(RDF + end, "statement", name), "statement")
+            rows = rows.join(self.links(RDF + end, "statement", name, NODES if end != "predicate" else ("iri",)), "statement")
         if article:
-            source = self.links(PROV + "hadPrimarySource", "statement", article)
+            source = self.links(PROV + "hadPrimarySource", "statement", article, NODES)
             if derived:
-                source = source.unionByName(self.links(PROV + "wasDerivedFrom", "statement", article))
+                source = source.unionByName(self.links(PROV + "wasDerivedFrom", "statement", article, NODES))
             rows = rows.join(source, "statement")
         return rows
 
@@ -49,7 +55,7 @@ class Graph:
         """Local id, number and text of articles, the long column joined last."""
         rows = self.optional(rows, article, ELI + "id_local", "article_id_local")
         rows = self.optional(rows, article, ELI + "number", "article_number")
-        content = self.links(self.names.core + "hasContent", "_a", "_n").join(self.links(CNT + "chars", "_c", "article_content"), F.col("_n") == F.col("_c")).select("_a", "article_content")
+        content = self.links(self.names.core + "hasContent", "_a", "_n", NODES).join(self.links(CNT + "chars", "_c", "article_content"), F.col("_n") == F.col("_c")).select("_a", "article_content")
         return rows.join(content, F.col(article) == F.col("_a"), "left").drop("_a")
 
     def typed(self, rows: DataFrame, node: str, cls: str, among: list[str]) -> DataFrame:
@@ -151,18 +157,20 @@ def action_sources_with_mentions(g: Graph) -> DataFrame:
     rows = g.of_class(g.of_class(rows, "action", g.names.core + "Action"), "source", g.names.core + "Source")
     rows = g.optional(g.optional(rows, "action", SKOS + "prefLabel", "action_label"), "source", SKOS + "prefLabel", "source_label")
     # the optional parts that the query doesn't project can only multiply rows
-    for predicate, name in ((ELI + "id_local", "_x"), (ELI + "number", "_y")):
-        rows = g.optional(rows, "article", predicate, name).drop(name)
-    spots = (
-        g.links(OA + "hasBody", "m", "m_body").join(g.links(OA + "hasTarget", "m", "m_target"), "m")
-        .join(g.links(OA + "hasSource", "m_target", "m_article"), "m_target").join(g.links(OA + "hasSelector", "m_target", "m_selector"), "m_target")
-        .join(g.links(OA + "start", "m_selector", "m_start"), "m_selector").join(g.links(OA + "end", "m_selector", "m_end"), "m_selector")
-        .select("m", "m_body", "m_article", "m_start", "m_end")
-    )
-    for role, node in (("head", "action"), ("tail", "source")):
-        own = spots.select(*(F.col(c).alias(f"{node}_{c}") for c in spots.columns))
-        match = (F.concat("statement", F.lit(f"/mention/{role}")) == F.col(f"{node}_m")) & (F.col(node) == F.col(f"{node}_m_body")) & (F.col("article") == F.col(f"{node}_m_article"))
-        rows = rows.join(own, match, "left").withColumns({f"{node}_start": F.col(f"{node}_m_start"), f"{node}_end": F.col(f"{node}_m_end")})
+    for predicate in (ELI + "id_local", ELI + "number"):
+        rows = g.optional(rows, "article", predicate, "_x").drop("_x")
+    content = g.links(g.names.core + "hasContent", "_a", "_n", NODES).join(g.links(CNT + "chars", "_c", "_x").select("_c"), F.col("_n") == F.col("_c")).select("_a")
+    rows = rows.join(content, F.col("article") == F.col("_a"), "left").drop("_a")
+    # mentions from those that are wanted on, so that each part of an annotation is joined with few rows; both roles at once
+    role = lambda r, node: F.struct(F.concat("statement", F.lit(f"/mention/{r}")).alias("m"), F.col(node).alias("body"))
+    wanted = rows.select("article", F.explode(F.array(role("head", "action"), role("tail", "source"))).alias("w")).select("article", "w.*").distinct()
+    spots = wanted.join(g.links(OA + "hasBody", "m", "body", NODES), ["m", "body"]).join(g.links(OA + "hasTarget", "m", "target", NODES), "m")
+    spots = spots.join(g.links(OA + "hasSource", "target", "article", NODES), ["target", "article"]).join(g.links(OA + "hasSelector", "target", "selector", NODES), "target")
+    spots = spots.join(g.links(OA + "start", "selector", "start"), "selector").join(g.links(OA + "end", "selector", "end"), "selector").select("m", "body", "article", "start", "end")
+    for r, node in (("head", "action"), ("tail", "source")):
+        own = spots.select(F.col("m").alias("_m"), F.col("body").alias("_b"), F.col("article").alias("_a"), F.col("start").alias(f"{node}_start"), F.col("end").alias(f"{node}_end"))
+        match = (F.concat("statement", F.lit(f"/mention/{r}")) == F.col("_m")) & (F.col(node) == F.col("_b")) & (F.col("article") == F.col("_a"))
+        rows = rows.join(own, match, "left").drop("_m", "_b", "_a")
     columns = ["article", "action", "action_label", "action_start", "action_end", "source_property", "source_label", "source_start", "source_end", "statement"]
     return rows.select(*columns).orderBy("action_label", "source_property", "source_label")
 
