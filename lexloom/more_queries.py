@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from .functions import text, values
 from .operators import analytics, corpus, curation, fusion, ontology, reshape
+from .plans import graph_fixture, mapping_text
 from .plans.fixture import table, triplets
 from .plans.graph_fixture import CORE, DOMAIN, RES, graph
-from .plans.names import NAMES, OWL, RDF, RDFS, SKOS
+from .plans.names import DCTERMS, NAMES, OWL, PROV, RDF, RDFS, SKOS, XSD
+from .plans.rml import activity_maps, construct
 from .queries import CLASSES, K, T, register
 from .schema import GRAPH_COLUMNS
 
@@ -226,6 +228,51 @@ def first_labels(spark, d):
     return analytics.first_label(nodes, "entity", triples, [SKOS + "altLabel", SKOS + "prefLabel", RDFS + "label"])
 
 
+# --- mappings --------------------------------------------------------------------------------------------------
+
+_MAPPING = f"""
+@prefix rr: <http://www.w3.org/ns/r2rml#> . @prefix rml: <http://semweb.mmlab.be/ns/rml#> . @prefix xsd: <http://www.w3.org/2001/XMLSchema#> . @prefix m: <http://map.example/> . @prefix x: <{_O}> .
+m:Source rml:source "data/in/nations.csv" .
+m:Nation a rr:TriplesMap ; rml:logicalSource m:Source ;
+  rr:subjectMap [ rr:template "{_O}region/{{id}}/nation/{{num}}" ; rr:class x:Nation, x:Place ] ;
+  rr:predicateObjectMap [ rr:predicate x:name ; rr:objectMap [ rml:reference "name" ; rr:datatype xsd:string ] ] ;
+  rr:predicateObjectMap [ rr:predicate x:number ; rr:objectMap [ rml:reference "num" ; rr:datatype xsd:string ] ] ;
+  rr:predicateObjectMap [ rr:predicate x:in, x:of ; rr:objectMap [ rr:template "{_O}region/{{id}}" ; rr:termType rr:IRI ] ; rr:object x:World ] ;
+  rr:predicateObjectMap [ rr:predicate x:note ; rr:objectMap [ rr:template "note-{{num}}" ; rr:termType rr:BlankNode ] ] .
+m:Note a rr:TriplesMap ; rml:logicalSource m:Source ; rr:subjectMap [ rr:template "note-{{num}}" ; rr:termType rr:BlankNode ] ;
+  rr:predicateObjectMap [ rr:predicate x:text ; rr:objectMap [ rml:reference "comment" ; rr:language "en" ] ] ;
+  rr:predicateObjectMap [ rr:predicateMap [ rr:template "{_O}p{{id}}" ] ; rr:objectMap [ rr:constant "run" ] ] .
+m:Empty a rr:TriplesMap ; rml:logicalSource m:Source ; rr:subjectMap [ rml:reference "nothing" ] ; rr:predicateObjectMap [ rr:predicate x:never ; rr:object x:World ] .
+"""
+
+
+@register(f"""WITH n AS (SELECT n_nationkey, n_name, 'R' || n_regionkey AS r, CASE WHEN n_nationkey % 2 = 0 THEN 'c' || n_nationkey END AS c, 'K' || n_nationkey AS k FROM nation), s AS (SELECT *, '{_O}region/' || r || '/nation/' || k AS s, 'note_' || k AS b FROM n)
+SELECT s, '{RDF}type' AS p, unnest(['{_O}Nation', '{_O}Place']) AS o, 'iri' AS o_kind, NULL::VARCHAR AS o_datatype FROM s UNION ALL SELECT s, '{_O}name', n_name, 'literal', '{XSD}string' FROM s UNION ALL SELECT s, '{_O}number', k, 'literal', '{XSD}string' FROM s
+UNION ALL SELECT s, '{_O}' || x, '{_O}region/' || r, 'iri', NULL FROM s, (VALUES ('in'), ('of')) v(x) UNION ALL SELECT s, '{_O}' || x, '{_O}World', 'iri', NULL FROM s, (VALUES ('in'), ('of')) v(x) UNION ALL SELECT s, '{_O}note', b, 'bnode', NULL FROM s
+UNION ALL SELECT b, '{_O}text', c, 'literal', NULL FROM s WHERE c IS NOT NULL UNION ALL SELECT b, '{_O}p' || r, 'second', 'literal', NULL FROM s""")
+def mapping_triples(spark, d):
+    """A mapping text, read and aimed at other columns, over nations."""
+    maps, paths = mapping_text.read_mapping(_MAPPING)
+    maps = mapping_text.retarget(maps, {"nations": "rows"}, {"num": "key", "id": "region"}, {f"{_O}number": ("num", "key")})
+    maps = mapping_text.with_constants(maps, {"run": "second"})
+    n = table(spark, d, "nation")
+    rows = n.select(F.col("n_name").alias("name"), F.concat(F.lit("R"), "n_regionkey").alias("region"), F.concat(F.lit("K"), "n_nationkey").alias("key"), F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("c"), "n_nationkey")).alias("comment"))
+    return construct({"rows": rows}, maps).select("s", "p", "o", "o_kind", "o_datatype")
+
+
+@register(K + f""", used AS (SELECT DISTINCT a FROM k), fixed AS (SELECT * FROM (VALUES
+  ('kgCreationActivity', '{RDF}type', '{PROV}Activity'), ('kgCreationActivity', '{RDFS}label', 'Knowledge graph creation'), ('kgCreationActivity', '{PROV}used', '{RES}/dataset'), ('kgCreationActivity', '{PROV}used', '{RES}/generator'),
+  ('kgCreationActivity', '{PROV}wasInformedBy', '{RES}/activity/run1'), ('kgCreationActivity', '{PROV}wasInformedBy', '{RES}/mentionExtractionActivity'), ('activity/run1', '{RDF}type', '{PROV}Activity'), ('activity/run1', '{RDF}type', '{CORE}LLMRelationExtraction'),
+  ('activity/run1', '{RDFS}label', 'Signature-driven relation extraction'), ('activity/run1', '{PROV}wasAssociatedWith', '{RES}/extractionProvider'), ('activity/run1', '{CORE}usesModel', 'model-x'), ('activity/run1', '{CORE}extractionStrategy', 'signature-driven'),
+  ('activity/run1', '{CORE}constrainedBy', '{RES}/extendedOntology'), ('extractionProvider', '{RDF}type', '{PROV}Agent'), ('extractionProvider', '{RDF}type', 'https://schema.org/Organization'), ('extractionProvider', '{RDFS}label', 'Extraction provider'),
+  ('extendedOntology', '{RDF}type', '{PROV}Entity'), ('extendedOntology', '{RDF}type', '{CORE}ExtractionConstraint'), ('extendedOntology', '{RDFS}label', 'Extended extraction ontology'), ('extendedOntology', '{DCTERMS}source', 'unspecified-ontology')) v(s, p, o))
+SELECT '{RES}/' || s AS s, p, o FROM fixed UNION ALL SELECT '{RES}/activity/run1', '{PROV}used', a FROM used""")
+def activity_triples(spark, d):
+    """The activities behind the triples, with each article that they used."""
+    rows = graph_fixture.sources(spark, d, ("triplets",))
+    return construct(rows, activity_maps(NAMES, "run1", "model-x")).select("s", "p", "o")
+
+
 # --- rows by words and order -----------------------------------------------------------------------------------
 
 

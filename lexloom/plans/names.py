@@ -23,6 +23,9 @@ ELI = "http://data.europa.eu/eli/ontology#"
 DCAT = "http://www.w3.org/ns/dcat#"
 
 
+SCHEMA = "https://schema.org/"
+
+
 @dataclass(frozen=True)
 class Names:
     """A graph's own namespaces: of the core classes, of the domain's relations, and of instances."""

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import bnode_name, expand_template
 from ..schema import GRAPH_COLUMNS
-from .names import CNT, DCTERMS, ELI, OA, PROV, RDF, RDFS, SKOS, XSD, Names
+from .names import CNT, DCTERMS, ELI, OA, PROV, RDF, RDFS, SCHEMA, SKOS, XSD, Names
 
 
 @dataclass(frozen=True)
@@ -24,6 +24,7 @@ class Term:
     template: str | None = None
     kind: str | None = None
     datatype: str | None = None
+    language: str | None = None
 
     def value(self, columns: list[str]) -> Column:
         if self.constant is not None:
@@ -33,11 +34,12 @@ class Term:
         return expand_template(self.template or "", columns)
 
     def compiled(self, columns: list[str], default: str) -> Column:
-        """A struct of value, kind and datatype; null if the whole value is empty."""
+        """A struct of value, kind, datatype and language; null if the whole value is empty."""
         kind = self.kind or ("iri" if self.constant is not None and default != "literal" else default)
         value = self.value(columns)
         shown = bnode_name(value) if kind == "bnode" else value
-        return F.when(value != "", F.struct(shown.alias("value"), F.lit(kind).alias("kind"), F.lit(self.datatype if kind == "literal" else None).cast("string").alias("datatype")))
+        text = lambda x: F.lit(x if kind == "literal" else None).cast("string")
+        return F.when(value != "", F.struct(shown.alias("value"), F.lit(kind).alias("kind"), text(self.datatype).alias("datatype"), text(self.language).alias("language")))
 
 
 def iri(template: str) -> Term:
@@ -71,10 +73,9 @@ class TriplesMap:
         """An array of triples (nulls where a term is empty) as a column."""
         s = self.subject.compiled(columns, "iri")
         out = []
-        text = lambda x: F.lit(x).cast("string")
         make = lambda p, o: F.when(
             s.isNotNull() & s["kind"].isin("iri", "bnode") & p["value"].isNotNull() & o["value"].isNotNull(),
-            F.struct(s["value"].alias("s"), s["kind"].alias("s_kind"), p["value"].alias("p"), o["value"].alias("o"), o["kind"].alias("o_kind"), o["datatype"].alias("o_datatype"), text(None).alias("o_lang")),
+            F.struct(s["value"].alias("s"), s["kind"].alias("s_kind"), p["value"].alias("p"), o["value"].alias("o"), o["kind"].alias("o_kind"), o["datatype"].alias("o_datatype"), o["language"].alias("o_lang")),
         )
         for c in self.classes:
             out.append(make(Term(constant=RDF + "type").compiled(columns, "iri"), Term(constant=c, kind="iri").compiled(columns, "iri")))
@@ -124,8 +125,8 @@ def standard_maps(names: Names, article: str = "{article_uri}", run: str = "") -
         pair(PROV + "hadPrimarySource", iri(article)), *((pair(PROV + "wasGeneratedBy", activity),) if activity else ()),
     )
     maps = [
-        TriplesMap("documents", iri("{document_uri}"), (ELI + "LegalResource",), (pair(DCTERMS + "title", literal("title")), pair(ELI + "date_document", literal("date", XSD + "date")), pair(ELI + "type_document", literal("type_document")))),
-        TriplesMap("documents", iri(article), (ELI + "LegalResourceSubdivision",), (pair(ELI + "is_part_of", iri("{document_uri}")), pair(ELI + "number", literal("number")), pair(ELI + "id_local", literal("id_local")))),
+        TriplesMap("documents", iri("{document_uri}"), (ELI + "LegalResource",), (pair(DCTERMS + "title", literal("title")), pair(DCTERMS + "type", literal("type")))),
+        TriplesMap("documents", iri(article), (ELI + "LegalResourceSubdivision",), (pair(ELI + "is_part_of", iri("{document_uri}")), pair(ELI + "number", literal("number")), pair(ELI + "id_local", literal("id_local")), pair(OA + "sourceDateStart", literal("date", XSD + "date")))),
         TriplesMap("documents", iri(article), (), (pair(core + "hasContent", iri("{content_uri}")),)),
         TriplesMap("documents", iri("{content_uri}"), (CNT + "ContentAsText",), (pair(CNT + "chars", literal("content")),)),
         TriplesMap("triplets", iri("{statement_uri}"), (core + "ExtractedRelation", RDF + "Statement"), statement, keyed=True),
@@ -140,13 +141,34 @@ def standard_maps(names: Names, article: str = "{article_uri}", run: str = "") -
         TriplesMap("mentions", Term(template="{selector_id}", kind="bnode"), (OA + "TextPositionSelector",), (pair(OA + "start", literal("start", XSD + "integer")), pair(OA + "end", literal("end", XSD + "integer"))), keyed=True),
         TriplesMap("topics", iri(article), (), (pair(DCTERMS + "subject", iri("{topic_uri}")),)),
         TriplesMap("topics", iri("{topic_uri}"), (SKOS + "Concept",), (pair(SKOS + "prefLabel", literal("topic_label")),)),
-        TriplesMap("curation", iri("{decision_uri}"), (OA + "Annotation",), (pair(OA + "hasTarget", iri("{target_uri}")), pair(OA + "hasBody", iri("{status_uri}")), pair(PROV + "wasGeneratedBy", iri("{activity_uri}")))),
+        TriplesMap("curation", iri("{decision_uri}"), (OA + "Annotation",), (
+            pair(OA + "hasTarget", iri("{target_uri}")), pair(OA + "hasBody", iri("{status_uri}")), pair(OA + "motivatedBy", iri("{motivation_uri}")), pair(PROV + "wasGeneratedBy", iri("{activity_uri}")),
+            pair(PROV + "hadPrimarySource", iri("{source_uri}")), pair(DCTERMS + "source", iri("{dataset_uri}")),
+        )),
         TriplesMap("curation", iri("{status_uri}"), (SKOS + "Concept",), (pair(SKOS + "prefLabel", literal("status_label")), pair(SKOS + "definition", literal("status_definition")))),
-        TriplesMap("curation", iri("{activity_uri}"), (PROV + "Activity",), (pair(RDFS + "label", literal("activity_label")), pair(PROV + "startedAtTime", literal("started_at", XSD + "dateTime")), pair(PROV + "endedAtTime", literal("ended_at", XSD + "dateTime")))),
+        TriplesMap("curation", iri("{activity_uri}"), (PROV + "Activity",), (pair(RDFS + "label", literal("activity_label")), pair(RDFS + "comment", literal("activity_comment")), pair(PROV + "used", iri("{source_uri}")), pair(PROV + "startedAtTime", literal("started_at", XSD + "dateTime")), pair(PROV + "endedAtTime", literal("ended_at", XSD + "dateTime")))),
+        TriplesMap("curation", iri("{source_uri}"), (PROV + "Entity",), (pair(DCTERMS + "title", literal("source_title")),)),
     ]
     return maps
 
 
+def activity_maps(names: Names, run: str, model: str = "unspecified-model", strategy: str = "signature-driven", provider: str = "Extraction provider", constraint: str = "unspecified-ontology", article: str = "{article_uri}") -> list[TriplesMap]:
+    """The maps of the activities that made a graph, of who ran them and of what constrained them: of the sources triplets and mentions."""
+    at = lambda x: Term(constant=f"{names.resource}/{x}", kind="iri")
+    text = lambda x: Term(constant=x, kind="literal")
+    extraction, mentions, generator = at(f"activity/{run}"), at("mentionExtractionActivity"), at("generator")
+    return [
+        TriplesMap("triplets", at("kgCreationActivity"), (PROV + "Activity",), (pair(RDFS + "label", text("Knowledge graph creation")), pair(PROV + "used", at("dataset"), generator), pair(PROV + "wasInformedBy", extraction, mentions))),
+        TriplesMap("triplets", extraction, (PROV + "Activity", names.core + "LLMRelationExtraction"), (
+            pair(RDFS + "label", text("Signature-driven relation extraction")), pair(PROV + "wasAssociatedWith", at("extractionProvider")), pair(names.core + "usesModel", text(model)), pair(names.core + "extractionStrategy", text(strategy)),
+            pair(names.core + "constrainedBy", at("extendedOntology")), pair(PROV + "used", iri(article)),
+        )),
+        TriplesMap("mentions", mentions, (PROV + "Activity", names.core + "MentionExtraction"), (pair(RDFS + "label", text("Mention annotation generation")), pair(PROV + "wasInformedBy", extraction), pair(PROV + "wasAssociatedWith", generator), pair(PROV + "used", iri(article)))),
+        TriplesMap("triplets", at("extractionProvider"), (PROV + "Agent", SCHEMA + "Organization"), (pair(RDFS + "label", text(provider)),)),
+        TriplesMap("triplets", at("extendedOntology"), (PROV + "Entity", names.core + "ExtractionConstraint"), (pair(RDFS + "label", text("Extended extraction ontology")), pair(DCTERMS + "source", text(constraint)))),
+    ]
+
+
 def for_provider(maps: list[TriplesMap], provider: str) -> list[TriplesMap]:
     """The maps with blank nodes in a scope of their own, so that graphs of several providers can be united."""
     scoped = lambda t: replace(t, template=f"{provider}_{t.template}") if t.kind == "bnode" and t.template else t
