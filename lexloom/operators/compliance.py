@@ -194,13 +194,14 @@ def check_graph(assertions: DataFrame, types: DataFrame, signatures: DataFrame,
     a, b = of("s"), of("o")
     rows = assertions.join(a, F.col("s") == F.col("s_node"), "left").join(b, F.col("o") == F.col("o_node"), "left").drop("s_node", "o_node")
     rows = rows.join(maybe_broadcast(properties), F.col("p") == F.col("_p"), "left").withColumn("known", F.col("_p").isNotNull()).drop("_p")
+    # signatures by their local names, with the full ones beside: one look-up of each pair of types, in which a full match goes before a local one
+    parts = ("domain", "property", "range")
+    near = signatures.select(*(local_name(F.col(c)).alias(f"_{c}") for c in parts), F.struct(*parts).alias("_full")).groupBy(*(f"_{c}" for c in parts)).agg(F.collect_set("_full").alias("_all"))
     pairs = rows.select("stmt", "s", "p", "o", F.explode("s_types").alias("h"), "o_types").select("stmt", "s", "p", "o", "h", F.explode("o_types").alias("t"))
-    full = maybe_broadcast(signatures.select(F.col("domain").alias("_d"), F.col("property").alias("_q"), F.col("range").alias("_r"), F.lit(0).alias("rank")).distinct())
-    local = maybe_broadcast(signatures.select(*(local_name(F.col(c)).alias(k) for c, k in (("domain", "_d"), ("property", "_q"), ("range", "_r"))), F.lit(1).alias("rank")).distinct())
-    hit = pairs.join(full, (F.col("h") == F.col("_d")) & (F.col("p") == F.col("_q")) & (F.col("t") == F.col("_r")))
-    soft = pairs.join(local, (local_name(F.col("h")) == F.col("_d")) & (local_name(F.col("p")) == F.col("_q")) & (local_name(F.col("t")) == F.col("_r")))
+    hit = pairs.join(maybe_broadcast(near), (local_name(F.col("h")) == F.col("_domain")) & (local_name(F.col("p")) == F.col("_property")) & (local_name(F.col("t")) == F.col("_range")))
+    rank = F.when(F.array_contains("_all", F.struct(F.col("h").alias("domain"), F.col("p").alias("property"), F.col("t").alias("range"))), 0).otherwise(1)
     keys = ["stmt", "s", "p", "o"]
-    first = hit.unionByName(soft).groupBy(*keys).agg(F.min(F.struct("h", "t", "rank")).alias("signature"))
+    first = hit.groupBy(*keys).agg(F.min(F.struct("h", "t", rank.alias("rank"))).alias("signature"))
     out = rows.join(first, keys, "left")
     typed = F.col("s_types").isNotNull() & F.col("o_types").isNotNull()
     ours = F.exists(F.array(*map(F.lit, namespaces)), lambda n: F.startswith(F.col("p"), n))
@@ -221,20 +222,19 @@ GRAPH_RATIOS = {
 }
 
 
-def graph_metrics(checked: DataFrame, scanned: int | Column | None = None, types: DataFrame | None = None, signatures: DataFrame | None = None) -> DataFrame:
-    """The metrics of a checked graph, in one row. ``scanned``: how many assertions were looked at, if more than are in ``checked``; ``types`` and ``signatures`` as for ``check_graph``
+def graph_metrics(checked: DataFrame, scanned: DataFrame | None = None, types: DataFrame | None = None, signatures: DataFrame | None = None) -> DataFrame:
+    """The metrics of a checked graph, in one row. ``scanned``: the assertions that were looked at, if more than are in ``checked``; ``types`` and ``signatures`` as for ``check_graph``
     give the number of resources that the ontology types."""
     known = F.col("known")
-    table = checked.agg(
+    count = F.count(F.lit(1))
+    found = [checked.agg(
         _yes(known).alias("n"), _yes(known & (F.col("reason") == NONE)).alias("good"), _yes(known & F.col("s_types").isNull()).alias("no_subject"), _yes(known & F.col("o_types").isNull()).alias("no_object"),
-        _yes(F.col("reason") == FORBIDDEN).alias("forbidden"), _yes(~known).alias("strange"), F.count(F.lit(1)).alias("_rows"),
-    )
-    table = table.withColumn("scanned", F.col("_rows") if scanned is None else scanned if isinstance(scanned, Column) else F.lit(scanned).cast("long"))
-    if types is None:
-        table = table.withColumn("typed", F.lit(None).cast("long"))
-    else:
-        table = _one_row([table, _known_types(types, signatures).agg(F.count_distinct("node").alias("typed"))])
-    return table.select(*_metrics(GRAPH_COUNTS, GRAPH_RATIOS))
+        _yes(F.col("reason") == FORBIDDEN).alias("forbidden"), _yes(~known).alias("strange"), *([] if scanned is not None else [count.alias("scanned")]),
+    )]
+    if scanned is not None:
+        found.append(scanned.agg(count.alias("scanned")))
+    found.append(_known_types(types, signatures).agg(F.count_distinct("node").alias("typed")) if types is not None else checked.sparkSession.range(1).select(F.lit(None).cast("long").alias("typed")))
+    return _one_row(found).select(*_metrics(GRAPH_COUNTS, GRAPH_RATIOS))
 
 
 def signature_support(triples: DataFrame) -> DataFrame:

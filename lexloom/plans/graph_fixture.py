@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..schema import GRAPH
 from ..session import ensure_checkpoint_dir
 from . import fixture
-from .names import NAMES
+from .names import NAMES, RDF
 from .rml import construct, standard_maps
 from .workload import Graph
 
@@ -61,7 +61,9 @@ def _stored(spark: SparkSession, sf_dir: str, part: str) -> DataFrame:
     if key not in _STORED:
         ensure_checkpoint_dir(spark)
         folder = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/graph-{uuid.uuid4().hex}"
-        triples(spark, sf_dir, part).write.partitionBy("p").parquet(folder)
+        # by class within the types, so that a scan for a class skips the pages of others
+        made = triples(spark, sf_dir, part).sortWithinPartitions("p", F.when(F.col("p") == RDF + "type", F.col("o")))
+        made.write.partitionBy("p").parquet(folder)
         _STORED[key] = folder
     return spark.read.schema(GRAPH).parquet(_STORED[key])
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
 from dataclasses import dataclass, field, replace
 from functools import reduce
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import bnode_name, expand_template
 from ..schema import GRAPH_COLUMNS
+from ..session import ensure_checkpoint_dir
 from .names import CNT, DCTERMS, ELI, OA, PROV, RDF, RDFS, SCHEMA, SKOS, XSD, Names
 
 
@@ -54,7 +56,7 @@ def literal(column: str, datatype: str | None = None) -> Term:
 class TriplesMap:
     """For each row of ``source``: a subject, its classes, and the product of predicates and objects of each pair in ``pairs``.
 
-    ``keyed``: rows that differ have different subjects, which no other map has; then equal triples can only come from equal rows.
+    ``keyed``: rows of the source that differ have different subjects, which no other map has; then equal triples can only come from equal rows.
     """
 
     source: str
@@ -69,8 +71,8 @@ class TriplesMap:
         named = {t.reference for t in terms} | {n for t in terms for n in re.findall(r"\{([^{}]+)\}", t.template or "")}
         return [c for c in columns if c in named]
 
-    def triples(self, columns: list[str]) -> Column:
-        """An array of triples (nulls where a term is empty) as a column."""
+    def triples(self, columns: list[str]) -> list[Column]:
+        """A column for each triple, null where a term is empty."""
         s = self.subject.compiled(columns, "iri")
         out = []
         make = lambda p, o: F.when(
@@ -83,32 +85,48 @@ class TriplesMap:
             for p in predicates:
                 for o in objects:
                     out.append(make((Term(constant=p) if isinstance(p, str) else p).compiled(columns, "iri"), o.compiled(columns, "literal")))
-        return F.array(*out)
+        return out
 
 
 def construct(sources: dict[str, DataFrame], maps: list[TriplesMap]) -> DataFrame:
     """The graph of all maps, a set of triples.
 
     Maps that read the same columns of a source go over its distinct rows of those columns together, so an entity that is
-    named in many rows is expanded once; duplicates are looked for again only among the triples of maps that aren't keyed.
+    named in many rows is expanded once; duplicates are looked for again only among the triples of maps that aren't keyed. Keyed maps of a source go over its
+    distinct rows in one pass. A source that several groups of maps read is kept in the shared folder, with the columns they read, so it is computed once.
     """
+    used = [m for m in maps if m.source in sources]
     groups: dict[tuple, list[TriplesMap]] = defaultdict(list)
-    for m in maps:
-        if m.source in sources:
-            groups[m.source, tuple(m.references(sources[m.source].columns)), m.keyed].append(m)
-    parts: dict[bool, list[DataFrame]] = {True: [], False: []}
-    for (name, columns, keyed), own in groups.items():
-        rows = sources[name].select(*columns).distinct() if columns else sources[name].limit(1)
-        made = rows.select(F.explode(F.array_compact(F.concat(*(m.triples(list(columns)) for m in own)))).alias("t"))
-        parts[keyed].append(made.select("t.*"))
+    for m in used:
+        groups[m.source, m.keyed or tuple(m.references(sources[m.source].columns))].append(m)
     if not groups:
         raise ValueError("no map has a source")
+    read = {}
+    for name in {m.source for m in used}:
+        columns = [c for c in sources[name].columns if any(c in m.references(sources[name].columns) for m in used if m.source == name)]
+        rows = sources[name].select(*columns)
+        read[name] = stored(rows) if columns and sum(k[0] == name for k in groups) > 1 else rows
+    parts: dict[bool, list[DataFrame]] = {True: [], False: []}
+    for (name, key), own in groups.items():
+        columns = [c for c in read[name].columns if any(c in m.references(read[name].columns) for m in own)]
+        rows = read[name].select(*columns).distinct() if columns else sources[name].limit(1)
+        made = rows.select(F.explode(F.array(*(t for m in own for t in m.triples(columns)))).alias("t")).where("t IS NOT NULL")
+        parts[key is True].append(made.select("t.*"))
     united = [reduce(DataFrame.unionByName, parts[True])] if parts[True] else []
     if parts[False]:
         united.append(reduce(DataFrame.unionByName, parts[False]).dropDuplicates())
     return reduce(DataFrame.unionByName, united).select(*GRAPH_COLUMNS)
 
 
+def stored(rows: DataFrame) -> DataFrame:
+    """``rows`` written as a table in the shared folder and read again."""
+    spark = rows.sparkSession
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/rows-{uuid.uuid4().hex}"
+    rows.write.parquet(folder)
+    return spark.read.schema(rows.schema).parquet(folder)
+
+
 def pair(predicate: str, *objects: Term) -> tuple[tuple[str, ...], tuple[Term, ...]]:
     return (predicate,), objects
 

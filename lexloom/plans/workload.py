@@ -31,14 +31,21 @@ class Graph:
         found = self.links(RDF + "type", s, cls, ("iri",))
         return found.where(F.col(cls).isin(among)) if among is not None else found
 
-    def statements(self, subject: str, predicate: str, obj: str, article: str | None = None, derived: bool = False) -> DataFrame:
+    def statements(self, subject: str, predicate: str, obj: str, article: str | None = None, derived: bool = False, among: dict[str, str] | None = None) -> DataFrame:
         """The reified statements; a row for each match of the pattern, so several values of a property multiply rows.
 
-        With ``article``, a row for each primary source, and with ``derived`` for each source of either kind (a bag).
+        With ``article``, a row for each primary source, and with ``derived`` for each source of either kind (a bag). ``among``: the class
+        that the subject or object must have; such ends are looked up first, so that the others are joined with what is left.
         """
-        rows = self.types("statement", "_k", [self.names.core + "ExtractedRelation"]).select("statement")
-        for name, end in ((subject, "subject"), (predicate, "predicate"), (obj, "object")):
-            rows = rows.join(self.links(RDF + end, "statement", name, NODES if end != "predicate" else ("iri",)), "statement")
+        among = among or {}
+        ends = [(subject, "subject"), (obj, "object"), (predicate, "predicate")]
+        ends.sort(key=lambda e: e[0] not in among)
+        rows = None
+        for name, end in ends:
+            found = self.links(RDF + end, "statement", name, ("iri",) if end == "predicate" else NODES)
+            found = self.of_class(found, name, among[name]) if name in among else found
+            rows = found if rows is None else rows.join(found, "statement")
+        rows = rows.join(self.types("statement", "_k", [self.names.core + "ExtractedRelation"]).select("statement"), "statement")
         if article:
             source = self.links(PROV + "hadPrimarySource", "statement", article, NODES)
             if derived:
@@ -103,9 +110,8 @@ def topic_counts(g: Graph) -> DataFrame:
 def actor_roles(g: Graph) -> DataFrame:
     """Roles of actors in actions, in either direction."""
     actor, action = g.names.core + "Actor", g.names.core + "Action"
-    rows = g.statements("subject", "role_property", "object")
     both = [
-        g.of_class(g.of_class(rows, "subject", a), "object", b).withColumns({"class_subject": F.lit(a), "class_object": F.lit(b)}) for a, b in ((actor, action), (action, actor))
+        g.statements("subject", "role_property", "object", among={"subject": a, "object": b}).withColumns({"class_subject": F.lit(a), "class_object": F.lit(b)}) for a, b in ((actor, action), (action, actor))
     ]
     found = both[0].unionByName(both[1])
     found = g.optional(g.optional(found, "subject", SKOS + "altLabel", "label_subject"), "object", SKOS + "altLabel", "label_object")
@@ -115,20 +121,21 @@ def actor_roles(g: Graph) -> DataFrame:
 
 def actor_roles_with_content(g: Graph) -> DataFrame:
     actor, action = g.names.core + "Actor", g.names.core + "Action"
-    one = g.statements("actor", "role_property", "action", "article").withColumn("direction", F.lit("Actor -> Action"))
-    two = g.statements("action", "role_property", "actor", "article").withColumn("direction", F.lit("Action -> Actor"))
-    rows = reduce(DataFrame.unionByName, (g.of_class(g.of_class(x, "actor", actor), "action", action) for x in (one, two)))
+    among = {"actor": actor, "action": action}
+    one = g.statements("actor", "role_property", "action", "article", among=among).withColumn("direction", F.lit("Actor -> Action"))
+    two = g.statements("action", "role_property", "actor", "article", among=among).withColumn("direction", F.lit("Action -> Actor"))
+    rows = one.unionByName(two)
     rows = g.optional(g.optional(rows, "actor", SKOS + "altLabel", "actor_label"), "action", SKOS + "altLabel", "action_label")
     columns = ["article", "article_id_local", "article_number", "article_content", "direction", "actor", "actor_label", "role_property", "action", "action_label", "statement"]
     return g.with_content(rows).select(*columns).orderBy("article_id_local", "article_number", "direction", "actor_label", "role_property", "action_label")
 
 
 def _elements(g: Graph, element_types: list[str], other_types: list[str], other: str, prop: str, predicates: list[str] | None = None, other_class: bool = True) -> DataFrame:
-    rows = g.statements("element", prop, other, "article")
+    rows = g.statements("element", prop, other, "article", among={} if other_class else {other: other_types[0]})
     if predicates is not None:
         rows = rows.where(F.col(prop).isin(predicates))
     rows = g.typed(rows, "element", "element_type", element_types)
-    rows = g.typed(rows, other, f"{other}_type", other_types) if other_class else g.of_class(rows, other, other_types[0])
+    rows = g.typed(rows, other, f"{other}_type", other_types) if other_class else rows
     return g.optional(g.optional(rows, "element", SKOS + "prefLabel", "element_label"), other, SKOS + "prefLabel", f"{other}_label")
 
 
@@ -153,8 +160,7 @@ def action_sources(g: Graph) -> DataFrame:
 
 def action_sources_with_mentions(g: Graph) -> DataFrame:
     """Reified sources of actions, with the offsets of both mentions where they are annotated."""
-    rows = g.statements("action", "source_property", "source", "article", derived=True)
-    rows = g.of_class(g.of_class(rows, "action", g.names.core + "Action"), "source", g.names.core + "Source")
+    rows = g.statements("action", "source_property", "source", "article", derived=True, among={"action": g.names.core + "Action", "source": g.names.core + "Source"})
     rows = g.optional(g.optional(rows, "action", SKOS + "prefLabel", "action_label"), "source", SKOS + "prefLabel", "source_label")
     # the optional parts that the query doesn't project can only multiply rows
     for predicate in (ELI + "id_local", ELI + "number"):
@@ -191,8 +197,7 @@ def justified_elements_with_content(g: Graph) -> DataFrame:
 
 
 def affected_artifacts(g: Graph, content: bool = False) -> DataFrame:
-    rows = g.statements("action", "artifact_role_property", "artifact", "article")
-    rows = g.of_class(g.of_class(rows, "action", g.names.core + "Action"), "artifact", g.names.core + "Artifact")
+    rows = g.statements("action", "artifact_role_property", "artifact", "article", among={"action": g.names.core + "Action", "artifact": g.names.core + "Artifact"})
     rows = g.optional(g.optional(rows, "action", SKOS + "prefLabel", "action_label"), "artifact", SKOS + "prefLabel", "artifact_label")
     columns = ["action", "action_label", "artifact_role_property", "artifact", "artifact_label", "statement"]
     order = ["action_label", "artifact_role_property", "artifact_label"]
@@ -233,8 +238,7 @@ def construct_article(g: Graph, article: str) -> DataFrame:
 
 
 def predicate_examples(g: Graph, predicate: str, subject_class: str, object_class: str) -> DataFrame:
-    rows = g.statements("subject", "predicate", "object").where(F.col("predicate") == predicate)
-    rows = g.of_class(g.of_class(rows, "subject", subject_class), "object", object_class)
+    rows = g.statements("subject", "predicate", "object", among={"subject": subject_class, "object": object_class}).where(F.col("predicate") == predicate)
     rows = g.optional(g.optional(rows, "subject", SKOS + "prefLabel", "subject_label"), "object", SKOS + "prefLabel", "object_label")
     return rows.select("subject_label", "object_label").distinct().orderBy("subject_label", "object_label")
 

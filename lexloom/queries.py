@@ -776,7 +776,7 @@ def kg_compliance(spark, d):
     g = graph(spark, d)
     types, own = g.types("node", "cls"), _iri_signatures(spark)
     rows = g.statements("s", "p", "o").select(F.col("statement").alias("stmt"), "s", "p", "o")
-    return compliance.graph_metrics(compliance.check_graph(rows, types, own, [CORE, DOMAIN]), rows.count(), types, own)
+    return compliance.graph_metrics(compliance.check_graph(rows, types, own, [CORE, DOMAIN]), rows, types, own)
 
 
 _SUPPORT = "s AS (SELECT relation AS predicate, head_type AS domain, tail_type AS range, count(DISTINCT stmt) AS signature_support_count FROM t GROUP BY ALL), w AS (SELECT *, (sum(signature_support_count) OVER (PARTITION BY predicate))::BIGINT AS predicate_support_count FROM s)"
