@@ -144,7 +144,9 @@ def overall(checked: DataFrame, signatures: DataFrame, cells: DataFrame | None =
     """
     local = [local_name(F.coalesce(F.col(c), F.lit(""))) for c in ("head_type", "relation", "tail_type")]
     flags = ["head_type_exists", "relation_exists", "tail_type_exists", "match", "reason"]
-    kinds = checked.groupBy(*(c.alias(k) for c, k in zip(local, "hrt")), *flags).agg(F.count(F.lit(1)).alias("w"))
+    # the same exchange gives the kinds of triples and the articles that have any
+    once = checked.groupBy(F.col(key).alias("k"), *(c.alias(k) for c, k in zip(local, "hrt")), *flags).agg(F.count(F.lit(1)).alias("w"))
+    kinds = once.groupBy("h", "r", "t", *flags).agg(F.sum("w").alias("w"))
     sides = F.explode(F.array(*(F.struct(F.col(k).alias("name"), F.col(f"{c}_exists").alias("exists")) for k, c in (("h", "head_type"), ("t", "tail_type")))))
     known = lambda name, exists: [F.count_distinct(F.when(exists, name)), F.count_distinct(F.when(~exists & (name != ""), name)), F.array_join(F.sort_array(F.collect_set(F.when(~exists & (name != ""), name))), "|")]
     filled = lambda name: F.count_distinct(F.when(name != "", name))
@@ -165,7 +167,7 @@ def overall(checked: DataFrame, signatures: DataFrame, cells: DataFrame | None =
         number = lambda c: F.coalesce(F.sum(F.nanvl(F.col(c).try_cast("double"), F.lit(0.0))), F.lit(0.0)).cast("long") if c else F.lit(0).cast("long")
         spent = [number(c).alias(k) for c, k in zip(tokens or (None, None), ("tokens_in", "tokens_out"))]
         found.append(cells.agg(F.count(F.lit(1)).alias("cells"), *(_yes(F.col(c)).alias(k) for c, k in (("syntax_valid", "syntax"), ("json_valid", "json"), ("parseable", "parseable"))), *spent))
-        found.append(checked.agg(F.count_distinct(key).alias("filled")))
+        found.append(once.agg(F.count_distinct("k").alias("filled")))
         counts |= _CELL_COUNTS
         ratios |= _CELL_RATIOS
     return _one_row(found).select(*_metrics(counts, ratios))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import blank, squeeze
-from ..functions.values import cosine
+from ..functions.values import dot
 
 #: A lookup table of at most so many rows is broadcast.
 BROADCAST_ROWS = 100_000
@@ -113,6 +113,9 @@ def resolve_iri(df: DataFrame, value: str, terms: DataFrame, namespace: str) ->
 
 def similar_pairs(df: DataFrame, group: str, key: str, vector: str, least: float) -> DataFrame:
     """Pairs of a group with cosine of at least ``least``: the exact join, for groups of bounded size."""
-    a, b = df.select(group, key, F.col(vector).alias("v")).alias("a"), df.select(group, key, F.col(vector).alias("v")).alias("b")
+    norm = F.sqrt(dot(F.col(vector), F.col(vector)))
+    unit = df.select(group, key, F.col(vector).alias("v"), F.when(norm == 0, 1.0).otherwise(norm).alias("n"))  # a zero vector's norm counts as 1
+    a, b = unit.alias("a"), unit.alias("b")
+    cos = dot(F.col("a.v"), F.col("b.v")) / (F.col("a.n") * F.col("b.n"))
     joined = a.join(b, (F.col(f"a.{group}") == F.col(f"b.{group}")) & (F.col(f"a.{key}") < F.col(f"b.{key}")))
-    return joined.select(F.col(f"a.{group}").alias(group), F.col(f"a.{key}").alias("left_id"), F.col(f"b.{key}").alias("right_id"), cosine(F.col("a.v"), F.col("b.v")).alias("similarity")).where(F.col("similarity") >= least)
+    return joined.select(F.col(f"a.{group}").alias(group), F.col(f"a.{key}").alias("left_id"), F.col(f"b.{key}").alias("right_id"), cos.alias("similarity")).where(F.col("similarity") >= least)

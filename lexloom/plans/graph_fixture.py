@@ -56,8 +56,15 @@ def triples(spark: SparkSession, sf_dir: str, *parts: str) -> DataFrame:
 _STORED: dict[tuple, str] = {}
 
 
+def _version(spark: SparkSession, sf_dir: str) -> tuple:
+    """When the tables that a graph is made of were last written, so that a graph of older ones isn't taken for theirs."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    paths = [jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "orders", "customer", "part")]
+    return tuple(p.getFileSystem(conf).getFileStatus(p).getModificationTime() for p in paths)
+
+
 def _stored(spark: SparkSession, sf_dir: str, part: str) -> DataFrame:
-    key = (spark.sparkContext.applicationId, sf_dir, part)
+    key = (spark.sparkContext.applicationId, sf_dir, part, _version(spark, sf_dir))
     if key not in _STORED:
         ensure_checkpoint_dir(spark)
         folder = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/graph-{uuid.uuid4().hex}"

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import uuid
 from collections import defaultdict
 from dataclasses import dataclass, field, replace
 from functools import reduce
@@ -13,7 +12,6 @@ from pyspark.sql import functions as F
 
 from ..functions.text import bnode_name, expand_template
 from ..schema import GRAPH_COLUMNS
-from ..session import ensure_checkpoint_dir
 from .names import CNT, DCTERMS, ELI, OA, PROV, RDF, RDFS, SCHEMA, SKOS, XSD, Names
 
 
@@ -91,42 +89,40 @@ class TriplesMap:
 def construct(sources: dict[str, DataFrame], maps: list[TriplesMap]) -> DataFrame:
     """The graph of all maps, a set of triples.
 
-    Maps that read the same columns of a source go over its distinct rows of those columns together, so an entity that is
-    named in many rows is expanded once; duplicates are looked for again only among the triples of maps that aren't keyed. Keyed maps of a source go over its
-    distinct rows in one pass. A source that several groups of maps read is kept in the shared folder, with the columns they read, so it is computed once.
+    A source is passed over once for its keyed maps, whose triples need no further search for duplicates, and once for all others: those that read the
+    same columns go over the distinct rows of those columns together, so an entity that is named in many rows is expanded once. Only the triples
+    of the others are compared with each other.
     """
-    used = [m for m in maps if m.source in sources]
     groups: dict[tuple, list[TriplesMap]] = defaultdict(list)
-    for m in used:
-        groups[m.source, m.keyed or tuple(m.references(sources[m.source].columns))].append(m)
+    for m in maps:
+        if m.source in sources:
+            groups[m.source, m.keyed or tuple(m.references(sources[m.source].columns))].append(m)
     if not groups:
         raise ValueError("no map has a source")
-    read = {}
-    for name in {m.source for m in used}:
-        columns = [c for c in sources[name].columns if any(c in m.references(sources[name].columns) for m in used if m.source == name)]
-        rows = sources[name].select(*columns)
-        read[name] = stored(rows) if columns and sum(k[0] == name for k in groups) > 1 else rows
-    parts: dict[bool, list[DataFrame]] = {True: [], False: []}
-    for (name, key), own in groups.items():
-        columns = [c for c in read[name].columns if any(c in m.references(read[name].columns) for m in own)]
-        rows = read[name].select(*columns).distinct() if columns else sources[name].limit(1)
-        made = rows.select(F.explode(F.array(*(t for m in own for t in m.triples(columns)))).alias("t")).where("t IS NOT NULL")
-        parts[key is True].append(made.select("t.*"))
-    united = [reduce(DataFrame.unionByName, parts[True])] if parts[True] else []
-    if parts[False]:
-        united.append(reduce(DataFrame.unionByName, parts[False]).dropDuplicates())
+    expand = lambda rows, own: rows.select(F.explode(F.array(*(t for m in own for t in m.triples(rows.columns)))).alias("t")).where("t IS NOT NULL").select("t.*")
+    keyed, others = [], []
+    for name in dict.fromkeys(n for n, _ in groups):
+        source = sources[name]
+        for own in (o for (n, key), o in groups.items() if n == name and key is True):
+            columns = [c for c in source.columns if any(c in m.references(source.columns) for m in own)]
+            keyed.append(expand(source.select(*columns).distinct() if columns else source.limit(1), own))
+        shapes = [(list(key), o) for (n, key), o in groups.items() if n == name and key is not True]
+        read = [(c, o) for c, o in shapes if c]
+        others += [expand(source.select(F.lit(0).alias("_")).limit(1), o) for c, o in shapes if not c]
+        if len(read) == 1:
+            others.append(expand(source.select(*read[0][0]).distinct(), read[0][1]))
+        elif read:
+            # the rows of all shapes in one pass; each shape then reads its own from the one exchange
+            row = lambda i, columns: F.struct(F.lit(i).alias("shape"), F.array(*(F.col(c).cast("string") for c in columns)).alias("row"))
+            rows = source.select(F.explode(F.array(*(row(i, c) for i, (c, _) in enumerate(read)))).alias("r")).select("r.shape", "r.row").distinct()
+            for i, (columns, own) in enumerate(read):
+                others.append(expand(rows.where(F.col("shape") == i).select(*(F.col("row")[k].alias(c) for k, c in enumerate(columns))), own))
+    united = [reduce(DataFrame.unionByName, keyed)] if keyed else []
+    if others:
+        united.append(reduce(DataFrame.unionByName, others).dropDuplicates())
     return reduce(DataFrame.unionByName, united).select(*GRAPH_COLUMNS)
 
 
-def stored(rows: DataFrame) -> DataFrame:
-    """``rows`` written as a table in the shared folder and read again."""
-    spark = rows.sparkSession
-    ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/rows-{uuid.uuid4().hex}"
-    rows.write.parquet(folder)
-    return spark.read.schema(rows.schema).parquet(folder)
-
-
 def pair(predicate: str, *objects: Term) -> tuple[tuple[str, ...], tuple[Term, ...]]:
     return (predicate,), objects
 
