@@ -207,6 +207,20 @@ def combined_ontology(spark, d):
     return ontology.combined([g, g]).groupBy("p").agg(F.count(F.lit(1)).alias("n"))
 
 
+@register(T + f""", a AS (SELECT '{CORE}' || head_type AS d, '{CORE}' || tail_type AS r, '{DOMAIN}' || relation AS p, count(*) AS n FROM t GROUP BY ALL), g AS (SELECT p, count(DISTINCT d) AS nd, count(DISTINCT r) AS nr, count(DISTINCT n) AS ne FROM a GROUP BY p),
+q AS (SELECT a.p, a.d, count(*) AS nr FROM a JOIN g ON a.p = g.p WHERE g.nd > 1 AND g.nr > 1 GROUP BY ALL), u AS (SELECT nd AS n FROM g UNION ALL SELECT nr FROM g UNION ALL SELECT nr FROM q), w AS (SELECT n FROM u WHERE n > 1),
+x AS (SELECT '{RDF}type' AS p, (SELECT count(*) FROM g) + (SELECT count(DISTINCT c) FROM (SELECT d AS c FROM a UNION SELECT r FROM a)) + 2 + (SELECT count(*) FROM w) + (SELECT count(*) FROM q) + (SELECT count(*) FROM g WHERE ne > 1) AS n
+  UNION ALL SELECT '{RDFS}domain', count(*) FROM g UNION ALL SELECT '{RDFS}range', count(*) FROM g UNION ALL SELECT '{OWL}unionOf', count(*) FROM w UNION ALL SELECT '{OWL}oneOf', count(*) FROM g WHERE ne > 1
+  UNION ALL SELECT unnest(['{RDF}first', '{RDF}rest']), (SELECT coalesce(sum(n), 0) FROM w)::BIGINT + (SELECT coalesce(sum(ne), 0) FROM g WHERE ne > 1)::BIGINT UNION ALL SELECT unnest(['{RDFS}subClassOf', '{OWL}onProperty', '{OWL}allValuesFrom']), count(*) FROM q
+  UNION ALL SELECT 'http://m/confidenceValue', count(*) FROM g UNION ALL SELECT 'http://m/textualEvidenceCount', count(*) FROM g)
+SELECT p, n FROM x WHERE n > 0""")
+def ontology_extension(spark, d):
+    """An extension as a graph, counted by predicate: unions, lists, restrictions, and counts of evidence as data ranges."""
+    rows = triplets(spark, d).groupBy(F.concat(F.lit(CORE), "head_type").alias("domain"), F.concat(F.lit(CORE), "tail_type").alias("range"), F.concat(F.lit(DOMAIN), "relation").alias("property")).agg(F.count(F.lit(1)).alias("evidence"))
+    made = ontology.extension(rows.withColumn("confidence", F.lit(0.5)), "http://m/", one_of=True)
+    return made.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
+
+
 _KNOWN = [c for c in CLASSES if c != "Location"]
 
 

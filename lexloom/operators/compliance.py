@@ -22,12 +22,15 @@ def normalise(df: DataFrame, column: str, terms: DataFrame, prefixes: dict[str,
     return out.withColumn(column, F.coalesce(F.col("_iris")[0], F.col(column))).drop("_name", "_iris")
 
 
-def check_triples(triples: DataFrame, signatures: DataFrame) -> DataFrame:
+def check_triples(triples: DataFrame, signatures: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """Adds, by local names, the existence of head type, relation and tail type (and ``error_label`` of those that lack), whether the signature is allowed, ``full_match``, ``local_match``,
     ``match`` and ``reason``.
 
-    ``signatures``: domain, property, range. Full IRIs or local names may match.
+    ``signatures``: domain, property, range. Full IRIs or local names may match. ``terms`` (iri): names that stand for just one of them are taken for it first.
     """
+    if terms is not None:
+        for c in ("head_type", "relation", "tail_type"):
+            triples = normalise(triples, c, terms)
     name = lambda c: local_name(F.coalesce(F.col(c), F.lit("")))
     full = signatures.select("domain", "property", "range").distinct()
     local = full.select(*(local_name(F.col(c)).alias(f"_{c}") for c in full.columns)).distinct()

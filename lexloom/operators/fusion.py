@@ -216,8 +216,15 @@ def distinct_objects(df: DataFrame, group: list[str], payload: str, order: str)
     return df.withColumn("_c", canonical).groupBy(*group, "_c").agg(F.min_by(payload, order).alias(payload), F.min(order).alias(order)).drop("_c")
 
 
-def embed(labels: DataFrame, label: str, provider, batch: int = 128) -> DataFrame:
-    """Distinct labels with ``vector`` from ``provider(list of texts)``, called with at most ``batch`` texts at a time."""
+def embed(labels: DataFrame, label: str, provider, batch: int = 128, known: DataFrame | None = None, service: str = "", model: str = "") -> DataFrame:
+    """Distinct labels with ``vector`` from ``provider(list of texts)``, called with at most ``batch`` texts at a time.
+
+    ``known`` (service, model, text, vector): vectors that are at hand, of which those of ``service`` and ``model`` are taken instead of asking again.
+    """
+    if known is not None:
+        own = known.where((F.col("service") == service) & (F.col("model") == model)).groupBy(F.col("text").alias(label)).agg(F.first("vector").cast("array<float>").alias("vector"))
+        wanted = labels.select(label).distinct()
+        return wanted.join(own, label).unionByName(embed(wanted.join(own, label, "left_anti"), label, provider, batch))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:

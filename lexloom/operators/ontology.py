@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import first_filled, local_name
-from ..plans.names import OWL, RDF, RDFS
+from ..plans.names import OWL, RDF, RDFS, XSD
 from ..session import ensure_checkpoint_dir
 from .joins import maybe_broadcast
 
@@ -131,3 +131,69 @@ def combined(graphs: list[DataFrame]) -> DataFrame:
     name = lambda c, kind, i: F.when(F.col(kind) == "bnode", F.concat(F.lit(f"g{i}_"), F.col(c))).otherwise(F.col(c))
     own = (g.withColumns({"s": name("s", "s_kind", i), "o": name("o", "o_kind", i)}) for i, g in enumerate(graphs))
     return reduce(DataFrame.unionByName, own).distinct()
+
+
+def _triple(s: Column, p: str, o: Column, kind: str = "iri", s_kind: str = "iri", datatype: str | None = None) -> Column:
+    text = lambda x: F.lit(x).cast("string")
+    return F.struct(s.alias("s"), F.lit(s_kind).alias("s_kind"), F.lit(p).alias("p"), o.cast("string").alias("o"), F.lit(kind).alias("o_kind"), text(datatype).alias("o_datatype"), text(None).alias("o_lang"))
+
+
+def _list_of(node: Column, items: Column, kind: str, datatype: str | None = None) -> Column:
+    """The cells of an RDF list with the items of an array; its first cell is ``node`` with ``_0``."""
+    cell = lambda i: F.concat(node, F.lit("_"), i.cast("string"))
+    last = F.size(items) - 1
+    made = lambda x, i: F.array(
+        _triple(cell(i), RDF + "first", x, kind, "bnode", datatype),
+        F.when(i < last, _triple(cell(i), RDF + "rest", cell(i + 1), "bnode", "bnode")).otherwise(_triple(cell(i), RDF + "rest", F.lit(RDF + "nil"), "iri", "bnode")),
+    )
+    return F.flatten(F.transform(items, made))
+
+
+def _expression(subject: Column, predicate: str, node: Column, classes: Column, s_kind: str = "iri") -> Column:
+    """``subject predicate`` the class, or the union of the classes."""
+    one = F.array(_triple(subject, predicate, classes[0], "iri", s_kind))
+    many = F.concat(
+        F.array(_triple(subject, predicate, node, "bnode", s_kind), _triple(node, RDF + "type", F.lit(OWL + "Class"), "iri", "bnode"), _triple(node, OWL + "unionOf", F.concat(node, F.lit("_0")), "bnode", "bnode")),
+        _list_of(node, classes, "iri"),
+    )
+    return F.when(F.size(classes) == 1, one).otherwise(many)
+
+
+def _literals(subject: Column, predicate: str, node: Column, values: Column, datatype: str, one_of: bool) -> Column:
+    """A triple for each of the values, or one to a data range of all of them if there are several."""
+    each = F.transform(values, lambda v: _triple(subject, predicate, v, "literal", datatype=datatype))
+    if not one_of:
+        return each
+    whole = F.concat(
+        F.array(_triple(subject, predicate, node, "bnode"), _triple(node, RDF + "type", F.lit(RDFS + "Datatype"), "iri", "bnode"), _triple(node, OWL + "oneOf", F.concat(node, F.lit("_0")), "bnode", "bnode")), _list_of(node, values, "literal", datatype)
+    )
+    return F.when(F.size(values) > 1, whole).otherwise(each)
+
+
+def extension(candidates: DataFrame, base: str, metadata: bool = True, one_of: bool = False) -> DataFrame:
+    """The triples by which candidates (domain, range, property: IRIs; confidence, evidence) extend an ontology.
+
+    All classes and properties are declared. A property has the union of its domains and that of its ranges, and, if there are several of both, each domain
+    is restricted to the ranges it has there. ``metadata``: the confidences and counts of evidence as annotations, one by one or (``one_of``) as a data range.
+    """
+    node = lambda kind, *key: F.concat(F.lit(f"{kind}_"), F.substring(F.sha1(F.concat_ws(" ", *key)), 1, 16))
+    sets = {c: F.sort_array(F.collect_set(c)) for c in ("domain", "range")}
+    props = candidates.groupBy("property").agg(*(v.alias(f"{k}s") for k, v in sets.items()), F.sort_array(F.collect_set(F.col("confidence").cast("decimal(18,6)"))).alias("confidences"), F.sort_array(F.collect_set(F.col("evidence").cast("long"))).alias("evidences"))
+    p = F.col("property")
+    parts = [F.array(_triple(p, RDF + "type", F.lit(OWL + "ObjectProperty"))), _expression(p, RDFS + "domain", node("d", p), F.col("domains")), _expression(p, RDFS + "range", node("r", p), F.col("ranges"))]
+    if metadata:
+        parts.append(_literals(p, f"{base}confidenceValue", node("c", p), F.transform("confidences", lambda x: x.cast("string")), XSD + "decimal", one_of))
+        parts.append(_literals(p, f"{base}textualEvidenceCount", node("e", p), F.transform("evidences", lambda x: x.cast("string")), XSD + "integer", one_of))
+    scoped = props.where("size(domains) > 1 AND size(ranges) > 1").select(F.col("property").alias("_p"))
+    by_domain = candidates.groupBy("property", "domain").agg(sets["range"].alias("ranges")).join(scoped, p == F.col("_p"))
+    d, own = F.col("domain"), node("x", F.col("property"), F.col("domain"))
+    restricted = F.concat(
+        F.array(_triple(d, RDFS + "subClassOf", own, "bnode"), _triple(own, RDF + "type", F.lit(OWL + "Restriction"), "iri", "bnode"), _triple(own, OWL + "onProperty", p, "iri", "bnode")),
+        _expression(own, OWL + "allValuesFrom", node("y", p, d), F.col("ranges"), "bnode"),
+    )
+    classes = candidates.select(F.explode(F.array("domain", "range")).alias("c")).distinct().select(F.array(_triple(F.col("c"), RDF + "type", F.lit(OWL + "Class"))).alias("t"))
+    tables = [props.select(F.concat(*parts).alias("t")), by_domain.select(restricted.alias("t")), classes]
+    if metadata:
+        notes = [_triple(F.lit(f"{base}{n}"), RDF + "type", F.lit(OWL + "AnnotationProperty")) for n in ("confidenceValue", "textualEvidenceCount")]
+        tables.append(candidates.sparkSession.range(1).select(F.array(*notes).alias("t")))
+    return reduce(DataFrame.unionByName, tables).select(F.explode("t").alias("t")).select("t.*").distinct()

@@ -82,3 +82,22 @@ def run(config: dict, actions: dict[str, Callable[..., object]], dry: bool = Fal
         if not dry:
             actions[stage["action"]](**options)
     return told
+
+
+def loader(folder: str) -> Callable[[str], dict]:
+    """Loads ``name``, ``name.json`` or, if a YAML library is installed, ``name.yaml`` or ``name.yml`` of a folder."""
+    from pathlib import Path
+
+    def load(name: str) -> dict:
+        base = Path(folder)
+        found = next((p for p in (base / name, *(base / f"{name}{end}" for end in (".json", ".yaml", ".yml"))) if p.is_file()), None)
+        if found is None:
+            raise FileNotFoundError(f"{name} in {folder}")
+        text = found.read_text(encoding="utf-8")
+        if found.suffix == ".json":
+            return json.loads(text)
+        import yaml
+
+        return yaml.safe_load(text)
+
+    return load

@@ -307,3 +307,81 @@ def test_streams(spark, tmp_path):
     query = resume.window_counts(stream, "ts", "event_type").writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination(60)
     assert spark.sql("SELECT sum(n) FROM w").first()[0] == events.count()
+
+
+def test_timeouts_topics_contexts_and_batches(spark):
+    import time as clock
+
+    calls = []
+
+    def slow(prompt):
+        calls.append(prompt)
+        if len(calls) == 1:
+            clock.sleep(2)
+        return "answer", None
+
+    assert extraction.ask(slow, "p", tries=2, wait=0, timeout=0.2)[0] == "answer" and len(calls) == 2
+    assert extraction.ask(lambda p: clock.sleep(2), "p", tries=1, wait=0, timeout=0.1)[0].startswith("ERROR: no answer")
+
+    stored = spark.createDataFrame([(1, "The owner must check"), (2, "nothing")], "id long, text string")
+    raw = extraction.extract(stored, "id", "text", extraction.Stub, ["Actor"], [], True).drop("legal_triplets")
+    again = extraction.reparse(raw, make_provider=extraction.Stub, topics=["a"]).collect()
+    assert {r.id: (json.loads(r.legal_triplets) or [{}])[0].get("topic") for r in again} == {1: "maintenanceActivity", 2: None}
+    assert {r.context_main_topic for r in again} == {"maintenanceActivity", None}
+
+    asked = []
+
+    def proposes(prompt):
+        asked.append(prompt)
+        return json.dumps({"candidates_object_props": [{"name": f"p{len(asked)}"}]}), None
+
+    model, own = extraction.discover_in_turn([("a", [1]), ("b", [2])], proposes)
+    assert [x["name"] for x in model["candidates_object_props"]] == ["p1", "p2"] and [k for k, _ in own] == ["a", "b"]
+    assert "p1" not in asked[0] and '"p1"' in asked[1]
+
+    class Service:
+        def __init__(self):
+            self.jobs, self.polls = [], 0
+
+        def upload(self, lines):
+            self.jobs.append(lines)
+            return str(len(self.jobs) - 1)
+
+        def status(self, job):
+            self.polls += 1
+            return "running" if self.polls % 2 else "failed" if "bad" in "".join(self.jobs[int(job)]) else "completed"
+
+        def download(self, job):
+            rows = [json.loads(x) for x in self.jobs[int(job)]]
+            return [json.dumps({"custom_id": r["custom_id"], "output": r["prompt"].upper()}) for r in reversed(rows) if r["prompt"] != "lost"]
+
+    requests = spark.createDataFrame([(1, "a"), (2, "lost"), (3, "bad"), (4, "d"), (5, "e")], "id long, prompt string").coalesce(1)
+    got = {r.id: (r.output, r.error) for r in extraction.run_batch(requests, "id", "prompt", Service, per_job=2, poll=0).collect()}
+    assert got == {1: ("A", None), 2: (None, "no output"), 3: (None, "failed"), 4: (None, "failed"), 5: ("E", None)}
+
+
+def test_vectors_at_hand_are_not_asked_for(spark):
+    labels = spark.createDataFrame([("a",), ("b",), ("b",)], "label string")
+    known = spark.createDataFrame([("s", "m", "a", [9.0]), ("s", "other", "b", [8.0])], "service string, model string, text string, vector array<double>")
+
+    def provider(texts):
+        assert texts == ["b"]
+        return [[1.0]]
+
+    assert sorted(map(tuple, fusion.embed(labels, "label", provider, known=known, service="s", model="m").collect())) == [("a", [9.0]), ("b", [1.0])]
+
+
+def test_configurations_in_files(tmp_path):
+    (tmp_path / "base.json").write_text('{"a": 1, "b": {"c": 2}}')
+    (tmp_path / "top.json").write_text('{"inherits": "base", "b": {"d": 3}}')
+    assert config.resolve("top", config.loader(str(tmp_path))) == {"a": 1, "b": {"c": 2, "d": 3}}
+    with pytest.raises(FileNotFoundError):
+        config.loader(str(tmp_path))("none")
+
+
+def test_names_are_taken_for_their_only_term(spark):
+    s = spark.createDataFrame([("http://x/A", "http://x/p", "http://x/B")], "domain string, property string, range string")
+    terms = spark.createDataFrame([("http://x/A",), ("http://x/p",), ("http://x/B",), ("http://y/B",)], "iri string")
+    rows = spark.createDataFrame([("A", "p", "B"), ("A", "p", "http://x/B")], "head_type string, relation string, tail_type string")
+    got = {r.tail_type: (r.head_type, r.full_match, r.local_match) for r in compliance.check_triples(rows, s, terms).collect()}
+    assert got == {"B": ("http://x/A", False, True), "http://x/B": ("http://x/A", True, True)}
