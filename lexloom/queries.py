@@ -845,14 +845,16 @@ def curation_decisions(spark, d):
     return curation.document_decisions(all_, p.where("p_size > 45").select(F.upper("p_name").alias("title")), p.where("p_size < 25").select(F.col("p_name").alias("title"), F.col("p_brand").alias("evidence")))
 
 
-# the SQL of these two still has one provider's triples alone; tests/test_constraints_whole.py has that of all
-@register(T + f", {_CANDIDATES.format(0)} SELECT property, string_agg(DISTINCT domain, '; ' ORDER BY domain) AS domains, string_agg(DISTINCT range, '; ' ORDER BY range) AS ranges, round(avg(confidence), 6) AS confidence, sum(evidence)::BIGINT AS evidence, count(DISTINCT domain) > 1 AND count(DISTINCT range) > 1 AS scoped FROM a GROUP BY property")
+_ALL_CANDIDATES = _CANDIDATES.format(0).replace(" WHERE provider = 0", "")  # the triples of both providers
+
+
+@register(T + f", {_ALL_CANDIDATES} SELECT property, string_agg(DISTINCT domain, '; ' ORDER BY domain) AS domains, string_agg(DISTINCT range, '; ' ORDER BY range) AS ranges, round(avg(confidence), 6) AS confidence, sum(evidence)::BIGINT AS evidence, count(DISTINCT domain) > 1 AND count(DISTINCT range) > 1 AS scoped FROM a GROUP BY property")
 def property_constraints(spark, d):
     out = ontology.property_constraints(_signatures_of(triplets(spark, d)))
     return out.withColumns({"domains": F.array_join("domains", "; "), "ranges": F.array_join("ranges", "; "), "confidence": F.round("confidence", 6)})
 
 
-@register(T + f", {_CANDIDATES.format(0)} SELECT property, domain, string_agg(DISTINCT range, '; ' ORDER BY range) AS ranges, count(*) AS n FROM a GROUP BY ALL")
+@register(T + f", {_ALL_CANDIDATES} SELECT property, domain, string_agg(DISTINCT range, '; ' ORDER BY range) AS ranges, count(*) AS n FROM a GROUP BY ALL")
 def ranges_by_domain(spark, d):
     return ontology.ranges_by_domain(_signatures_of(triplets(spark, d)))
 
