@@ -251,6 +251,14 @@ class Page:
                 total[i] += own[i] * prior[i]
         return density, total
 
+    def _trusted(self) -> int:
+        """Characters outside of shells and suspects."""
+        left, end = self.chars[0], 0
+        for i in sorted(self.shells | self.suspects):
+            if i > end:
+                left, end = left - self.chars[i], self.end[i]
+        return left
+
     def _block_above(self, node: int) -> int:
         up = self.parent[node]
         while up > 0 and self.tag[up] not in BLOCK:
@@ -271,7 +279,7 @@ class Page:
         best = max(blocks, key=lambda i: total[i])
         if best == 0 or not total[best]:  # of a page of a few words the sums say little
             named = max((i for i in blocks if self.tag[i] in ("article", "main")), key=lambda i: self.chars[i], default=0)
-            return [named if self.chars[named] * 2 > self.chars[0] else 0]
+            return [named if self.chars[named] * 2 > self._trusted() else 0]
         path = [best]
         while path[-1] > 0:
             path.append(self._block_above(path[-1]))

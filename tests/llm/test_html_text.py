@@ -167,6 +167,11 @@ def test_reader_comments_go_and_notices_of_an_article_stay():
     assert main_text(f'<body><article>{ARTICLE}<div class="notice promotion"><p>{TALK}</p></div><p class="share related">{TALK}</p><math>x</math></article>').startswith(f"{WANT}\n\n{TALK}\n\n{TALK}")
 
 
+def test_an_article_of_a_few_words_among_longer_adverts():
+    page = "<body><nav><ul><li><a href=/>Home</a></ul></nav><div class='ad'>An advert that has far more words than the article itself, and goes on.</div><article><h1>Few words.</h1><p><b>Few words.<br></article><footer>all of it</footer></body>"
+    assert main_text(page) == "Few words.\n\nFew words."
+
+
 def test_sections_belong_together():
     one = f"<section><h2>One</h2>{'<p>' + TALK + '</p>'}{'<p>' + TALK + '</p>'}</section>"
     two = "<section><h2>Two</h2><ul><li>a</li><li>b</li></ul></section>"
