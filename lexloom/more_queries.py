@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .functions import text, values
@@ -13,6 +14,7 @@ from .plans.names import DCTERMS, NAMES, OWL, PROV, RDF, RDFS, SKOS, XSD
 from .plans.rml import activity_maps, construct
 from .queries import CLASSES, K, T, register
 from .schema import GRAPH_COLUMNS
+from .sources import writers
 
 # --- flat tables -----------------------------------------------------------------------------------------------
 
@@ -287,6 +289,29 @@ def activity_triples(spark, d):
     return construct(rows, activity_maps(NAMES, "run1", "model-x")).select("s", "p", "o")
 
 
+@register("""WITH d AS (SELECT n_nationkey AS k, CASE n_nationkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'inst:ValidatedForMaintenance' ELSE 'inst:NotSelected' END AS status FROM nation)
+SELECT 'http://b/curation/id%20' || k AS decision_uri, 'http://b/document/' || k AS target_uri, replace(status, 'inst:', 'http://b/') AS status_uri, CASE WHEN k % 4 = 1 THEN 'Validated for maintenance' ELSE 'Not selected for maintenance' END AS status_label, 'http://b/act' AS activity_uri FROM d WHERE status <> '' AND k % 5 <> 0""")
+def curation_source(spark, d):
+    """Decisions on nations: some without a status, some on documents that aren't allowed."""
+    k = F.col("n_nationkey")
+    n = table(spark, d, "nation")
+    status = F.when(k % 4 == 0, "nan").when(k % 4 == 1, "inst:ValidatedForMaintenance").otherwise("inst:NotSelected")
+    target = F.concat(F.lit("http://b/document/"), k.cast("string"))
+    rows = n.select(F.concat(F.lit("id "), k.cast("string")).alias("id"), target.alias("target"), status.alias("status"))
+    return curation.curation_rows(rows, n.where(k % 5 != 0).select(target.alias("document")), "http://b", {"activity_uri": "http://b/act"}).drop("status_definition")
+
+
+@register("""SELECT conv_id, string_agg('<mark class="mention ' || role || '" data-id="' || turn || '">' || replace(replace(replace(replace(substr(text, 1, 5), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') || '</mark>', '' ORDER BY turn) AS html FROM (SELECT * FROM conversations WHERE text NOT LIKE '%''%') GROUP BY conv_id""")
+def mention_pages(spark, d):
+    """The first five characters of each turn, marked by role, one conversation a page."""
+    c = table(spark, d, "conversations").where("text NOT LIKE '%\\'%'")
+    width = 5
+    nth = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1
+    docs = c.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", F.rpad(F.substring("text", 1, width), width, "\0").alias("t")))), lambda x: x["t"]), "").alias("text"))
+    spots = c.withColumn("n", nth).select("conv_id", (F.col("n") * width).alias("start"), (F.col("n") * width + F.length(F.substring("text", 1, width))).alias("end"), F.col("turn").cast("string").alias("active"))
+    return writers.mention_pages(docs, spots, "conv_id", "text", c.select("conv_id", F.col("turn").alias("id"), F.col("role").alias("label")))
+
+
 # --- rows by words and order -----------------------------------------------------------------------------------
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import maybe_broadcast
+
 
 def _varies(c: str) -> Column:
     """Whether a group has several values; null is one of them."""
@@ -39,7 +41,7 @@ def inspect(df: DataFrame, content: str) -> DataFrame:
 
 def first_of_pattern(df: DataFrame, content: str, pattern: str, n: int, order: str, skip: tuple[str, ...] = ()) -> DataFrame:
     top = contents_of_pattern(df, content, pattern, skip).limit(n).select(F.col(content).alias("_c"))
-    return df.join(F.broadcast(top), F.col(content) == F.col("_c"), "left_semi").orderBy(content, order)
+    return df.join(maybe_broadcast(top), F.col(content) == F.col("_c"), "left_semi").orderBy(content, order)
 
 
 def drop_if_only_varies(df: DataFrame, content: str, column: str, order: str, skip: tuple[str, ...] = ()) -> DataFrame:

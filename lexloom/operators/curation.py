@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import first_filled, local_name, squeeze, swap_class_name
+from ..functions.text import first_filled, iri_part, local_name, squeeze, swap_class_name
 from .joins import maybe_broadcast
 from .reshape import class_hints
 
@@ -86,3 +86,22 @@ def document_decisions(corpus: DataFrame, selected: DataFrame, candidates: DataF
 
 def status_counts(df: DataFrame, status: str = "status") -> DataFrame:
     return df.groupBy(status).agg(F.count(F.lit(1)).alias("count"))
+
+
+# fixed values: what the two statuses of documents are called and mean
+VALIDATED = ("Validated for maintenance", "The legal document has been reviewed and validated as relevant to the maintenance corpus.")
+NOT_SELECTED = ("Not selected for maintenance", "The document was considered as a candidate and excluded after the relevant arrêté for the maintenance corpus had been selected.")
+VALIDATED_ENDING = "ValidatedForMaintenance"
+
+
+def curation_rows(decisions: DataFrame, allowed: DataFrame, base: str, activity: dict[str, str]) -> DataFrame:
+    """The rows of the curation source, one for each decision (id, target, status) on an allowed document; those without a target or a status are left out.
+
+    ``allowed``: document (IRI). ``activity``: the columns that all rows share (activity_uri, activity_label, activity_comment, started_at, ended_at, source_uri, source_title, dataset_uri, motivation_uri).
+    """
+    good = F.col("status").endswith(VALIDATED_ENDING)
+    known = decisions.where((first_filled(F.col("target")) != "") & (first_filled(F.col("status")) != "")).join(allowed.select(F.col("document").alias("target")).distinct(), "target", "left_semi")
+    return known.select(
+        F.concat(F.lit(f"{base}/curation/"), iri_part(first_filled(F.col("id")))).alias("decision_uri"), F.col("target").alias("target_uri"), F.concat(F.lit(f"{base}/"), F.regexp_replace("status", "^inst:", "")).alias("status_uri"),
+        *(F.when(good, a).otherwise(b).alias(n) for n, a, b in zip(("status_label", "status_definition"), VALIDATED, NOT_SELECTED)), *(F.lit(v).alias(k) for k, v in sorted(activity.items())),
+    )

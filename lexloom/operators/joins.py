@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from ..functions.text import blank, squeeze
 from ..functions.values import dot
 
-#: A lookup table of at most so many rows is broadcast.
-BROADCAST_ROWS = 100_000
+#: A lookup table of at most so many rows and bytes is broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 32 << 20
 
 
-def maybe_broadcast(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint if the table's size, which is checked, allows it."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def maybe_broadcast(df: DataFrame, most: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """A broadcast hint if the table's rows and bytes, which are checked, allow it; beyond that the join is left to adaptive execution."""
+    rows, size = df.limit(most + 1).agg(F.count(F.lit(1)), F.sum(F.octet_length(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns)))))).first()
+    return F.broadcast(df) if rows <= most and (size or 0) <= most_bytes else df
 
 
 def apply_map(df: DataFrame, mapping: DataFrame, keys: list[str], value: str, canonical: str) -> DataFrame:

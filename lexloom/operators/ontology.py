@@ -28,9 +28,9 @@ def _grown(start: DataFrame, step, most: int = 64) -> DataFrame:
     for _ in range(most):
         found = found.unionByName(step(found)).distinct().checkpoint()
         if (now := found.count()) == n:
-            break
+            return found
         n = now
-    return found
+    raise RuntimeError(f"still growing after {most} rounds")
 
 
 def list_members(graph: DataFrame) -> DataFrame:

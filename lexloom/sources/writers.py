@@ -6,6 +6,7 @@ import html
 import json
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -79,5 +80,27 @@ def mention_html(text: str, segments: list[tuple[int, int, str]], kind: Callable
     return "".join(out)
 
 
+def mention_pages(docs: DataFrame, segments: DataFrame, key: str, text: str, labels: DataFrame | None = None) -> DataFrame:
+    """``key`` and ``html`` of each document: its text with marked mentions. ``segments``: key, start, end, active (ids joined by commas); ``labels``: key, id, label, for the marks' classes."""
+    packed = segments.groupBy(F.col(key).alias("_k")).agg(F.sort_array(F.collect_list(F.struct("start", "end", "active"))).alias("_segments"))
+    rows = docs.select(key, F.coalesce(text, F.lit("")).alias("_text")).join(packed, F.col(key) == F.col("_k"), "left").drop("_k")
+    if labels is not None:
+        named = labels.groupBy(F.col(key).alias("_k")).agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct(F.col("id").cast("string"), css_name(F.col("label")))))).alias("_labels"))
+        rows = rows.join(named, F.col(key) == F.col("_k"), "left").drop("_k")
+    else:
+        rows = rows.withColumn("_labels", F.lit(None).cast("map<string,string>"))
+
+    @F.pandas_udf("string")
+    def page(texts: pd.Series, parts: pd.Series, kinds: pd.Series) -> pd.Series:
+        out = []
+        for text, part, kind in zip(texts, parts, kinds):
+            names = dict(kind) if kind is not None else {}
+            marks = [(x["start"], x["end"], x["active"]) for x in part] if part is not None else [(0, len(text), "")]
+            out.append(mention_html(text, marks, lambda i: f"mention {names[i]}" if i in names else "mention"))  # noqa: B023
+        return pd.Series(out, dtype=object)
+
+    return rows.select(key, page("_text", "_segments", "_labels").alias("html"))
+
+
 def manifest(**parts) -> str:
     return json.dumps(parts, ensure_ascii=False, indent=2, sort_keys=True)
