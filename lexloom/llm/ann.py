@@ -16,8 +16,8 @@ from .vectors import by_length, is_usable, kind, scale
 
 #: Most vectors and bytes of a block of the index, queries estimated at once, and bits of a query's components.
 BLOCK, BLOCK_BYTES, QUERIES, QUERY_BITS = 4096, 1 << 22, 256, 4
-#: The cells of a length are fitted on about so many rows, chosen by hash; there is one for each BLOCK rows, up to CELLS. RINGS: parts of the half circle by which a cell is cut.
-SAMPLE, CELLS, RINGS = 20_000, 1024, 16
+#: The cells of a length are fitted on about SAMPLE rows, chosen by hash (FEW if it has but one cell); there is one for each BLOCK rows, up to CELLS. RINGS: parts of the half circle by which a cell is cut.
+SAMPLE, FEW, CELLS, RINGS = 20_000, 256, 1024, 16
 
 
 def rotate(x: np.ndarray, seed: int = 17) -> np.ndarray:
@@ -116,7 +116,8 @@ def search(vectors: DataFrame, is_query, k: int = 5, surety: float = 3.0, id_col
     item = np.dtype(dtype).itemsize
     rows = source.where(is_usable(F.col("vector")))
     counts = {r[0]: r[1] for r in rows.groupBy(F.size("vector")).count().collect()}  # one row for each length
-    share = F.coalesce(*(F.when(F.size("vector") == d, F.lit(min(1.0, SAMPLE / n))) for d, n in counts.items()), F.lit(1.0))
+    wanted = {d: min(1.0, (SAMPLE if n >= 2 * BLOCK else FEW) / n) for d, n in counts.items()}
+    share = F.coalesce(*(F.when(F.size("vector") == d, F.lit(x)) for d, x in wanted.items() if x < 1), F.lit(1.0))
     unit_hash = F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     gathered: dict[int, list] = {}
     for (vector,) in rows.where(unit_hash < share).select("vector").toLocalIterator() if counts else ():
