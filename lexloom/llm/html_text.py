@@ -35,7 +35,6 @@ NOISE_WORDS = words(
 SHELL_WORDS = words("sidebar side nav navbar navigation menu menus footer header masthead banner topbar toolbar widget widgets aside rail search alert")
 CONTENT_WORDS = words("article content main post entry story body text page wrapper container layout")
 HEADINGS = words("h1 h2 h3 h4 h5 h6")
-HEADS = words("h1 h2 h3 h4 h5 h6 p blockquote pre ul ol dl table figure")
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 #: One attribute after another: a name, and its value if it has one.
