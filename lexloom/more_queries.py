@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .functions import text, values
-from .operators import analytics, corpus, curation, fusion, ontology, reshape
+from .operators import analytics, corpus, curation, filters, fusion, joins, ontology, reshape
 from .plans import graph_fixture, mapping_text
 from .plans.fixture import table, triplets
 from .plans.graph_fixture import CORE, DOMAIN, RES, graph
@@ -333,6 +333,21 @@ def in_request_order(spark, d):
     return analytics.in_request_order(e)
 
 
+@register("""WITH r AS (SELECT n_nationkey AS place, CASE WHEN n_nationkey % 3 = 0 THEN 'x' ELSE (n_nationkey % 7)::VARCHAR END AS idx FROM nation) SELECT place, r_name FROM r LEFT JOIN region ON r_regionkey = coalesce(try_cast(idx AS BIGINT), place)""")
+def corpus_rows(spark, d):
+    """The corpus row of a result by its index, else by its place, else none."""
+    k = F.col("n_nationkey")
+    results = table(spark, d, "nation").select(k.cast("long").alias("place"), F.when(k % 3 == 0, "x").otherwise((k % 7).cast("string")).alias("idx"))
+    return joins.corpus_row(results, table(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("key"), "r_name"), "idx", "place", "key").select("place", "r_name")
+
+
+@register("SELECT c_custkey, regexp_replace(c_mktsegment, '[^A-Z]+', '_', 'g') || ' | ' || replace(c_name, '#', '_') || ' | Unknown' AS id FROM customer WHERE c_acctbal > 5000")
+def group_ids(spark, d):
+    """Groups by several parts, of rows over a confidence that is a text."""
+    c = table(spark, d, "customer").where(filters.confident(F.col("c_acctbal").cast("string"), 5000))
+    return c.select("c_custkey", text.group_id(F.col("c_mktsegment"), F.col("c_name"), F.lit(" # ")).alias("id"))
+
+
 # --- functions -------------------------------------------------------------------------------------------------
 
 @register(r"""WITH a AS (SELECT p_partkey, p_name || ' (' || p_brand || ')' AS x, p_name, p_brand, p_type FROM part)
