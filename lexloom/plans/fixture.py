@@ -16,13 +16,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _mapped(column, cases: dict[str, str], default: str):
+def _mapped(column, cases: dict, default):
     out = F.lit(default)
     for key, value in reversed(cases.items()):
         out = F.when(column == key, value).otherwise(out)
     return out
 
 
+def head_type():
+    return _mapped(F.col("c_mktsegment"), HEAD_TYPES, "Condition")
+
+
+def tail():
+    return F.concat_ws(" ", "p_name", "p_brand")
+
+
+def tail_type():
+    return _mapped(F.substring_index("p_type", " ", 1), TAIL_TYPES, "Actor")
+
+
+def relation(cases: dict = RELATIONS, default="hasTime"):
+    return _mapped(F.concat("l_returnflag", "l_linestatus"), cases, default)
+
+
+def content():
+    """An article's text."""
+    return F.concat_ws(" ", "o_orderpriority", "o_orderstatus")
+
+
 def triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A triple for each line item (with its quantity its key is unique at every size): stmt, article, head, head_type, relation, tail, tail_type, topic, provider."""
     line, orders, customer, part = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer", "part"))
@@ -31,10 +52,10 @@ def triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat_ws("-", F.lit("l"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("long")).alias("stmt"),
         F.concat(F.lit("o-"), F.col("o_orderkey").cast("string")).alias("article"),
         F.col("c_name").alias("head"),
-        _mapped(F.col("c_mktsegment"), HEAD_TYPES, "Condition").alias("head_type"),
-        _mapped(F.concat("l_returnflag", "l_linestatus"), RELATIONS, "hasTime").alias("relation"),
-        F.concat_ws(" ", "p_name", "p_brand").alias("tail"),
-        _mapped(F.substring_index("p_type", " ", 1), TAIL_TYPES, "Actor").alias("tail_type"),
+        head_type().alias("head_type"),
+        relation().alias("relation"),
+        tail().alias("tail"),
+        tail_type().alias("tail_type"),
         _mapped(F.col("o_orderpriority"), TOPICS, "anotherLegalActivity").alias("topic"),
         (F.col("l_suppkey") % 2).alias("provider"),
     )

@@ -42,7 +42,7 @@ def sources(spark: SparkSession, sf_dir: str, parts: tuple[str, ...]) -> dict[st
         key = F.concat(F.lit("o-"), F.col("o_orderkey").cast("string"))
         out["documents"] = orders.select(
             NAMES.article(key, key).alias("article_uri"), NAMES.document(key).alias("document_uri"), F.concat(NAMES.article(key, key), F.lit("/content")).alias("content_uri"), key.alias("id_local"), key.alias("title"),
-            F.col("o_orderkey").cast("string").alias("number"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), F.concat_ws(" ", "o_orderpriority", "o_orderstatus").alias("content"),
+            F.col("o_orderkey").cast("string").alias("number"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), fixture.content().alias("content"),
         )
     if "topics" in parts:
         out["topics"] = base.select("article_uri", NAMES.topic(F.col("topic")).alias("topic_uri"), F.col("topic").alias("topic_label"))
