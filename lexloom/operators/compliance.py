@@ -194,23 +194,28 @@ def check_graph(assertions: DataFrame, types: DataFrame, signatures: DataFrame,
     ontology lacks is a candidate if it is of a known namespace and both ends are typed; other such assertions are left out.
     """
     known = _known_types(types, signatures)
-    properties = signatures.select(F.col("property").alias("_p")).distinct()
     of = lambda side: known.groupBy(F.col("node").alias(f"{side}_node")).agg(F.sort_array(F.collect_set("cls")).alias(f"{side}_types"))
-    a, b = of("s"), of("o")
-    rows = assertions.join(a, F.col("s") == F.col("s_node"), "left").join(b, F.col("o") == F.col("o_node"), "left").drop("s_node", "o_node")
+    rows = assertions.join(of("s"), F.col("s") == F.col("s_node"), "left").join(of("o"), F.col("o") == F.col("o_node"), "left").drop("s_node", "o_node")
+    return judge(rows, signatures, namespaces).where(F.col("known") | F.col("candidate"))
+
+
+def judge(rows: DataFrame, signatures: DataFrame, namespaces: list[str]) -> DataFrame:
+    """Adds ``known``, ``signature``, ``candidate`` and ``reason`` to assertions with ``p``, ``s_types`` and ``o_types`` (of the ontology, null without any).
+
+    Each row is judged by the signatures of its predicate's local name, so that no pair of types becomes a row.
+    """
+    properties = signatures.select(F.col("property").alias("_p")).distinct()
     rows = rows.join(maybe_broadcast(properties), F.col("p") == F.col("_p"), "left").withColumn("known", F.col("_p").isNotNull()).drop("_p")
-    # signatures by their local names, with the full ones beside: one look-up of each pair of types, in which a full match goes before a local one
-    parts = ("domain", "property", "range")
-    near = signatures.select(*(local_name(F.col(c)).alias(f"_{c}") for c in parts), F.struct(*parts).alias("_full")).groupBy(*(f"_{c}" for c in parts)).agg(F.collect_set("_full").alias("_all"))
-    pairs = rows.select("stmt", "s", "p", "o", F.explode("s_types").alias("h"), "o_types").select("stmt", "s", "p", "o", "h", F.explode("o_types").alias("t"))
-    hit = pairs.join(maybe_broadcast(near), (local_name(F.col("h")) == F.col("_domain")) & (local_name(F.col("p")) == F.col("_property")) & (local_name(F.col("t")) == F.col("_range")))
-    rank = F.when(F.array_contains("_all", F.struct(F.col("h").alias("domain"), F.col("p").alias("property"), F.col("t").alias("range"))), 0).otherwise(1)
-    keys = ["stmt", "s", "p", "o"]
-    first = hit.groupBy(*keys).agg(F.min(F.struct("h", "t", rank.alias("rank"))).alias("signature"))
-    out = rows.join(first, keys, "left")
+    # signatures by their property's local name, with the full ones beside: a full match goes before a local one
+    near = signatures.groupBy(local_name(F.col("property")).alias("_name")).agg(F.collect_set(F.struct(local_name(F.col("domain")).alias("d"), local_name(F.col("range")).alias("r"), "domain", "property", "range")).alias("_near"))
+    out = rows.join(maybe_broadcast(near), local_name(F.col("p")) == F.col("_name"), "left").drop("_name")
+    rank = lambda x, h, t: F.when((x["domain"] == h) & (x["property"] == F.col("p")) & (x["range"] == t), 0).otherwise(1).alias("rank")
+    of_pair = lambda h, t: F.transform(F.filter("_near", lambda x: (x["d"] == local_name(h)) & (x["r"] == local_name(t))), lambda x: F.struct(h.alias("h"), t.alias("t"), rank(x, h, t)))
+    hits = F.flatten(F.transform("s_types", lambda h: F.flatten(F.transform("o_types", lambda t: of_pair(h, t)))))
+    out = out.withColumn("signature", F.array_min(hits)).drop("_near")
     typed = F.col("s_types").isNotNull() & F.col("o_types").isNotNull()
     ours = F.exists(F.array(*map(F.lit, namespaces)), lambda n: F.startswith(F.col("p"), n))
-    out = out.withColumn("candidate", ~F.col("known") & ours & typed).where(F.col("known") | F.col("candidate"))
+    out = out.withColumn("candidate", ~F.col("known") & ours & typed)
     reason = F.when(~F.col("known"), "predicate_not_in_ontology").when(F.col("signature").isNotNull(), NONE).when(~typed, UNTYPED).otherwise(FORBIDDEN)
     return out.withColumn("reason", reason)
 
@@ -242,6 +247,22 @@ def graph_metrics(checked: DataFrame, scanned: DataFrame | None = None, types: D
     return _one_row(found).select(*_metrics(GRAPH_COUNTS, GRAPH_RATIOS))
 
 
+def judged_metrics(judged: DataFrame) -> DataFrame:
+    """The metrics of a graph, in one row, in one pass over all its judged assertions with ``s_id`` and ``o_id``: the ids of their ends, which are all its resources."""
+    none = lambda c: F.lit(None).cast(judged.schema[c].dataType)
+    outcome = F.struct((F.col("known") | F.col("candidate")).alias("kept"), "known", "reason", F.col("s_types").isNull().alias("no_s"), F.col("o_types").isNull().alias("no_o"))
+    bare = F.lit(None).cast("struct<kept:boolean,known:boolean,reason:string,no_s:boolean,no_o:boolean>")
+    row = lambda x, node: F.struct(x.alias("x"), node.alias("node"))
+    parts = F.array(row(outcome, none("s_id")), *(F.when(F.col(f"{side}_types").isNotNull(), row(bare, F.col(f"{side}_id"))) for side in "so"))
+    once = judged.select(F.explode(parts).alias("c")).where("c IS NOT NULL").select("c.x", "c.node").groupBy("x", "node").agg(F.count(F.lit(1)).alias("w"))
+    kept, known, w = F.col("x.kept"), F.col("x.kept") & F.col("x.known"), F.col("w")
+    found = once.agg(
+        _yes(F.col("x").isNotNull(), w).alias("scanned"), _yes(known, w).alias("n"), _yes(known & (F.col("x.reason") == NONE), w).alias("good"), _yes(known & F.col("x.no_s"), w).alias("no_subject"),
+        _yes(known & F.col("x.no_o"), w).alias("no_object"), _yes(kept & (F.col("x.reason") == FORBIDDEN), w).alias("forbidden"), _yes(kept & ~F.col("x.known"), w).alias("strange"), _yes(F.col("node").isNotNull()).alias("typed"),
+    )
+    return found.select(*_metrics(GRAPH_COUNTS, GRAPH_RATIOS))
+
+
 def signature_support(triples: DataFrame) -> DataFrame:
     """Support of each signature, and of its predicate (distinct statements, so several types don't count twice)."""
     rows = triples.groupBy(F.col("relation").alias("predicate"), F.col("head_type").alias("domain"), F.col("tail_type").alias("range")).agg(F.count_distinct("stmt").alias("signature_support_count"))
