@@ -37,6 +37,11 @@ def curate(statements: DataFrame, types: DataFrame, annotations: DataFrame) -> D
     annotated signature in order. 1: verified as it is; 0: verified with the curated predicate; -1: rejected.
     """
     pairs = statements.join(types.select(F.col("node").alias("_s"), F.col("cls").alias("domain")), F.col("s") == F.col("_s")).join(types.select(F.col("node").alias("_o"), F.col("cls").alias("range")), F.col("o") == F.col("_o"))
+    return curate_pairs(pairs, annotations)
+
+
+def curate_pairs(pairs: DataFrame, annotations: DataFrame) -> DataFrame:
+    """``curate`` for statements with their types: stmt, p, domain, range, a row for each pair of types."""
     small = annotations.select(F.col("predicate").alias("_p"), F.col("domain").alias("_d"), F.col("range").alias("_r"), "annotation", "curated")
     hit = pairs.join(maybe_broadcast(small), (F.col("p") == F.col("_p")) & (F.col("domain") == F.col("_d")) & (F.col("range") == F.col("_r")))
     first = hit.withColumn("_n", F.row_number().over(Window.partitionBy("stmt").orderBy("domain", "range", "annotation"))).where("_n = 1")
