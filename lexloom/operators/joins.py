@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import blank, squeeze
-from ..functions.values import dot
 
 #: A lookup table of at most so many rows and bytes is broadcast.
 BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 32 << 20
@@ -112,11 +114,50 @@ def resolve_iri(df: DataFrame, value: str, terms: DataFrame, namespace: str) ->
     return out.withColumn("iri", F.when(F.col(value).rlike("^https?://"), F.col(value)).otherwise(F.coalesce("_xi", "_li", made))).drop("_x", "_xi", "_l", "_li")
 
 
+#: The most vectors of a block of a group, of which two at a time are compared, and numbers in it (but 16 vectors at least).
+TILE, TILE_NUMBERS = 1024, 1 << 20
+
+
 def similar_pairs(df: DataFrame, group: str, key: str, vector: str, least: float) -> DataFrame:
-    """Pairs of a group with cosine of at least ``least``: the exact join, for groups of bounded size."""
-    norm = F.sqrt(dot(F.col(vector), F.col(vector)))
-    unit = df.select(group, key, F.col(vector).alias("v"), F.when(norm == 0, 1.0).otherwise(norm).alias("n"))  # a zero vector's norm counts as 1
-    a, b = unit.alias("a"), unit.alias("b")
-    cos = dot(F.col("a.v"), F.col("b.v")) / (F.col("a.n") * F.col("b.n"))
-    joined = a.join(b, (F.col(f"a.{group}") == F.col(f"b.{group}")) & (F.col(f"a.{key}") < F.col(f"b.{key}")))
-    return joined.select(F.col(f"a.{group}").alias(group), F.col(f"a.{key}").alias("left_id"), F.col(f"b.{key}").alias("right_id"), cos.alias("similarity")).where(F.col("similarity") >= least)
+    """Pairs of a group with cosine of at least ``least``: the exact join. Each group is cut into blocks, and each pair of blocks is one product of matrices; what may reach
+    ``least`` is then summed component by component in double precision. Null vectors and those with null components pair with nothing, and a zero vector's norm counts as 1."""
+    usable = df.select(group, key, F.transform(vector, lambda x: x.cast("double")).alias("v")).where(F.col(group).isNotNull() & F.col(key).isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull()))
+    usable = usable.withColumn("d", F.size("v"))
+    counts = usable.groupBy(F.col(group).alias("_g"), F.col("d").alias("_d")).agg(F.count(F.lit(1)).alias("_rows")).withColumn("_n", F.ceil(F.col("_rows") / F.greatest(F.lit(16), F.least(F.lit(TILE), F.floor(F.lit(TILE_NUMBERS) / F.greatest("_d", F.lit(1)))))))
+    placed = usable.join(maybe_broadcast(counts), (F.col(group) == F.col("_g")) & (F.col("d") == F.col("_d"))).withColumn("at", F.pmod(F.xxhash64(key), F.col("_n")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("o")
+    tiles = placed.select(group, key, "v", "d", "at", other).select(group, key, "v", "d", "at", F.least("at", "o").alias("i"), F.greatest("at", "o").alias("j"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        at, keys = table.column("at").to_numpy(), table.column(key).combine_chunks()
+        d = table.column("d")[0].as_py()
+        x = pc.list_flatten(table.column("v").combine_chunks()).to_numpy(zero_copy_only=False).reshape(len(at), d)
+
+        def dots(a, b):
+            total = np.zeros(len(a))
+            for k in range(d):
+                total += x[a, k] * x[b, k]
+            return total
+
+        with np.errstate(all="ignore"):
+            norm = np.sqrt(dots(np.arange(len(at)), np.arange(len(at))))
+            norm = np.where(norm == 0, 1.0, norm)
+            odd = ~np.isfinite(norm) | (norm < 1e-100)  # what rounding could tell otherwise is always summed
+            i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+            left, right = np.flatnonzero(at == i), np.flatnonzero(at == j)
+            near = ~((x[left] @ x[right].T) / np.outer(norm[left], norm[right]) < least - 1e-6) | odd[left][:, None] | odd[right][None, :]
+            a, b = np.nonzero(near)
+            a, b = left[a], right[b]
+            cos = dots(a, b) / (norm[a] * norm[b])
+        hit = ~(cos < least)
+        a, b, cos = a[hit], b[hit], cos[hit]
+        first, second = keys.take(pa.array(a)), keys.take(pa.array(b))
+        less = pc.less(first, second)
+        more = pc.less(second, first) if i != j else pa.array(np.zeros(len(a), bool))  # within a block each pair comes in both orders
+        label = table.column(group).combine_chunks().slice(0, 1)
+        parts = [pa.table({"left_id": p.filter(m), "right_id": q.filter(m), "similarity": pa.array(cos).filter(m)}) for p, q, m in ((first, second, less), (second, first, more))]
+        out = pa.concat_tables(parts)
+        return out.add_column(0, group, label.take(pa.array(np.zeros(len(out), np.int64))))
+
+    of = lambda c: df.schema[c].dataType.simpleString()
+    return tiles.groupBy(group, "d", "i", "j").applyInArrow(compare, f"`{group}` {of(group)}, left_id {of(key)}, right_id {of(key)}, similarity double")
