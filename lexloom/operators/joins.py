@@ -12,6 +12,8 @@ from ..functions.text import blank, squeeze
 
 #: A lookup table of at most so many rows and bytes is broadcast.
 BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 32 << 20
+#: A lookup of keys by bits of at most so many bytes is broadcast.
+BIT_BYTES = 32 << 20
 
 
 def maybe_broadcast(df: DataFrame, most: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -20,6 +22,47 @@ def maybe_broadcast(df: DataFrame, most: int = BROADCAST_ROWS, most_bytes: int =
     return F.broadcast(df) if rows <= most and (size or 0) <= most_bytes else df
 
 
+_AT, _BIT = "shiftright(CAST(`{0}` AS BIGINT), 6)", "CAST(`{0}` & 63 AS INT)"
+
+
+def _bits(codes: DataFrame, n: int) -> DataFrame | None:
+    """A row of ``n`` masks for each 64 keys that lie side by side (``key``, ``code``: from 0, below ``n``); None if there are too many such rows to broadcast, as they are few only where keys lie close."""
+    mask = F.expr(f"shiftleft(1L, {_BIT.format('key')})")
+    made = codes.where("key IS NOT NULL").groupBy(F.expr(_AT.format("key")).alias("_at")).agg(*(F.coalesce(F.bit_or(F.when(F.col("code") == i, mask)), F.lit(0)).cast("long").alias(f"_m{i}") for i in range(n)))
+    most = BIT_BYTES // (8 * (n + 3))
+    return made if made.limit(most + 1).count() <= most else None
+
+
+def _looked_up(rows: DataFrame, key: str, bits: DataFrame, n: int, name: str) -> DataFrame:
+    own = F.array(*(F.when(F.expr(f"getbit(_m{i}, {_BIT.format(key)})") == 1, F.lit(i).cast("byte")) for i in range(n)))
+    found = rows.join(F.broadcast(bits), F.expr(_AT.format(key)) == F.col("_at"))
+    return found.select(*rows.columns, F.explode(own).alias(name)).where(F.col(name).isNotNull())
+
+
+def with_codes(rows: DataFrame, key: str, codes: DataFrame, n: int, name: str) -> DataFrame:
+    """``rows`` with ``name``, once for each different code of their ``key`` (an integer), without those that have none. ``codes``: key, code (from 0, below ``n``).
+
+    Codes are looked up by bits, so that ``rows`` stay where they are; where the bits are too many, it is a join.
+    """
+    bits = _bits(codes, n)
+    if bits is None:
+        return rows.join(codes.select(F.col("key").alias("_key"), F.col("code").cast("byte").alias(name)).distinct(), F.col(key) == F.col("_key")).drop("_key")
+    return _looked_up(rows, key, bits, n, name)
+
+
+def without_strangers(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """``rows`` before a join with ``keys`` (key): without those that it would drop, if that is told by bits without moving rows; else as they are."""
+    bits = _bits(keys.select("key", F.lit(0).alias("code")), 1)
+    return rows if bits is None else _looked_up(rows, key, bits, 1, "_own").drop("_own")
+
+
+def shares_keys(rows: DataFrame, key: str) -> bool:
+    """Whether different rows have the same ``key`` (an integer). Where there are as many bits as rows in each 64 keys, none do; other rows are compared."""
+    rows = rows.where(F.col(key).isNotNull()).withColumn("_at", F.expr(_AT.format(key)))
+    crowded = rows.groupBy("_at").agg(F.count(F.lit(1)).alias("_n"), F.bit_or(F.expr(f"shiftleft(1L, {_BIT.format(key)})")).alias("_b")).where(F.col("_n") > F.bit_count("_b")).select("_at")
+    return not crowded.isEmpty() and not rows.join(crowded, "_at", "left_semi").distinct().groupBy(key).count().where("count > 1").isEmpty()
+
+
 def apply_map(df: DataFrame, mapping: DataFrame, keys: list[str], value: str, canonical: str) -> DataFrame:
     """``value`` as the ``canonical`` of the mapping with equal ``keys``; unchanged without one."""
     small = maybe_broadcast(mapping.select(*(F.col(k).alias(f"_m_{k}") for k in keys), F.col(canonical).alias("_canonical")))

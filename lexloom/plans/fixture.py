@@ -23,16 +23,16 @@ def _mapped(column, cases: dict, default):
     return out
 
 
-def head_type():
-    return _mapped(F.col("c_mktsegment"), HEAD_TYPES, "Condition")
+def head_type(cases: dict = HEAD_TYPES, default="Condition"):
+    return _mapped(F.col("c_mktsegment"), cases, default)
 
 
 def tail():
     return F.concat_ws(" ", "p_name", "p_brand")
 
 
-def tail_type():
-    return _mapped(F.substring_index("p_type", " ", 1), TAIL_TYPES, "Actor")
+def tail_type(cases: dict = TAIL_TYPES, default="Actor"):
+    return _mapped(F.substring_index("p_type", " ", 1), cases, default)
 
 
 def relation(cases: dict = RELATIONS, default="hasTime"):
