@@ -30,6 +30,20 @@ def curated_predicate(predicate: Column, range_: Column, classes: list[str], iri
     return F.coalesce(chosen, F.concat(F.lit(namespace), F.coalesce(named, derived)))
 
 
+def _status() -> Column:
+    return F.when(F.col("annotation") >= 0, VERIFIED).otherwise(REJECTED)
+
+
+def in_order(annotations: DataFrame) -> DataFrame:
+    """Annotations (not too many for one task) with ``place``: of a statement's, the one of least place is the first in order, which ``curate`` takes."""
+    return annotations.withColumn("place", F.row_number().over(Window.orderBy("domain", "range", "annotation")))
+
+
+def placed_status(places: DataFrame, annotations: DataFrame) -> DataFrame:
+    """``status`` of statements that are told by the ``place`` of their annotation alone, as ``curate`` has it."""
+    return places.join(F.broadcast(annotations.select("place", _status().alias("status"))), "place").select("status")
+
+
 def curate(statements: DataFrame, types: DataFrame, annotations: DataFrame) -> DataFrame:
     """Status, effective predicate and flags of the statements (stmt, s, p, o) whose signature was annotated.
 
@@ -46,7 +60,7 @@ def curate_pairs(pairs: DataFrame, annotations: DataFrame) -> DataFrame:
     hit = pairs.join(maybe_broadcast(small), (F.col("p") == F.col("_p")) & (F.col("domain") == F.col("_d")) & (F.col("range") == F.col("_r")))
     first = hit.withColumn("_n", F.row_number().over(Window.partitionBy("stmt").orderBy("domain", "range", "annotation"))).where("_n = 1")
     return first.select(
-        "stmt", "domain", "range", F.col("p").alias("predicate"), "annotation", F.when(F.col("annotation") >= 0, VERIFIED).otherwise(REJECTED).alias("status"),
+        "stmt", "domain", "range", F.col("p").alias("predicate"), "annotation", _status().alias("status"),
         F.when(F.col("annotation") == 0, F.col("curated")).otherwise(F.col("p")).alias("effective_predicate"),
         F.when(F.col("annotation") == 0, "replacement").when(F.col("annotation") == 1, "none").otherwise("exclusion").alias("action"),
         (F.col("annotation") >= 0).alias("in_final_ontology"),
