@@ -23,7 +23,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     if net is None:
         return docs.where(F.col("text").rlike(r"\p{L}"))
     others = tuple(c for c in docs.columns if c not in ("doc_id", "lang"))
-    judged = langid.predict(docs.withColumn("_judged_text", F.col("text")), net, text_col="_judged_text", keep=others, out=("_judged", "_judged_score"))
+    judged = langid.predict(docs, net, keep=others, out=("_judged", "_judged_score"))
     return judged.where("_judged != 'und'").withColumn("lang", F.col("_judged")).select(*docs.columns)
 
 

@@ -160,32 +160,34 @@ def predict(docs: DataFrame, net: ByteConvNet | None, id_col: str = "doc_id", te
     from. Repeated rows are each judged; an empty table gives an empty result. Columns outside ``id_col``, ``text_col`` and
     ``keep`` are not read.
     """
-    taken = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *(F.col(c).alias(f"_keep_{c}") for c in keep))
-    rest = [f for f in taken.schema.fields if f.name != "_text" or text_col in keep]
-    rest = [f for f in rest if f.name != "_text"]
+    alias = {c: "_text" if c == text_col else f"_keep_{c}" for c in keep}  # a text that is kept is sent once
+    taken = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *(F.col(c).alias(a) for c, a in alias.items() if c != text_col))
+    rest = [f for f in taken.schema.fields if f.name != "_text" or text_col in alias]
+    names = [f.name for f in rest]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest) + ", lang_pred string, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = batch.column("_text")
-            raw, starts, ends = utf8_column(text)
-            n = len(starts)
-            pred, score = np.full(n, unknown, object), np.zeros(n)
-            if net is not None:
-                ok = np.fromiter((x is not None and any(map(str.isalpha, x)) for x in text.to_pylist()), bool, n) if n else np.zeros(0, bool)
-                begin = np.where(ok, starts, ends)
-                total = np.zeros((n, len(net.labels)))
-                row, a, b = cut_windows(raw, begin, ends, net.length)
-                for k in range(0, len(row), 4096):
-                    p = net.probabilities(read_windows(raw, a[k : k + 4096], b[k : k + 4096], net.length))
-                    first = np.flatnonzero(np.diff(row[k : k + 4096], prepend=-1))
-                    total[row[k : k + 4096][first]] += np.add.reduceat(p.astype(np.float64), first, axis=0)
-                seen = np.bincount(row, minlength=n)
-                best = total.argmax(axis=1)
-                pred[ok] = np.array(net.labels, object)[best[ok]]
-                score[ok] = np.clip(total[ok, best[ok]] / np.maximum(seen[ok], 1), 0, 1)
-            names = [f.name for f in rest]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(pred, pa.string()), pa.array(score)], names=names + ["lang_pred", "score"])
+            for at in range(0, batch.num_rows, 500):  # only so many rows' strings and windows are held besides the batch
+                part = batch.slice(at, 500)
+                text = part.column("_text")
+                raw, starts, ends = utf8_column(text)
+                n = len(starts)
+                pred, score = np.full(n, unknown, object), np.zeros(n)
+                if net is not None:
+                    ok = np.fromiter((x is not None and any(map(str.isalpha, x)) for x in text.to_pylist()), bool, n)
+                    begin = np.where(ok, starts, ends)
+                    total = np.zeros((n, len(net.labels)))
+                    row, a, b = cut_windows(raw, begin, ends, net.length)
+                    for k in range(0, len(row), 1024):
+                        p = net.probabilities(read_windows(raw, a[k : k + 1024], b[k : k + 1024], net.length))
+                        first = np.flatnonzero(np.diff(row[k : k + 1024], prepend=-1))
+                        total[row[k : k + 1024][first]] += np.add.reduceat(p.astype(np.float64), first, axis=0)
+                    seen = np.bincount(row, minlength=n)
+                    best = total.argmax(axis=1)
+                    pred[ok] = np.array(net.labels, object)[best[ok]]
+                    score[ok] = np.clip(total[ok, best[ok]] / np.maximum(seen[ok], 1), 0, 1)
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in names] + [pa.array(pred, pa.string()), pa.array(score)], names=names + ["lang_pred", "score"])
 
     found = taken.mapInArrow(run, schema)
-    return found.select(F.col("_id").alias(id_col), *(F.col(f"_keep_{c}").alias(c) for c in keep), *(F.col(a).alias(b) for a, b in zip(("lang_pred", "score"), out)))
+    return found.select(F.col("_id").alias(id_col), *(F.col(a).alias(c) for c, a in alias.items()), *(F.col(a).alias(b) for a, b in zip(("lang_pred", "score"), out)))

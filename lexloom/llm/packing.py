@@ -279,7 +279,9 @@ def pack(docs: DataFrame, capacity: int = 2048, ranks_path: str | None = None, s
     pieces = settle(token_pieces(docs, capacity, ranks_path, special, id_col, text_col).withColumnRenamed(id_col, "_id"))
     histogram = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
     table = places(bin_completion(histogram, capacity, nodes), capacity)
-    n = spark.createDataFrame(list(histogram.items()), "l long, n long").select("l", F.ceil(F.col("n") / bucket_rows(F.col("n"))).alias("n_buckets"))
+    # from Arrow: a list would be copied by Python workers of another kind, which stay beside those at work
+    counts = pa.table({"l": pa.array(list(histogram), pa.int64()), "n": pa.array(list(histogram.values()), pa.int64())})
+    n = spark.createDataFrame(counts).select("l", F.ceil(F.col("n") / bucket_rows(F.col("n"))).alias("n_buckets"))
     salted = pieces.join(F.broadcast(n), F.col("length") == F.col("l")).select(
         *pieces.columns, F.pmod(F.xxhash64("_id", "piece", "start", "ids_crc32"), F.col("n_buckets")).alias("salt")
     )

@@ -77,3 +77,16 @@ def test_gradient():
     before = loss()
     net.fit(x, y, epochs=8, rate=0.01, batch=32)
     assert loss() < before
+
+
+def test_a_batch_is_judged_and_given_back_in_parts(spark):
+    """Texts come back as they were, null and empty ones too, and judgements don't depend on where a batch is cut."""
+    net = train(spark.createDataFrame(corpus(), SCHEMA), per_label=60)
+    rows = [(i, None if i % 7 == 3 else "" if i % 7 == 5 else t, lang, s, p) for i, t, lang, s, p in corpus(1300)]
+    docs = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    got = predict(docs, net, keep=("source", "text"), out=("p", "q"))
+    assert got.columns == ["doc_id", "source", "text", "p", "q"]
+    got = got.withColumn("part", F.spark_partition_id()).collect()
+    assert [(r.doc_id, r.text) for r in got] == [x[:2] for x in rows] and {r.part for r in got} == {0}
+    few = {r.doc_id: r for r in predict(docs.repartition(40), net).collect()}
+    assert all(r.p == few[r.doc_id].lang_pred and abs(r.q - few[r.doc_id].score) < 1e-6 for r in got)

@@ -112,3 +112,15 @@ def test_a_filling_of_many_short_pieces_is_found():
     assert completions({1: 5000}, [1], 1, 2048, 0) == [((1, 2048),)]
     assert completions({2000: 1, 3: 9000}, [3, 2000], 2000, 2048, 0) == [((2000, 1), (3, 16))]
     assert completions({7: 900, 5: 900}, [5, 7], 7, 2048, 0)
+
+
+def test_lengths_are_not_copied_by_python_workers(spark):
+    docs = spark.createDataFrame([(1, "a b c"), (2, None)], "doc_id long, text string")
+    leaves, nodes = [], [pack(docs)._jdf.queryExecution().analyzed()]
+    while nodes:
+        node = nodes.pop()
+        below = [node.children().apply(i) for i in range(node.children().size())]
+        nodes += below
+        leaves += [] if below else [node]
+    made = [x.rdd().toDebugString() if x.nodeName() == "LogicalRDD" else x.nodeName() for x in leaves]
+    assert "LocalRelation" in made and not any("PythonRDD" in x for x in made), made

@@ -102,3 +102,11 @@ def test_without_labels_documents_keep_their_language(spark):
     held = [i for i in range(40) if zlib.crc32(str(i).encode()) % 4 == 2]
     docs = spark.createDataFrame([(i, "some text", "en") for i in held], "doc_id long, text string, lang string")
     assert [r.lang for r in corpus_pipeline.identify_language(spark, docs, SF).collect()] == ["en"] * len(held)
+
+
+def test_a_text_goes_to_a_language_worker_once(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    node = corpus_pipeline.identify_language(spark, docs, SF)._jdf.queryExecution().analyzed()
+    while node.nodeName() != "MapInArrow":
+        node = node.children().head()
+    assert node.child().output().size() == len(docs.columns) - 1  # all but lang, which isn't an input
